@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,3 +190,22 @@ def quality(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams
     """doc_id, held_out, score, predicted for every document."""
     out = score(docs, fit(docs, labels, p), p)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p))
+    names = docs.columns
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
+
+    def run(it):
+        m = sent.value
+        for b in batches(it, 4 << 20):
+            texts = b.column(text)
+            n_chars = b.column(chars) if chars >= 0 else pc.utf8_length(texts)
+            h, off = word_hashes(texts, ALNUM)
+            extra = _binned(statistics(texts, n_chars, h, off), m.edges, p.bits)
+            s = _sigmoid(_scores((h >> np.uint64(64 - p.bits)).astype(np.int64), off, extra, m.bias, m.w, m.v))
+            yield b.filter(pa.array(s >= p.threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontam, langid, near_dedup, quality, sp_encode, substring_dedup, toxicity, url_filter
+from . import ann, decontam, langid, near_dedup, pii, quality, sp_encode, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_encode.digests(_table(spark, sf_dir, "documents"))
+    return sp_encode.encode(_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +53,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op5_sentencepiece, op7_quality, op8_near_dedup, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_personal_data, op5_sentencepiece, op6_nearest, op7_quality, op8_near_dedup, op9_decontamination, op10_language)}
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op9_decontamination": decontam.ORACLE_SQL}

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -58,7 +59,7 @@ class ChunkEncoder:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         self.safe = cuts_are_safe(self.sp)
         self.limit = table_bytes
-        self.table: dict[str, tuple[str, int, str]] = {}
+        self.table: dict[str, tuple[str, int, str, bytes]] = {}
         self.size = 0
         self.newline = self.sp.piece_to_id(MARK)
 
@@ -69,13 +70,13 @@ class ChunkEncoder:
         ids = self.sp.encode(chunk)
         return ids[1:]  # a newline never joins the mark before it
 
-    def _entry(self, chunk: str) -> tuple[str, int, str]:
+    def _entry(self, chunk: str) -> tuple[str, int, str, bytes]:
         ids = self._segment(chunk)
         decoded = self.sp.decode(ids)
         if chunk[0] in (" ", MARK):
             decoded = " " + decoded  # decode() drops the first mark
-        found = ",".join(map(str, ids)), len(ids), decoded
-        self.size += 200 + 3 * len(chunk) + len(found[0])
+        found = ",".join(map(str, ids)), len(ids), decoded, np.array(ids, np.int32).tobytes()
+        self.size += 300 + 3 * len(chunk) + 2 * len(found[0])
         if self.size > self.limit:
             self.table.clear()
             self.size = 0
@@ -83,18 +84,17 @@ class ChunkEncoder:
             self.table[chunk] = found
         return found
 
-    def encode(self, text: str) -> tuple[str, int, str]:
-        """The decimal ids joined by commas, their number, and the text decoded from them."""
+    def encode(self, text: str) -> tuple[str, int, str, bytes]:
+        """The decimal ids joined by commas, their number, the text decoded from them, and the ids as int32."""
         if not text:
-            return "", 0, ""
+            return "", 0, "", b""
         if not self.safe:
             ids = self.sp.encode(text)
-            return ",".join(map(str, ids)), len(ids), self.sp.decode(ids)
+            return ",".join(map(str, ids)), len(ids), self.sp.decode(ids), np.array(ids, np.int32).tobytes()
         known = self.table.get
-        chunks = _CHUNK.findall(MARK + text)
-        found = [known(c) or self._entry(c) for c in chunks]
-        joined, counts, decoded = zip(*found)
-        return ",".join(joined), sum(counts), "".join(decoded)[1:]
+        found = [known(c) or self._entry(c) for c in _CHUNK.findall(MARK + text)]
+        joined, counts, decoded, packed = zip(*found)
+        return ",".join(joined), sum(counts), "".join(decoded)[1:], b"".join(packed)
 
 
 _encoders: dict[tuple[str, int], ChunkEncoder] = {}
@@ -108,30 +108,24 @@ def encoder(model: str, table_bytes: int) -> ChunkEncoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model: str | None = None, table_bytes: int = 64 << 20, key: str = "doc_id") -> DataFrame:
-    """key, ids (array of int) and decoded (string) of every whole text."""
-    path = model or default_model()
+def _int_lists(packed: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
-    def run(it):
-        e = encoder(path, table_bytes)
-        for b in batches(it, 8 << 20):
-            got = [e.encode(t or "") for t in b.column("text").to_pylist()]
-            ids = [list(map(int, x[0].split(","))) if x[0] else [] for x in got]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.list_(pa.int32())), pa.array([x[2] for x in got], pa.string())], [key, "ids", "decoded"])
 
-    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
-
-
-def digests(docs: DataFrame, model: str | None = None, table_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
+def encode(docs: DataFrame, model: str | None = None, table_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), decoded (string), ids_sha256 and decoded_sha256 of every whole text."""
     path = model or default_model()
 
     def run(it):
         e, sha = encoder(path, table_bytes), hashlib.sha256
         for b in batches(it, 8 << 20):
             got = [e.encode(t or "") for t in b.column("text").to_pylist()]
-            columns = [b.column("doc_id"), pa.array([x[1] for x in got], pa.int64()), pa.array([sha(x[0].encode()).hexdigest() for x in got], pa.string()), pa.array([sha(x[2].encode("utf-8", "surrogatepass")).hexdigest() for x in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [
+                b.column("doc_id"), pa.array([x[1] for x in got], pa.int64()), _int_lists([x[3] for x in got]), pa.array([x[2] for x in got], pa.string()),
+                pa.array([sha(x[0].encode()).hexdigest() for x in got], pa.string()), pa.array([sha(x[2].encode("utf-8", "surrogatepass")).hexdigest() for x in got], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string")

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BYTES = 1 << 30
+_sent: set[tuple[str, str]] = set()
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -62,10 +63,11 @@ class DigestArray:
         if size > max_bytes:
             raise ListTooLarge(f"{size} bytes; the bound is {max_bytes}")
         blob = b"".join(raw)
-        name = hashlib.sha256(blob).hexdigest()[:24]
+        ends = np.concatenate(([0], np.cumsum([len(k) for k in raw]))).astype(np.int64)
+        name = hashlib.sha256(blob + ends.tobytes()).hexdigest()[:24]
         found = DigestArray(*(str(Path(folder, f"{name}.{x}")) for x in ("digests", "offsets", "keys")))
         np.array([xxhash.xxh64_intdigest(k) for k in raw], np.uint64).tofile(found.digests)
-        np.concatenate(([0], np.cumsum([len(k) for k in raw]))).astype(np.int64).tofile(found.offsets)
+        ends.tofile(found.offsets)
         Path(found.keys).write_bytes(blob)
         return found
 
@@ -119,7 +121,9 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, blocklist: Iterabl
     sc = spark.sparkContext
     for a in arrays:
         for f in (a.digests, a.offsets, a.keys):
-            sc.addFile(f)
+            if (sc.applicationId, Path(f).name) not in _sent:  # names tell contents
+                sc.addFile(f)
+                _sent.add((sc.applicationId, Path(f).name))
     order = {h + p: i for i, (h, p, _) in enumerate(rules)}
     cuts = sorted({len(p) for _, p, _ in rules}, reverse=True)
     names = [DigestArray(*(Path(f).name for f in (a.digests, a.offsets, a.keys))) for a in arrays]
