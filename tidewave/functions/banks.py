@@ -139,7 +139,7 @@ def savgol(width: int, order: int, degree: int | None = None) -> np.ndarray:
 
 def a_weighting(f):
     f2 = np.asarray(f, float) ** 2
-    c = np.array([12194.217, 20.598997, 107.65265, 737.86223]) ** 2
+    c = np.array([12194.0, 20.6, 107.7, 737.9]) ** 2
     with np.errstate(divide="ignore"):
         return 2.0 + 20 * (np.log10(c[0]) + 2 * np.log10(f2) - np.log10(f2 + c[0]) - np.log10(f2 + c[1]) - 0.5 * np.log10(f2 + c[2]) - 0.5 * np.log10(f2 + c[3]))
 
