@@ -142,7 +142,9 @@ def pairwise(x, y, metric="euclidean"):
     if metric == "cosine":
         a, b = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
         return 1 - (x @ y.T) / np.maximum(a[:, None] * b[None, :], TINY)
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+    # by differences, so that equal rows are at distance 0; in blocks of rows that bound memory
+    step = max(1, (1 << 22) // max(1, y.size))
+    return np.concatenate([np.sqrt(((x[i : i + step, None, :] - y[None]) ** 2).sum(axis=2)) for i in range(0, len(x), step)]) if len(x) else np.zeros((0, len(y)))
 
 
 def runs(labels):
