@@ -13,12 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _value(x):
-    if isinstance(x, list):
-        if x and isinstance(x[0], list):
-            return np.array(x, float)
-        return np.array([np.nan if v is None else v for v in x], float) if not x or not isinstance(x[0], str) else x
-    return x
+def _inputs(column: pa.Array) -> list:
+    """The column's values; lists of numbers as numpy views of the batch, lists of them as matrices."""
+    kind = column.type
+    if pa.types.is_list(kind) and pa.types.is_floating(kind.value_type):
+        flat, at = np.asarray(column.flatten()), np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0)))).astype(np.int64)
+        known = column.is_valid().to_pylist()
+        return [flat[i:j] if ok else None for i, j, ok in zip(at[:-1], at[1:], known)]
+    if pa.types.is_list(kind) and pa.types.is_list(kind.value_type):
+        return [None if x is None else np.array(x, float) for x in column.to_pylist()]
+    return column.to_pylist()
+
+
+def _outputs(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind) and pa.types.is_floating(kind.value_type) and all(v is not None for v in values):
+        parts = [np.asarray(v, float) for v in values]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.zeros(0)))
+    return pa.array([_plain(v) for v in values], kind)
 
 
 def _plain(v):
@@ -40,15 +52,15 @@ def lift(df: DataFrame, kernel: Callable[..., Iterable[tuple]], inputs: list[str
 
     def run(it):
         for b in it:
-            keys, columns = b.column(keep).to_pylist(), [b.column(c).to_pylist() for c in inputs]
+            keys, columns = b.column(keep).to_pylist(), [_inputs(b.column(c)) for c in inputs]
             out = [[] for _ in range(len(names) + 1)]
             for row in zip(keys, *columns):
                 if any(v is None for v in row[1:]):
                     continue
-                for made in kernel(*map(_value, row[1:])):
+                for made in kernel(*row[1:]):
                     for c, v in zip(out, (row[0], *made)):
-                        c.append(_plain(v))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], [keep, *names])
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([_outputs(c, f.type) for c, f in zip(out, schema)], [keep, *names])
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -15,7 +15,7 @@ SIZE, HOP, SR, N, MELS = 32, 8, 32.0, 720, 8
 QUERIES, ORACLE_SQL = {}, {}
 
 #: the adapter: signal_id, idx, y
-SIG = """base AS (SELECT event_type AS signal_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS idx, sum(value) / 100 AS y FROM events GROUP BY 1, 2),
+SIG = """base AS (SELECT event_type AS signal_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS idx, sum(value) / CAST(97.317 AS DOUBLE) AS y FROM events GROUP BY 1, 2),
 sig AS (SELECT s.signal_id, g.idx, coalesce(b.y, 0) AS y FROM (SELECT DISTINCT signal_id FROM base WHERE idx BETWEEN 0 AND 719) s
   CROSS JOIN (SELECT unnest(range(0, 720)) AS idx) g LEFT JOIN base b ON b.signal_id = s.signal_id AND b.idx = g.idx)"""
 FRAMED = f"""{SIG},

@@ -16,9 +16,9 @@ from ..operators.lift import lift
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """signal_id (event type), idx (hour from 2024-01-01, 0 to 719), y (sum of value / 100, 0 where there are no events)."""
+    """signal_id (event type), idx (hour from 2024-01-01, 0 to 719), y (sum of value / 97.317, which leaves no round numbers, 0 where there are no events)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600).alias("idx"))
-    sums = e.where("idx between 0 and 719").groupBy(F.col("event_type").alias("signal_id"), "idx").agg((F.sum("value") / 100).alias("y"))
+    sums = e.where("idx between 0 and 719").groupBy(F.col("event_type").alias("signal_id"), "idx").agg((F.sum("value") / 97.317).alias("y"))
     grid = sums.select("signal_id").distinct().select("signal_id", F.explode(F.sequence(F.lit(0), F.lit(719)).cast("array<bigint>")).alias("idx"))
     return grid.join(sums, ["signal_id", "idx"], "left").select("signal_id", "idx", F.coalesce("y", F.lit(0.0)).alias("y"))
 
