@@ -8,10 +8,11 @@
 3. Pairs are pruned in sequence: after each batch of signature values a pair goes if
    the posterior probability that its similarity reaches the threshold is below
    `miss`. Survivors are verified exactly on their full sets.
-4. Links are joined into components. In buckets that then still hold more than one
-   component, the members of different components are paired with each other and
-   treated like those in 3; so no pair that shares a bucket is left out but those
-   already in one component. Components are joined again.
+4. Links are joined into components. Buckets that then still hold more than one
+   component are tied to families, which are cut into blocks; each pair of blocks is a
+   group in which members of different components are compared as in 3, signatures
+   first and sets then, and only links leave it. So no pair that shares a bucket is left
+   out but those already in one component. Components are joined again.
 
 A pair of similarity s shares no bucket with probability (1 - s^rows)^bands, which is
 6e-7 at 0.8 here and falls fast above.
@@ -44,7 +45,9 @@ class NearParams:
     bands: int = 36
     rows: int = 5
     batch: int = 30  # signature values compared at a time
+    block: int = 256  # members of a family that meet as many others in a group
     miss: float = 1e-6
+    broadcast_ids: int = 2_000_000  # 8 bytes each
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,14 +166,24 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, p: NearParams) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
-    """The pairs (a, b) that are similar by their full sets."""
+def _sets(ids: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
+    """id, set (the sorted shingle hashes) of the documents in ids."""
 
     def to_sets(it):
         for b in batches(it, 4 << 20):
             sets, at = shingle_sets(b.column("text"), p.shingle)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([sets[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["id", "set"])
 
+    # a few ids are sent to the texts; more of them than the bound meet the texts in a shuffle
+    wanted = staged(ids)
+    wanted = F.broadcast(wanted) if wanted.count() <= p.broadcast_ids else wanted
+    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return source.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(to_sets, "id long, set binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
+    """The pairs (a, b) that are similar by their full sets."""
+
     def compare(it):
         for b in it:
             keep = []
@@ -181,8 +194,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = staged(source.join(ids, "id", "left_semi").select("id", "text").mapInArrow(to_sets, "id long, set binary"))
+    sets = staged(_sets(ids, docs, p))
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = first.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     out = staged(both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
@@ -197,6 +209,67 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearParams) -
     return out
 
 
+def _family_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
+    """Links (a, b) between different components of a family. members: family, id, component.
+
+    A family's largest component is only compared with the family's other members,
+    so it is dealt out once for each block of those.
+    """
+    steps = least_matches(p)
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    facts = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m")).select("family", F.col("m.component").alias("major"), F.col("m.n").alias("n_major"), (F.col("all") - F.col("m.n")).alias("n_minor"))
+    blocks = lambda n: F.greatest(F.ceil(n / p.block), F.lit(1)).cast("int")
+    known = members.join(facts, "family").select("family", "id", "component", (F.col("component") == F.col("major")).alias("major"), blocks(F.col("n_major")).alias("jb"), blocks(F.col("n_minor")).alias("mb"))
+    known = known.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("jb")).otherwise(F.col("mb"))).cast("int"))
+    all_minor, all_major = F.sequence(F.lit(0), F.col("mb") - 1), F.sequence(F.lit(0), F.col("jb") - 1)
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    met = F.when(F.col("major"), F.transform(all_minor, lambda k: place(k, F.col("block")))).otherwise(
+        F.concat(F.transform(all_major, lambda h: place(F.col("block"), h)), F.transform(all_minor, lambda k: place(F.least(k, F.col("block")), F.col("jb") + F.greatest(k, F.col("block")))))
+    )
+    sets = _sets(known.select("id").distinct(), docs, p)
+    full = known.join(nodes.select("id", "sig"), "id").join(sets, "id")
+    dealt = full.select("family", "id", "component", "major", "jb", "block", "sig", "set", F.inline(met))
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, comp = np.asarray(t.column("id")), t.column("component").to_pylist()
+        major, block = np.asarray(t.column("major")), np.asarray(t.column("block"))
+        x, y, jb = t.column("x")[0].as_py(), t.column("y")[0].as_py(), t.column("jb")[0].as_py()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        sets = [np.frombuffer(v, np.uint64) for v in t.column("set").to_pylist()]
+        parent = {c: c for c in comp}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        left = np.flatnonzero(~major & (block == x))
+        right = np.flatnonzero(major) if y < jb else np.flatnonzero(~major & (block == y - jb))
+        out = [], []
+        for i in left:
+            mine = root(comp[i])
+            near = np.array([j for j in right if (y < jb or x != y - jb or j > i) and root(comp[j]) != mine], np.int64)
+            done, matches = 0, np.zeros(len(near), np.int64)
+            for n, least in steps:
+                if not len(near):
+                    break
+                matches = matches + (sig[near, done:n] == sig[i, done:n]).sum(axis=1)
+                keep = matches >= least
+                near, matches, done = near[keep], matches[keep], n
+            for j in near:
+                if root(comp[j]) == root(comp[i]):
+                    continue
+                inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * inter >= p.percent * (len(sets[i]) + len(sets[j]) - inter):
+                    parent[root(comp[j])] = root(comp[i])
+                    out[0].append(int(ids[i]))
+                    out[1].append(int(ids[j]))
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    return staged(dealt.groupBy("family", "x", "y").applyInArrow(compare, "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     described = staged(_described(docs, p))
@@ -205,22 +278,20 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     nodes = staged(least.select("d1", "d2", "m.id", "m.sig"))
 
     banded = _banded(nodes, p)
-    shared = banded.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = staged(banded.join(shared, "key").select("key", "a", F.col("id").alias("b"), "n"))
-    stars = buckets.where("a <> b").select("a", "b").distinct()
+    shared = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    buckets = staged(banded.join(shared, "key").select("key", "leader", "id", "n"))
+    stars = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = _links(stars, nodes, docs, p)
     member = staged(components(links))  # id, component of every linked node
 
     # buckets of three or more whose members aren't all in one component
-    known = buckets.where("n > 2").select("key", F.col("b").alias("id"))
-    known = known.join(member, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("key", "first")
-    rest = staged(known.join(split, "key").select("key", "id", "component", "first"))
-    x, y = (rest.select("key", "first", F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
-    # pairs with a bucket's first member have been compared
-    more = x.join(y.drop("first"), "key").where("a < b and ca <> cb and a <> first").select("a", "b").distinct()
+    known = buckets.where("n > 2").select("key", "leader", "id").join(member, "id", "left").select("key", "leader", "id", F.coalesce("component", "id").alias("component"))
+    split = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = staged(known.join(split, "key", "left_semi").select("leader", "id", "component").distinct())
     if not rest.isEmpty():
-        extra = _links(more, nodes, docs, p)
+        families = components(rest.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        members = staged(rest.select("id", "component").distinct().join(families.withColumnRenamed("component", "family"), "id"))
+        extra = _family_links(members, nodes, docs, p)
         if not extra.isEmpty():
             member = staged(components(links.unionByName(extra)))
     drop(rest)
@@ -237,3 +308,18 @@ def deduplicated(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """One document of each group of near duplicates, with all its columns. Rows that share that document's doc_id stay."""
     found = near_duplicates(docs, p).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, root) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.id WHERE r.root < e.y),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id
+"""

@@ -55,4 +55,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_personal_data, op5_sentencepiece, op6_nearest, op7_quality, op8_near_dedup, op9_decontamination, op10_language)}
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op9_decontamination": decontam.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL}
