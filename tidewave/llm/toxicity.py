@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .text import ALNUM, batches, fold, sampled_labels, sampled_texts, word_hashes
 
+_HALF = np.uint64(32)
+
 
 @dataclass(frozen=True)
 class ToxicityParams:
@@ -31,7 +33,7 @@ class ToxicityParams:
     l2: float = 0.1
     epochs: int = 4
     batch: int = 64
-    max_rows: int = 12_000  # labelled rows to learn from, at most
+    max_rows: int = 24_000  # labelled rows to learn from, at most
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,8 @@ class SparseWeights:
 
 
 def features(words: np.ndarray, offsets: np.ndarray, bits: int):
-    """Buckets of all features of all texts and the text of each."""
+    """Buckets of all features of all texts and the text of each. words: the upper 32 bits of word hashes."""
+    words = words.astype(np.uint64) << _HALF
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     shift = np.uint64(64 - bits)
@@ -72,7 +75,7 @@ def train(words: list[np.ndarray], labels: np.ndarray, p: ToxicityParams) -> Spa
         for at in range(0, len(order), p.batch):
             rows = order[at : at + p.batch]
             off = np.concatenate(([0], np.cumsum(lengths[rows])))
-            flat = np.concatenate([words[r] for r in rows]) if off[-1] else np.zeros(0, np.uint64)
+            flat = np.concatenate([words[r] for r in rows])
             bucket, doc = features(flat, off, p.bits)
             bucket = np.concatenate((bucket, np.full(len(rows), size)))  # the bias
             doc = np.concatenate((doc, np.arange(len(rows))))
@@ -96,10 +99,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     def hashed(it):
         for b in batches(it):
             h, off = word_hashes(b.column("text"), ALNUM)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([h[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], ["doc_id", "y", "words"])
+            top = (h >> _HALF).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([top[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], ["doc_id", "y", "words"])
 
     rows = sampled_texts(docs, sample, [F.col("text")], p.max_rows).mapInArrow(hashed, "doc_id long, y int, words binary").toArrow()
-    words = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
+    words = [np.frombuffer(x, np.uint32) for x in rows.column("words").to_pylist()]
     return train(words, np.array(rows.column("y").to_pylist(), np.float64), p)
 
 
@@ -113,7 +117,7 @@ def score(docs: DataFrame, model: SparseWeights, p: ToxicityParams = ToxicityPar
         w[m.buckets] = m.weights
         for b in batches(it, 8 << 20):
             words, off = word_hashes(b.column("text"), ALNUM)
-            bucket, doc = features(words, off, p.bits)
+            bucket, doc = features((words >> _HALF).astype(np.uint32), off, p.bits)
             s = np.bincount(doc, w[bucket], len(off) - 1) + m.bias
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], ["doc_id", "score"])
 
