@@ -165,6 +165,57 @@ def test_substring_dedup_inside_lines(spark):
     assert passage in kept[1] and "x3" not in kept[2] and kept[2].startswith("other words") and kept[3] == "clean text of its own."
 
 
+def repeated_words(rows, least):
+    """(doc_id, word) of all words in a sequence of `least` words that occurs earlier, or in a repeated run of units; rows have distinct doc_ids."""
+    last, first = (1 << 63) - 1, {}
+    runs, out = repeats_by_brute_force(rows, least), set()
+    ordered = sorted(((k if k is not None else last), k, t) for k, t in rows if t)
+    for _, k, t in ordered:
+        places = [m.span() for m in re.finditer(r"\S+", t)]
+        words = t.lower().split()
+        out |= {(k, i) for i, (a, b) in enumerate(places) for r in runs if r[0] == k and r[1] <= a and b <= r[2]}
+        for i in range(len(words) - least + 1):
+            if first.setdefault(tuple(words[i : i + least]), (k, i)) != (k, i):
+                out |= {(k, j) for j in range(i, i + least)}
+    return out
+
+
+def words_of_passages(rows, found):
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, []).append(r)
+    out = set()
+    for k, t in rows:
+        for i, m in enumerate(re.finditer(r"\S+", t or "")):
+            out |= {(k, i) for r in by.get(k, []) if r.start <= m.start() and m.end() <= r.end}
+    return out
+
+
+def test_passages_against_all_windows(spark, docs, messy, empty):
+    r = random.Random(8)
+    made = []
+    for k in range(40):
+        w = prose(r.randint(30, 90), r.randint(0, 12)).split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(["edit.", "Cut", "x"])
+        made.append((k, " ".join([*prose(r.randint(0, 9), 900 + k).split(), *w[r.randint(0, 20) :]])))
+    made += [(50, "again " * 90), (51, "So it goes on.\n" * 30), (None, made[3][1])]
+    for d in (spark.createDataFrame(made, "doc_id long, text string"), docs, messy.dropDuplicates(["doc_id"])):
+        rows = [(x.doc_id, x.text) for x in d.select("doc_id", "text").collect()]
+        found = substring_dedup.passages(d).collect()
+        assert words_of_passages(rows, found) == repeated_words(rows, 25)
+        assert sum(x.words for x in found) == len(repeated_words(rows, 25))
+    assert substring_dedup.passages(empty).count() == 0
+
+
+def test_passage_cut_in_mid_sentence(spark, tmp_path):
+    w = prose(60, 4)
+    d = spark.createDataFrame([(1, f"It begins {w} and goes on."), (2, f"Others say {w} or nothing. End.")], "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(x.doc_id, x.words, x.first_doc_id) for x in queries.op2_substring_dedup(spark, str(tmp_path)).collect()] == [(2, 60, 1)]
+    assert {x.doc_id: x.text for x in substring_dedup.dedup(d).collect()}[2] == "Others say  or nothing. End."
+
+
 @given(st.text(alphabet="ab.@+-12 9(0)4%é\n", max_size=60))
 @settings(max_examples=400, deadline=None)
 def test_base_spans_against_the_patterns(t):

@@ -7,7 +7,15 @@ occurrence of least (doc_id, position) is kept. Neighbouring units of a document
 all occur earlier form a run; runs of at least `min_words` words are removed, and their
 offsets in the original text (code points, end exclusive) are returned.
 
-Only digests and positions are shuffled. A unit that a whole corpus shares is reduced
+`passages` adds what is no run of whole units. Every sequence of `min_words` words that
+occurs earlier, in a document of lesser doc_id or before in the same text, is removed,
+wherever sentences begin or end. In each such window of words the `gram`-word sequence
+of least hash is an anchor, so that two equal windows share one. Windows that have an
+anchor with several occurrences are hashed whole to 64 bits and grouped; those inside
+units that follow each other in the same earlier document too are found by the units.
+
+For the units only digests and positions are shuffled; for the windows the texts are
+joined once to their repeated anchors. A unit that a whole corpus shares is reduced
 to its least doc_id on the map side; where occurrences are joined to that, the engine
 may split a hot digest's partition.
 
@@ -21,22 +29,26 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared_store import staged
-from .text import batches
+from .shared_store import drop, staged
+from .text import batches, mix64
 
 _LAST = (1 << 63) - 1
 #: lines, and sentences in them: a lower-case letter or digit, a full stop, "!" or "?", then a blank
 _CUT = re.compile(r"\n|(?<=[^\W_A-Z][.!?]) +")
+_WORD = re.compile(r"\S+")
+_STEP = np.uint64(0x9E3779B97F4A7C55)
 
 
 @dataclass(frozen=True)
 class DedupParams:
     min_words: int = 25
+    gram: int = 8  # words of an anchor, at most min_words
 
 
 def units(text: str):
@@ -50,26 +62,36 @@ def units(text: str):
         at = m.end() if m else end
 
 
+def _row(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else 0
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    """rank, text and key."""
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.col("text").cast("string").alias("text"))
+    return source.withColumn("key", F.xxhash64("rank", "text"))
+
+
 def unit_table(docs: DataFrame) -> DataFrame:
-    """A row for each unit: rank (doc_id), row (hash of the text), unit, start, end, words, h1, h2, inner (it occurs earlier in its own text)."""
+    """A row for each unit: rank (doc_id), row (hash of the text), unit, start, end, words, h1, h2, inner (it occurs earlier in its own text), at (words before it), key (of rank and text)."""
 
     def run(it):
         for b in batches(it, 4 << 20):
-            out = [[] for _ in range(9)]
-            for key, text in zip(b.column("rank").to_pylist(), b.column("text").to_pylist()):
-                seen = set()
-                row = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else 0
+            out = [[] for _ in range(11)]
+            for key, text, joint in zip(b.column("rank").to_pylist(), b.column("text").to_pylist(), b.column("key").to_pylist()):
+                seen, before = set(), 0
+                row = _row(text)
                 for n, (start, end, norm, words) in enumerate(units(text or "")):
                     d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
-                    values = (key, row, n, start, end, words, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), d in seen)
+                    values = (key, row, n, start, end, words, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), d in seen, before, joint)
                     seen.add(d)
+                    before += words
                     for column, value in zip(out, values):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rank", "row", "unit", "start", "end", "words", "h1", "h2", "inner"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rank", "row", "unit", "start", "end", "words", "h1", "h2", "inner", "at", "key"])
 
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "rank long, row long, unit int, start int, end int, words int, h1 long, h2 long, inner boolean")
+    return _source(docs).mapInArrow(run, "rank long, row long, unit int, start int, end int, words int, h1 long, h2 long, inner boolean, at int, key long")
 
 
 def repeats(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
@@ -103,9 +125,196 @@ def repeats(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     return grouped.mapInArrow(run, "doc_id long, start long, end long, words long, units long, first_doc_id long, text_hash long")
 
 
+class _Words(dict):
+    """Hashes of lower-case words as they are met."""
+
+    def __missing__(self, word):
+        if len(self) >= 1 << 16:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, text.lower().split()), np.uint64)
+
+
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all sequences of n words."""
+    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
+    for i in range(n if len(out) else 0):
+        out *= _STEP
+        out += h[i : i + len(out)]
+    return mix64(out).view(np.int64)
+
+
+def anchors(h: np.ndarray, p: DedupParams) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the sequences of p.gram words that are least in a window of p.min_words words."""
+    g, width = _sequences(h, p.gram), p.min_words - p.gram + 1
+    if len(g) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1) + np.arange(len(g) - width + 1)
+    at = least[np.concatenate(([True], least[1:] != least[:-1]))]
+    return at, g[at]
+
+
+def anchor_table(docs: DataFrame, p: DedupParams) -> DataFrame:
+    """key and h of each anchor; once for each text, or twice if the text has it in several places."""
+
+    def run(it):
+        words = _Words()
+        for b in batches(it, 4 << 20):
+            keys, found = [], []
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                h, n = np.unique(anchors(words.of(text or ""), p)[1], return_counts=True)
+                found += [h, h[n > 1]]
+                keys.append(np.full(len(h) + int((n > 1).sum()), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (keys, found)], ["key", "h"])
+
+    return _source(docs).mapInArrow(run, "key long, h long")
+
+
+def _windows(text: str, shared: np.ndarray, chained: list, words: _Words, p: DedupParams):
+    """Starts and hashes of the windows with a shared anchor that lie in no chained run of words (start, end)."""
+    h = words.of(text)
+    at, g = anchors(h, p)
+    hits = np.zeros(len(h) + 1, np.int64)
+    hits[at[np.isin(g, shared)] + 1] = 1
+    hits = np.cumsum(hits)
+    n, width = max(len(h) - p.min_words + 1, 0), p.min_words - p.gram + 1
+    wanted = hits[width : width + n] > hits[:n]
+    for a, b in chained:
+        wanted[a : max(b - p.min_words + 1, a)] = False
+    start = np.flatnonzero(wanted)
+    return start, _sequences(h, p.min_words)[start] if len(start) else start
+
+
+def window_table(docs: DataFrame, later: DataFrame, table: DataFrame, p: DedupParams) -> DataFrame:
+    """A row for each window that may occur elsewhere: rank, row, at (words before it), start, end, h, inner. later: key and chained, as of later_units; table: as of anchor_table."""
+    shared = table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    mine = table.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("shared"))
+    runs = later.where(F.size("chained") > 0).groupBy("key").agg(F.max("chained").alias("chained"))
+    source = _source(docs).join(mine, "key").join(runs, "key", "left")
+
+    def run(it):
+        words = _Words()
+        kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, bool]
+        for b in batches(it, 4 << 20):
+            out = [[np.zeros(0, k)] for k in kinds]
+            hits = _lists(b.column("shared"))
+            for rank, text, shared, chained in zip(b.column("rank").to_pylist(), b.column("text").to_pylist(), hits, b.column("chained").to_pylist()):
+                at, h = _windows(text, shared, [(x["start"], x["end"]) for x in chained or []], words, p)
+                if not len(at):
+                    continue
+                place = np.array([m.span() for m in _WORD.finditer(text)], np.int32)
+                inner = np.ones(len(h), bool)
+                inner[np.unique(h, return_index=True)[1]] = False
+                columns = (np.full(len(h), rank), np.full(len(h), _row(text)), at, place[at, 0], place[at + p.min_words - 1, 1], h, inner)
+                for column, values, k in zip(out, columns, kinds):
+                    column.append(values.astype(k, copy=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["rank", "row", "at", "start", "end", "h", "inner"])
+
+    return source.select("rank", "text", "shared", "chained").mapInArrow(run, "rank long, row long, at int, start int, end int, h long, inner boolean")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The numbers of each list of a column, nulls as empty lists."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def _chained(found: list[dict]) -> list[tuple[int, int]]:
+    """Runs of words (start, end) whose units also follow each other in one earlier text."""
+    out, last = [], None
+    for x in found:
+        joined = last and x["unit"] == last["unit"] + 1 and x["source"] and last["source"] and (x["source"]["rank"], x["source"]["row"], x["source"]["unit"] - 1) == (last["source"]["rank"], last["source"]["row"], last["source"]["unit"])
+        if joined:
+            out[-1] = (out[-1][0], x["at"] + x["words"])
+        elif x["source"]:
+            out.append((x["at"], x["at"] + x["words"]))
+        last = x
+    return out
+
+
+def passages(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
+    """A row for each removed passage, as repeats gives them: runs of units, and whatever else lies in repeated windows of min_words words, joined where they touch. units: the repeated whole units in it, in runs that are long enough; first_doc_id: the least document that has the passage's first unit or window."""
+    table = staged(unit_table(docs))
+    outer = table.where(~F.col("inner"))
+    first = outer.groupBy("h1", "h2").agg(F.min(F.struct("rank", "row", "unit")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
+    columns = ["key", "rank", "row", "unit", "at", "start", "end", "words"]
+    found = outer.join(first, ["h1", "h2"]).where(F.col("rank") > F.col("source.rank")).select(*columns, F.col("source.rank").alias("first"), "source")
+    nothing = F.lit(None).cast("struct<rank:bigint,row:bigint,unit:int>")
+    both = found.unionByName(table.where("inner").select(*columns, F.col("rank").alias("first"), nothing.alias("source")))
+    later = staged(later_units(both.groupBy("key", "rank", "row").agg(F.array_sort(F.collect_set(F.struct("unit", "at", "start", "end", "words", "first", "source"))).alias("u")), p))
+    drop(table)
+    table = staged(anchor_table(docs, p))
+    windows = staged(window_table(docs, later, table, p))
+    drop(table)
+    once = windows.where(~F.col("inner"))
+    least = once.groupBy("h").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    columns = ["rank", "row", "at", "start", "end"]
+    again = once.join(least, "h").where(F.col("rank") > F.col("first")).select(*columns, "first")
+    again = again.unionByName(windows.where("inner").select(*columns, F.col("rank").alias("first")))
+    pieces = again.groupBy("rank", "row").agg(*(F.collect_list(c).alias(c) for c in ("at", "start", "end", "first")))
+    joined = later.select("rank", "row", "runs").join(pieces, ["rank", "row"], "full")
+
+    def run(it):
+        for b in it:
+            out = [[] for _ in range(7)]
+            pieces = zip(*(_lists(b.column(c)) for c in ("at", "start", "end", "first")))
+            for rank, row, runs, (at, start, end, first) in zip(*(b.column(c).to_pylist() for c in ("rank", "row", "runs")), pieces):
+                order = np.lexsort((first, at))
+                at, start, end, first = at[order], start[order], end[order], first[order]
+                cut = np.flatnonzero(np.diff(at) > p.min_words) + 1
+                a, z = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
+                spans = [(int(at[i]), int(at[j]) + p.min_words, int(start[i]), int(end[j]), 0, int(first[i])) for i, j in zip(a, z)] if len(at) else []
+                spans += [(x["at"], x["to"], x["start"], x["end"], x["units"], x["first"]) for x in runs or []]
+                made = []
+                for s in sorted(spans):
+                    if made and s[0] <= made[-1][1]:
+                        m = made[-1]
+                        made[-1] = (m[0], max(m[1], s[1]), min(m[2], s[2]), max(m[3], s[3]), m[4] + s[4], min(m[5], s[5]) if s[0] == m[0] else m[5])
+                    else:
+                        made.append(s)
+                for at, to, start, end, units, least in made:
+                    values = (None if rank == _LAST else rank, start, end, to - at, units, None if least == _LAST else least, row)
+                    for column, value in zip(out, values):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "end", "words", "units", "first_doc_id", "text_hash"])
+
+    return joined.mapInArrow(run, "doc_id long, start long, end long, words long, units long, first_doc_id long, text_hash long")
+
+
+def later_units(grouped: DataFrame, p: DedupParams) -> DataFrame:
+    """key, rank, row, runs (those of min_words words), chained (runs of words that one earlier text has) from a text's units u that occur earlier."""
+    schema = "key long, rank long, row long, runs array<struct<at:int,to:int,start:int,end:int,units:int,first:long>>, chained array<struct<start:int,end:int>>"
+    piece = pa.list_(pa.struct([(c, pa.int64() if c == "first" else pa.int32()) for c in ("at", "to", "start", "end", "units", "first")]))
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(it):
+        for b in it:
+            runs, chained = [], []
+            for found in b.column("u").to_pylist():
+                long = [r for r in _runs(found) if sum(x["words"] for x in r) >= p.min_words]
+                runs.append([{"at": r[0]["at"], "to": r[-1]["at"] + r[-1]["words"], "start": r[0]["start"], "end": r[-1]["end"], "units": len(r), "first": r[0]["first"]} for r in long])
+                chained.append([{"start": i, "end": j} for i, j in _chained(found) if j - i >= p.min_words])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "rank", "row")), pa.array(runs, piece), pa.array(chained, span)], ["key", "rank", "row", "runs", "chained"])
+
+    return grouped.select("key", "rank", "row", "u").mapInArrow(run, schema)
+
+
+def _runs(found: list[dict]) -> list[list[dict]]:
+    out = []
+    for x in found:
+        if out and x["unit"] == out[-1][-1]["unit"] + 1:
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
+
+
 def dedup(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     """The documents with repeated runs cut out of their texts, and a column removed (array of start, end)."""
-    cuts = repeats(docs, p).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    cuts = passages(docs, p).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     names = [c for c in docs.columns if c != "removed"]
     joined = docs.select(names).join(cuts.withColumnRenamed("doc_id", "_cut_id"), F.col("doc_id").eqNullSafe(F.col("_cut_id")), "left").drop("_cut_id")
     gap = F.transform(F.sequence(F.lit(0), F.size("removed")), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("removed"), i - 1)["end"]).alias("a"), F.coalesce(F.get(F.col("removed"), i)["start"], F.length("text").cast("long")).alias("b")))
