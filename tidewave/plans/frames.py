@@ -41,6 +41,12 @@ def ones(m):
     return ((int(i), int(j)) for i, j in zip(*np.nonzero(m)))
 
 
+def _halves_path(m):
+    """The path between the first half of the frames and the second; a single frame has none."""
+    half = len(m) // 2
+    return sequence.dtw_path(sequence.dtw(sequence.pairwise(m[:half], m[half:]), 6, True)) if half else []
+
+
 FR = """e AS (SELECT label AS signal_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT signal_id, i, unnest(range(0, 64)) AS k, unnest(v) AS x FROM e)"""
 DIST = f"{FR}, d AS (SELECT a.signal_id, a.i, b.i AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM c a JOIN c b ON a.signal_id = b.signal_id AND a.k = b.k GROUP BY 1, 2, 3)"
@@ -66,7 +72,7 @@ add("dtw", over(lambda m: [(float(sequence.dtw(sequence.pairwise(m[:20], m[20:40
 w(signal_id, s, row1, row2) AS (SELECT signal_id, CAST(0 AS BIGINT), map([CAST(0 AS BIGINT)], [d]), map([CAST(-1 AS BIGINT)], [CAST('inf' AS DOUBLE)]) FROM cost WHERE i = 0 AND j = 0
  UNION ALL SELECT w.signal_id, any_value(w.s) + 1, map_from_entries(list((cost.i, d + least(coalesce(row2[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i], CAST('inf' AS DOUBLE)))))), any_value(row1) FROM w JOIN cost ON cost.signal_id = w.signal_id AND cost.i + cost.j = w.s + 1 WHERE w.s < 38 GROUP BY w.signal_id)
 SELECT {ID}, {R('row1[19]')} AS cost FROM w WHERE s = 38""")
-add("dtw_path", over(lambda m: sequence.dtw_path(sequence.dtw(sequence.pairwise(m[:20], m[20:40]), 6, True)), "i bigint, j bigint"))
+add("dtw_path", over(lambda m: _halves_path(m), "i bigint, j bigint"))
 add("agglomerative", over(lambda m: ((int(b),) for b in segment.agglomerative(m, 6)), "boundary bigint"))
 add("agglomerative_labels", over(lambda m: ((i, int(x)) for i, x in enumerate(segment.labels_of(segment.agglomerative(m, 6), len(m)))), "i bigint, segment bigint"))
 add("subsegment", over(lambda m: ((int(b),) for b in segment.subsegment(segment.agglomerative(m, 6), 3)), "boundary bigint"))
