@@ -5,6 +5,7 @@ from conftest import SF
 
 from tidewave.operators import sequence
 from tidewave.plans import catalog
+from tidewave.sources import signals
 
 
 def test_dtw_path(spark, tmp_path):
@@ -31,3 +32,32 @@ def test_dtw_path(spark, tmp_path):
             i, j = min(((a, b) for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a >= 0 and b >= 0), key=lambda s: cheapest(c, *s))
             want.append((i, j))
         assert sorted(path) == sorted(want) and (c.shape[0] - 1, c.shape[1] - 1) in path
+
+
+def samples(spark):
+    return {r.signal_id: np.array(r.samples) for r in signals.event_signals(spark, SF).collect()}
+
+
+def test_decoders(spark):
+    by = {n: {} for n in ("forward_backward", "crf_marginals")}
+    for n, found in by.items():
+        for r in catalog.QUERIES[n](spark, SF).collect():
+            found.setdefault(r.signal_id, {})[r.idx] = r.p
+    z = {r.signal_id: r.z for r in catalog.QUERIES["crf_log_partition"](spark, SF).collect()}
+    t = np.array([[0.9, 0.1], [0.1, 0.9]])
+    for k, y in samples(spark).items():
+        p = np.clip(y / 4, 0.001, 0.999)
+        o = np.stack([1 - p, p], axis=1)
+        a, log = np.ones((len(o), 2)), 0.0
+        for i in range(len(o)):
+            a[i] = o[i] * (a[i - 1] @ t if i else 1)
+            log += np.log(a[i].sum())
+            a[i] /= a[i].sum()
+        b = np.ones((len(o), 2))
+        for i in range(len(o) - 2, -1, -1):
+            b[i] = t @ (o[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        want = (a * b)[:, 1] / (a * b).sum(axis=1)
+        assert np.isclose(z[k], log)
+        for found in by.values():
+            assert np.allclose([found[k][i] for i in range(len(y))], want, atol=1e-6) and len(found[k]) == len(y)

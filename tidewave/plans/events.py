@@ -111,18 +111,23 @@ f(signal_id, idx, s0, s1, b0, b1) AS (SELECT signal_id, idx, ln(CAST(0.5 AS DOUB
 b(signal_id, idx, st) AS (SELECT signal_id, idx, CASE WHEN s1 > s0 THEN 1 ELSE 0 END FROM f WHERE idx = 199 UNION ALL SELECT b.signal_id, b.idx - 1, CASE WHEN b.st = 1 THEN f.b1 ELSE f.b0 END FROM b JOIN f ON f.signal_id = b.signal_id AND f.idx = b.idx WHERE b.idx > 0)"""
 
 
-def _two(y):
-    p = np.clip(y[:200] / 4, 0.001, 0.999)
+def _whole(y):
+    p = np.clip(y / 4, 0.001, 0.999)
     return np.stack([1 - p, p], axis=1)
 
 
+def _two(y):
+    """As VIT has it: the first 200 samples."""
+    return _whole(y[:200])
+
+
 add("viterbi", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi(_two(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
 add("viterbi_binary", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi_binary(_two(y)[:, 1], 0.9)[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
 add("viterbi_discriminative", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi_discriminative(_two(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
 _T = np.log(sequence.transition_loop(2, 0.9))
-add("forward_backward", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.posteriors(np.log(_two(y)), np.log([0.5, 0.5]), _T)[:, 1])), "idx bigint, p double"))
-add("crf_marginals", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.crf_marginals(np.log(_two(y)), _T)[:, 1])), "idx bigint, p double"))
-add("crf_log_partition", events(lambda y: [(sequence.crf_log_partition(np.log(_two(y)), _T),)], "z double"))
+add("forward_backward", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.posteriors(np.log(_whole(y)), np.log([0.5, 0.5]), _T)[:, 1])), "idx bigint, p double"))
+add("crf_marginals", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.crf_marginals(np.log(_whole(y)), _T)[:, 1])), "idx bigint, p double"))
+add("crf_log_partition", events(lambda y: [(sequence.crf_log_partition(np.log(_whole(y)), _T),)], "z double"))
 add("chord_detect_runs", events(lambda y: harmony.chord_detect(spectral.power(y, 64, 8, None, False)[:, :25] + 1e-9), "start bigint, stop bigint, label string"))
 add("matrix_product", lambda s, d: tidy(by_frame(sig(s, d), lambda y, sr: S(y) @ spectra.MEL.T), bin_name="band"), f"WITH {SPEC} SELECT signal_id, frame, band, {R('sum(w * m)')} AS v FROM spec JOIN {spectra.values(spectra.MEL)} fb USING (bin) GROUP BY 1, 2, 3")
 add("conv1d", events(lambda y: enumerate(np.correlate(y, [0.25, 0.5, 0.25], "valid")), "idx bigint, v double"), f"WITH {SIG}, c AS (SELECT signal_id, idx, 0.25 * y + 0.5 * lead(y) OVER o + 0.25 * lead(y, 2) OVER o AS v FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx)) SELECT signal_id, idx, {R('v')} AS v FROM c WHERE v IS NOT NULL")
