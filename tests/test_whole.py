@@ -1,7 +1,9 @@
 """Queries use the whole of their signals and matrices."""
 
 import numpy as np
+import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from tidewave.operators import sequence
 from tidewave.plans import catalog
@@ -61,3 +63,9 @@ def test_decoders(spark):
         assert np.isclose(z[k], log)
         for found in by.values():
             assert np.allclose([found[k][i] for i in range(len(y))], want, atol=1e-6) and len(found[k]) == len(y)
+
+
+@pytest.mark.parametrize("name,bands", [("pitch_shift", 1), ("semitone_filterbank", 13)])
+def test_effects(spark, name, bands):
+    found = {r.signal_id: r.n for r in catalog.QUERIES[name](spark, SF).groupBy("signal_id").agg(F.count("*").alias("n")).collect()}
+    assert found == {k: bands * len(y) for k, y in samples(spark).items()}

@@ -83,11 +83,11 @@ hp AS (SELECT signal_id, frame, bin, h.w[len(h.w) // 2 + 1] AS h, p.w[len(p.w) /
 add("hpss_masks", events(lambda y: ((t, k, float(a), float(b)) for t, (x, z) in enumerate(zip(*effects.hpss_masks(S(y), 5))) for k, (a, b) in enumerate(zip(x, z))), "frame bigint, bin bigint, harmonic double, percussive double"), f"WITH {MASK} SELECT signal_id, frame, bin, {R('h * h / (h * h + p * p + 1e-10)')} AS harmonic, {R('p * p / (h * h + p * p + 1e-10)')} AS percussive FROM hp")
 add("hpss", events(lambda y: ((i, a, b) for i, (a, b) in enumerate(zip(*effects.hpss(y, SIZE, HOP, 5)))), "idx bigint, harmonic double, percussive double"))
 add("time_stretch", events(lambda y: enumerate(effects.time_stretch(y, 1.25, SIZE, HOP)), "idx bigint, v double"))
-add("pitch_shift", events(lambda y: enumerate(effects.pitch_shift(y[:256], 64.0, 2)), "idx bigint, v double"))
+add("pitch_shift", events(lambda y: enumerate(effects.pitch_shift(y, 64.0, 2)), "idx bigint, v double"))
 add("trim", events(lambda y: [effects.trim(y, HALF_DB, SIZE, HOP)], "start bigint, stop bigint"), f"WITH {RMS} SELECT signal_id, min(frame) * {HOP} AS start, least(720, max(frame) * {HOP} + {SIZE}) AS stop FROM l WHERE loud GROUP BY 1")
 add("split", events(lambda y: effects.split(y, HALF_DB, SIZE, HOP), "start bigint, stop bigint"), f"WITH {RMS}, g AS (SELECT signal_id, frame, frame - row_number() OVER (PARTITION BY signal_id ORDER BY frame) AS g FROM l WHERE loud) SELECT signal_id, min(frame) * {HOP} AS start, least(720, max(frame) * {HOP} + {SIZE}) AS stop FROM g GROUP BY signal_id, g")
 add("biquad_cascade", events(lambda y: enumerate(effects.biquad_cascade(y, banks.semitone_biquads(4.0, SR))), "idx bigint, v double"))
-add("semitone_filterbank", events(lambda y: ((k, i, float(v)) for k, r in enumerate(effects.semitone_filterbank(y[:200], 8000.0, 60, 72)) for i, v in enumerate(r)), "midi bigint, idx bigint, v double"))
+add("semitone_filterbank", events(lambda y: ((k, i, float(v)) for k, r in enumerate(effects.semitone_filterbank(y, 8000.0, 60, 72)) for i, v in enumerate(r)), "midi bigint, idx bigint, v double"))
 # --- runs and decoding
 ACT = f"{SIG}, lab AS (SELECT signal_id, idx, CASE WHEN y >= 1 THEN 1 ELSE 0 END AS k FROM sig)"
 RLE = "c AS (SELECT signal_id, idx, k, CASE WHEN k = lag(k) OVER (PARTITION BY signal_id ORDER BY idx) THEN 0 ELSE 1 END AS c FROM lab), g AS (SELECT signal_id, idx, k, sum(c) OVER (PARTITION BY signal_id ORDER BY idx) AS g FROM c)"
