@@ -434,6 +434,36 @@ def test_cross_parsing_against_search():
                 assert got[k] == longest_phrases(t, train[lang][0], p.block)
 
 
+def test_every_script_and_language(spark):
+    r = random.Random(7)
+    scripts = {"latin": range(97, 123), "cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "han": range(0x4E00, 0x4E00 + 400)}
+    rows, k = [], 0
+    for lang, span in {**scripts, **{f"l{i}": range(0x5000 + 40 * i, 0x5000 + 40 * i + 30) for i in range(70)}}.items():
+        words = ["".join(chr(r.choice(span)) for _ in range(r.randint(2, 6))) for _ in range(60)]
+        for _ in range(12):
+            rows.append((k, " ".join(r.choice(words) for _ in range(40)), lang))
+            k += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {i: lang for i, _, lang in rows}
+    assert all(truth[x.doc_id] == x.lang_pred for x in langid.language_id(d).collect())
+
+
+@pytest.mark.parametrize("alphabet,size", [(0, 1 << 20), (2, 1 << 20), (96, 100)])
+def test_cross_parsing_with_searched_letters(alphabet, size):
+    train = {"x": ["abcabd cab bad dab"], "y": ["zzzy yzz zxy xyz \u4e00\u4e01"]}
+    p = langid.LangParams(block=8, alphabet=alphabet, table_bytes=size)
+    m = langid.build(train, p)
+    r = random.Random(2)
+    for _ in range(100):
+        t = "".join(r.choice("abcdxyz \u4e00\u4e02") for _ in range(r.randint(1, 40)))
+        got = langid.phrases([t], m, langid._symbols(m.chars), p.block)[0]
+        want = langid.phrases([t], langid.build(train, langid.LangParams(block=8)), langid._symbols(m.chars), p.block)[0]
+        assert list(got) == list(want)
+        for k, lang in enumerate(m.langs):
+            if set(t) <= set(train[lang][0]):
+                assert got[k] == longest_phrases(t, train[lang][0], p.block)
+
+
 def test_oracles(spark):
     import duckdb
 

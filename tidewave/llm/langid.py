@@ -8,7 +8,9 @@ least estimated cross entropy; on ties the language first in order.
 
 Texts are parsed whole, in blocks of `block` characters that each begin a new
 phrase, many blocks at a time: one step moves all blocks by one character through
-one table of transitions. Characters other than letters count as spaces.
+a language's table of transitions. The table has columns for the language's most
+frequent letters; transitions by its other letters are found by binary search.
+Characters other than letters count as spaces.
 
 Edge cases: a null text and one without any letter gets `und` and score 0; so does
 every text if nothing can be learned. A null doc_id counts as held out. Repeated
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +38,27 @@ PAD, OTHER, SPACE = 0, 1, 2
 class LangParams:
     docs_per_lang: int = 64  # documents of a language to learn from, at most
     chars_per_doc: int = 400  # leading characters of each of them, at most
-    max_langs: int = 64  # the most frequent languages
-    alphabet: int = 96  # most frequent characters, the rest never match
+    alphabet: int = 96  # letters of a language with a column in its table, at most; the rest are searched
     block: int = 256
+    table_bytes: int = 256 << 20  # of all tables, about; with many languages fewer letters have columns
+
+
+@dataclass(frozen=True)
+class Automaton:
+    column: np.ndarray  # column of each symbol
+    rare: np.ndarray  # number of each symbol without a column, or -1
+    width: int
+    table: np.ndarray  # at state + column: 2 * next state + whether a phrase ended; the start is 0
+    keys: np.ndarray  # state * rare letters + number, in order
+    after: np.ndarray  # 2 * next state of each key
+    restart: np.ndarray  # of each rare letter: as in table, where no transition is found
 
 
 @dataclass(frozen=True)
 class LangModel:
     langs: list[str]
     chars: str  # character of symbol 3 + i
-    roots: np.ndarray  # start state of each language, as an index into table
-    table: np.ndarray  # at state + symbol: 2 * next state + whether a phrase ended
+    automata: list[Automaton]
     cost: np.ndarray  # bits for each phrase
 
 
@@ -86,37 +99,42 @@ def build(texts: dict[str, list[str]], p: LangParams) -> LangModel:
     """texts: training texts by language."""
     langs = sorted(k for k, v in texts.items() if any(_LETTER.search(t) for t in v))
     joined = {k: " ".join(map(_letters, texts[k])) for k in langs}
-    counts: dict[str, int] = {}
-    for t in joined.values():
-        for c in t:
-            counts[c] = counts.get(c, 0) + 1
-    counts.pop(" ", None)
-    chars = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[: p.alphabet]))
+    chars = "".join(sorted(set().union(*joined.values()) - {" "}))
     symbol = {c: 3 + i for i, c in enumerate(chars)} | {" ": SPACE}
-    width, roots, parts, cost, base = 3 + len(chars), [], [], [], 0
-    for k in langs:
-        seq = [symbol.get(c, OTHER) for c in joined[k]]
-        trans = suffix_automaton(seq)
-        t = np.full((len(trans), width), -1, np.int64)
-        for s, row in enumerate(trans):
-            for c, to in row.items():
-                t[s, c] = to
-        t[:, OTHER] = -1
-        restart = np.where(t[0] >= 0, t[0], 0)
-        full = np.where(t >= 0, (base + t * width) * 2, (base + restart * width) * 2 + 1)
-        full[:, PAD] = base * 2
-        roots.append(base)
-        parts.append(full.astype(np.int32).ravel())
-        cost.append(np.log2(max(len(seq), 2)))
-        base += len(trans) * width
-    return LangModel(langs, chars, np.array(roots, np.int32), np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(cost))
+    made = [_automaton([symbol[c] for c in joined[k]], 3 + len(chars), p.alphabet, p.table_bytes // len(langs)) for k in langs]
+    return LangModel(langs, chars, made, np.array([np.log2(max(len(joined[k]), 2)) for k in langs]))
+
+
+def _automaton(seq: list[int], symbols: int, most: int, size: int) -> Automaton:
+    trans = suffix_automaton(seq)
+    found, n = np.unique([c for c in seq if c != SPACE], return_counts=True)
+    found = found[np.lexsort((found, -n))]
+    few = max(0, min(most, len(found), size // (4 * len(trans)) - 3))
+    width, rest = 3 + few, max(1, len(found) - few)
+    column, rare = np.full(symbols, OTHER, np.int32), np.full(symbols, -1, np.int64)
+    column[[PAD, SPACE]] = PAD, SPACE
+    column[found[:few]] = np.arange(3, width)
+    rare[found[few:]] = np.arange(len(found) - few)
+    t, keys = np.full((len(trans), width), -1, np.int64), {}
+    for s, row in enumerate(trans):
+        for c, to in row.items():
+            if rare[c] < 0:
+                t[s, column[c]] = to
+            else:
+                keys[s * width * rest + int(rare[c])] = to * width * 2
+    full = np.where(t >= 0, t * width * 2, np.where(t[0] >= 0, t[0], 0) * width * 2 + 1)
+    full[:, PAD] = 0
+    order = sorted(keys)
+    return Automaton(column, rare, width, full.astype(np.int32).ravel(), np.array(order, np.int64), np.array([keys[k] for k in order], np.int32), np.array([keys[r] + 1 for r in range(len(found) - few)], np.int32))
+
+
+@cache
+def _spaces() -> np.ndarray:
+    return np.array([not chr(c).isalpha() for c in range(0x110000)])
 
 
 def _symbols(chars: str) -> np.ndarray:
-    lut = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x3000):  # beyond, everything but a learned letter is OTHER
-        if not chr(c).isalpha():
-            lut[c] = SPACE
+    lut = np.where(_spaces(), SPACE, OTHER).astype(np.min_scalar_type(3 + len(chars)))
     for i, c in enumerate(chars):
         lut[ord(c)] = 3 + i
         if len(c.upper()) == 1:
@@ -130,20 +148,32 @@ def phrases(texts: list[str], model: LangModel, lut: np.ndarray, block: int) ->
     n_blocks = -(-sizes // block)
     first = np.concatenate(([0], np.cumsum(n_blocks)))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lanes = np.zeros(first[-1] * block, np.uint8)
+    lanes = np.zeros(first[-1] * block, lut.dtype)
     start = np.concatenate(([0], np.cumsum(sizes)))
     lanes[np.arange(len(codes)) + np.repeat(first[:-1] * block - start[:-1], sizes)] = lut[codes]
     steps = np.ascontiguousarray(lanes.reshape(-1, block).T)
-    state = np.repeat(model.roots[:, None], first[-1], axis=1)
-    ended = np.zeros(state.shape, np.int32)
-    for row in steps:
-        state = model.table.take(state + row)
-        ended += state & 1
-        state >>= 1
-    total = np.concatenate((np.zeros((len(model.langs), 1), np.int64), np.cumsum(ended, axis=1)), axis=1)
+    out = [_ended(steps, a) for a in model.automata]
+    total = np.concatenate((np.zeros((len(out), 1), np.int64), np.cumsum(out, axis=1)), axis=1)
     return (total[:, first[1:]] - total[:, first[:-1]]).T + n_blocks[:, None]
 
 
+def _ended(steps: np.ndarray, a: Automaton) -> np.ndarray:
+    """Ended phrases of each lane."""
+    state, ended, n = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32), len(a.restart)
+    for row in steps:
+        after = a.table.take(state + a.column.take(row))
+        if n:
+            number = a.rare.take(row)
+            at = np.flatnonzero(number >= 0)
+            number = number[at]
+            key = state[at].astype(np.int64) * n + number
+            found = np.minimum(np.searchsorted(a.keys, key), len(a.keys) - 1)
+            after[at] = np.where(a.keys[found] == key, a.after[found], a.restart[number])
+        ended += after & 1
+        state = after >> 1
+    return ended
+
+
 def predict_texts(texts: list[str | None], model: LangModel, lut: np.ndarray, p: LangParams) -> tuple[list[str], list[float]]:
     known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model.langs else []
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -158,24 +188,20 @@ def predict_texts(texts: list[str | None], model: LangModel, lut: np.ndarray, p:
 
 
 def fit(docs: DataFrame, p: LangParams = LangParams()) -> LangModel:
-    """Learns from a bounded sample of the documents with a lang whose fold is not 2.
+    """Learns every language, from a bounded sample of its documents whose fold is not 2.
 
     Within a language, the document of least hash in each of docs_per_lang hash
     buckets is taken; only ids and languages are read for that.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang")
     h = F.xxhash64("doc_id")
-    picked = usable.groupBy("lang", F.pmod(h, F.lit(p.docs_per_lang)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("m"), F.count("*").alias("n"))
-    rows = [(r.lang, r.m.doc_id, r.n) for r in picked.orderBy(F.desc("n")).limit(p.docs_per_lang * p.max_langs * 2).collect()]
-    size: dict[str, int] = {}
-    for lang, _, n in rows:
-        size[lang] = size.get(lang, 0) + n
-    kept = set(sorted(size, key=lambda k: (-size[k], k))[: p.max_langs])
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i, k) for k, i, _ in rows if k in kept], "doc_id long, lang string")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", 1, p.chars_per_doc).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
+    picked = usable.groupBy("lang", F.pmod(h, F.lit(p.docs_per_lang)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("m"))
+    rows = [(r.m.doc_id, r.lang) for r in picked.collect()]
+    ids = docs.sparkSession.createDataFrame(rows, "doc_id long, lang string")
+    part = F.substring("text", 1, p.chars_per_doc)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", part.alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
     texts: dict[str, list[str]] = {}
-    for r in sorted(found.orderBy("doc_id", "lang", "text").limit(2 * p.docs_per_lang * p.max_langs).collect(), key=lambda r: (r.lang, r.doc_id, r.text or "")):
+    for r in sorted(found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
         texts.setdefault(r.lang, []).append(r.text or "")
     return build(texts, p)
 
