@@ -464,6 +464,16 @@ def test_cross_parsing_with_searched_letters(alphabet, size):
                 assert got[k] == longest_phrases(t, train[lang][0], p.block)
 
 
+def test_languages_that_share_their_beginnings(spark):
+    r = random.Random(9)
+    head, words = "the same header " * 30, {"a": "kivo tamu leri", "b": "zhun gwep drox"}
+    rows = [(k, head + " ".join(r.choice(words[lang].split()) for _ in range(600)), lang) for k, lang in enumerate("ab" * 60)]
+    rows += [(1000 + k, " ".join(words[lang].split() * 20), lang) for k, lang in enumerate("ab")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d.where("doc_id < 1000"))
+    assert {x.doc_id: x.lang_pred for x in langid.language_id(d, model=model).where("doc_id >= 1000").collect()} == {1000: "a", 1001: "b"}
+
+
 def test_oracles(spark):
     import duckdb
 

@@ -37,7 +37,7 @@ PAD, OTHER, SPACE = 0, 1, 2
 @dataclass(frozen=True)
 class LangParams:
     docs_per_lang: int = 64  # documents of a language to learn from, at most
-    chars_per_doc: int = 400  # leading characters of each of them, at most
+    chars_per_doc: int = 400  # of each of them, at most, from a hashed offset on
     alphabet: int = 96  # letters of a language with a column in its table, at most; the rest are searched
     block: int = 256
     table_bytes: int = 256 << 20  # of all tables, about; with many languages fewer letters have columns
@@ -191,14 +191,16 @@ def fit(docs: DataFrame, p: LangParams = LangParams()) -> LangModel:
     """Learns every language, from a bounded sample of its documents whose fold is not 2.
 
     Within a language, the document of least hash in each of docs_per_lang hash
-    buckets is taken; only ids and languages are read for that.
+    buckets is taken; only ids and languages are read for that. Of each, an excerpt
+    at a hashed offset anywhere in the text is learned.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang")
     h = F.xxhash64("doc_id")
     picked = usable.groupBy("lang", F.pmod(h, F.lit(p.docs_per_lang)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("m"))
     rows = [(r.m.doc_id, r.lang) for r in picked.collect()]
     ids = docs.sparkSession.createDataFrame(rows, "doc_id long, lang string")
-    part = F.substring("text", 1, p.chars_per_doc)
+    last = F.greatest(F.length("text") - p.chars_per_doc, F.lit(0))
+    part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), last + 1).cast("int") + 1, p.chars_per_doc)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", part.alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
     texts: dict[str, list[str]] = {}
     for r in sorted(found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
