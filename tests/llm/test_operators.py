@@ -124,56 +124,66 @@ def test_digest_collisions(tmp_path):
     assert a.contains(["k1", "k2", "k3", "k4"], lambda _: 0).tolist() == [True, True, True, False]
 
 
-def repeats_by_brute_force(rows, least):
-    """rows: (doc_id, text) with distinct doc_ids."""
-    last = (1 << 63) - 1
-    first = {}
-    for key, t in sorted(((k if k is not None else last), t) for k, t in rows if t):
-        for s, e, norm, n in substring_dedup.units(t):
-            first.setdefault(norm, (key, s))
-    out = set()
-    for k, t in rows:
-        key, run = (k if k is not None else last), []
-        found = list(substring_dedup.units(t)) if t else []
+LAST = (1 << 63) - 1
+
+
+def plain_units(t, p):
+    """(first word, number of words) of each unit, and all words, by loops."""
+    words = t.lower().split()
+    h, _ = text.word_hashes(pa.array([" ".join(words)]), text.NOT_SPACE)
+    pair = text.mix64(h * np.uint64(0x9E3779B97F4A7C55) + np.append(h[1:], np.uint64(0))).tolist() if words else []
+    lines = [0]
+    for line in t.split("\n"):
+        lines.append(lines[-1] + len(line.split()))
+    begin = [0] if words else []
+    for i in range(1, len(words)):
+        least = all(pair[i] < x for x in pair[max(0, i - p.radius) : i]) and all(pair[i] <= x for x in pair[i + 1 : i + p.radius + 1])
+        if least or i in lines or i - begin[-1] == p.longest:
+            begin.append(i)
+    return [(i, j - i) for i, j in zip(begin, [*begin[1:], len(words)])], words
+
+
+def passages_by_brute_force(rows, p):
+    """(doc_id, start, end, words, first_doc_id) of removed passages; rows have distinct doc_ids."""
+    keyed = {(k if k is not None else LAST): t for k, t in rows if t}
+    made = {k: plain_units(t, p) for k, t in keyed.items()}
+    first, out = {}, set()
+    for k in sorted(made):
+        for at, n in made[k][0]:
+            first.setdefault(tuple(made[k][1][at : at + n]), (k, at))
+    for k, (found, words) in made.items():
+        spans, run = [], []
         for u in [*found, None]:
-            if u and first[u[2]] != (key, u[0]):
-                run.append(u)
+            if u and first[tuple(words[u[0] : u[0] + u[1]])] != (k, u[0]):
+                run.append((*u, *first[tuple(words[u[0] : u[0] + u[1]])]))
                 continue
-            if run and sum(x[3] for x in run) >= least:
-                out.add((k, run[0][0], run[-1][1]))
+            if run and run[-1][0] + run[-1][1] - run[0][0] > p.radius:
+                lo, hi, least, most = run[0][0], run[-1][0] + run[-1][1], run[0][0], run[-1][0] + run[-1][1]
+                for at, _, source, s_at in run:
+                    theirs, x, y = made[source][1], lo, hi
+                    while x > max(0, lo - 2 * p.longest) and 0 < x + s_at - at <= len(theirs) and words[x - 1] == theirs[x - 1 + s_at - at]:
+                        x -= 1
+                    while y < min(len(words), hi + 2 * p.longest) and 0 <= y + s_at - at < len(theirs) and words[y] == theirs[y + s_at - at]:
+                        y += 1
+                    least, most = min(least, x), max(most, y)
+                spans.append((least, most, run[0][2]))
             run = []
+        joined = []
+        for x, y, source in sorted(spans):
+            if joined and x <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(y, joined[-1][1]), joined[-1][2])
+            else:
+                joined.append((x, y, source))
+        places = [m.span() for m in re.finditer(r"\S+", keyed[k])]
+        out |= {(None if k == LAST else k, places[x][0], places[y - 1][1], y - x, None if s == LAST else s) for x, y, s in joined if y - x >= p.min_words}
     return out
 
 
-def test_substring_dedup(spark, docs, messy, empty):
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = {(r.doc_id, r.start, r.end) for r in substring_dedup.repeats(docs).collect()}
-    assert got == repeats_by_brute_force(rows, 25)
-    distinct = messy.dropDuplicates(["doc_id"])
-    rows = [(r.doc_id, r.text) for r in distinct.collect()]
-    assert {(r.doc_id, r.start, r.end) for r in substring_dedup.repeats(distinct).collect()} == repeats_by_brute_force(rows, 25)
-    assert {r.doc_id for r in substring_dedup.repeats(messy).collect()} >= {2, 3}
-    assert substring_dedup.repeats(empty).count() == 0
-
-
-def test_substring_dedup_inside_lines(spark):
-    passage = " ".join(f"The w{i} of x{i} and y{i} goes with z{i} here." for i in range(8))
-    d = spark.createDataFrame([(1, f"Begin one. {passage} End one.\nnext"), (2, f"other words stand here. {passage} and more."), (3, "clean text of its own.")], "doc_id long, text string")
-    got = substring_dedup.repeats(d).collect()
-    assert [(r.doc_id, r.first_doc_id) for r in got] == [(2, 1)]
-    kept = {r.doc_id: r.text for r in substring_dedup.dedup(d).collect()}
-    assert passage in kept[1] and "x3" not in kept[2] and kept[2].startswith("other words") and kept[3] == "clean text of its own."
-
-
 def repeated_words(rows, least):
-    """(doc_id, word) of all words in a sequence of `least` words that occurs earlier, or in a repeated run of units; rows have distinct doc_ids."""
-    last, first = (1 << 63) - 1, {}
-    runs, out = repeats_by_brute_force(rows, least), set()
-    ordered = sorted(((k if k is not None else last), k, t) for k, t in rows if t)
-    for _, k, t in ordered:
-        places = [m.span() for m in re.finditer(r"\S+", t)]
+    """(doc_id, word) of all words in a sequence of `least` words that occurs earlier; rows have distinct doc_ids."""
+    first, out = {}, set()
+    for _, k, t in sorted(((k if k is not None else LAST), k, t) for k, t in rows if t):
         words = t.lower().split()
-        out |= {(k, i) for i, (a, b) in enumerate(places) for r in runs if r[0] == k and r[1] <= a and b <= r[2]}
         for i in range(len(words) - least + 1):
             if first.setdefault(tuple(words[i : i + least]), (k, i)) != (k, i):
                 out |= {(k, j) for j in range(i, i + least)}
@@ -184,36 +194,56 @@ def words_of_passages(rows, found):
     by = {}
     for r in found:
         by.setdefault(r.doc_id, []).append(r)
-    out = set()
-    for k, t in rows:
-        for i, m in enumerate(re.finditer(r"\S+", t or "")):
-            out |= {(k, i) for r in by.get(k, []) if r.start <= m.start() and m.end() <= r.end}
-    return out
+    return {(k, i) for k, t in rows for i, m in enumerate(re.finditer(r"\S+", t or "")) for r in by.get(k, []) if r.start <= m.start() and m.end() <= r.end}
 
 
-def test_passages_against_all_windows(spark, docs, messy, empty):
-    r = random.Random(8)
-    made = []
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_passages_against_brute_force(spark, docs, messy, empty, ids):
+    r, made = random.Random(8), []
     for k in range(40):
-        w = prose(r.randint(30, 90), r.randint(0, 12)).split()
+        w = prose(r.randint(60, 180), r.randint(0, 12)).split()
         for _ in range(r.randint(0, 3)):
             w[r.randrange(len(w))] = r.choice(["edit.", "Cut", "x"])
         made.append((k, " ".join([*prose(r.randint(0, 9), 900 + k).split(), *w[r.randint(0, 20) :]])))
     made += [(50, "again " * 90), (51, "So it goes on.\n" * 30), (None, made[3][1])]
+    p = substring_dedup.DedupParams(broadcast_ids=ids)
     for d in (spark.createDataFrame(made, "doc_id long, text string"), docs, messy.dropDuplicates(["doc_id"])):
         rows = [(x.doc_id, x.text) for x in d.select("doc_id", "text").collect()]
-        found = substring_dedup.passages(d).collect()
-        assert words_of_passages(rows, found) == repeated_words(rows, 25)
-        assert sum(x.words for x in found) == len(repeated_words(rows, 25))
-    assert substring_dedup.passages(empty).count() == 0
+        found = substring_dedup.passages(d, p).collect()
+        assert {(x.doc_id, x.start, x.end, x.words, x.first_doc_id) for x in found} == passages_by_brute_force(rows, p)
+        prose_only = [(k, t) for k, t in rows if k not in (50, 51)]
+        want = repeated_words(prose_only, p.min_words)
+        assert len(want - words_of_passages(rows, found)) <= 0.05 * len(want)
+    assert substring_dedup.passages(empty, p).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n", max_size=150), max_size=4), st.integers(1, 4), st.integers(2, 7))
+def test_cuts_against_loops(texts, radius, longest):
+    p = substring_dedup.DedupParams(radius=radius, longest=longest)
+    u = substring_dedup.units(pa.array([*texts, None], pa.string()), p)
+    for i, t in enumerate(texts):
+        mine = u["doc"] == i
+        assert list(zip(u["at"][mine].tolist(), u["words"][mine].tolist())) == plain_units(t, p)[0]
 
 
 def test_passage_cut_in_mid_sentence(spark, tmp_path):
     w = prose(60, 4)
-    d = spark.createDataFrame([(1, f"It begins {w} and goes on."), (2, f"Others say {w} or nothing. End.")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, f"It begins {w} and goes on."), (2, f"Others say {w} or nothing. End."), (3, "short " + prose(40, 4))], "doc_id long, text string")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     assert [(x.doc_id, x.words, x.first_doc_id) for x in queries.op2_substring_dedup(spark, str(tmp_path)).collect()] == [(2, 60, 1)]
-    assert {x.doc_id: x.text for x in substring_dedup.dedup(d).collect()}[2] == "Others say  or nothing. End."
+    got = {x.doc_id: x for x in substring_dedup.dedup(d).collect()}
+    assert got[2].text == "Others say  or nothing. End." and len(got[2].removed) == 1 and got[1].removed is None
+
+
+def test_dedup_of_rows_that_share_an_id_or_have_none(spark):
+    a, b, c, d = (prose(80, k) for k in (61, 62, 63, 64))
+    rows = [(1, a), (2, f"{a} and {b}"), (2, c), (None, f"{a} {d}"), (None, c), (None, None), (9, b)]
+    df = spark.createDataFrame([(k, t, "u", 1, 2) for k, t in rows], "doc_id long, text string, removed string, cut_id long, cut_row long")
+    got = substring_dedup.dedup(df)
+    assert got.columns == [*df.columns, "removed_"]
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, a), (2, f" and {b}"), (2, c), (None, f" {d}"), (None, ""), (None, None), (9, "")}
+    assert all(r.removed == "u" for r in got.collect())
 
 
 @given(st.text(alphabet="ab.@+-12 9(0)4%é\n", max_size=60))

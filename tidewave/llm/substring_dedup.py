@@ -1,22 +1,20 @@
 """Substring dedup by hashing of normalised units.
 
-Units are the lines of a text, cut further behind sentence ends, so that a passage
-inside a longer line is found too. A unit is normalised (lower case, white space
-collapsed) and hashed to 128 bits; digests are grouped over all documents, and the
-occurrence of least (doc_id, position) is kept. Neighbouring units of a document that
-all occur earlier form a run; runs of at least `min_words` words are removed, and their
+Units are the lines of a text, cut further before every pair of words whose hash is
+the least within `radius` words on either side, and after `longest` words. Where such
+cuts fall depends on the words around them alone, so a passage has the same units
+wherever it stands and wherever sentences begin or end. A unit is normalised (lower
+case, white space collapsed) and hashed to 128 bits; digests are grouped over all
+documents, and the occurrence of least (doc_id, text, position) is kept. Neighbouring
+units of a document that all occur earlier form a run. A run is extended at both ends
+word by word, as long as the words are those beside the earlier occurrence of one of
+its units; runs that then have at least `min_words` words are removed, and their
 offsets in the original text (code points, end exclusive) are returned.
 
-`passages` adds what is no run of whole units. Every sequence of `min_words` words that
-occurs earlier, in a document of lesser doc_id or before in the same text, is removed,
-wherever sentences begin or end. In each such window of words the `gram`-word sequence
-of least hash is an anchor, so that two equal windows share one. Windows that have an
-anchor with several occurrences are hashed whole to 64 bits and grouped; those inside
-units that follow each other in the same earlier document too are found by the units.
-
-For the units only digests and positions are shuffled; for the windows the texts are
-joined once to their repeated anchors. A unit that a whole corpus shares is reduced
-to its least doc_id on the map side; where occurrences are joined to that, the engine
+`min_words` is part of the definition: shorter repeats (set phrases, short lines) are
+left alone. Digests, positions and words at the ends of runs are shuffled, and of the
+texts only those that have such ends. A unit that a whole corpus shares is reduced to
+its least occurrence on the map side; where occurrences are joined to that, the engine
 may split a hot digest's partition.
 
 Edge cases: a null or empty text has no units; a null doc_id ranks behind all others;
@@ -26,297 +24,227 @@ one rank, so that none of them removes another; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared_store import drop, staged
-from .text import batches, mix64
+from .text import NOT_SPACE, batches, free_name, mix64, sequence_hashes, utf8, word_hashes, word_places
 
 _LAST = (1 << 63) - 1
-#: lines, and sentences in them: a lower-case letter or digit, a full stop, "!" or "?", then a blank
-_CUT = re.compile(r"\n|(?<=[^\W_A-Z][.!?]) +")
-_WORD = re.compile(r"\S+")
 _STEP = np.uint64(0x9E3779B97F4A7C55)
+_LEFT, _RIGHT = 0, 1
 
 
 @dataclass(frozen=True)
 class DedupParams:
-    min_words: int = 25
-    gram: int = 8  # words of an anchor, at most min_words
-
-
-def units(text: str):
-    """(start, end, normalised, words) of each unit with words, in order."""
-    at = 0
-    for m in [*_CUT.finditer(text), None]:
-        end = m.start() if m else len(text)
-        words = text[at:end].lower().split()
-        if words:
-            yield at, end, " ".join(words), len(words)
-        at = m.end() if m else end
-
-
-def _row(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else 0
+    min_words: int = 50  # of a removed passage
+    radius: int = 5  # words on either side that a cut depends on
+    longest: int = 32  # words of a unit, at most
+    broadcast_ids: int = 1_000_000  # texts with ends of runs, 16 bytes each; beyond it they meet the texts in a shuffle
+
+
+def cuts(h: np.ndarray, offsets: np.ndarray, line: np.ndarray, p: DedupParams) -> np.ndarray:
+    """The words that begin a unit. h: hashes of the words of all texts; line: whether a word begins a line."""
+    n = len(h)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    following = np.append(h[1:], np.zeros(min(n, 1), np.uint64))
+    following[offsets[1:][np.diff(offsets) > 0] - 1] = 0
+    pair = mix64(h * _STEP + following)
+    least = np.ones(n, bool)
+    for k in range(1, min(p.radius, n - 1) + 1):
+        apart = doc[k:] != doc[:-k]
+        least[k:] &= (pair[k:] < pair[:-k]) | apart
+        least[:-k] &= (pair[:-k] <= pair[k:]) | apart
+    least[offsets[:-1][np.diff(offsets) > 0]] = True
+    at = np.flatnonzero(least | line)
+    length = np.diff(np.append(at, n))
+    more = np.maximum(-(-length // p.longest), 1)
+    nth = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    return np.repeat(at, more) + nth * p.longest
+
+
+def units(texts: pa.Array, p: DedupParams) -> dict[str, np.ndarray]:
+    """Of every unit of all texts, in order: doc (which text), unit (its number there), at (words before it), words, h1, h2, inner (at of an equal unit earlier in the same text, or -1)."""
+    low = pc.utf8_lower(texts.fill_null("").cast(pa.large_string()))
+    h, offsets, start, _ = word_places(low, NOT_SPACE)
+    lines = np.cumsum(utf8(low)[0] == 10)
+    line = np.diff(lines[start], prepend=0) > 0
+    begin = cuts(h, offsets, line, p)
+    end = np.append(begin[1:], len(h))[: len(begin)]
+    doc = np.searchsorted(offsets, begin, "right") - 1
+    h1 = sequence_hashes(h, begin, end).view(np.int64)
+    h2 = sequence_hashes(mix64(h ^ np.uint64(0xA5A5A5A5DEADBEEF)), begin, end).view(np.int64)
+    at = begin - offsets[doc]
+    order = np.lexsort((begin, h2, h1, doc))
+    same = np.zeros(len(begin), bool)
+    a, b = order[:-1], order[1:]
+    same[1:] = (doc[a] == doc[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    inner = np.full(len(begin), -1)
+    inner[order[same]] = at[order[first[same]]]
+    nth = np.arange(len(begin)) - np.searchsorted(doc, doc)
+    return {"doc": doc, "unit": nth, "at": at, "words": end - begin, "h1": h1, "h2": h2, "inner": inner}
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    """rank, text and key."""
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.col("text").cast("string").alias("text"))
-    return source.withColumn("key", F.xxhash64("rank", "text"))
+    """rank (doc_id), row (hash of the text) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """A row for each unit: rank (doc_id), row (hash of the text), unit, start, end, words, h1, h2, inner (it occurs earlier in its own text), at (words before it), key (of rank and text)."""
+def unit_table(docs: DataFrame, p: DedupParams) -> DataFrame:
+    """A row for each unit: rank, row and the columns of units."""
 
     def run(it):
         for b in batches(it, 4 << 20):
-            out = [[] for _ in range(11)]
-            for key, text, joint in zip(b.column("rank").to_pylist(), b.column("text").to_pylist(), b.column("key").to_pylist()):
-                seen, before = set(), 0
-                row = _row(text)
-                for n, (start, end, norm, words) in enumerate(units(text or "")):
-                    d = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "surrogatepass"))
-                    values = (key, row, n, start, end, words, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), d in seen, before, joint)
-                    seen.add(d)
-                    before += words
-                    for column, value in zip(out, values):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rank", "row", "unit", "start", "end", "words", "h1", "h2", "inner", "at", "key"])
-
-    return _source(docs).mapInArrow(run, "rank long, row long, unit int, start int, end int, words int, h1 long, h2 long, inner boolean, at int, key long")
-
-
-def repeats(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """A row for each removed run: doc_id, start, end, words, units, first_doc_id (the least document that has the run's first unit), text_hash."""
-    table = staged(unit_table(docs))
-    first = table.where(~F.col("inner")).groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = table.where(~F.col("inner")).join(first, ["h1", "h2"]).where(F.col("rank") > F.col("first"))
-    columns = ["rank", "row", "unit", "start", "end", "words", "first"]
-    both = later.select(columns).unionByName(table.where("inner").select(*columns[:-1], F.col("rank").alias("first")))
+            u = units(b.column("text"), p)
+            doc = pa.array(u.pop("doc"))
+            numbers = [pa.array(u[c], pa.int64() if c in ("h1", "h2") else pa.int32()) for c in u]
+            yield pa.RecordBatch.from_arrays([b.column("rank").take(doc), b.column("row").take(doc), *numbers], ["rank", "row", *u])
+
+    return _source(docs).mapInArrow(run, "rank long, row long, unit int, at int, words int, h1 long, h2 long, inner int")
+
+
+def _later(table: DataFrame) -> DataFrame:
+    """Of every text, later: its units that occur earlier, with the place of that occurrence."""
+    outer = table.where("inner < 0")
+    first = outer.groupBy("h1", "h2").agg(F.min(F.struct("rank", "row", "at")).alias("s"), F.count("*").alias("n")).where("n > 1")
+    across = outer.join(first.select("h1", "h2", "s"), ["h1", "h2"]).where(F.col("rank") > F.col("s.rank"))
+    columns = ["rank", "row", "unit", "at", "words"]
+    places = across.select(*columns, F.col("s.rank").alias("s_rank"), F.col("s.row").alias("s_row"), F.col("s.at").alias("s_at"))
+    within = table.where("inner >= 0").select(*columns, F.col("rank").alias("s_rank"), F.col("row").alias("s_row"), F.col("inner").alias("s_at"))
     # rows that are equal in doc_id and text give each unit once
-    grouped = both.groupBy("rank", "row").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words", "first"))).alias("u"))
-
-    def run(it):
-        for b in it:
-            out = [[] for _ in range(7)]
-            for key, row, found in zip(b.column("rank").to_pylist(), b.column("row").to_pylist(), b.column("u").to_pylist()):
-                at = 0
-                while at < len(found):
-                    to = at + 1
-                    while to < len(found) and found[to]["unit"] == found[to - 1]["unit"] + 1:
-                        to += 1
-                    words = sum(x["words"] for x in found[at:to])
-                    if words >= p.min_words:
-                        values = (None if key == _LAST else key, found[at]["start"], found[to - 1]["end"], words, to - at, None if found[at]["first"] == _LAST else found[at]["first"], row)
-                        for column, value in zip(out, values):
-                            column.append(value)
-                    at = to
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "start", "end", "words", "units", "first_doc_id", "text_hash"])
-
-    return grouped.mapInArrow(run, "doc_id long, start long, end long, words long, units long, first_doc_id long, text_hash long")
-
+    return places.unionByName(within).groupBy("rank", "row").agg(F.array_sort(F.collect_set(F.struct("unit", "at", "words", "s_rank", "s_row", "s_at"))).alias("later"))
 
-class _Words(dict):
-    """Hashes of lower-case words as they are met."""
 
-    def __missing__(self, word):
-        if len(self) >= 1 << 16:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+_ENDS = "rank long, row long, lo int, hi int, units int, first long, side int, s_rank long, s_row long, s_at int"
 
-    def of(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, text.lower().split()), np.uint64)
 
+def _ends(later: DataFrame, p: DedupParams) -> DataFrame:
+    """A row for each end of a run and each earlier text that holds a unit of it: the run (lo and hi in words), its side, and the place beside which the earlier text's words are to be compared."""
 
-def _sequences(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all sequences of n words."""
-    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
-    for i in range(n if len(out) else 0):
-        out *= _STEP
-        out += h[i : i + len(out)]
-    return mix64(out).view(np.int64)
-
-
-def anchors(h: np.ndarray, p: DedupParams) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the sequences of p.gram words that are least in a window of p.min_words words."""
-    g, width = _sequences(h, p.gram), p.min_words - p.gram + 1
-    if len(g) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1) + np.arange(len(g) - width + 1)
-    at = least[np.concatenate(([True], least[1:] != least[:-1]))]
-    return at, g[at]
+    def run(it):
+        for b in it:
+            out = [[] for _ in range(10)]
+            for rank, row, found in zip(b.column("rank").to_pylist(), b.column("row").to_pylist(), b.column("later").to_pylist()):
+                for piece in _consecutive(found):
+                    lo, hi = piece[0]["at"], piece[-1]["at"] + piece[-1]["words"]
+                    if hi - lo <= p.radius:  # a passage longer than the units beside its ends has more whole units
+                        continue
+                    for s_rank, s_row, shift in {(u["s_rank"], u["s_row"], u["s_at"] - u["at"]) for u in piece}:
+                        for side, at in ((_LEFT, lo), (_RIGHT, hi)):
+                            if at + shift >= 0:
+                                for column, value in zip(out, (rank, row, lo, hi, len(piece), piece[0]["s_rank"], side, s_rank, s_row, at + shift)):
+                                    column.append(value)
+            kinds = [pa.int64() if c.endswith("long") else pa.int32() for c in _ENDS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [c.split()[0] for c in _ENDS.split(", ")])
+
+    return later.mapInArrow(run, _ENDS)
+
+
+def _consecutive(found: list[dict]) -> list[list[dict]]:
+    out: list[list[dict]] = []
+    for x in found:
+        if out and x["unit"] == out[-1][-1]["unit"] + 1:
+            out[-1].append(x)
+        else:
+            out.append([x])
+    return out
 
 
-def anchor_table(docs: DataFrame, p: DedupParams) -> DataFrame:
-    """key and h of each anchor; once for each text, or twice if the text has it in several places."""
+def _beside(docs: DataFrame, ends: DataFrame, p: DedupParams) -> DataFrame:
+    """rank, row, at, side, words (hashes of up to 2 * longest words from the word `at` on, outwards) and places (offsets of the run's end, were it extended by 0, 1, ... of them)."""
+    own = ends.select("rank", "row", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi")).alias("at"), "side")
+    other = ends.select(F.col("s_rank").alias("rank"), F.col("s_row").alias("row"), F.col("s_at").alias("at"), "side")
+    asked = staged(own.unionByName(other).groupBy("rank", "row").agg(F.collect_set(F.struct("at", "side")).alias("asked")))
+    source = _source(docs)
+    if asked.count() <= p.broadcast_ids:
+        source = source.join(F.broadcast(asked.select("rank", "row")), ["rank", "row"], "left_semi")
+    most = 2 * p.longest
 
     def run(it):
-        words = _Words()
         for b in batches(it, 4 << 20):
-            keys, found = [], []
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
-                h, n = np.unique(anchors(words.of(text or ""), p)[1], return_counts=True)
-                found += [h, h[n > 1]]
-                keys.append(np.full(len(h) + int((n > 1).sum()), key, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (keys, found)], ["key", "h"])
-
-    return _source(docs).mapInArrow(run, "key long, h long")
-
-
-def _windows(text: str, shared: np.ndarray, chained: list, words: _Words, p: DedupParams):
-    """Starts and hashes of the windows with a shared anchor that lie in no chained run of words (start, end)."""
-    h = words.of(text)
-    at, g = anchors(h, p)
-    hits = np.zeros(len(h) + 1, np.int64)
-    hits[at[np.isin(g, shared)] + 1] = 1
-    hits = np.cumsum(hits)
-    n, width = max(len(h) - p.min_words + 1, 0), p.min_words - p.gram + 1
-    wanted = hits[width : width + n] > hits[:n]
-    for a, b in chained:
-        wanted[a : max(b - p.min_words + 1, a)] = False
-    start = np.flatnonzero(wanted)
-    return start, _sequences(h, p.min_words)[start] if len(start) else start
-
-
-def window_table(docs: DataFrame, later: DataFrame, table: DataFrame, p: DedupParams) -> DataFrame:
-    """A row for each window that may occur elsewhere: rank, row, at (words before it), start, end, h, inner. later: key and chained, as of later_units; table: as of anchor_table."""
-    shared = table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    mine = table.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("shared"))
-    runs = later.where(F.size("chained") > 0).groupBy("key").agg(F.max("chained").alias("chained"))
-    source = _source(docs).join(mine, "key").join(runs, "key", "left")
+            texts = b.column("text").fill_null("").cast(pa.large_string())
+            h = word_hashes(pc.utf8_lower(texts), NOT_SPACE)[0].view(np.int64)
+            _, offsets, start, end = word_places(texts, NOT_SPACE)
+            data, bytes_at = utf8(texts)
+            points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            out = [[] for _ in range(6)]
+            for i, asked in enumerate(b.column("asked").to_pylist()):
+                lo, hi, zero = int(offsets[i]), int(offsets[i + 1]), int(points[bytes_at[i]])
+                for x in asked:
+                    at = lo + x["at"]
+                    if at > hi:
+                        continue
+                    if x["side"] == _LEFT:
+                        begin = max(lo, at - most)
+                        words, places = h[begin:at][::-1], points[start[begin : at + 1]][::-1]
+                    else:
+                        stop = min(hi, at + most)
+                        words, places = h[at:stop], points[end[max(at - 1, 0) : stop]]
+                    for column, value in zip(out, (b.column("rank")[i], b.column("row")[i], x["at"], x["side"], words, places - zero)):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rank", "row", "at", "side", "words", "places"])
 
-    def run(it):
-        words = _Words()
-        kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, bool]
-        for b in batches(it, 4 << 20):
-            out = [[np.zeros(0, k)] for k in kinds]
-            hits = _lists(b.column("shared"))
-            for rank, text, shared, chained in zip(b.column("rank").to_pylist(), b.column("text").to_pylist(), hits, b.column("chained").to_pylist()):
-                at, h = _windows(text, shared, [(x["start"], x["end"]) for x in chained or []], words, p)
-                if not len(at):
-                    continue
-                place = np.array([m.span() for m in _WORD.finditer(text)], np.int32)
-                inner = np.ones(len(h), bool)
-                inner[np.unique(h, return_index=True)[1]] = False
-                columns = (np.full(len(h), rank), np.full(len(h), _row(text)), at, place[at, 0], place[at + p.min_words - 1, 1], h, inner)
-                for column, values, k in zip(out, columns, kinds):
-                    column.append(values.astype(k, copy=False))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["rank", "row", "at", "start", "end", "h", "inner"])
-
-    return source.select("rank", "text", "shared", "chained").mapInArrow(run, "rank long, row long, at int, start int, end int, h long, inner boolean")
-
-
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The numbers of each list of a column, nulls as empty lists."""
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
-
-
-def _chained(found: list[dict]) -> list[tuple[int, int]]:
-    """Runs of words (start, end) whose units also follow each other in one earlier text."""
-    out, last = [], None
-    for x in found:
-        joined = last and x["unit"] == last["unit"] + 1 and x["source"] and last["source"] and (x["source"]["rank"], x["source"]["row"], x["source"]["unit"] - 1) == (last["source"]["rank"], last["source"]["row"], last["source"]["unit"])
-        if joined:
-            out[-1] = (out[-1][0], x["at"] + x["words"])
-        elif x["source"]:
-            out.append((x["at"], x["at"] + x["words"]))
-        last = x
-    return out
+    found = source.join(asked, ["rank", "row"]).mapInArrow(run, "rank long, row long, at int, side int, words array<long>, places array<long>")
+    return staged(found.dropDuplicates(["rank", "row", "at", "side"]))
 
 
 def passages(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """A row for each removed passage, as repeats gives them: runs of units, and whatever else lies in repeated windows of min_words words, joined where they touch. units: the repeated whole units in it, in runs that are long enough; first_doc_id: the least document that has the passage's first unit or window."""
-    table = staged(unit_table(docs))
-    outer = table.where(~F.col("inner"))
-    first = outer.groupBy("h1", "h2").agg(F.min(F.struct("rank", "row", "unit")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    columns = ["key", "rank", "row", "unit", "at", "start", "end", "words"]
-    found = outer.join(first, ["h1", "h2"]).where(F.col("rank") > F.col("source.rank")).select(*columns, F.col("source.rank").alias("first"), "source")
-    nothing = F.lit(None).cast("struct<rank:bigint,row:bigint,unit:int>")
-    both = found.unionByName(table.where("inner").select(*columns, F.col("rank").alias("first"), nothing.alias("source")))
-    later = staged(later_units(both.groupBy("key", "rank", "row").agg(F.array_sort(F.collect_set(F.struct("unit", "at", "start", "end", "words", "first", "source"))).alias("u")), p))
+    """A row for each removed passage: doc_id, start, end, words, units (whole ones in it), first_doc_id (the document that keeps its first whole unit), text_hash (xxhash64 of the text)."""
+    table = staged(unit_table(docs, p))
+    ends = staged(_ends(_later(table), p))
     drop(table)
-    table = staged(anchor_table(docs, p))
-    windows = staged(window_table(docs, later, table, p))
-    drop(table)
-    once = windows.where(~F.col("inner"))
-    least = once.groupBy("h").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    columns = ["rank", "row", "at", "start", "end"]
-    again = once.join(least, "h").where(F.col("rank") > F.col("first")).select(*columns, "first")
-    again = again.unionByName(windows.where("inner").select(*columns, F.col("rank").alias("first")))
-    pieces = again.groupBy("rank", "row").agg(*(F.collect_list(c).alias(c) for c in ("at", "start", "end", "first")))
-    joined = later.select("rank", "row", "runs").join(pieces, ["rank", "row"], "full")
+    beside = _beside(docs, ends, p)
+    theirs = beside.select(F.col("rank").alias("s_rank"), F.col("row").alias("s_row"), F.col("at").alias("s_at"), "side", F.col("words").alias("s_words"))
+    mine = beside.select("rank", "row", "at", "side", "words", "places")
+    pairs = ends.join(theirs, ["s_rank", "s_row", "s_at", "side"]).withColumn("at", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi"))).join(mine, ["rank", "row", "at", "side"])
+    equal = F.zip_with("words", "s_words", lambda a, b: a.eqNullSafe(b))
+    length = F.array_position(F.concat(equal, F.array(F.lit(False))), False).cast("int") - 1
+    reach = F.max(F.struct(length.alias("n"), F.get("places", length).alias("place")))
+    sides = pairs.groupBy("rank", "row", "lo", "hi", "units", "first", "side").agg(reach.alias("r"))
+    part = lambda side, name: F.max(F.when(F.col("side") == side, F.col(f"r.{name}")))
+    runs = sides.groupBy("rank", "row", "lo", "hi", "units", "first").agg(part(_LEFT, "n").alias("before"), part(_RIGHT, "n").alias("after"), part(_LEFT, "place").alias("start"), part(_RIGHT, "place").alias("end"))
+    spans = runs.select("rank", "row", F.struct((F.col("lo") - F.col("before")).alias("a"), (F.col("hi") + F.col("after")).alias("z"), "start", "end", "units", "first").alias("x"))
+    joined = spans.groupBy("rank", "row").agg(F.array_sort(F.collect_list("x")).alias("x"))
 
     def run(it):
         for b in it:
             out = [[] for _ in range(7)]
-            pieces = zip(*(_lists(b.column(c)) for c in ("at", "start", "end", "first")))
-            for rank, row, runs, (at, start, end, first) in zip(*(b.column(c).to_pylist() for c in ("rank", "row", "runs")), pieces):
-                order = np.lexsort((first, at))
-                at, start, end, first = at[order], start[order], end[order], first[order]
-                cut = np.flatnonzero(np.diff(at) > p.min_words) + 1
-                a, z = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])) - 1
-                spans = [(int(at[i]), int(at[j]) + p.min_words, int(start[i]), int(end[j]), 0, int(first[i])) for i, j in zip(a, z)] if len(at) else []
-                spans += [(x["at"], x["to"], x["start"], x["end"], x["units"], x["first"]) for x in runs or []]
-                made = []
-                for s in sorted(spans):
-                    if made and s[0] <= made[-1][1]:
-                        m = made[-1]
-                        made[-1] = (m[0], max(m[1], s[1]), min(m[2], s[2]), max(m[3], s[3]), m[4] + s[4], min(m[5], s[5]) if s[0] == m[0] else m[5])
+            for rank, row, found in zip(b.column("rank").to_pylist(), b.column("row").to_pylist(), b.column("x").to_pylist()):
+                made: list[dict] = []
+                for x in found:
+                    if made and x["a"] <= made[-1]["z"]:
+                        made[-1] |= {"z": max(x["z"], made[-1]["z"]), "end": max(x["end"], made[-1]["end"]), "units": x["units"] + made[-1]["units"]}
                     else:
-                        made.append(s)
-                for at, to, start, end, units, least in made:
-                    values = (None if rank == _LAST else rank, start, end, to - at, units, None if least == _LAST else least, row)
-                    for column, value in zip(out, values):
-                        column.append(value)
+                        made.append(x)
+                for x in made:
+                    if x["z"] - x["a"] >= p.min_words:
+                        values = (None if rank == _LAST else rank, x["start"], x["end"], x["z"] - x["a"], x["units"], None if x["first"] == _LAST else x["first"], row)
+                        for column, value in zip(out, values):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "end", "words", "units", "first_doc_id", "text_hash"])
 
     return joined.mapInArrow(run, "doc_id long, start long, end long, words long, units long, first_doc_id long, text_hash long")
 
 
-def later_units(grouped: DataFrame, p: DedupParams) -> DataFrame:
-    """key, rank, row, runs (those of min_words words), chained (runs of words that one earlier text has) from a text's units u that occur earlier."""
-    schema = "key long, rank long, row long, runs array<struct<at:int,to:int,start:int,end:int,units:int,first:long>>, chained array<struct<start:int,end:int>>"
-    piece = pa.list_(pa.struct([(c, pa.int64() if c == "first" else pa.int32()) for c in ("at", "to", "start", "end", "units", "first")]))
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(it):
-        for b in it:
-            runs, chained = [], []
-            for found in b.column("u").to_pylist():
-                long = [r for r in _runs(found) if sum(x["words"] for x in r) >= p.min_words]
-                runs.append([{"at": r[0]["at"], "to": r[-1]["at"] + r[-1]["words"], "start": r[0]["start"], "end": r[-1]["end"], "units": len(r), "first": r[0]["first"]} for r in long])
-                chained.append([{"start": i, "end": j} for i, j in _chained(found) if j - i >= p.min_words])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "rank", "row")), pa.array(runs, piece), pa.array(chained, span)], ["key", "rank", "row", "runs", "chained"])
-
-    return grouped.select("key", "rank", "row", "u").mapInArrow(run, schema)
-
-
-def _runs(found: list[dict]) -> list[list[dict]]:
-    out = []
-    for x in found:
-        if out and x["unit"] == out[-1][-1]["unit"] + 1:
-            out[-1].append(x)
-        else:
-            out.append([x])
-    return out
-
-
 def dedup(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """The documents with repeated runs cut out of their texts, and a column removed (array of start, end)."""
-    cuts = passages(docs, p).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    names = [c for c in docs.columns if c != "removed"]
-    joined = docs.select(names).join(cuts.withColumnRenamed("doc_id", "_cut_id"), F.col("doc_id").eqNullSafe(F.col("_cut_id")), "left").drop("_cut_id")
-    gap = F.transform(F.sequence(F.lit(0), F.size("removed")), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("removed"), i - 1)["end"]).alias("a"), F.coalesce(F.get(F.col("removed"), i)["start"], F.length("text").cast("long")).alias("b")))
+    """The documents with repeated passages cut out of their texts, and a column removed (array of start, end; null where nothing is).
+
+    Cuts belong to a doc_id and a text, so rows that share a doc_id (or have none) lose
+    only their own repeats. Where docs has a column `removed`, underscores are added to the new one's name.
+    """
+    name, key, row = (free_name(docs, c) for c in ("removed", "cut_id", "cut_row"))
+    cut = passages(docs, p).groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(name))
+    mine = docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"].cast("string")) == F.col(row))
+    joined = docs.join(cut, mine, "left").drop(key, row)
+    at = F.col(name)
+    gap = F.transform(F.sequence(F.lit(0), F.size(at)), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["end"]).alias("a"), F.coalesce(F.get(at, i)["start"], F.length("text").cast("long")).alias("b")))
     kept = F.array_join(F.transform(gap, lambda x: F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))), "")
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept))
+    return joined.withColumn("text", F.when(at.isNull(), F.col("text")).otherwise(kept))

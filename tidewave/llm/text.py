@@ -81,22 +81,36 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, table: np.ndarray):
-    """64-bit hashes of all words of all texts, A-Z lower-cased, in order; and the words' offsets by text.
+def word_places(texts: pa.Array, table: np.ndarray):
+    """As word_hashes, and the first byte of each word and the byte behind it, both counted from the first text's beginning.
 
     Texts are hashed in small blocks that fit the cache, so that memory stays bounded by
     that or by the longest single text.
     """
     data, offsets = utf8(texts)
-    hashes, bounds, base, i, n = [], [np.zeros(1, np.int64)], 0, 0, len(offsets) - 1
+    parts, bounds, base, i, n = [], [np.zeros(1, np.int64)], 0, 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, "right")) - 1)
-        h, b, _, _ = _hash_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table)
-        hashes.append(h)
+        h, b, start, end = _hash_block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table)
+        parts.append((h, start + offsets[i], end + offsets[i]))
         bounds.append(b[1:] + base)
         base += len(h)
         i = j
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(bounds)
+    h, start, end = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, k) for k in (np.uint64, np.int64, np.int64))
+    return h, np.concatenate(bounds), start, end
+
+
+def word_hashes(texts: pa.Array, table: np.ndarray):
+    """64-bit hashes of all words of all texts, A-Z lower-cased, in order; and the words' offsets by text."""
+    return word_places(texts, table)[:2]
+
+
+def sequence_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence h[start:end] of word hashes."""
+    up, down = _Powers.get(len(h) + 1)
+    acc = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=acc[1:])
+    return mix64((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -148,3 +162,11 @@ def batches(it: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.R
                 todo[:0] = [b.slice(0, half), b.slice(half)]
             else:
                 yield b
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
