@@ -37,7 +37,7 @@ class QualityParams:
     l2: float = 1e-4
     epochs: int = 6
     batch: int = 64
-    max_rows: int = 8_000  # labelled rows to learn from, at most
+    max_rows: int = 8_000  # labelled rows to learn from, at most about
     threshold: float = 0.7
 
 
@@ -153,7 +153,7 @@ def _inputs(docs: DataFrame) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> FactorModel:
-    """Learns from at most max_rows labelled documents whose fold is not 2. Word hashes and statistics reach the driver, texts don't."""
+    """Learns from about max_rows labelled documents at most, whose fold is not 2. Word hashes and statistics reach the driver, texts don't."""
     sample = sampled_labels(labels, "quality", fold("doc_id", 4) != 2, p.max_rows)
 
     def prepared(it):
@@ -161,9 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
             h, off = word_hashes(b.column("text"), ALNUM)
             st = statistics(b.column("text"), b.column("n_chars"), h, off)
             top = (h >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([top[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary()), pa.array(list(st), pa.list_(pa.float64()))], ["y", "words", "stats"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([top[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary()), pa.array(list(st), pa.list_(pa.float64()))], ["doc_id", "y", "words", "stats"])
 
-    rows = sampled_texts(docs, sample, _inputs(docs), p.max_rows).mapInArrow(prepared, "y int, words binary, stats array<double>").toArrow()
+    rows = sampled_texts(docs, sample, _inputs(docs)).mapInArrow(prepared, "doc_id long, y int, words binary, stats array<double>").toArrow().sort_by("doc_id")
     words = [np.frombuffer(x, np.uint32).astype(np.uint64) << np.uint64(32) for x in rows.column("words").to_pylist()]
     stats = np.array(rows.column("stats").to_pylist(), np.float64).reshape(-1, len(STATS))
     return train(words, stats, np.array(rows.column("y").to_pylist(), np.float64), p)

@@ -128,25 +128,35 @@ def fold(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
 
 
+def hash_share(key: Column, count: int, limit: int) -> Column:
+    """Whether a row belongs to the share of about limit / count rows of least key hash; all do where count is at most limit."""
+    if count <= limit:
+        return F.lit(True)
+    return F.xxhash64(key) < int(-(1 << 63) + (1 << 64) * limit / count)
+
+
 def sampled_labels(labels: DataFrame, label: str, learn: Column, limit: int) -> DataFrame:
-    """At most `limit` (doc_id, y) with y in {0, 1}, least key hash first; `learn` says of a doc_id whether it may be learned from.
+    """About `limit` (doc_id, y) at most, with y in {0, 1}, those of least key hash; `learn` says of a doc_id whether it may be learned from.
 
-    A doc_id labelled twice counts once, with its larger label.
+    The rows are counted first, and the hash below which a row is taken follows from that,
+    so that no task or driver sees more than its share. A doc_id labelled twice counts
+    once, with its larger label.
     """
-    return (
+    usable = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn)
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
-    )
+    )
+    return usable.where(hash_share(F.col("doc_id"), usable.count(), limit))
 
 
-def sampled_texts(docs: DataFrame, sample: DataFrame, columns: list[Column], limit: int) -> DataFrame:
-    """The sample's documents: doc_id, y and `columns`. The sample has a bounded number of rows, so that it may be broadcast."""
-    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", *columns)
-    return keyed.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def sampled_texts(docs: DataFrame, sample: DataFrame, columns: list[Column]) -> DataFrame:
+    """The sample's documents: doc_id, y and `columns`; of rows that share a doc_id the one of least columns. The sample has a bounded number of rows, so that it may be broadcast."""
+    names = [docs.select(c).columns[0] for c in columns]
+    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", *columns).join(F.broadcast(sample), "doc_id")
+    one = keyed.groupBy("doc_id", "y").agg(F.min(F.struct(*names)).alias("m"))
+    return one.select("doc_id", "y", *(F.col(f"m.{n}").alias(n) for n in names))
 
 
 def batches(it: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ class ToxicityParams:
     l2: float = 0.1
     epochs: int = 4
     batch: int = 64
-    max_rows: int = 24_000  # labelled rows to learn from, at most
+    max_rows: int = 24_000  # labelled rows to learn from, at most about
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def train(words: list[np.ndarray], labels: np.ndarray, p: ToxicityParams) -> Spa
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> SparseWeights:
-    """Learns from at most max_rows labelled documents whose fold is not 0. Only their words' hashes reach the driver."""
+    """Learns from about max_rows labelled documents at most, whose fold is not 0. Only their words' hashes reach the driver."""
     sample = sampled_labels(labels, "toxic", fold("doc_id", 5) != 0, p.max_rows)
 
     def hashed(it):
@@ -102,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
             top = (h >> _HALF).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([top[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], ["doc_id", "y", "words"])
 
-    rows = sampled_texts(docs, sample, [F.col("text")], p.max_rows).mapInArrow(hashed, "doc_id long, y int, words binary").toArrow()
+    source = sampled_texts(docs, sample, [F.col("text").cast("string").alias("text")])
+    rows = source.mapInArrow(hashed, "doc_id long, y int, words binary").toArrow().sort_by("doc_id")
     words = [np.frombuffer(x, np.uint32) for x in rows.column("words").to_pylist()]
     return train(words, np.array(rows.column("y").to_pylist(), np.float64), p)
 
