@@ -6,9 +6,11 @@ phrase ends where the automaton has no further transition. The language with the
 least phrases times the logarithm of its training length wins, that is with the
 least estimated cross entropy; on ties the language first in order.
 
-Texts are parsed whole, in blocks of `block` characters that each begin a new
-phrase, many blocks at a time: one step moves all blocks by one character through
-a language's table of transitions. The table has columns for the language's most
+Texts are parsed whole, many blocks of `block` characters at a time: one step moves
+all blocks by one character through a language's table of transitions. Each block is
+first parsed as if it began a phrase; then what the block before it left unfinished is
+carried into it, up to the place from where both parses agree, so that the phrases are
+those of the whole text. The table has columns for the language's most
 frequent letters; transitions by its other letters are found by binary search.
 Characters other than letters count as spaces.
 
@@ -152,26 +154,61 @@ def phrases(texts: list[str], model: LangModel, lut: np.ndarray, block: int) ->
     start = np.concatenate(([0], np.cumsum(sizes)))
     lanes[np.arange(len(codes)) + np.repeat(first[:-1] * block - start[:-1], sizes)] = lut[codes]
     steps = np.ascontiguousarray(lanes.reshape(-1, block).T)
-    out = [_ended(steps, a) for a in model.automata]
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1][n_blocks > 0]] = False
+    out = [_ended(steps, a, inner) for a in model.automata]
     total = np.concatenate((np.zeros((len(out), 1), np.int64), np.cumsum(out, axis=1)), axis=1)
-    return (total[:, first[1:]] - total[:, first[:-1]]).T + n_blocks[:, None]
+    return (total[:, first[1:]] - total[:, first[:-1]]).T + (n_blocks > 0)[:, None]
 
 
-def _ended(steps: np.ndarray, a: Automaton) -> np.ndarray:
-    """Ended phrases of each lane."""
-    state, ended, n = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32), len(a.restart)
+def _moved(state: np.ndarray, row: np.ndarray, a: Automaton) -> np.ndarray:
+    """2 * next state + whether a phrase ended, of each lane."""
+    after, n = a.table.take(state + a.column.take(row)), len(a.restart)
+    if n:
+        number = a.rare.take(row)
+        at = np.flatnonzero(number >= 0)
+        number = number[at]
+        key = state[at].astype(np.int64) * n + number
+        found = np.minimum(np.searchsorted(a.keys, key), len(a.keys) - 1)
+        after[at] = np.where(a.keys[found] == key, a.after[found], a.restart[number])
+    return after
+
+
+def _ended(steps: np.ndarray, a: Automaton, inner: np.ndarray) -> np.ndarray:
+    """Ended phrases of each lane. inner: whether a lane goes on where the one before it ends."""
+    state, ended = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32)
     for row in steps:
-        after = a.table.take(state + a.column.take(row))
-        if n:
-            number = a.rare.take(row)
-            at = np.flatnonzero(number >= 0)
-            number = number[at]
-            key = state[at].astype(np.int64) * n + number
-            found = np.minimum(np.searchsorted(a.keys, key), len(a.keys) - 1)
-            after[at] = np.where(a.keys[found] == key, a.after[found], a.restart[number])
+        after = _moved(state, row, a)
         ended += after & 1
         state = after >> 1
-    return ended
+    fresh, extra = state.copy(), np.zeros_like(ended)
+    lanes = np.flatnonzero(inner)
+    while len(lanes):
+        extra[lanes], last = _carried(steps, a, lanes, state[lanes - 1], fresh[lanes])
+        changed = lanes[last != state[lanes]]
+        state[lanes] = last
+        lanes = changed + 1
+        lanes = lanes[lanes < len(inner)]
+        lanes = lanes[inner[lanes]]
+    return ended + extra
+
+
+def _carried(steps: np.ndarray, a: Automaton, lanes: np.ndarray, start: np.ndarray, last: np.ndarray):
+    """By how many ended phrases each lane differs if it begins in the state `start`, and its state at the end; `last` is that of a lane that begins anew."""
+    extra, end = np.zeros(len(lanes), np.int32), last.copy()
+    at, mine, other = np.arange(len(lanes)), start, np.zeros(len(lanes), np.int32)
+    for k, row in enumerate(steps):
+        if k % 8 == 0:
+            apart = mine != other
+            at, mine, other = at[apart], mine[apart], other[apart]
+            if not len(at):
+                break
+        row = row[lanes[at]]
+        x, y = _moved(mine, row, a), _moved(other, row, a)
+        extra[at] += (x & 1) - (y & 1)
+        mine, other = x >> 1, y >> 1
+    end[at] = mine
+    return extra, end
 
 
 def predict_texts(texts: list[str | None], model: LangModel, lut: np.ndarray, p: LangParams) -> tuple[list[str], list[float]]:
