@@ -111,8 +111,15 @@ def test_url_filter(spark):
     assert (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("a.com", "/x", "com/", "allow")
     assert [got[k].verdict for k in (0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13)] == ["allow", "allow", "allow", "block", "allow", "block", "allow", "block", "block", "allow", "allow", "block", "allow"]
     assert [got[k].rule for k in (0, 4, 5, 6, 7, 10, 11)] == [None, "example.com/en/", "www.example.com/en/", "net/es/", None, None, "com/"]
-    listed = spark.createDataFrame([(x,) for x in url_filter.default_blocklist()], "entry string")
-    assert {r.page_id for r in url_filter.blocked_by_join(pages, listed).collect()} == {8, 9, 12}
+    listed = spark.createDataFrame([(x,) for x in [*url_filter.default_blocklist()[-3100:], "b.net/es"]] + [(None,)], "entry string")
+    long = spark.createDataFrame([(90, "http://" + "a." * 20_000 + "ads7.example.org/q", "h", "p"), (91, "http://" + "a." * 20_000 + "com/q", "h", "p"), (92, "http://x./", "h", "p"), (93, "http://..com/", "h", "p")], pages.schema)
+    both = pages.unionByName(long)
+    by_array, by_join = (url_filter.judge(spark, both, blocklist=listed, max_bytes=m) for m in (1 << 20, 1 << 10))
+    assert by_array.columns == by_join.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert sorted(map(str, by_array.collect())) == sorted(map(str, by_join.collect()))
+    assert {r.page_id: (r.rule, r.verdict) for r in by_array.collect() if r.page_id and r.page_id >= 90} == {90: (None, "block"), 91: ("com/", "allow"), 92: (None, "allow"), 93: ("com/", "allow")}
+    assert {r.page_id: r.verdict for r in by_array.collect()}[7] == "block"
+    assert url_filter.judge(spark, pages, blocklist=listed.limit(0), rules=()).where("verdict = 'block' or rule is not null").count() == 0
     assert url_filter.judge(spark, pages.limit(0)).count() == 0
     with pytest.raises(url_filter.ListTooLarge):
         url_filter.judge(spark, pages, max_bytes=10)

@@ -12,8 +12,9 @@ longest wins (then the first in order), and a rule outweighs the block list.
 
 Edge cases: a null URL, or one without "://", has an empty host and path and is
 allowed without a rule; repeated rows are judged each; an empty list blocks nothing.
-The files' size is checked against `max_bytes` before they are sent; beyond it
-ListTooLarge is raised, and `blocked_by_join` judges by a shuffled join instead.
+A candidate longer than every key is never tried, so hosts of any length cost little.
+The list's size is checked against `max_bytes` before its files are made; a longer list,
+given as a DataFrame, is joined with the candidates in a shuffle instead.
 """
 
 from __future__ import annotations
@@ -39,9 +40,15 @@ _sent: set[tuple[str, str]] = set()
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+#: parts of the names in the default list
+SYLLABLES = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce ly ch wh be ble sh ing tion".split()
+
+
 def default_blocklist() -> list[str]:
-    """Hosts of advertising and tracking, by a rule."""
-    return [f"{kind}{i}.example.{top}" for kind in ("ads", "track") for i in range(500) for top in ("com", "net", "org")] + ["thering.example.org", "ththon.example.com", "m.ththed.example.net"]
+    """Hosts by a rule: names of three syllables under example.org, of advertising and tracking, and of two kinds of spam; 130,000 keys or so."""
+    named = [f"{a}{b}{c}.example.org" for a in SYLLABLES for b in SYLLABLES for c in SYLLABLES]
+    served = [f"{kind}{i}.example.{top}" for kind in ("ads", "track") for i in range(500) for top in ("com", "net", "org")]
+    return named + served + [f"{kind}.example.{top}" for kind in ("spam-farm", "cheap-pills") for top in ("com", "net", "org")]
 
 
 class ListTooLarge(ValueError):
@@ -82,6 +89,7 @@ def _mapped(path: str, kind) -> np.ndarray:
 class MappedArray:
     def __init__(self, digests: str, offsets: str, keys: str):
         self.digests, self.offsets, self.keys = _mapped(digests, np.uint64), _mapped(offsets, np.int64), _mapped(keys, np.uint8)
+        self.longest = int(np.diff(self.offsets).max()) if len(self.digests) else 0  # bytes, and so no fewer than characters
 
     def contains(self, candidates: list[str], digest=xxhash.xxh64_intdigest) -> np.ndarray:
         """Which of the candidates are keys. Equal digests of different keys are told apart by the keys."""
@@ -108,13 +116,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), path
 
 
-def suffixes(host: str) -> list[str]:
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))] if host else []
-
-
-def judge(spark: SparkSession, pages: DataFrame, rules=RULES, blocklist: Iterable[str] | None = None, url: str = "url", key: str = "page_id", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """key, host, path, rule (like "net/es/", or null) and verdict (allow or block) for every row."""
+def suffixes(host: str, longest: int) -> list[str]:
+    """The host and the domains above it, those of at most `longest` characters."""
+    out, at = [], len(host)
+    while host and at >= 0 and len(host) - at - 1 <= longest:
+        at = host.rfind(".", 0, at)
+        if len(host) - at - 1 <= longest:
+            out.append(host[at + 1 :])
+        if at < 0:
+            break
+    return out[::-1]
+
+
+def judge(spark: SparkSession, pages: DataFrame, rules=RULES, blocklist: Iterable[str] | DataFrame | None = None, url: str = "url", key: str = "page_id", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """key, host, path, rule (like "net/es/", or null) and verdict (allow or block) for every row. blocklist: keys, or a table with the column `entry`."""
+    if isinstance(blocklist, DataFrame):
+        entries = blocklist.select(F.col("entry").cast("string").alias("entry")).where(F.col("entry").isNotNull()).distinct()
+        if (entries.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0) > max_bytes:
+            return judge_by_join(spark, pages, entries, rules, url, key)
+        blocklist = (r.entry for r in entries.toLocalIterator())
     folder = tempfile.mkdtemp(prefix="tidewave-urls")
     verdicts = {h + p: v for h, p, v in rules}
     arrays = [DigestArray.build(verdicts, folder, max_bytes), DigestArray.build(default_blocklist() if blocklist is None else blocklist, folder, max_bytes)]
@@ -134,11 +154,12 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, blocklist: Iterabl
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
             tried, rows, listed, owners = [], [], [], []
             for i, (h, p) in enumerate(zip(hosts, paths)):
-                tails = suffixes(h)
-                found = [t + p[:c] for t in tails for c in cuts if len(p) >= c]
+                found = [t + p[:c] for t in suffixes(h, known_rules.longest) for c in cuts if len(p) >= c]
                 tried += found
                 rows += [i] * len(found)
-                found = [*tails, h + p] if h else []
+                found = suffixes(h, blocked.longest)
+                if h and len(h) + len(p) <= blocked.longest:
+                    found.append(h + p)
                 listed += found
                 owners += [i] * len(found)
             best: dict[int, str] = {}
@@ -156,19 +177,34 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, blocklist: Iterabl
     return pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string")
 
 
-def blocked_by_join(pages: DataFrame, blocklist: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
-    """key and url of the rows that a list of any size (column `entry`) blocks: their candidate keys are joined with it."""
+def judge_by_join(spark: SparkSession, pages: DataFrame, entries: DataFrame, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
+    """As judge, for a list (column `entry`) of any size: the candidate keys of each distinct host and path are joined with it."""
     host, path = host_and_path(F.col(url))
-    p = pages.select(F.col(key), F.col(url), host.alias("host"), path.alias("path")).where(F.col("host") != "")
-    parts = F.split("host", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    c = p.select(key, url, F.explode(F.array_distinct(F.concat(tails, F.array(F.concat("host", "path"))))).alias("entry"))
-    return c.join(blocklist.select("entry").distinct(), "entry", "left_semi").select(key, url).distinct()
+    rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
+    seen = rows.where(F.col("host") != "").select("host", "path").distinct()
+    longest = max(1, entries.agg(F.max(F.length("entry"))).first()[0] or 0)
+    known = spark.createDataFrame([(h + p, v, -len(h + p), i) for i, (h, p, v) in enumerate(rules)], "entry string, verdict string, size int, nth int")
+
+    def tails(most: int) -> Column:
+        parts = F.split("host", r"\.")
+        last = F.least(F.size(parts), F.lit(most))  # as many labels as the longest key has characters
+        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), "."))
+        return F.filter(made, lambda x: F.length(x) <= most)
+
+    cuts = F.array(*(F.when(F.length("path") >= c, F.substring("path", 1, c)) for c in sorted({len(p) for _, p, _ in rules}))) if rules else F.array().cast("array<string>")
+    heads = tails(max((len(h) for h, _, _ in rules), default=1))
+    tried = F.flatten(F.transform(heads, lambda t: F.transform(F.array_compact(cuts), lambda c: F.concat(t, c))))
+    fitting = seen.select("host", "path", F.explode(tried).alias("entry")).join(F.broadcast(known), "entry")
+    ruled = fitting.groupBy("host", "path").agg(F.min(F.struct("size", "nth", "entry", "verdict")).alias("r"))
+    listed = F.filter(F.array_distinct(F.concat(tails(longest), F.array(F.concat("host", "path")))), lambda x: F.length(x) <= longest)
+    bad = seen.select("host", "path", F.explode(listed).alias("entry")).join(entries, "entry", "left_semi").select("host", "path").distinct()
+    judged = ruled.select("host", "path", F.col("r.entry").alias("rule"), F.col("r.verdict").alias("by_rule")).join(bad.withColumn("listed", F.lit(True)), ["host", "path"], "full")
+    verdict = F.coalesce("by_rule", F.when(F.col("listed"), "block"), F.lit("allow"))
+    return rows.join(judged, ["host", "path"], "left").select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"))
 
 
 def oracle_sql() -> str:
     """SQL for the verdicts under RULES and the default list."""
-    plain = "', '".join(x for x in default_blocklist() if not x.startswith(("ads", "track")))
     return rf"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
@@ -182,7 +218,8 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN regexp_matches(host, '(^|\.)(ads|track)(0|[1-9][0-9]?|[1-4][0-9][0-9])\.example\.(com|net|org)$') THEN 'block'
-    WHEN EXISTS (SELECT 1 FROM (SELECT unnest(['{plain}']) AS e) WHERE host = e OR ends_with(host, '.' || e)) THEN 'block'
+    WHEN regexp_matches(host, '(^|\.)({"|".join(SYLLABLES)}){{3}}\.example\.org$') THEN 'block'
+    WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.example\.(com|net|org)$') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM r
 """
