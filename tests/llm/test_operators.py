@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -300,18 +301,39 @@ def test_personal_data(spark, messy, empty):
 @given(st.text(max_size=40) | st.lists(st.sampled_from([" ", "\u2581", "\n", "a", "the", "<s>", "</s>", "<0x0A>", "é", "😀", "  ", "x.", "\t"]), max_size=20).map("".join))
 @settings(max_examples=500, deadline=None)
 def test_chunks_against_the_library(t):
-    e = sp_encode.encoder(sp_encode.default_model(), 1 << 20)
-    ids = e.sp.encode(t)
-    assert e.encode(t)[:3] == (",".join(map(str, ids)), len(ids), e.sp.decode(ids))
-
-
-def test_encode(spark, messy, empty):
-    sp = sp_encode.encoder(sp_encode.default_model(), 1 << 20).sp
-    want = sorted((str(r.doc_id), sp.encode(r.text or "")) for r in messy.collect())
-    got = sorted((str(r.doc_id), r.ids) for r in sp_encode.encode(messy).collect())
-    assert got == want and sp_encode.encode(empty).count() == 0
-    small = sp_encode.ChunkEncoder(sp_encode.default_model(), 2000)  # its table begins anew again and again
-    assert small.encode(prose(500, 9))[0] == ",".join(map(str, sp.encode(prose(500, 9))))
+    sp = library()
+    known, _ = sp_encode.chunks(pa.array([t, "a b\n c", None, ""]))
+    h1, h2 = sp_encode._hashes(known)
+    ids = sp_encode.segment([c.decode() for c in known.to_pylist()], sp)
+    first = np.unique(h1, return_index=True)[1][::2]  # a table that lacks every other chunk
+    table = sp_encode.ChunkTable(h1[first], h2[first], np.cumsum([0, *(len(ids[i]) for i in first)]), np.array([x for i in first for x in ids[i]], np.int32))
+    texts = [t.replace(sp_encode.MARK, "_"), "", f"b {t} a".replace(sp_encode.MARK, "\n"), None, "a b"]
+    got, at = sp_encode.ids_of(pa.array(texts), table, sp)
+    assert [got[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [sp.encode(x or "") for x in texts]
+
+
+def library():
+    return sp_encode.processor(Path(sp_encode.default_model()).read_bytes())
+
+
+@pytest.mark.parametrize("table_bytes", [128 << 20, 2000, 0])
+def test_encode(spark, messy, docs, empty, table_bytes):
+    sp = library()
+    for d in (messy, docs):
+        found = sp_encode.encode(d, table_bytes=table_bytes).collect()
+        want = sorted((str(r.doc_id), sp.encode(r.text or "")) for r in d.collect())
+        assert sorted((str(r.doc_id), r.ids) for r in found) == want
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert all(r.decoded == sp.decode(r.ids) and r.n_tokens == len(r.ids) and r.decoded_sha256 == sha(r.decoded) and r.ids_sha256 == sha(",".join(map(str, r.ids))) for r in found)
+    assert sp_encode.encode(empty, table_bytes=table_bytes).count() == 0
+
+
+def test_repeated_chunks_are_in_the_table(spark):
+    d = spark.createDataFrame([("twice here twice",), ("here once",), (None,)], "text string")
+    proto = spark.sparkContext.broadcast(Path(sp_encode.default_model()).read_bytes())
+    table = sp_encode.chunk_table(d, proto, 1 << 20)
+    found, _ = sp_encode.chunks(pa.array([" twice", "here"]))
+    assert sorted(table.h1.tolist()) == sorted(sp_encode._hashes(pa.array([b" twice", b" here"]))[0].tolist()) and len(found) == 2
 
 
 def test_nearest(spark):

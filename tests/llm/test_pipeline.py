@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from conftest import SF
 
 import corpus_pipeline
@@ -23,7 +25,7 @@ def test_stages(spark):
         if name == "personal_data":
             assert set(after) == set(before) and not any(pii.base_spans(t or "") for t in after.values())
         left = got
-    sp = sp_encode.encoder(sp_encode.default_model(), 1 << 20).sp
+    sp = sp_encode.processor(Path(sp_encode.default_model()).read_bytes())
     ids = {r.doc_id: r.ids for r in corpus_pipeline.STAGES[-1][1](spark, left, SF).collect()}
     assert ids == {r.doc_id: sp.encode(r.text or "") for r in left.collect()}
 

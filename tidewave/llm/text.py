@@ -113,6 +113,26 @@ def sequence_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix64((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+_BYTES = [mix64(np.arange(1, 257, dtype=np.uint64) * k) for k in (_P, np.uint64(0xD1B54A32D192ED03))]
+
+
+def span_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each data[bounds[i]:bounds[i + 1]], made in small blocks as in word_places."""
+    n = len(bounds) - 1
+    out, i = (np.empty(n, np.uint64), np.empty(n, np.uint64)), 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _CHUNK, "right")) - 1)
+        part, at = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        up, down = _Powers.get(len(part) + 1)
+        size = np.diff(at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for h, table in zip(out, _BYTES):
+            acc = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(table[part] * up[: len(part)], out=acc[1:])
+            h[i:j] = mix64((acc[at[1:]] - acc[at[:-1]]) * down[at[:-1]] + size)
+        i = j
+    return out
+
+
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i+1]] along the first axis; 0 for empty segments."""
     n = len(offsets) - 1
