@@ -438,6 +438,31 @@ def test_near_duplicates_on_awkward_tables(spark, messy, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (prose(60, k) for k in (71, 72, 73))
+    rows = [(3, a), (5, a), (5, b), (7, b + " one"), (8, c), (8, ""), (9, c), (9, prose(60, 74)), (10, prose(60, 74)), (11, prose(60, 75)), (11, prose(60, 75)), (None, a)]
+    d = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, gone long, contaminated_md5 long, of_id long")
+    for p in (near_dedup.NearParams(), near_dedup.NearParams(hot=1, broadcast_ids=0)):
+        got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(d, p).collect()}
+        assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (10, 8), (11, 11), (None, None)}
+        left = near_dedup.deduplicated(d, p)
+        assert left.columns == d.columns and Counter(r.doc_id for r in left.collect()) == {3: 1, 8: 2, 11: 2, None: 1}
+
+
+def test_hot_buckets(spark):
+    r = random.Random(4)
+    base = prose(80, 5).split()
+    rows = []
+    for k in range(300):
+        w = list(base)
+        w[r.randrange(80)] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(300 + k, prose(40, 500 + k // 2)) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    cold, hot = ({(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(d, near_dedup.NearParams(shingle=2, hot=h)).collect()} for h in (10_000, 8))
+    assert cold == hot and {c for _, c in hot} == {0, *range(300, 360, 2)}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     from math import comb
 
@@ -472,6 +497,9 @@ def test_decontamination_on_awkward_tables(spark, messy, empty):
     assert (by[1].n_hit, by[1].n_items, by[1].spans, by[1].contaminated) == (20, 2, "10:30", True)
     assert (by[9].n_hit, by[9].n_words, by[10].n_hit) == (1, 1, 1) and by[9].items_sha256 == hashlib.sha256(b"2").hexdigest()
     assert (by[5].n_words, by[5].contaminated, by[13].n_hit) == (0, False, 0) and by[4].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert sorted(map(str, decontam.decontaminate(messy, bench, max_bytes=0).collect())) == sorted(map(str, got))
+    more = messy.withColumn("contaminated_md5", F.lit("x")).withColumn("w", F.lit(1)).withColumn("hits", F.lit(2))
+    assert sorted(map(str, decontam.remove_contaminated(more, bench, max_texts=0).collect())) == sorted(map(str, decontam.remove_contaminated(more, bench).collect()))
     left = decontam.remove_contaminated(messy, bench)
     assert left.columns == messy.columns and left.where("doc_id in (1, 2, 3, 9, 10, 11)").count() == 0 and left.where("doc_id in (4, 5, 8)").count() == 4
     assert decontam.decontaminate(empty, bench).count() == 0

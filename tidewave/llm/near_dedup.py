@@ -17,10 +17,13 @@
 A pair of similarity s shares no bucket with probability (1 - s^rows)^bands, which is
 6e-7 at 0.8 here and falls fast above.
 
+A bucket with more members than a share of all of them is hot: there are few such
+buckets, so they are sent to their members, which stay where they are.
+
 Edge cases: a null or empty text has an empty set and links with nothing; a text of
 fewer words than a shingle has one shingle, all its words; rows of equal doc_id are one
-node; a row without doc_id links with nothing and is kept, with a null component; an
-empty table gives no rows.
+node, linked by the texts of each, and share a component; a row without doc_id links with
+nothing and is kept, with a null component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared_store import drop, staged
-from .text import NOT_SPACE, batches, mix64, word_hashes
+from .text import NOT_SPACE, batches, free_name, mix64, word_hashes
 
 
 @dataclass(frozen=True)
@@ -48,6 +51,7 @@ class NearParams:
     block: int = 256  # members of a family that meet as many others in a group
     miss: float = 1e-6
     broadcast_ids: int = 2_000_000  # 8 bytes each
+    hot: int = 10_000  # members of a hot bucket, at least; and at least all members of all buckets divided by this
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,24 +274,51 @@ def _family_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, p: Near
     return staged(dealt.groupBy("family", "x", "y").applyInArrow(compare, "a long, b long"))
 
 
+def _buckets(nodes: DataFrame, p: NearParams) -> tuple[DataFrame, int]:
+    """key, leader, id, n of the members of all buckets with several, and how many members make a bucket hot."""
+    banded = _banded(nodes, p)
+    shared = staged(banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    hot = max(p.hot, (shared.agg(F.sum("n")).first()[0] or 0) // p.hot)
+    few = F.broadcast(shared.where(F.col("n") > hot))  # at most p.hot rows
+    columns = ["key", "leader", "id", "n"]
+    here = banded.join(few, "key").select(columns)
+    moved = banded.join(few, "key", "left_anti").join(shared.where(F.col("n") <= hot), "key").select(columns)
+    buckets = staged(here.unionByName(moved))
+    drop(shared)
+    return buckets, hot
+
+
+def _several(known: DataFrame, hot: int) -> DataFrame:
+    """Of buckets (key, leader, id, component, n), the members of those with several components."""
+    parts = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.first("n").alias("n")).where("lo <> hi")
+    here = known.where(F.col("n") > hot).join(F.broadcast(parts.where(F.col("n") > hot).select("key")), "key", "left_semi")
+    moved = known.where(F.col("n") <= hot).join(parts.where(F.col("n") <= hot).select("key"), "key", "left_semi")
+    return here.unionByName(moved).select("leader", "id", "component").distinct()
+
+
+def _repeated(linkable: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: each doc_id with several texts, and the node of each text's class."""
+    ids = linkable.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).where("lo <> hi").select("doc_id")
+    texts = linkable.select("doc_id", "d1", "d2").join(ids, "doc_id", "left_semi").distinct()
+    return texts.join(nodes.select("d1", "d2", "id"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     described = staged(_described(docs, p))
     linkable = described.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     least = linkable.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").alias("id"), "sig")).alias("m"))
     nodes = staged(least.select("d1", "d2", "m.id", "m.sig"))
+    repeated = staged(_repeated(linkable, nodes))
 
-    banded = _banded(nodes, p)
-    shared = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = staged(banded.join(shared, "key").select("key", "leader", "id", "n"))
+    buckets, hot = _buckets(nodes, p)
     stars = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(stars, nodes, docs, p)
+    links = _links(stars, nodes, docs, p).unionByName(repeated)
     member = staged(components(links))  # id, component of every linked node
 
     # buckets of three or more whose members aren't all in one component
-    known = buckets.where("n > 2").select("key", "leader", "id").join(member, "id", "left").select("key", "leader", "id", F.coalesce("component", "id").alias("component"))
-    split = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = staged(known.join(split, "key", "left_semi").select("leader", "id", "component").distinct())
+    known = buckets.where("n > 2").join(member, "id", "left").select("key", "leader", "id", F.coalesce("component", "id").alias("component"), "n")
+    rest = staged(_several(known, hot))
     if not rest.isEmpty():
         families = components(rest.select(F.col("leader").alias("a"), F.col("id").alias("b")))
         members = staged(rest.select("id", "component").distinct().join(families.withColumnRenamed("component", "family"), "id"))
@@ -297,17 +328,27 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     drop(rest)
     drop(buckets)
 
-    classes = nodes.select("d1", "d2", "id").join(member, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
+    of_class = nodes.select("d1", "d2", "id").join(member, "id", "left").groupBy("d1", "d2").agg(F.min(F.coalesce("component", "id")).alias("component"))
     rows = described.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("d1")).alias("d1"), "d2")
-    joined = rows.join(classes, ["d1", "d2"], "left")
+    joined = rows.join(of_class, ["d1", "d2"], "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
+    if not repeated.isEmpty():  # rows without words whose doc_id has other rows share their component
+        by_id = linkable.select("doc_id", "d1", "d2").join(of_class, ["d1", "d2"]).groupBy("doc_id").agg(F.min("component").alias("of_id"))
+        joined = joined.join(by_id, "doc_id", "left")
+        component = F.coalesce(F.col("component"), F.col("of_id"), F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns. Rows that share that document's doc_id stay."""
-    found = near_duplicates(docs, p).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near duplicates, with all its columns. Rows that share that document's doc_id stay; so do those without one.
+
+    The ids that go are counted; a bounded number is sent to the texts, which then stay
+    where they are.
+    """
+    gone = free_name(docs, "gone")
+    found = staged(near_duplicates(docs, p).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct())
+    found = F.broadcast(found) if found.count() <= p.broadcast_ids else found
+    return docs.join(found, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
 
 
 ORACLE_SQL = r"""
