@@ -12,9 +12,11 @@ _written: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where it is unset, a local folder, but only if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewave-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
