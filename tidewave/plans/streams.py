@@ -16,8 +16,12 @@ QUERIES, ORACLE_SQL = {}, {}
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that executors share; a local one only where the cluster names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewave-stream")
+    """A new folder that executors share; where none is named, a local one, but only if driver and executors are one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidewave-stream")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
