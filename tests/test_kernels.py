@@ -85,8 +85,52 @@ def test_click_train(click_train):
     assert len(rhythm.onset_detect(click_train, SR, wait=5)) >= 6
 
 
-def test_flat_envelope_gives_the_start_tempo():
-    assert rhythm.tempo(None, SR, envelope=np.ones(100)) == 120.0
+def tempo_by_loops(x, fps, low, high):
+    """Of all lags between the ranges' ends, cut to whole frames, the one of largest weighted autocorrelation."""
+    best, top = None, -np.inf
+    for lag in range(max(1, int(60 * fps / high)), min(len(x) - 1, int(60 * fps / low)) + 1):
+        r = sum(x[i] * x[i + lag] for i in range(len(x) - lag)) * np.exp(-0.5 * np.log2(60 * fps / lag / 120) ** 2)
+        best, top = (lag, r) if r > top else (best, top)
+    return 60 * fps / best
+
+
+def test_tempo_against_loops():
+    rng = np.random.default_rng(2)
+    for x in (np.ones(100), rng.random(150), np.tile([1.0, 0, 0, 0.2, 0, 0, 0], 30)):
+        assert np.isclose(rhythm.tempo(None, 22050, envelope=x), tempo_by_loops(x, 22050 / 512, 30, 300))
+        assert np.isclose(rhythm.tempo_from_activations(x, 50.0), np.clip(tempo_by_loops(x, 50.0, 55, 215), 55, 215))
+    assert rhythm.tempo(None, 22050, envelope=np.zeros(100)) == rhythm.tempo(None, 22050, envelope=np.ones(1)) == 120.0
+    assert rhythm.tempo_from_activations(np.ones(1)) == 0 and rhythm.beat_track(None, 22050, envelope=np.ones(1))[0] == 0
+
+
+def continuity_by_loops(ref, est):
+    j = run = best = 0
+    gaps = [b - a for a, b in zip(ref, ref[1:])]
+    for i, r in enumerate(ref):
+        reach = 0.175 * gaps[min(i, len(gaps) - 1)]
+        while j < len(est) - 1 and est[j] < r - reach:
+            j += 1
+        run = run + 1 if abs(r - est[j]) <= reach else 0
+        best = max(best, run)
+    return best / len(ref)
+
+
+def test_continuity_against_loops():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        ref = np.sort(rng.random(rng.integers(2, 12)) * 5)
+        est = np.sort(np.concatenate((ref[rng.random(len(ref)) < 0.8] + rng.normal(0, 0.05), rng.random(2) * 5)))
+        assert np.isclose(evaluate.continuity(ref, est), continuity_by_loops(ref, est))
+        half = [est[i] for i in range(0, len(est), 2)], [est[i] for i in range(1, len(est), 2)]
+        more = sorted([*est, *((a + b) / 2 for a, b in zip(est, est[1:]))])
+        assert np.isclose(evaluate.continuity_any(ref, est), max(continuity_by_loops(ref, e) for e in (est, more, *(half if len(est) >= 4 else ()))))
+    assert evaluate.continuity(ref, ref[:1]) == 0
+
+
+def test_default_clicks():
+    y = spectral.clicks(sr=1000.0, length=1200, freq=100.0)
+    assert np.array_equal(y, spectral.clicks([0.0, 0.5], 1000.0, 1200, 100.0)) and np.array_equal(y, spectral.clicks(None, 1000.0, 1200, 100.0, frames=[0, 500]))
+    assert np.flatnonzero(np.abs(y) > 0.5).max() < 600 and len(spectral.clicks(sr=100.0)) == 460
 
 
 def test_effects(sine):

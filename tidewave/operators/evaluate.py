@@ -28,36 +28,46 @@ def cemgil(ref, est, sigma=0.04):
 
 
 def p_score(ref, est, window=0.02, rate=100):
-    """Cosine of Gaussian-smoothed pulse trains."""
+    """Cosine of pulse trains, each pulse a Gaussian over the samples within three deviations of the one it falls on."""
     if not len(ref) or not len(est):
         return 0.0
-    t = np.arange(int(max(max(ref), max(est)) * rate) + rate) / rate
-    a, b = (np.exp(-((t[:, None] - np.asarray(x)[None, :]) ** 2) / (2 * window**2)).sum(axis=1) for x in (ref, est))
-    return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-10))
+    trains, reach = np.zeros((2, int((max(max(ref), max(est)) + 1) * rate) + 1)), int(window * rate * 3)
+    for train, beats in zip(trains, (ref, est)):
+        for x in beats:
+            i = np.arange(max(0, int(x * rate) - reach), min(len(train), int(x * rate) + reach + 1))
+            train[i] += np.exp(-0.5 * ((i - x * rate) / (window * rate)) ** 2)
+    size = np.linalg.norm(trains[0]) * np.linalg.norm(trains[1])
+    return float(trains[0] @ trains[1] / size) if size > 0 else 0.0
 
 
 def continuity(ref, est, window=0.175):
-    """Longest run of references with an estimate within a share of the local period, over their number."""
-    ref, est = np.sort(ref), np.sort(est)
-    if len(ref) < 2 or not len(est):
+    """Longest run of references that are met, over their number.
+
+    A reference is met by the first estimate, going on from the one before, that isn't
+    earlier than a share of the local period before it, if that lies within the same
+    share of it; the last estimate is never passed.
+    """
+    ref, est = np.sort(np.asarray(ref, float)), np.sort(np.asarray(est, float))
+    if len(ref) < 2 or len(est) < 2:
         return 0.0
     gap = np.diff(ref)
-    gap = np.append(gap, gap[-1])
-    ok = np.abs(est[np.abs(est[None, :] - ref[:, None]).argmin(axis=1)] - ref) <= window * gap
+    reach = window * np.append(gap, gap[-1])
+    at = np.minimum(np.searchsorted(est, np.maximum.accumulate(ref - reach)), len(est) - 1)
+    met = np.abs(est[at] - ref) <= reach
     best = run = 0
-    for x in ok:
+    for x in met:
         run = run + 1 if x else 0
         best = max(best, run)
     return best / len(ref)
 
 
 def continuity_any(ref, est, window=0.175):
-    """The best over the references at the original, double and half tempo."""
-    ref = np.sort(ref)
-    if len(ref) < 2:
+    """The best over the estimates as they are, with one more halfway between any two, and, of four or more, every other one."""
+    est = np.sort(np.asarray(est, float))
+    if len(est) < 2:
         return 0.0
-    double = np.sort(np.concatenate((ref, (ref[1:] + ref[:-1]) / 2)))
-    return max(continuity(r, est, window) for r in (ref, double, ref[::2], ref[1::2]))
+    tried = [est, np.sort(np.concatenate((est, (est[1:] + est[:-1]) / 2)))]
+    return max(continuity(ref, e, window) for e in (tried + [est[::2], est[1::2]] if len(est) >= 4 else tried))
 
 
 def beat_scores(ref, est, window=0.07):

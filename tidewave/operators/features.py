@@ -30,13 +30,14 @@ def flatness(s, exponent=2.0, amin=1e-10):
 
 
 def contrast(s, f, n_bands=6, fmin=200.0, quantile=0.02):
-    """dB between the means of the strongest and the weakest bins of each octave band, the band below fmin first."""
-    edges = np.concatenate(([0], fmin * 2.0 ** np.arange(n_bands + 1)))
+    """dB between the means of the strongest and the weakest bins of each octave band, the band below fmin first, the last one up to the highest frequency. Edges and shares are rounded to whole bins, halves up."""
+    hz = np.concatenate(([0], fmin * 2.0 ** np.arange(n_bands), f[-1:]))
+    edges = np.minimum(np.floor(hz / (f[1] - f[0]) + 0.5).astype(int), s.shape[1])
     out = np.zeros((len(s), n_bands + 1))
     for k in range(n_bands + 1):
-        band = np.sort(s[:, (f >= edges[k]) & (f < edges[k + 1])], axis=1)
+        band = np.sort(s[:, edges[k] : edges[k + 1]], axis=1)
         if band.shape[1]:
-            q = max(1, int(round(quantile * band.shape[1])))
+            q = max(1, int(quantile * band.shape[1] + 0.5))
             out[:, k] = 10 * np.log10(np.maximum(band[:, -q:].mean(axis=1), 1e-10)) - 10 * np.log10(np.maximum(band[:, :q].mean(axis=1), 1e-10))
     return out
 
@@ -84,8 +85,8 @@ def chroma_vqt(y, sr, hop=None, bpo=36, octaves=7, norm=None, gamma=0.0):
 def cens(chroma, smooth=41):
     """Quantised, smoothed and normalised chroma; the edges repeat the outermost frames."""
     x = normalize(chroma, 1.0)
-    q = sum((x > t).astype(float) for t in (0.05, 0.1, 0.2, 0.4)) * 0.25
-    w = np.hanning(smooth + 2)[1:-1]
+    q = sum((x >= t).astype(float) for t in (0.05, 0.1, 0.2, 0.4))
+    w = np.hanning(smooth)
     half = smooth // 2
     padded = np.pad(q, ((half, half), (0, 0)), mode="edge") if len(q) else q
     out = np.stack([(padded[t : t + smooth] * w[:, None]).sum(axis=0) / w.sum() for t in range(len(q))]) if len(q) else q

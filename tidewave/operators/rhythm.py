@@ -112,22 +112,25 @@ def smooth(x, width):
 
 
 def _acf_tempo(x, fps, start_bpm, low=30.0, high=300.0, std=1.0):
-    x = x - x.mean() if len(x) else x
-    if not len(x) or not np.any(np.abs(x) > 1e-12):
+    """The tempo whose lag has the largest autocorrelation (of x as it is, mean included), weighted by a log-normal prior; lags are cut to whole frames."""
+    lags = np.arange(max(1, int(60 * fps / high)), min(len(x) - 1, int(60 * fps / low)) + 1)
+    if len(lags) < 2:
         return start_bpm
     acf = spectral.autocorrelate(x)
-    lags = np.arange(max(1, int(np.ceil(60 * fps / high))), min(len(x) - 1, int(60 * fps / low)) + 1)
-    if not len(lags):
-        return start_bpm
     bpm = 60 * fps / lags
     return float(bpm[(acf[lags] * np.exp(-0.5 * (np.log2(bpm / start_bpm) / std) ** 2)).argmax()])
 
 
 def tempo(y, sr, hop=512, start_bpm=120.0, envelope=None):
-    return _acf_tempo(onset_strength(y, sr, hop) if envelope is None else np.asarray(envelope, float), sr / hop, start_bpm)
+    """start_bpm for an envelope without a positive value."""
+    x = onset_strength(y, sr, hop) if envelope is None else np.asarray(envelope, float)
+    return _acf_tempo(x, sr / hop, start_bpm) if len(x) and x.max() > 0 else start_bpm
 
 
 def tempo_from_activations(x, fps=100.0, low=55.0, high=215.0, start_bpm=120.0):
+    """0 for fewer than two frames."""
+    if len(x) < 2:
+        return 0.0
     return float(np.clip(_acf_tempo(np.asarray(x, float), fps, start_bpm, low, high), low, high))
 
 
@@ -147,7 +150,7 @@ def comb_backward(x, delay, alpha=1.0):
 
 def tempo_filter_bank(x, fps, low=30, high=300, alpha=0.99):
     bpm = np.arange(low, high + 1)
-    return bpm, np.array([(comb_forward(x, max(1, round(60 * fps / b)), alpha) ** 2).sum() for b in bpm])
+    return bpm, np.array([(comb_forward(x, max(1, int(60 * fps / b + 0.5)), alpha) ** 2).sum() for b in bpm])
 
 
 def comb_filter_tempo(x, fps, low=30, high=300, alpha=0.99):
@@ -195,11 +198,11 @@ def beat_dp(x, period, trim=True, tightness=100.0):
 
 
 def beat_track(y, sr, hop=512, start_bpm=120.0, trim=True, envelope=None):
-    """(bpm, beat frames)."""
+    """(bpm, beat frames); 0 and none for fewer than two frames."""
     x = onset_strength(y, sr, hop) if envelope is None else np.asarray(envelope, float)
-    if not len(x) or x.max() <= 0:
-        return start_bpm, np.zeros(0, np.int64)
-    x = x / x.max()
+    if len(x) < 2:
+        return 0.0, np.zeros(0, np.int64)
+    x = x / x.max() if x.max() > 0 else x
     bpm = _acf_tempo(x, sr / hop, start_bpm)
     return bpm, beat_dp(x, 60 * sr / hop / bpm, trim)
 
@@ -207,6 +210,8 @@ def beat_track(y, sr, hop=512, start_bpm=120.0, trim=True, envelope=None):
 def neural_beats(x, fps=100.0, low=55.0, high=215.0, threshold=0.05, trim=True):
     """(bpm, beat frames) of beat activations."""
     x = np.asarray(x, float)
+    if len(x) < 2:
+        return 0.0, np.flatnonzero(x >= threshold)
     bpm = tempo_from_activations(x, fps, low, high)
     beats = beat_dp(x, 60 * fps / bpm, trim=False)
     beats = beats[x[beats] >= threshold]

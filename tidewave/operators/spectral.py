@@ -179,7 +179,7 @@ def mfcc_to_audio(c, sr, n_mels=128, n_fft=2048, hop=512, n_iter=32, seed=0):
 
 def pcen(s, sr, hop, gain=0.98, bias=2.0, exponent=0.5, time_constant=0.06, eps=1e-6):
     """Per-channel energy normalisation: an automatic gain by a first-order mean, then a root."""
-    t = time_constant * sr / hop
+    t = sr / (hop * 2 * np.pi * time_constant)
     b = (np.sqrt(1 + 4 * t * t) - 1) / (2 * t * t)
     m = np.empty_like(s)
     for k in range(len(s)):
@@ -239,11 +239,15 @@ def chirp(fmin, fmax, sr=22050.0, length=None, duration=None, linear=True):
     return np.sin(2 * np.pi * fmin * (np.expm1(k * t) / k if abs(k) > 1e-12 else t))
 
 
-def clicks(times, sr=22050.0, length=None, freq=1000.0, duration=0.1):
+def clicks(times=None, sr=22050.0, length=None, freq=1000.0, duration=0.1, frames=None):
+    """Sines that fall to e^-5 over `duration`, added at times (cut to whole samples), or at samples `frames`; without either, every half second of `length` samples, or of 5 seconds."""
+    if times is None and frames is None:
+        times = np.arange(int((length / sr if length is not None else 5.0) / 0.5)) * 0.5
+    at = (np.asarray(times, float) * sr).astype(int) if times is not None else np.asarray(frames, int)
     n = int(duration * sr)
-    at = np.round(np.asarray(times, float) * sr).astype(int)
-    y = np.zeros(length if length is not None else (int(at.max()) + n if len(at) else 0))
-    click = np.sin(2 * np.pi * freq * np.arange(n) / sr) * np.exp(-np.arange(n) / (n / 10))
+    y = np.zeros(length if length is not None else (int(at.max()) if len(at) else 0) + n)
+    t = np.arange(n) / sr
+    click = np.sin(2 * np.pi * freq * t) * np.exp(-5 * t / duration)
     for a in at[(at >= 0) & (at < len(y))]:
         part = y[a : a + n]
         part += click[: len(part)]

@@ -53,12 +53,16 @@ for _m in ("fixed", "adaptive", "combined"):
     add(f"neural_onset_{_m}", lambda s, d, m=_m: lift(sig(s, d), lambda y: one(rhythm.neural_onset_detect(y, 1.5 if m == "fixed" else 0.1, m, wait=1)), ["samples"], "idx bigint"), f"""WITH {SIG}, w AS (SELECT signal_id, idx, y, max(y) OVER o AS top, avg(y) OVER o AS mean, max(y) OVER (PARTITION BY signal_id) AS peak FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
 SELECT signal_id, idx FROM w WHERE y >= top AND {_c if _m != 'combined' else 'y >= 0.1 AND y >= mean + 0.1 * peak'}""")
 add("smooth", lambda s, d: src.hourly_events(s, d).select("signal_id", "idx", F.avg("y").over(by_idx("idx").rowsBetween(-3, 3)).alias("v")), f"WITH {SIG} SELECT signal_id, idx, {R('avg(y) OVER (PARTITION BY signal_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)')} AS v FROM sig")
-TEMPO = f"""{SIG}, c AS (SELECT signal_id, idx, y - avg(y) OVER (PARTITION BY signal_id) AS y FROM sig), acf AS (SELECT a.signal_id, b.idx - a.idx AS lag, sum(a.y * b.y) AS r FROM c a JOIN c b ON a.signal_id = b.signal_id AND b.idx - a.idx BETWEEN 8 AND 80 GROUP BY 1, 2),
-t AS (SELECT signal_id, 2400.0 / lag AS bpm, r * exp(-0.5 * pow(log2(2400.0 / lag / 120), 2)) AS p FROM acf)"""
+#: every lag whose tempo is in the range, cut to whole frames at 40 frames a second: 2400 / 300 to 2400 / 30
+TEMPO = f"""{SIG}, acf AS (SELECT a.signal_id, b.idx - a.idx AS lag, sum(a.y * b.y) AS r FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx - a.idx BETWEEN 8 AND 80 GROUP BY 1, 2),
+t AS (SELECT signal_id, lag, 2400.0 / lag AS bpm, r * exp(-0.5 * pow(log2(2400.0 / lag / 120), 2)) AS p FROM acf)"""
 add("tempo", lambda s, d: lift(sig(s, d), lambda y: [(rhythm.tempo(y, 40.0, 1, envelope=y),)], ["samples"], "bpm double"), f"WITH {TEMPO} SELECT signal_id, {R('arg_max(bpm, p)')} AS bpm FROM t GROUP BY 1")
-add("tempo_from_activations", events(lambda y: [(rhythm.tempo_from_activations(y, 40.0),)], "bpm double"))
-add("comb_filter_tempo", events(lambda y: [(rhythm.comb_filter_tempo(y, 40.0),)], "bpm double"))
-add("tempo_filter_bank", events(lambda y: zip(*rhythm.tempo_filter_bank(y, 40.0)), "bpm bigint, energy double"))
+add("tempo_from_activations", events(lambda y: [(rhythm.tempo_from_activations(y, 40.0),)], "bpm double"), f"WITH {TEMPO} SELECT signal_id, {R('greatest(55.0, least(215.0, arg_max(bpm, p)))')} AS bpm FROM t WHERE lag BETWEEN 11 AND 43 GROUP BY 1")
+COMBS = f"""{SIG}, d AS (SELECT b AS bpm, CAST(floor(2400.0 / b + 0.5) AS BIGINT) AS delay FROM (SELECT unnest(range(30, 301)) AS b)), k AS (SELECT DISTINCT delay, unnest(range(0, 720 // delay + 1)) AS k FROM (SELECT DISTINCT delay FROM d)),
+f AS (SELECT a.signal_id, delay, a.idx, sum(pow(CAST(0.99 AS DOUBLE), k) * b.y) AS v FROM sig a CROSS JOIN k JOIN sig b ON b.signal_id = a.signal_id AND b.idx = a.idx - k * delay GROUP BY 1, 2, 3),
+e AS (SELECT signal_id, delay, sum(v * v) AS energy FROM f GROUP BY 1, 2)"""
+add("comb_filter_tempo", events(lambda y: [(rhythm.comb_filter_tempo(y, 40.0),)], "bpm double"), f"WITH {COMBS}, t AS (SELECT signal_id, bpm, energy, max(energy) OVER (PARTITION BY signal_id) AS top FROM e JOIN d USING (delay)) SELECT signal_id, CAST(min(bpm) AS DOUBLE) AS bpm FROM t WHERE energy = top GROUP BY 1")
+add("tempo_filter_bank", events(lambda y: zip(*rhythm.tempo_filter_bank(y, 40.0)), "bpm bigint, energy double"), f"WITH {COMBS} SELECT signal_id, bpm, {R('energy')} AS energy FROM e JOIN d USING (delay)")
 add("comb_forward", events(lambda y: enumerate(rhythm.comb_forward(y, 24, 0.9048374180359595)), "idx bigint, v double"), f"WITH {SIG} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), (a.idx - b.idx) // 24) * b.y)')} AS v FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx <= a.idx AND (a.idx - b.idx) % 24 = 0 GROUP BY 1, 2")
 add("comb_backward", lambda s, d: src.hourly_events(s, d).select("signal_id", "idx", (F.col("y") + 0.5 * F.lag("y", 24, 0.0).over(by_idx("idx"))).alias("v")), f"WITH {SIG} SELECT signal_id, idx, {R('y + 0.5 * coalesce(lag(y, 24) OVER (PARTITION BY signal_id ORDER BY idx), 0)')} AS v FROM sig")
 add("beat_dp", events(lambda y: one(rhythm.beat_dp(y / max(y.max(), 1e-9), 24.0))))

@@ -138,7 +138,7 @@ add("relative_key", lambda s, d: s.range(24).select(F.col("id").alias("k"), F.wh
 add("tone", lambda s, d: src.tone(s, 440.0, 8000.0, 2000, phi=0.3), f"SELECT i AS idx, {R('sin(2 * pi() * 440 * i / 8000 + 0.3)')} AS y FROM (SELECT unnest(range(0, 2000)) AS i)")
 add("chirp", lambda s, d: src.chirp(s, 100.0, 900.0, 8000.0, 2000), f"SELECT i AS idx, {R('sin(2 * pi() * (100 * i / 8000.0 + 800 / (2 * 0.25) * (i / 8000.0) * (i / 8000.0)))')} AS y FROM (SELECT unnest(range(0, 2000)) AS i)")
 add("chirp_exponential", lambda s, d: src.chirp(s, 100.0, 900.0, 8000.0, 2000, linear=False), f"SELECT i AS idx, {R('sin(2 * pi() * 100 * (exp(ln(9) / 0.25 * i / 8000.0) - 1) / (ln(9) / 0.25))')} AS y FROM (SELECT unnest(range(0, 2000)) AS i)")
-add("clicks", lambda s, d: src.clicks(s.createDataFrame([("a", 0.0), ("a", 0.05), ("a", 0.5)], "signal_id string, time double"), 1000.0, 700, 100.0), f"SELECT 'a' AS signal_id, p + k AS idx, {R('sum(sin(2 * pi() * 100 * k / 1000.0) * exp(-k / 10.0))')} AS y FROM (SELECT unnest([0, 50, 500]) AS p) CROSS JOIN (SELECT unnest(range(0, 100)) AS k) GROUP BY 2")
+add("clicks", lambda s, d: src.clicks(s.createDataFrame([("a", 0.0), ("a", 0.05), ("a", 0.5)], "signal_id string, time double"), 1000.0, 700, 100.0), f"SELECT 'a' AS signal_id, p + k AS idx, {R('sum(sin(2 * pi() * 100 * k / 1000.0) * exp(-5 * k / 1000.0 / 0.1))')} AS y FROM (SELECT unnest([0, 50, 500]) AS p) CROSS JOIN (SELECT unnest(range(0, 100)) AS k) GROUP BY 2")
 
 
 # --- evaluation: purchases as references, clicks as estimates, in hours, by user

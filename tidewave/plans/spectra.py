@@ -105,6 +105,9 @@ add("spectral_rolloff", per_frame_one(lambda y: features.rolloff(S(y), F_HZ, 0.8
 add("spectral_flatness", per_frame_one(lambda y: features.flatness(S(y))), f"WITH {SPEC} SELECT signal_id, frame, {R('CASE WHEN sum(m) < 1e-10 THEN 0 ELSE exp(avg(ln(greatest(m * m, 1e-10)))) / avg(greatest(m * m, 1e-10)) END')} AS v FROM spec GROUP BY 1, 2")
 add("spectral_contrast", per_frame(lambda y: features.contrast(S(y), F_HZ, 3, 2.0)), f"""WITH {SPEC}, e(band, lo, hi) AS (VALUES (0, 0, 2), (1, 2, 4), (2, 4, 8), (3, 8, 16)), b AS (SELECT signal_id, frame, band, m FROM spec JOIN e ON f >= lo AND f < hi)
 SELECT signal_id, frame, band AS bin, {R('10 * log10(greatest(max(m), 1e-10)) - 10 * log10(greatest(min(m), 1e-10))')} AS v FROM b GROUP BY 1, 2, 3""")
+# edges 0, 2.5, 5, 16 Hz at 1 Hz a bin, halves up: bins 0-2, 3-4, 5-15; of 3, 2 and 11 bins the outermost 1, 1 and 3
+add("spectral_contrast_shares", per_frame(lambda y: features.contrast(S(y), F_HZ, 2, 2.5, 0.3)), f"""WITH {SPEC}, e(band, lo, hi, n, q) AS (VALUES (0, 0, 3, 3, 1), (1, 3, 5, 2, 1), (2, 5, 16, 11, 3)), b AS (SELECT signal_id, frame, band, n, q, m, row_number() OVER (PARTITION BY signal_id, frame, band ORDER BY m) AS r FROM spec JOIN e ON spec.bin >= lo AND spec.bin < hi)
+SELECT signal_id, frame, band AS bin, {R('10 * log10(greatest(avg(m) FILTER (WHERE r > n - q), 1e-10)) - 10 * log10(greatest(avg(m) FILTER (WHERE r <= q), 1e-10))')} AS v FROM b GROUP BY 1, 2, 3""")
 CHROMA = banks.chroma(SR, SIZE)
 CHSQL = f"ch AS (SELECT signal_id, frame, band AS c, sum(w * m * m) AS v FROM spec JOIN {values(CHROMA)} fb USING (bin) GROUP BY 1, 2, 3)"
 add("chroma_stft", lambda s, d: tidy(by_frame(sig(s, d), lambda y, sr: features.chroma_stft(y, SR, SIZE, HOP, center=False)), bin_name="c"), f"WITH {SPEC}, {CHSQL} SELECT signal_id, frame, c, {R('v')} AS v FROM ch")
@@ -144,7 +147,8 @@ def stft_relational(spark, d):
     return out.select("signal_id", "frame", "bin", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v"))
 
 
-PCEN_B = float((np.sqrt(1 + 4 * (SR / HOP) ** 2) - 1) / (2 * (SR / HOP) ** 2))
+PCEN_T = SR / (HOP * 2 * np.pi)  # frames of a time constant of one second, over 2 pi
+PCEN_B = float((np.sqrt(1 + 4 * PCEN_T**2) - 1) / (2 * PCEN_T**2))
 ORACLE_SQL["pcen"] = f"""WITH {SPEC}, k AS (SELECT a.signal_id, a.frame, a.bin, any_value(a.m) AS s, sum(pow(CAST({1 - PCEN_B!r} AS DOUBLE), a.frame - b.frame) * CASE WHEN b.frame = 0 THEN 1 ELSE {PCEN_B!r} END * b.m) AS e FROM spec a JOIN spec b ON a.signal_id = b.signal_id AND a.bin = b.bin AND b.frame <= a.frame GROUP BY 1, 2, 3)
 SELECT signal_id, frame, bin, {R('sqrt(s / pow(1e-6 + e, 0.98) + 2) - sqrt(CAST(2 AS DOUBLE))')} AS v FROM k"""
 
@@ -153,7 +157,7 @@ add("istft_round_trip", lambda s, d: lift(sig(s, d), lambda y: [(float(np.abs(sp
 add("reassigned_spectrogram", lambda s, d: lift(sig(s, d), lambda y: ((t, list(a), list(b), list(c)) for t, (a, b, c) in enumerate(zip(*spectral.reassigned(y, SR, SIZE, HOP)))), ["samples"], "frame bigint, mag array<double>, freq array<double>, time array<double>"))
 for _name, _kernel in {
     "vqt": lambda y: spectral.vqt(y, 2048.0, 64, 32.7, None, 12, 2.0, 256), "hybrid_cqt": lambda y: spectral.hybrid_cqt(y, 2048.0, 64, 32.7, None, 12, 256), "chroma_cqt": lambda y: features.chroma_cqt(y, 2048.0, 512), "chroma_vqt": lambda y: features.chroma_vqt(y, 2048.0, 512, gamma=1.0),
-    "chroma_cens": lambda y: features.cens(features.chroma_stft(y, SR, SIZE, HOP)), "deep_chroma_context": lambda y: features.deep_chroma_context(S(y)), "fourier_tempogram": lambda y: rhythm.fourier_tempogram(y, 96), "tempogram": lambda y: rhythm.tempogram(y, 96), "phase_vocoder": lambda y: np.abs(spectral.phase_vocoder(spectral.stft_complex(y, SIZE, HOP), 1.5, HOP)),
+    "chroma_cens": lambda y: features.cens(features.chroma_cqt(y, 2048.0, 64)), "deep_chroma_context": lambda y: features.deep_chroma_context(S(y)), "fourier_tempogram": lambda y: rhythm.fourier_tempogram(y, 96), "tempogram": lambda y: rhythm.tempogram(y, 96), "phase_vocoder": lambda y: np.abs(spectral.phase_vocoder(spectral.stft_complex(y, SIZE, HOP), 1.5, HOP)),
     "mel_to_stft": lambda y: spectral.mel_to_stft(spectral.melspectrogram(y, SR, SIZE, HOP, MELS), SR, SIZE), "mfcc_to_mel": lambda y: spectral.mfcc_to_mel(spectral.mfcc(y, SR, 5, SIZE, HOP, MELS), MELS), "interp_harmonics": lambda y: features.interp_harmonics(S(y), F_HZ, (1, 2, 3)).reshape(-1, 3 * len(F_HZ)), "salience": lambda y: features.salience(S(y), F_HZ, (1, 2, 3)),
     "f0_harmonics": lambda y: features.f0_harmonics(S(y), F_HZ, np.full(len(S(y)), 2.0), (1, 2, 3)), "tempogram_ratio": lambda y: features.tempogram_ratio(rhythm.tempogram(y, 96)[:, 1:], banks.tempo_frequencies(96, 1, 8.0)[1:]), "log_filterbank": lambda y: S(y) @ banks.logarithmic(SR, SIZE, 6, 2.0, 14.0, 8.0).T,
 }.items():

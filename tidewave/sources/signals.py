@@ -130,11 +130,17 @@ def chirp(spark: SparkSession, fmin: float, fmax: float, sr: float = 22050.0, le
 
 
 def clicks(times: DataFrame, sr: float = 22050.0, length: int | None = None, freq: float = 1000.0, duration: float = 0.1) -> DataFrame:
-    """signal_id, idx, y: decaying sines added at each (signal_id, time). Samples without a click are left out."""
+    """signal_id, idx, y: sines that fall to e^-5 over `duration`, added at each (signal_id, time), cut to whole samples, or (signal_id, frame). Samples without a click are left out."""
     n = int(duration * sr)
-    at = times.select("signal_id", F.round(F.col("time") * sr).cast("bigint").alias("at"))
-    each = at.select("signal_id", "at", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("k"))
-    y = F.sin(F.col("k") * (2 * np.pi * freq) / sr) * F.exp(-F.col("k") / (n / 10))
-    out = each.select("signal_id", (F.col("at") + F.col("k")).alias("idx"), y.alias("y")).where("idx >= 0")
+    begin = F.col("frame").cast("bigint") if "frame" in times.columns else (F.col("time") * sr).cast("bigint")
+    each = times.select("signal_id", begin.alias("at")).where("at >= 0").select("signal_id", "at", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("k"))
+    t = F.col("k") / sr
+    out = each.select("signal_id", (F.col("at") + F.col("k")).alias("idx"), (F.sin(2 * np.pi * freq * t) * F.exp(-5 / duration * t)).alias("y"))
     out = out.where(F.col("idx") < length) if length is not None else out
     return out.groupBy("signal_id", "idx").agg(F.sum("y").alias("y"))
+
+
+def default_clicks(spark: SparkSession, sr: float = 22050.0, length: int | None = None) -> DataFrame:
+    """signal_id, time of a click every half second of `length` samples, or of 5 seconds."""
+    seconds = length / sr if length is not None else 5.0
+    return spark.range(int(seconds / 0.5)).select(F.lit("clicks").alias("signal_id"), (F.col("id") * 0.5).alias("time"))
