@@ -12,7 +12,8 @@ its units; runs that then have at least `min_words` words are removed, and their
 offsets in the original text (code points, end exclusive) are returned.
 
 `min_words` is part of the definition: shorter repeats (set phrases, short lines) are
-left alone. Digests, positions and words at the ends of runs are shuffled, and of the
+left alone. A word repeated over and over has no cuts of its own but those after `longest`
+words, so such stretches are found as far as these coincide. Digests, positions and words at the ends of runs are shuffled, and of the
 texts only those that have such ends. A unit that a whole corpus shares is reduced to
 its least occurrence on the map side; where occurrences are joined to that, the engine
 may split a hot digest's partition.
@@ -48,6 +49,11 @@ class DedupParams:
     broadcast_ids: int = 1_000_000  # texts with ends of runs, 16 bytes each; beyond it they meet the texts in a shuffle
 
 
+def reach(p: DedupParams) -> int:
+    """Words that a run may be extended by: those of the unit beside it, and of the next as far as a cut between them depends on words beyond the passage."""
+    return p.longest + p.radius + 1
+
+
 def cuts(h: np.ndarray, offsets: np.ndarray, line: np.ndarray, p: DedupParams) -> np.ndarray:
     """The words that begin a unit. h: hashes of the words of all texts; line: whether a word begins a line."""
     n = len(h)
@@ -158,14 +164,14 @@ def _consecutive(found: list[dict]) -> list[list[dict]]:
 
 
 def _beside(docs: DataFrame, ends: DataFrame, p: DedupParams) -> DataFrame:
-    """rank, row, at, side, words (hashes of up to 2 * longest words from the word `at` on, outwards) and places (offsets of the run's end, were it extended by 0, 1, ... of them)."""
+    """rank, row, at, side, words (hashes of those from the word `at` on, outwards, as many as an extension can have) and places (offsets of the run's end, were it extended by 0, 1, ... of them)."""
     own = ends.select("rank", "row", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi")).alias("at"), "side")
     other = ends.select(F.col("s_rank").alias("rank"), F.col("s_row").alias("row"), F.col("s_at").alias("at"), "side")
     asked = staged(own.unionByName(other).groupBy("rank", "row").agg(F.collect_set(F.struct("at", "side")).alias("asked")))
     source = _source(docs)
     if asked.count() <= p.broadcast_ids:
         source = source.join(F.broadcast(asked.select("rank", "row")), ["rank", "row"], "left_semi")
-    most = 2 * p.longest
+    most = reach(p)
 
     def run(it):
         for b in batches(it, 4 << 20):
@@ -189,10 +195,10 @@ def _beside(docs: DataFrame, ends: DataFrame, p: DedupParams) -> DataFrame:
                         words, places = h[at:stop], points[end[max(at - 1, 0) : stop]]
                     for column, value in zip(out, (b.column("rank")[i], b.column("row")[i], x["at"], x["side"], words, places - zero)):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rank", "row", "at", "side", "words", "places"])
 
-    found = source.join(asked, ["rank", "row"]).mapInArrow(run, "rank long, row long, at int, side int, words array<long>, places array<long>")
+    found = source.join(asked, ["rank", "row"]).mapInArrow(run, "rank long, row long, at int, side int, words array<long>, places array<int>")
     return staged(found.dropDuplicates(["rank", "row", "at", "side"]))
 
 
@@ -207,8 +213,8 @@ def passages(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     pairs = ends.join(theirs, ["s_rank", "s_row", "s_at", "side"]).withColumn("at", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi"))).join(mine, ["rank", "row", "at", "side"])
     equal = F.zip_with("words", "s_words", lambda a, b: a.eqNullSafe(b))
     length = F.array_position(F.concat(equal, F.array(F.lit(False))), False).cast("int") - 1
-    reach = F.max(F.struct(length.alias("n"), F.get("places", length).alias("place")))
-    sides = pairs.groupBy("rank", "row", "lo", "hi", "units", "first", "side").agg(reach.alias("r"))
+    farthest = F.max(F.struct(length.alias("n"), F.get("places", length).cast("long").alias("place")))
+    sides = pairs.groupBy("rank", "row", "lo", "hi", "units", "first", "side").agg(farthest.alias("r"))
     part = lambda side, name: F.max(F.when(F.col("side") == side, F.col(f"r.{name}")))
     runs = sides.groupBy("rank", "row", "lo", "hi", "units", "first").agg(part(_LEFT, "n").alias("before"), part(_RIGHT, "n").alias("after"), part(_LEFT, "place").alias("start"), part(_RIGHT, "place").alias("end"))
     spans = runs.select("rank", "row", F.struct((F.col("lo") - F.col("before")).alias("a"), (F.col("hi") + F.col("after")).alias("z"), "start", "end", "units", "first").alias("x"))
