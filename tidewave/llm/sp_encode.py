@@ -120,7 +120,8 @@ def ids_of(texts: pa.Array, table: ChunkTable, sp: sentencepiece.SentencePiecePr
     where = np.minimum(np.searchsorted(table.h1, k1), max(len(table.h1) - 1, 0))
     known = (table.h1[where] == k1) & (table.h2[where] == k2) if len(table.h1) else np.zeros(len(k1), bool)
     size, start = np.zeros(len(k1), np.int64), np.zeros(len(k1), np.int64)
-    start[known], size[known] = table.at[where[known]], table.at[where[known] + 1] - table.at[where[known]]
+    start[known] = table.at[where[known]]
+    size[known] = table.at[where[known] + 1] - start[known]
     pool = _ragged(table.ids, start[known], size[known])
     new = segment([c.decode() for c in found.take(pa.array(first[~known])).to_pylist()], sp)
     size[~known] = [len(x) for x in new]
@@ -136,7 +137,7 @@ def chunk_table(docs: DataFrame, model: Broadcast, table_bytes: int) -> ChunkTab
     """model: the model's bytes. The ids of the distinct chunks of all texts that occur more than once; the most frequent of them, if all need more than table_bytes."""
 
     def counted(it):
-        for b in batches(it):
+        for b in batches(it, 4 << 20):
             found, _ = chunks(b.column("text"))
             _, first, n = np.unique(_hashes(found)[0], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([found.take(pa.array(first)).cast(pa.binary()), pa.array(n)], ["chunk", "n"])
@@ -154,7 +155,7 @@ def chunk_table(docs: DataFrame, model: Broadcast, table_bytes: int) -> ChunkTab
     made = staged(each.mapInArrow(segmented, "h1 long, h2 long, ids binary, n long"))
     step = F.floor(F.log2("n"))  # frequencies by powers of two: a few dozen rows
     least, total = 0, 0
-    for r in made.groupBy(step.alias("step")).agg(F.sum(F.length("ids") + 24).alias("bytes")).orderBy(F.desc("step")).collect():
+    for r in made.groupBy(step.alias("step")).agg(F.sum(F.length("ids") + 20).alias("bytes")).orderBy(F.desc("step")).collect():
         total += r["bytes"]
         if total > table_bytes:
             least = r["step"] + 1
@@ -167,10 +168,10 @@ def chunk_table(docs: DataFrame, model: Broadcast, table_bytes: int) -> ChunkTab
     at = at // 4
     size = np.diff(at)[order]
     ids = _ragged(np.frombuffer(raw, np.int32), at[:-1][order], size)
-    return ChunkTable(h1[order], h2[order], np.concatenate(([0], np.cumsum(size))), ids)
+    return ChunkTable(h1[order], h2[order], np.concatenate(([0], np.cumsum(size))).astype(np.uint32), ids)
 
 
-def encode(docs: DataFrame, model: str | None = None, table_bytes: int = 128 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, table_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_tokens, ids (array of int), decoded (string), ids_sha256 and decoded_sha256 of every whole text."""
     proto = Path(model or default_model()).read_bytes()
     safe = cuts_are_safe(processor(proto))
@@ -181,7 +182,7 @@ def encode(docs: DataFrame, model: str | None = None, table_bytes: int = 128 <<
 
     def run(it):
         sp, sha = processor(sent.value), hashlib.sha256
-        for b in batches(it, 8 << 20):
+        for b in batches(it, 2 << 20):
             texts = b.column("text").fill_null("").cast(pa.large_string())
             whole = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False) if safe else np.ones(len(texts), bool)
             found: list = [None] * len(texts)
