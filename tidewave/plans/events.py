@@ -108,11 +108,11 @@ def run_lengths(spark, d):
 add("run_length_encode", run_lengths, f"WITH {ACT}, {RLE} SELECT signal_id, CAST(k AS BIGINT) AS k, min(idx) AS start, max(idx) + 1 AS stop FROM g GROUP BY signal_id, g, k")
 add("piano_threshold", events(lambda y: harmony.piano_threshold(np.clip(y, 0, None)[:, None], 1.0, 3), "start bigint, stop bigint, midi bigint, velocity double"), f"WITH {ACT}, {RLE} SELECT signal_id, min(idx) AS start, max(idx) + 1 AS stop, CAST(21 AS BIGINT) AS midi, {R('avg(s.y)')} AS velocity FROM g JOIN sig s USING (signal_id, idx) WHERE k = 1 GROUP BY signal_id, g HAVING count(*) >= 3")
 add("piano_hmm", events(lambda y: harmony.piano_hmm(np.clip(y / 4, 0.001, 0.999)[:, None]), "start bigint, stop bigint, midi bigint, velocity double"))
-VIT = f"""{SIG}, o AS (SELECT signal_id, idx, ln(greatest(1 - least(greatest(y / 4, 0.001), 0.999), 1e-10)) AS o0, ln(least(greatest(y / 4, 0.001), 0.999)) AS o1 FROM sig WHERE idx < 200),
+VIT = f"""{SIG}, o AS (SELECT signal_id, idx, ln(greatest(1 - least(greatest(y / 4, 0.001), 0.999), 1e-10)) AS o0, ln(least(greatest(y / 4, 0.001), 0.999)) AS o1 FROM sig),
 f(signal_id, idx, s0, s1, b0, b1) AS (SELECT signal_id, idx, ln(CAST(0.5 AS DOUBLE)) + o0, ln(CAST(0.5 AS DOUBLE)) + o1, 0, 0 FROM o WHERE idx = 0
  UNION ALL SELECT f.signal_id, o.idx, greatest(s0 + ln(CAST(0.9 AS DOUBLE)), s1 + ln(CAST(0.1 AS DOUBLE))) + o0, greatest(s0 + ln(CAST(0.1 AS DOUBLE)), s1 + ln(CAST(0.9 AS DOUBLE))) + o1,
   CASE WHEN s1 + ln(CAST(0.1 AS DOUBLE)) > s0 + ln(CAST(0.9 AS DOUBLE)) THEN 1 ELSE 0 END, CASE WHEN s1 + ln(CAST(0.9 AS DOUBLE)) > s0 + ln(CAST(0.1 AS DOUBLE)) THEN 1 ELSE 0 END FROM f JOIN o ON o.signal_id = f.signal_id AND o.idx = f.idx + 1),
-b(signal_id, idx, st) AS (SELECT signal_id, idx, CASE WHEN s1 > s0 THEN 1 ELSE 0 END FROM f WHERE idx = 199 UNION ALL SELECT b.signal_id, b.idx - 1, CASE WHEN b.st = 1 THEN f.b1 ELSE f.b0 END FROM b JOIN f ON f.signal_id = b.signal_id AND f.idx = b.idx WHERE b.idx > 0)"""
+b(signal_id, idx, st) AS (SELECT signal_id, idx, CASE WHEN s1 > s0 THEN 1 ELSE 0 END FROM f WHERE idx = 719 UNION ALL SELECT b.signal_id, b.idx - 1, CASE WHEN b.st = 1 THEN f.b1 ELSE f.b0 END FROM b JOIN f ON f.signal_id = b.signal_id AND f.idx = b.idx WHERE b.idx > 0)"""
 
 
 def _whole(y):
@@ -121,8 +121,7 @@ def _whole(y):
 
 
 def _two(y):
-    """As VIT has it: the first 200 samples."""
-    return _whole(y[:200])
+    return _whole(y)
 
 
 add("viterbi", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi(_two(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
