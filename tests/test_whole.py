@@ -14,21 +14,24 @@ def test_dtw_path(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.normal(size=64)], k) for k, n in ((0, 9), (1, 8), (2, 1)) for i in range(100 * k, 100 * k + n)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cost = {r.signal_id: r.cost for r in catalog.QUERIES["dtw"](spark, str(tmp_path)).collect()}
+    assert set(cost) == {0, 1}
     got = {}
     for r in catalog.QUERIES["dtw_path"](spark, str(tmp_path)).collect():
         got.setdefault(r.signal_id, []).append((r.i, r.j))
     assert set(got) == {0, 1}
 
-    def cheapest(c, i, j):
+    def cheapest(c, i, j, side=2):
         if i == j == 0:
             return c[0, 0]
-        ways = [cheapest(c, i - a, j - b) + (1 if a and b else 2) * c[i, j] for a, b in ((1, 1), (1, 0), (0, 1)) if i >= a and j >= b]
+        ways = [cheapest(c, i - a, j - b, side) + (1 if a and b else side) * c[i, j] for a, b in ((1, 1), (1, 0), (0, 1)) if i >= a and j >= b]
         return min(ways)
 
     for k, path in got.items():
         m = np.array([np.float32(v) for _, v, label in rows if label == k], float)
         c = sequence.pairwise(m[: len(m) // 2], m[len(m) // 2 :])
         i, j = c.shape[0] - 1, c.shape[1] - 1
+        assert np.isclose(cost[k], cheapest(c, i, j, 1))
         want = [(i, j)]
         while i or j:  # backwards along the least cumulative cost
             i, j = min(((a, b) for a, b in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if a >= 0 and b >= 0), key=lambda s: cheapest(c, *s))

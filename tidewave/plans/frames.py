@@ -41,6 +41,12 @@ def ones(m):
     return ((int(i), int(j)) for i, j in zip(*np.nonzero(m)))
 
 
+def _halves_cost(m):
+    """The cost of aligning the first half of the frames with the second; a single frame has none."""
+    half = len(m) // 2
+    return [(float(sequence.dtw(sequence.pairwise(m[:half], m[half:]))[-1, -1]),)] if half else []
+
+
 def _halves_path(m):
     """The path between the first half of the frames and the second; a single frame has none."""
     half = len(m) // 2
@@ -68,10 +74,11 @@ dg AS (SELECT signal_id, count(*) AS len FROM (SELECT signal_id, j - i AS k, i -
 vt AS (SELECT signal_id, count(*) AS len FROM (SELECT signal_id, j, i - row_number() OVER (PARTITION BY signal_id, j ORDER BY i) AS g FROM p) GROUP BY signal_id, j, g),
 a AS (SELECT signal_id, sum(len) AS total, sum(len) FILTER (len >= 2) AS dl, avg(len) FILTER (len >= 2) AS md, max(len) FILTER (len >= 2) AS longest FROM dg GROUP BY 1), b AS (SELECT signal_id, sum(len) FILTER (len >= 2) AS vl FROM vt GROUP BY 1)"""
 add("rqa", over(lambda m: [tuple(segment.rqa(segment.recurrence(m, "threshold", threshold=1.2))[k] for k in ("rate", "determinism", "laminarity", "mean_diagonal", "longest"))], "rate double, determinism double, laminarity double, mean_diagonal double, longest double"), f"""WITH {RQA} SELECT CAST(s.signal_id AS BIGINT) AS signal_id, {R('coalesce(total, 0) / (n * n)')} AS rate, {R('coalesce(dl / total, 0)')} AS determinism, {R('coalesce(vl / total, 0)')} AS laminarity, {R('coalesce(md, 0)')} AS mean_diagonal, {R('CAST(coalesce(longest, 0) AS DOUBLE)')} AS longest FROM s LEFT JOIN a USING (signal_id) LEFT JOIN b USING (signal_id)""")
-add("dtw", over(lambda m: [(float(sequence.dtw(sequence.pairwise(m[:20], m[20:40]))[-1, -1]),)], "cost double"), f"""WITH RECURSIVE {FR}, cost AS (SELECT a.signal_id, a.i, b.i - 20 AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM c a JOIN c b ON a.signal_id = b.signal_id AND a.k = b.k WHERE a.i < 20 AND b.i >= 20 AND b.i < 40 GROUP BY 1, 2, 3),
+add("dtw", over(lambda m: _halves_cost(m), "cost double"), f"""WITH RECURSIVE {FR}, h AS (SELECT signal_id, count(*) AS n, count(*) // 2 AS half FROM e GROUP BY 1),
+cost AS (SELECT a.signal_id, a.i, b.i - half AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM c a JOIN h USING (signal_id) JOIN c b ON a.signal_id = b.signal_id AND a.k = b.k WHERE a.i < half AND b.i >= half GROUP BY 1, 2, 3),
 w(signal_id, s, row1, row2) AS (SELECT signal_id, CAST(0 AS BIGINT), map([CAST(0 AS BIGINT)], [d]), map([CAST(-1 AS BIGINT)], [CAST('inf' AS DOUBLE)]) FROM cost WHERE i = 0 AND j = 0
- UNION ALL SELECT w.signal_id, any_value(w.s) + 1, map_from_entries(list((cost.i, d + least(coalesce(row2[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i], CAST('inf' AS DOUBLE)))))), any_value(row1) FROM w JOIN cost ON cost.signal_id = w.signal_id AND cost.i + cost.j = w.s + 1 WHERE w.s < 38 GROUP BY w.signal_id)
-SELECT {ID}, {R('row1[19]')} AS cost FROM w WHERE s = 38""")
+ UNION ALL SELECT w.signal_id, any_value(w.s) + 1, map_from_entries(list((cost.i, d + least(coalesce(row2[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i], CAST('inf' AS DOUBLE)))))), any_value(row1) FROM w JOIN cost ON cost.signal_id = w.signal_id AND cost.i + cost.j = w.s + 1 GROUP BY w.signal_id)
+SELECT {ID}, {R('row1[half - 1]')} AS cost FROM w JOIN h USING (signal_id) WHERE s = n - 2""")
 add("dtw_path", over(lambda m: _halves_path(m), "i bigint, j bigint"))
 add("agglomerative", over(lambda m: ((int(b),) for b in segment.agglomerative(m, 6)), "boundary bigint"))
 add("agglomerative_labels", over(lambda m: ((i, int(x)) for i, x in enumerate(segment.labels_of(segment.agglomerative(m, 6), len(m)))), "i bigint, segment bigint"))
@@ -86,8 +93,8 @@ add("chord_detect_simple", over(lambda m: ((a, b, harmony.CHORDS.index(x)) for a
 SELECT {ID}, min(i) AS start, max(i) + 1 AS stop, k AS chord FROM g GROUP BY signal_id, g, k""")
 add("chord_detect", over(lambda m: harmony.chord_detect(np.abs(m)[:, :25] + 1e-6), "start bigint, stop bigint, label string"))
 for _how, _sql in {"mean": "avg(v)", "median": "median(v)", "max": "max(v)"}.items():
-    add(f"ensemble_{_how}", over(lambda m, h=_how: cells(ml.ensemble([lambda x: x, lambda x: 2 * x, lambda x: 1 - x], m[:, :4], h)[0]), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID}, i, k, {R(_sql)} AS v FROM (SELECT signal_id, i, k, unnest([x, 2 * x, 1 - x]) AS v FROM c WHERE k < 4) GROUP BY 1, 2, 3")
-add("chunked_inference", over(lambda m: cells(ml.chunked(lambda x: x - x.mean(axis=0), m[:40, :4], 8, 4)), "i bigint, k bigint, v double"), f"""WITH {FR}, p AS (SELECT signal_id, s, i, k, x - avg(x) OVER (PARTITION BY signal_id, s, k) AS v FROM c JOIN (SELECT unnest(range(0, 36, 4)) AS s) q ON i BETWEEN s AND s + 7 WHERE k < 4 AND i < 40) SELECT {ID}, i, k, {R('avg(v)')} AS v FROM p GROUP BY 1, 2, 3""")
+    add(f"ensemble_{_how}", over(lambda m, h=_how: cells(ml.ensemble([lambda x: x, lambda x: 2 * x, lambda x: 1 - x], m, h)[0]), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID}, i, k, {R(_sql)} AS v FROM (SELECT signal_id, i, k, unnest([x, 2 * x, 1 - x]) AS v FROM c) GROUP BY 1, 2, 3")
+add("chunked_inference", over(lambda m: cells(ml.chunked(lambda x: x - x.mean(axis=0), m, 8, 4)), "i bigint, k bigint, v double"), f"""WITH {FR}, q AS (SELECT signal_id, unnest(range(0, greatest(count(*) - 8, 0) + 4, 4)) AS s FROM e GROUP BY 1), p AS (SELECT signal_id, s, i, k, x - avg(x) OVER (PARTITION BY signal_id, s, k) AS v FROM c JOIN q USING (signal_id) WHERE i BETWEEN s AND s + 7) SELECT {ID}, i, k, {R('avg(v)')} AS v FROM p GROUP BY 1, 2, 3""")
 _W = np.array([[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(3)] for i in range(64)])
 add("dense_layer", over(lambda m: cells(ml.dense(m, _W, np.array([0.1, 0.2, 0.3]), "relu")), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID}, i, j AS k, {R('greatest(0, sum(x * ((k * 7 + j * 3) % 11 - 5) / 10.0) + (j + 1) / 10.0)')} AS v FROM c CROSS JOIN (SELECT unnest(range(0, 3)) AS j) GROUP BY signal_id, i, j")
 add("conv2d", over(lambda m: cells(ml.conv2d(m[None], np.array([[[[0.5, 0.25], [0.25, -0.5]]]]))[0]), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID.replace('signal_id AS', 'a.signal_id AS', 1)}, a.i, a.k, {R('sum(b.x * CASE WHEN b.i = a.i AND b.k = a.k THEN 0.5 WHEN b.i > a.i AND b.k > a.k THEN -0.5 ELSE 0.25 END)')} AS v FROM c a JOIN c b ON a.signal_id = b.signal_id AND b.i BETWEEN a.i AND a.i + 1 AND b.k BETWEEN a.k AND a.k + 1 GROUP BY 1, 2, 3 HAVING count(*) = 4")
