@@ -35,9 +35,11 @@ def parabola(x, i):
 
 def yin(y, sr, fmin=65.0, fmax=2093.0, size=2048, hop=None, threshold=0.1, center=True):
     """Hz of each frame, 0 where none."""
-    low, high = max(1, int(sr / fmax)), min(int(sr / fmin), size - 1)
-    out = []
-    for f in spectral.frames(np.asarray(y, float), size, hop or size // 4, center):
+    low, high = max(1, int(sr / fmax)), min(int(sr / fmin), size // 2)
+    framed, out = spectral.frames(np.asarray(y, float), size, hop or size // 4, center), []
+    if high <= low:
+        return np.zeros(len(framed))
+    for f in framed:
         d = cmndf(difference(f, high))
         part = d[low : high + 1]
         below = np.flatnonzero(part < threshold)
@@ -45,7 +47,7 @@ def yin(y, sr, fmin=65.0, fmax=2093.0, size=2048, hop=None, threshold=0.1, cente
         while len(below) and i + 1 < len(part) and part[i + 1] < part[i]:
             i += 1
         hz = sr / parabola(d, low + i)
-        out.append(hz if fmin <= hz <= fmax and np.any(f) else 0.0)
+        out.append(hz if fmin <= hz <= fmax else 0.0)
     return np.array(out)
 
 
@@ -58,7 +60,7 @@ def beta_cdf(x, a=2, b=18):
 
 def pyin(y, sr, fmin=65.0, fmax=2093.0, size=2048, hop=None, n_thresholds=100, resolution=0.1, switch=0.01, center=True):
     """(Hz or NaN, voiced, probability) of each frame: pitch candidates over many thresholds, decoded by Viterbi."""
-    low, high = max(1, int(sr / fmax)), min(int(sr / fmin), size - 1)
+    low, high = max(1, int(sr / fmax)), min(int(sr / fmin), size // 2)
     n_bins = int(np.ceil(12 * np.log2(fmax / fmin) / resolution)) + 1
     edges = np.linspace(0, 1, n_thresholds + 1)
     prior = np.diff(beta_cdf(edges))

@@ -71,7 +71,15 @@ add("neural_beat_track", events(lambda y: one(rhythm.neural_beats(np.clip(y / 5,
 add("downbeat_detect", events(lambda y: ((int(b), bool(k)) for b, k in zip(*rhythm.downbeats(np.stack([1 - np.clip(y / 6, 0, 1), 0.6 * np.clip(y / 6, 0, 1), 0.4 * np.clip(y / 6, 0, 1)], 1), 40.0))), "idx bigint, down boolean"))
 add("plp", events(lambda y: enumerate(rhythm.plp(y, 40.0, 96)), "idx bigint, v double"))
 # --- pitch
-add("yin", events(lambda y: ((t, float(v)) for t, v in enumerate(pitch.yin(y, SR, 2.0, 14.0, SIZE, HOP))), "frame bigint, hz double"))
+YIN = f"""{SIG}, pad AS (SELECT s.signal_id, i + 16 AS i, coalesce(y, 0) AS y FROM (SELECT DISTINCT signal_id FROM sig) s CROSS JOIN (SELECT unnest(range(-16, 736)) AS i) g LEFT JOIN sig ON sig.signal_id = s.signal_id AND sig.idx = g.i),
+ly AS (SELECT signal_id, unnest(range(0, 721, {HOP})) AS start FROM (SELECT DISTINCT signal_id FROM pad)),
+df AS (SELECT ly.signal_id, start, b.i - a.i AS lag, sum((a.y - b.y) * (a.y - b.y)) AS d FROM ly JOIN pad a ON a.signal_id = ly.signal_id AND a.i BETWEEN start AND start + 31 JOIN pad b ON b.signal_id = ly.signal_id AND b.i BETWEEN a.i + 1 AND a.i + 16 AND b.i <= start + 31 GROUP BY 1, 2, 3),
+run AS (SELECT *, sum(d) OVER (PARTITION BY signal_id, start ORDER BY lag) AS total FROM df), nd AS (SELECT signal_id, start, lag, CASE WHEN total > 0 THEN d * lag / total ELSE 1 END AS v FROM run),
+nb AS (SELECT *, coalesce(lag(v) OVER w, 1) AS before, lead(v) OVER w AS after FROM nd WINDOW w AS (PARTITION BY signal_id, start ORDER BY lag)),
+dip AS (SELECT signal_id, start, min(lag) FILTER (v < 0.1) AS first, arg_min(lag, (v, lag)) AS deepest FROM nb WHERE lag >= 2 GROUP BY 1, 2),
+pick AS (SELECT signal_id, start, coalesce(min(lag) FILTER (lag >= first AND (after IS NULL OR after >= v)), any_value(deepest)) AS lag FROM nb JOIN dip USING (signal_id, start) GROUP BY 1, 2),
+hz AS (SELECT signal_id, start, {SR} / (lag + CASE WHEN lag < 16 AND abs(before - 2 * v + after) > 1e-12 THEN (before - after) / (2 * (before - 2 * v + after)) ELSE 0 END) AS hz FROM pick JOIN nb USING (signal_id, start, lag))"""
+add("yin", events(lambda y: ((t, float(v)) for t, v in enumerate(pitch.yin(y, SR, 2.0, 14.0, SIZE, HOP))), "frame bigint, hz double"), f"WITH {YIN} SELECT signal_id, start // {HOP} AS frame, {R('CASE WHEN hz BETWEEN 2 AND 14 THEN hz ELSE 0 END')} AS hz FROM hz")
 add("pyin", events(lambda y: ((t, None if np.isnan(a) else float(a), bool(b), float(c)) for t, (a, b, c) in enumerate(zip(*pitch.pyin(y, SR, 2.0, 14.0, SIZE, HOP, 20, 0.5)))), "frame bigint, hz double, voiced boolean, p double"))
 add("yin_difference", events(lambda y: ((t, k, float(v)) for t, f in enumerate(spectral.frames(y, SIZE, HOP)) for k, v in enumerate(pitch.difference(f, 12))), "frame bigint, lag bigint, d double"), f"WITH {FRAMED} SELECT a.signal_id, a.frame, b.i - a.i AS lag, {R('sum((a.y - b.y) * (a.y - b.y))', 8)} AS d FROM fr a JOIN fr b ON a.signal_id = b.signal_id AND a.frame = b.frame AND b.i - a.i BETWEEN 0 AND 12 GROUP BY 1, 2, 3", 8)
 add("cmndf", events(lambda y: ((t, k, float(v)) for t, f in enumerate(spectral.frames(y, SIZE, HOP)) for k, v in enumerate(pitch.cmndf(pitch.difference(f, 12)))), "frame bigint, lag bigint, d double"), f"""WITH {FRAMED}, d AS (SELECT a.signal_id, a.frame, b.i - a.i AS lag, sum((a.y - b.y) * (a.y - b.y)) AS d FROM fr a JOIN fr b ON a.signal_id = b.signal_id AND a.frame = b.frame AND b.i - a.i BETWEEN 0 AND 12 GROUP BY 1, 2, 3),
@@ -127,10 +135,17 @@ def _two(y):
 add("viterbi", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi(_two(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
 add("viterbi_binary", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi_binary(_two(y)[:, 1], 0.9)[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
 add("viterbi_discriminative", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi_discriminative(_two(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
+# two-state smoothing on probabilities: shares forwards and backwards, scaled at each step
+SMOOTH = f"""{SIG}, o AS (SELECT signal_id, idx, least(greatest(y / 4, 0.001), 0.999) AS on1 FROM sig),
+fw(signal_id, idx, p, z) AS (SELECT signal_id, idx, on1, CAST(0 AS DOUBLE) FROM o WHERE idx = 0
+ UNION ALL SELECT fw.signal_id, o.idx, on1 * (0.1 + 0.8 * p) / (on1 * (0.1 + 0.8 * p) + (1 - on1) * (0.9 - 0.8 * p)), z + ln(on1 * (0.1 + 0.8 * p) + (1 - on1) * (0.9 - 0.8 * p)) FROM fw JOIN o ON o.signal_id = fw.signal_id AND o.idx = fw.idx + 1),
+bw(signal_id, idx, q) AS (SELECT signal_id, idx, CAST(0.5 AS DOUBLE) FROM o WHERE idx = 719
+ UNION ALL SELECT bw.signal_id, bw.idx - 1, (0.9 * on1 * q + 0.1 * (1 - on1) * (1 - q)) / (on1 * q + (1 - on1) * (1 - q)) FROM bw JOIN o USING (signal_id, idx) WHERE bw.idx > 0)"""
+MARGINAL = f"WITH RECURSIVE {SMOOTH} SELECT signal_id, idx, {R('p * q / (p * q + (1 - p) * (1 - q))')} AS p FROM fw JOIN bw USING (signal_id, idx)"
 _T = np.log(sequence.transition_loop(2, 0.9))
-add("forward_backward", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.posteriors(np.log(_whole(y)), np.log([0.5, 0.5]), _T)[:, 1])), "idx bigint, p double"))
-add("crf_marginals", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.crf_marginals(np.log(_whole(y)), _T)[:, 1])), "idx bigint, p double"))
-add("crf_log_partition", events(lambda y: [(sequence.crf_log_partition(np.log(_whole(y)), _T),)], "z double"))
+add("forward_backward", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.posteriors(np.log(_whole(y)), np.log([0.5, 0.5]), _T)[:, 1])), "idx bigint, p double"), MARGINAL)
+add("crf_marginals", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.crf_marginals(np.log(_whole(y)), _T)[:, 1])), "idx bigint, p double"), MARGINAL)
+add("crf_log_partition", events(lambda y: [(sequence.crf_log_partition(np.log(_whole(y)), _T),)], "z double"), f"WITH RECURSIVE {SMOOTH} SELECT signal_id, {R('z')} AS z FROM fw WHERE idx = 719")
 add("chord_detect_runs", events(lambda y: harmony.chord_detect(spectral.power(y, 64, 8, None, False)[:, :25] + 1e-9), "start bigint, stop bigint, label string"))
 add("matrix_product", lambda s, d: tidy(by_frame(sig(s, d), lambda y, sr: S(y) @ spectra.MEL.T), bin_name="band"), f"WITH {SPEC} SELECT signal_id, frame, band, {R('sum(w * m)')} AS v FROM spec JOIN {spectra.values(spectra.MEL)} fb USING (bin) GROUP BY 1, 2, 3")
 add("conv1d", events(lambda y: enumerate(np.correlate(y, [0.25, 0.5, 0.25], "valid")), "idx bigint, v double"), f"WITH {SIG}, c AS (SELECT signal_id, idx, 0.25 * y + 0.5 * lead(y) OVER o + 0.25 * lead(y, 2) OVER o AS v FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx)) SELECT signal_id, idx, {R('v')} AS v FROM c WHERE v IS NOT NULL")

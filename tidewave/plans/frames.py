@@ -157,7 +157,12 @@ def times(spark, d):
 
 TIMES = "t AS (SELECT user_id AS signal_id, event_type, (epoch(ts) - 1704067200) / 3600 AS t FROM events), r AS (SELECT signal_id, t FROM t WHERE event_type = 'purchase'), e AS (SELECT signal_id, t FROM t WHERE event_type = 'click'), u AS (SELECT DISTINCT signal_id FROM t)"
 add("cemgil", lambda s, d: lift(times(s, d), lambda a, b: [(evaluate.cemgil(a, b, 4.0),)], ["ref", "est"], "v double"), f"WITH {TIMES}, m AS (SELECT r.signal_id, r.t, max(exp(-pow(r.t - e.t, 2) / 32)) AS v FROM r JOIN e USING (signal_id) GROUP BY 1, 2) SELECT u.signal_id, {R('coalesce(avg(v), 0)')} AS v FROM u LEFT JOIN m USING (signal_id) GROUP BY 1")
-add("onset_evaluate", lambda s, d: lift(times(s, d), lambda a, b: [evaluate.onset_scores(a, b, 6.0)], ["ref", "est"], "precision double, recall double, f double"))
+MATCHED = f"""{TIMES}, a AS (SELECT u.signal_id, (SELECT coalesce(list(r.t ORDER BY r.t), []) FROM r WHERE r.signal_id = u.signal_id) AS ref, (SELECT coalesce(list(e.t ORDER BY e.t), []) FROM e WHERE e.signal_id = u.signal_id) AS est FROM u),
+g(signal_id, k, ref, free, hits, n) AS (SELECT signal_id, 1, ref, est, 0, len(est) FROM a
+ UNION ALL SELECT signal_id, k + 1, ref, CASE WHEN best.d <= 6 THEN list_filter(free, lambda x, i: i <> best.i) ELSE free END, hits + CASE WHEN best.d <= 6 THEN 1 ELSE 0 END, n
+ FROM (SELECT *, list_min(list_transform(free, lambda x, i: {{'d': abs(x - ref[k]), 'i': i}})) AS best FROM g WHERE k <= len(ref))),
+s AS (SELECT signal_id, hits, len(ref) AS m, n FROM g WHERE k = len(ref) + 1)"""
+add("onset_evaluate", lambda s, d: lift(times(s, d), lambda a, b: [evaluate.onset_scores(a, b, 6.0)], ["ref", "est"], "precision double, recall double, f double"), f"WITH RECURSIVE {MATCHED} SELECT signal_id, {R('CASE WHEN n * m > 0 THEN hits / n ELSE 0.0 END')} AS precision, {R('CASE WHEN n * m > 0 THEN hits / m ELSE 0.0 END')} AS recall, {R('CASE WHEN n * m > 0 THEN 2 * hits / (n + m) ELSE 0.0 END')} AS f FROM s")
 add("beat_evaluate", lambda s, d: lift(times(s, d), lambda a, b: [tuple(evaluate.beat_scores(a / 100, b / 100).values())], ["ref", "est"], "f_measure double, cemgil double, p_score double, cml_c double, cml_t double, aml_c double, aml_t double"))
 add("interval_matches", lambda s, d: interval_matches(s, d), f"WITH {TIMES} SELECT r.signal_id, count(*) AS n FROM r JOIN e ON r.signal_id = e.signal_id AND abs(r.t - e.t) <= 6 GROUP BY 1")
 

@@ -57,7 +57,7 @@ add("processor_notes", scalars(lambda y: P.PianoNotes(threshold=1.0)(y[:, None])
 # --- windows and grids
 _WSQL = {"hann": "0.5 - 0.5 * cos(2 * pi() * i / 32)", "hamming": "0.54 - 0.46 * cos(2 * pi() * i / 32)", "blackman": "0.42 - 0.5 * cos(2 * pi() * i / 32) + 0.08 * cos(4 * pi() * i / 32)", "bartlett": "1 - abs(2 * i / 32.0 - 1)", "rectangular": "1.0", "triangular": "1 - abs(2 * (i - 16.0) / 34)"}
 add("windows", lambda s, d: s.createDataFrame([(k, i, float(v)) for k in _WSQL for i, v in enumerate(windows.WINDOWS[k](32))], "name string, i bigint, v double"), " UNION ALL ".join(f"SELECT '{k}' AS name, i, {R(v)} AS v FROM (SELECT unnest(range(0, 32)) AS i)" for k, v in _WSQL.items()))
-add("window_kaiser", lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(windows.kaiser(32))], "i bigint, v double"))
+add("window_kaiser", lambda s, d: s.createDataFrame([(i, float(v)) for i, v in enumerate(windows.kaiser(32))], "i bigint, v double"), f"WITH x AS (SELECT i, 6 * sqrt(1 - pow(2 * i / 32.0 - 1, 2)) AS h FROM (SELECT unnest(range(0, 32)) AS i)), t AS (SELECT i, pow(h, 2 * k) / pow(exp(lgamma(k + 1)), 2) AS v, pow(6.0, 2 * k) / pow(exp(lgamma(k + 1)), 2) AS top FROM x CROSS JOIN (SELECT unnest(range(0, 40)) AS k)) SELECT i, {R('sum(v) / sum(top)')} AS v FROM t GROUP BY 1")
 _GRIDS = {"fft": banks.fft_frequencies(22050, 64), "cqt": banks.cqt_frequencies(36, 32.7), "semitone": banks.semitone_frequencies(), "tempo": banks.tempo_frequencies(65)[1:], "fourier_tempo": banks.fourier_tempo_frequencies(64), "mel": banks.mel_frequencies(10)}
 _GSQL = {"fft": ("i * 22050 / 64.0", 33), "cqt": ("32.7 * pow(2, i / 12.0)", 36), "semitone": ("440 * pow(2, (i + 24 - 69) / 12.0)", 96), "tempo": ("60 * 22050.0 / (512 * (i + 1))", 64), "fourier_tempo": ("i * 22050 * 60 / (512 * 64.0)", 33)}
 _MEL = "15 + 27 * ln(11025 / 1000.0) / ln(6.4)"
