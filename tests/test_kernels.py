@@ -256,3 +256,20 @@ def test_tonnetz_and_banks():
     assert np.allclose(banks.mel_to_hz(banks.hz_to_mel(np.array([10.0, 999, 1000, 8000]))), [10, 999, 1000, 8000])
     v = banks.variable_q(SR, 2048)
     assert np.allclose(v.sum(axis=1), 1)
+
+
+def test_tempogram_scales():
+    x = np.zeros(40)
+    x[20] = 3.0
+    t, f = rhythm.tempogram(x, 12), rhythm.fourier_tempogram(x, 12)
+    assert t.shape == (40, 12) and np.isclose(t[20, 0], 9) and np.allclose(t[:, 1:], 0)  # the pulse at the window's top, not normalised
+    assert np.isclose(f[20, 0], 2 * 3 / 16) and np.allclose(f[20, 1:7], 4 * 3 / 16)
+
+
+def test_harmonics_and_ratio():
+    s, f = np.array([[0.0, 1, 2, 3, 4]]), np.arange(5.0)
+    assert np.allclose(features.salience(s, f, (1, 2), [1, 3]), [[0, 3.5, 7, 1.5, 2]])
+    assert np.allclose(features.f0_harmonics(np.repeat(s, 3, axis=0), f, [1.5, np.nan, 0], (1, 2)), [[1.5, 3], [0, 0], [0, 0]])
+    bpm = np.array([np.inf, 480, 240, 160, 120])
+    got = features.tempogram_ratio(np.array([[9.0, 8, 4, 2, 1]]), bpm, factors=(0.5, 1, 3, 4))
+    assert np.allclose(got, [[0, 1 / 8, 6 / 8, 1]])

@@ -122,18 +122,25 @@ def interp_harmonics(s, f, harmonics):
 
 
 def f0_harmonics(s, f, f0, harmonics):
-    return np.stack([np.interp(np.asarray(harmonics) * a, f, row, left=0, right=0) for row, a in zip(s, f0)]) if len(s) else np.zeros((0, len(harmonics)))
+    """Magnitudes at multiples of each frame's pitch; zeros where that is NaN or not positive."""
+    rows = [np.interp(np.asarray(harmonics) * a, f, row, left=0, right=0) if a > 0 else np.zeros(len(harmonics)) for row, a in zip(s, f0)]
+    return np.stack(rows) if rows else np.zeros((0, len(harmonics)))
 
 
 def salience(s, f, harmonics=(1, 2, 3, 4, 5), weights=None, aggregate=None):
-    h = interp_harmonics(s, f, harmonics)
+    """Weighted magnitudes at the harmonics, aggregated over these: their plain mean by default."""
     w = np.ones(len(harmonics)) if weights is None else np.asarray(weights, float)
-    return np.average(h, axis=1, weights=w) if aggregate is None else aggregate(h * w[None, :, None])
+    h = interp_harmonics(s, f, harmonics) * w[None, :, None]
+    return h.mean(axis=1) if aggregate is None else aggregate(h)
 
 
-def tempogram_ratio(t, bpms, base=120.0, factors=(1, 2, 3, 4), norm=None):
-    order = np.argsort(bpms)
-    x = np.stack([[np.interp(k * base, bpms[order], row[order]) for k in factors] for row in t])
+def tempogram_ratio(t, bpms, base=120.0, factors=(1, 2, 3, 4), norm=np.inf):
+    """The tempogram at multiples of a tempo, zero beyond its finite tempi; each frame is normalised."""
+    known = np.isfinite(bpms) & (bpms > 0)
+    if known.sum() < 2:
+        return np.zeros((len(t), len(factors)))
+    order = np.flatnonzero(known)[np.argsort(bpms[known])]
+    x = np.array([np.interp(base * np.asarray(factors, float), bpms[order], row[order], left=0, right=0) for row in t]).reshape(len(t), len(factors))
     return x if norm is None else normalize(x, norm)
 
 

@@ -158,21 +158,24 @@ def comb_filter_tempo(x, fps, low=30, high=300, alpha=0.99):
     return float(bpm[e.argmax()])
 
 
-def tempogram(x, win=384):
-    """Hann-windowed local autocorrelation, (frame, lag)."""
+def _centred(x, win):
+    """Hann-windowed stretches around each value, zeros beyond the ends."""
     p = np.pad(np.asarray(x, float), win // 2)
-    f = np.lib.stride_tricks.sliding_window_view(p, win)[: len(x)] * np.hanning(win + 1)[:-1]
-    z = np.fft.rfft(f, 2 * win, axis=1)
-    a = np.fft.irfft(z * z.conj(), axis=1)[:, :win]
-    return np.where(a[:, :1] > 1e-10, a / np.where(a[:, :1] > 1e-10, a[:, :1], 1), 0)
+    return np.lib.stride_tricks.sliding_window_view(p, win)[: len(x)] * np.hanning(win + 1)[:-1]
+
+
+def tempogram(x, win=384):
+    """Hann-windowed local autocorrelation, (frame, lag), as it is."""
+    z = np.fft.rfft(_centred(x, win), 2 * win, axis=1)
+    return np.fft.irfft(z * z.conj(), axis=1)[:, :win]
 
 
 def fourier_tempogram(x, win=384):
-    """Magnitudes on a grid of the next power of two, the first win/2 + 1 bins."""
+    """Magnitudes on a grid of the next power of two, the first win/2 + 1 bins, times 4 / size; half that for the real bins at both ends."""
     size = 1 << int(np.ceil(np.log2(win)))
-    p = np.pad(np.asarray(x, float), win // 2)
-    f = np.lib.stride_tricks.sliding_window_view(p, win)[: len(x)] * np.hanning(win + 1)[:-1]
-    return np.abs(np.fft.rfft(f, size, axis=1))[:, : win // 2 + 1] * 2 / size
+    m = np.abs(np.fft.rfft(_centred(x, win), size, axis=1)) * 4 / size
+    m[:, [0, -1]] /= 2
+    return m[:, : win // 2 + 1]
 
 
 def beat_dp(x, period, trim=True, tightness=100.0):

@@ -159,9 +159,23 @@ for _name, _kernel in {
     "vqt": lambda y: spectral.vqt(y, 2048.0, 64, 32.7, None, 12, 2.0, 256), "hybrid_cqt": lambda y: spectral.hybrid_cqt(y, 2048.0, 64, 32.7, None, 12, 256), "chroma_cqt": lambda y: features.chroma_cqt(y, 2048.0, 512), "chroma_vqt": lambda y: features.chroma_vqt(y, 2048.0, 512, gamma=1.0),
     "chroma_cens": lambda y: features.cens(features.chroma_cqt(y, 2048.0, 64)), "deep_chroma_context": lambda y: features.deep_chroma_context(S(y)), "fourier_tempogram": lambda y: rhythm.fourier_tempogram(y, 96), "tempogram": lambda y: rhythm.tempogram(y, 96), "phase_vocoder": lambda y: np.abs(spectral.phase_vocoder(spectral.stft_complex(y, SIZE, HOP), 1.5, HOP)),
     "mel_to_stft": lambda y: spectral.mel_to_stft(spectral.melspectrogram(y, SR, SIZE, HOP, MELS), SR, SIZE), "mfcc_to_mel": lambda y: spectral.mfcc_to_mel(spectral.mfcc(y, SR, 5, SIZE, HOP, MELS), MELS), "interp_harmonics": lambda y: features.interp_harmonics(S(y), F_HZ, (1, 2, 3)).reshape(-1, 3 * len(F_HZ)), "salience": lambda y: features.salience(S(y), F_HZ, (1, 2, 3)),
-    "f0_harmonics": lambda y: features.f0_harmonics(S(y), F_HZ, np.full(len(S(y)), 2.0), (1, 2, 3)), "tempogram_ratio": lambda y: features.tempogram_ratio(rhythm.tempogram(y, 96)[:, 1:], banks.tempo_frequencies(96, 1, 8.0)[1:]), "log_filterbank": lambda y: S(y) @ banks.logarithmic(SR, SIZE, 6, 2.0, 14.0, 8.0).T,
+    "f0_harmonics": lambda y: features.f0_harmonics(S(y), F_HZ, np.full(len(S(y)), 2.0), (1, 2, 3)), "tempogram_ratio": lambda y: features.tempogram_ratio(rhythm.tempogram(y, 96), banks.tempo_frequencies(96, 1, 8.0)), "log_filterbank": lambda y: S(y) @ banks.logarithmic(SR, SIZE, 6, 2.0, 14.0, 8.0).T,
 }.items():
     add(_name, per_frame(_kernel))
+SEGMENT = f"{SIG}, seg AS (SELECT signal_id, frame, idx - frame + 48 AS i, y * 0.5 * (1 - cos(2 * pi() * (idx - frame + 48) / 96)) AS v FROM sig JOIN (SELECT unnest(range(0, {N})) AS frame) f ON idx BETWEEN frame - 48 AND frame + 47)"
+LOCAL_ACF = f"{SEGMENT}, acf AS (SELECT a.signal_id, a.frame, b.i - a.i AS lag, sum(a.v * b.v) AS v FROM seg a JOIN seg b ON a.signal_id = b.signal_id AND a.frame = b.frame AND b.i >= a.i GROUP BY 1, 2, 3), tg AS (SELECT s.signal_id, s.idx AS frame, g.lag, coalesce(acf.v, 0) AS v FROM sig s CROSS JOIN (SELECT unnest(range(0, 96)) AS lag) g LEFT JOIN acf ON acf.signal_id = s.signal_id AND acf.frame = s.idx AND acf.lag = g.lag)"
+ORACLE_SQL["tempogram"] = f"WITH {LOCAL_ACF} SELECT signal_id, frame, lag AS bin, {R('v')} AS v FROM tg"
+ORACLE_SQL["fourier_tempogram"] = f"WITH {SEGMENT} SELECT signal_id, frame, bin, {R('CASE WHEN bin = 0 THEN 2 ELSE 4 END * sqrt(pow(sum(v * cos(2 * pi() * bin * i / 128)), 2) + pow(sum(v * sin(2 * pi() * bin * i / 128)), 2)) / 128')} AS v FROM seg CROSS JOIN (SELECT unnest(range(0, 49)) AS bin) GROUP BY 1, 2, 3"
+# a tempo of 120 k lies between the lags above and below 480 / (120 k), on a line in beats a minute
+ORACLE_SQL["tempogram_ratio"] = f"""WITH {LOCAL_ACF}, k AS (SELECT bin, 120.0 * (bin + 1) AS bpm, CAST(ceil(4 / (bin + 1)) AS BIGINT) AS slow, CAST(floor(4 / (bin + 1)) AS BIGINT) AS fast FROM (SELECT unnest(range(0, 4)) AS bin)),
+met AS (SELECT a.signal_id, a.frame, k.bin, CASE WHEN slow = fast THEN a.v ELSE a.v + (b.v - a.v) * (bpm - 480.0 / slow) / (480.0 / fast - 480.0 / slow) END AS v FROM k JOIN tg a ON a.lag = slow JOIN tg b ON b.signal_id = a.signal_id AND b.frame = a.frame AND b.lag = fast),
+top AS (SELECT *, max(abs(v)) OVER (PARTITION BY signal_id, frame) AS top FROM met) SELECT signal_id, frame, bin, {R('CASE WHEN top > 1e-10 THEN v / top ELSE v END')} AS v FROM top"""
+# the magnitude at h times a frequency: on a line between the bins around it, 0 beyond the last
+HARMONIC = f"""{SPEC}, hm AS (SELECT s.signal_id, s.frame, s.bin, h.h, coalesce(lo.m + (s.f * h.h * {SIZE} / {SR} - lo.bin) * (coalesce(hi.m, lo.m) - lo.m), 0) AS v FROM spec s CROSS JOIN (SELECT unnest([1, 2, 3]) AS h) h
+ LEFT JOIN spec lo ON lo.signal_id = s.signal_id AND lo.frame = s.frame AND lo.bin = CAST(floor(s.f * h.h * {SIZE} / {SR}) AS BIGINT) LEFT JOIN spec hi ON hi.signal_id = s.signal_id AND hi.frame = s.frame AND hi.bin = lo.bin + 1)"""
+ORACLE_SQL["interp_harmonics"] = f"WITH {HARMONIC} SELECT signal_id, frame, (h - 1) * {SIZE // 2 + 1} + bin AS bin, {R('v')} AS v FROM hm"
+ORACLE_SQL["salience"] = f"WITH {HARMONIC} SELECT signal_id, frame, bin, {R('sum(v) / 3')} AS v FROM hm GROUP BY 1, 2, 3"
+ORACLE_SQL["f0_harmonics"] = f"WITH {HARMONIC} SELECT signal_id, frame, h - 1 AS bin, {R('v')} AS v FROM hm WHERE bin * {SR} / {SIZE} = 2"
 for _name, _kernel in {
     "griffinlim": lambda y: spectral.griffinlim(S(y), 8, HOP), "griffinlim_cqt": lambda y: spectral.griffinlim_cqt(spectral.cqt(y, 2048.0, 64, 32.7, None, 12, 256), 2048.0, 256, 64, 4, 32.7), "mel_to_audio": lambda y: spectral.mel_to_audio(spectral.melspectrogram(y, SR, SIZE, HOP, MELS), SR, SIZE, HOP, n_iter=4), "mfcc_to_audio": lambda y: spectral.mfcc_to_audio(spectral.mfcc(y, SR, 5, SIZE, HOP, MELS), SR, MELS, SIZE, HOP, 4),
     "resample": lambda y: spectral.resample(y, 24.0, 16.0), "autocorrelate": lambda y: spectral.autocorrelate(y, 48), "lpc": lambda y: spectral.lpc(y, 8),
