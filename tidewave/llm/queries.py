@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import ann, decontam, langid, near_dedup, pii, quality, sp_encode, substring_dedup, toxicity, url_filter
+from . import ann, centroids, decontam, langid, lm_score, near_dedup, pii, quality, sp_encode, spelling, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_personal_data, op5_sentencepiece, op6_nearest, op7_quality, op8_near_dedup, op9_decontamination, op10_language)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL}
+
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.language_model(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_personal_data, op5_sentencepiece, op6_nearest, op7_quality, op8_near_dedup, op9_decontamination, op10_language, op11_centroids, op12_language_model, op13_spelling)}
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL, "op11_centroids": centroids.oracle_sql()}
