@@ -7,10 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import banks
-from ..operators import effects, harmony, pitch, rhythm, sequence, spectral
+from ..operators import effects, harmony, pitch, rhythm, scans, sequence, spectral
 from ..operators.lift import by_frame, lift, tidy
 from ..sources import signals as src
-from . import spectra
+from . import blocked, spectra
 from .spectra import FRAMED, HOP, SIG, SIZE, SPEC, SR, F_HZ, R, S, sig
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -63,7 +63,7 @@ f AS (SELECT a.signal_id, delay, a.idx, sum(pow(CAST(0.99 AS DOUBLE), k) * b.y)
 e AS (SELECT signal_id, delay, sum(v * v) AS energy FROM f GROUP BY 1, 2)"""
 add("comb_filter_tempo", events(lambda y: [(rhythm.comb_filter_tempo(y, 40.0),)], "bpm double"), f"WITH {COMBS}, t AS (SELECT signal_id, bpm, energy, max(energy) OVER (PARTITION BY signal_id) AS top FROM e JOIN d USING (delay)) SELECT signal_id, CAST(min(bpm) AS DOUBLE) AS bpm FROM t WHERE energy = top GROUP BY 1")
 add("tempo_filter_bank", events(lambda y: zip(*rhythm.tempo_filter_bank(y, 40.0)), "bpm bigint, energy double"), f"WITH {COMBS} SELECT signal_id, bpm, {R('energy')} AS energy FROM e JOIN d USING (delay)")
-add("comb_forward", events(lambda y: enumerate(rhythm.comb_forward(y, 24, 0.9048374180359595)), "idx bigint, v double"), f"WITH {SIG} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), (a.idx - b.idx) // 24) * b.y)')} AS v FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx <= a.idx AND (a.idx - b.idx) % 24 = 0 GROUP BY 1, 2")
+add("comb_forward", blocked.recurrence(scans.one_pole(0.9048374180359595), 24), f"WITH {SIG} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), (a.idx - b.idx) // 24) * b.y)')} AS v FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx <= a.idx AND (a.idx - b.idx) % 24 = 0 GROUP BY 1, 2")
 add("comb_backward", lambda s, d: src.hourly_events(s, d).select("signal_id", "idx", (F.col("y") + 0.5 * F.lag("y", 24, 0.0).over(by_idx("idx"))).alias("v")), f"WITH {SIG} SELECT signal_id, idx, {R('y + 0.5 * coalesce(lag(y, 24) OVER (PARTITION BY signal_id ORDER BY idx), 0)')} AS v FROM sig")
 add("beat_dp", events(lambda y: one(rhythm.beat_dp(y / max(y.max(), 1e-9), 24.0))))
 add("beat_track", events(lambda y: ((rhythm.beat_track(y, 40.0, 1, envelope=y)[0], int(b)) for b in rhythm.beat_track(y, 40.0, 1, envelope=y)[1]), "bpm double, idx bigint"))
@@ -98,7 +98,12 @@ add("time_stretch", events(lambda y: enumerate(effects.time_stretch(y, 1.25, SIZ
 add("pitch_shift", events(lambda y: enumerate(effects.pitch_shift(y, 64.0, 2)), "idx bigint, v double"))
 add("trim", events(lambda y: [effects.trim(y, HALF_DB, SIZE, HOP)], "start bigint, stop bigint"), f"WITH {RMS} SELECT signal_id, min(frame) * {HOP} AS start, least(720, max(frame) * {HOP} + {SIZE}) AS stop FROM l WHERE loud GROUP BY 1")
 add("split", events(lambda y: effects.split(y, HALF_DB, SIZE, HOP), "start bigint, stop bigint"), f"WITH {RMS}, g AS (SELECT signal_id, frame, frame - row_number() OVER (PARTITION BY signal_id ORDER BY frame) AS g FROM l WHERE loud) SELECT signal_id, min(frame) * {HOP} AS start, least(720, max(frame) * {HOP} + {SIZE}) AS stop FROM g GROUP BY signal_id, g")
-add("biquad_cascade", events(lambda y: enumerate(effects.biquad_cascade(y, banks.semitone_biquads(4.0, SR))), "idx bigint, v double"))
+_B0, _B1, _B2, _A1, _A2 = (f"CAST({float(x)!r} AS DOUBLE)" for x in banks.semitone_biquads(4.0, SR)[0])
+_section = lambda x, x1, x2, y1, y2: f"{_B0} * {x} + {_B1} * {x1} + {_B2} * {x2} - {_A1} * {y1} - {_A2} * {y2}"
+# two equal sections, the second on what the first gives
+add("biquad_cascade", blocked.recurrence(scans.biquads(banks.semitone_biquads(4.0, SR))), f"""WITH RECURSIVE {SIG}, f(signal_id, idx, x1, x2, u1, u2, v1, v2) AS (SELECT signal_id, CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM sig WHERE idx = 0
+ UNION ALL SELECT signal_id, idx, y, x1, u, u1, {_section('u', 'u1', 'u2', 'v1', 'v2')}, v1 FROM (SELECT f.*, sig.idx AS at, y, {_section('y', 'x1', 'x2', 'u1', 'u2')} AS u FROM f JOIN sig ON sig.signal_id = f.signal_id AND sig.idx = f.idx + 1) t(signal_id, before, x1, x2, u1, u2, v1, v2, idx, y, u))
+SELECT signal_id, idx, {R('v1')} AS v FROM f WHERE idx >= 0""")
 add("semitone_filterbank", events(lambda y: ((k, i, float(v)) for k, r in enumerate(effects.semitone_filterbank(y, 8000.0, 60, 72)) for i, v in enumerate(r)), "midi bigint, idx bigint, v double"))
 # --- runs and decoding
 ACT = f"{SIG}, lab AS (SELECT signal_id, idx, CASE WHEN y >= 1 THEN 1 ELSE 0 END AS k FROM sig)"
@@ -128,13 +133,9 @@ def _whole(y):
     return np.stack([1 - p, p], axis=1)
 
 
-def _two(y):
-    return _whole(y)
-
-
-add("viterbi", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi(_two(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
-add("viterbi_binary", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi_binary(_two(y)[:, 1], 0.9)[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
-add("viterbi_discriminative", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi_discriminative(_two(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
+add("viterbi", blocked.states, f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
+add("viterbi_binary", blocked.states, f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
+add("viterbi_discriminative", events(lambda y: ((i, int(v)) for i, v in enumerate(sequence.viterbi_discriminative(_whole(y), sequence.transition_loop(2, 0.9))[0])), "idx bigint, state bigint"), f"WITH RECURSIVE {VIT} SELECT signal_id, idx, CAST(st AS BIGINT) AS state FROM b")
 # two-state smoothing on probabilities: shares forwards and backwards, scaled at each step
 SMOOTH = f"""{SIG}, o AS (SELECT signal_id, idx, least(greatest(y / 4, 0.001), 0.999) AS on1 FROM sig),
 fw(signal_id, idx, p, z) AS (SELECT signal_id, idx, on1, CAST(0 AS DOUBLE) FROM o WHERE idx = 0
@@ -142,10 +143,10 @@ fw(signal_id, idx, p, z) AS (SELECT signal_id, idx, on1, CAST(0 AS DOUBLE) FROM
 bw(signal_id, idx, q) AS (SELECT signal_id, idx, CAST(0.5 AS DOUBLE) FROM o WHERE idx = 719
  UNION ALL SELECT bw.signal_id, bw.idx - 1, (0.9 * on1 * q + 0.1 * (1 - on1) * (1 - q)) / (on1 * q + (1 - on1) * (1 - q)) FROM bw JOIN o USING (signal_id, idx) WHERE bw.idx > 0)"""
 MARGINAL = f"WITH RECURSIVE {SMOOTH} SELECT signal_id, idx, {R('p * q / (p * q + (1 - p) * (1 - q))')} AS p FROM fw JOIN bw USING (signal_id, idx)"
-_T = np.log(sequence.transition_loop(2, 0.9))
-add("forward_backward", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.posteriors(np.log(_whole(y)), np.log([0.5, 0.5]), _T)[:, 1])), "idx bigint, p double"), MARGINAL)
-add("crf_marginals", events(lambda y: ((i, float(v)) for i, v in enumerate(sequence.crf_marginals(np.log(_whole(y)), _T)[:, 1])), "idx bigint, p double"), MARGINAL)
-add("crf_log_partition", events(lambda y: [(sequence.crf_log_partition(np.log(_whole(y)), _T),)], "z double"), f"WITH RECURSIVE {SMOOTH} SELECT signal_id, {R('z')} AS z FROM fw WHERE idx = 719")
+_FREE = scans.Chain(np.zeros(2), blocked.chain().trans)  # a CRF has no initial scores
+add("forward_backward", lambda s, d: blocked.on_probability(s, d, blocked.chain()), MARGINAL)
+add("crf_marginals", lambda s, d: blocked.on_probability(s, d, _FREE), MARGINAL)
+add("crf_log_partition", lambda s, d: _FREE.log_partition(blocked.two_states(s, d), span=4), f"WITH RECURSIVE {SMOOTH} SELECT signal_id, {R('z')} AS z FROM fw WHERE idx = 719")
 add("chord_detect_runs", events(lambda y: harmony.chord_detect(spectral.power(y, 64, 8, None, False)[:, :25] + 1e-9), "start bigint, stop bigint, label string"))
 add("matrix_product", lambda s, d: tidy(by_frame(sig(s, d), lambda y, sr: S(y) @ spectra.MEL.T), bin_name="band"), f"WITH {SPEC} SELECT signal_id, frame, band, {R('sum(w * m)')} AS v FROM spec JOIN {spectra.values(spectra.MEL)} fb USING (bin) GROUP BY 1, 2, 3")
 add("conv1d", events(lambda y: enumerate(np.correlate(y, [0.25, 0.5, 0.25], "valid")), "idx bigint, v double"), f"WITH {SIG}, c AS (SELECT signal_id, idx, 0.25 * y + 0.5 * lead(y) OVER o + 0.25 * lead(y, 2) OVER o AS v FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx)) SELECT signal_id, idx, {R('v')} AS v FROM c WHERE v IS NOT NULL")

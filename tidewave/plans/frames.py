@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import evaluate, harmony, ml, segment, sequence
+from ..operators import evaluate, harmony, ml, neighbours, segment, sequence
 from ..operators.lift import lift
 from ..sources import signals as src
-from . import spectra
+from . import blocked, spectra
 from .spectra import R
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -29,6 +29,17 @@ def matrices(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("label").alias("signal_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda x: x["v"]).alias("m"))
 
 
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    """signal_id (label), i (number of the embedding among those of its label, by id), v."""
+    e = src.embedding_frames(spark, d)
+    return e.select(F.col("label").alias("signal_id"), (F.row_number().over(Window.partitionBy("label").orderBy("frame")) - 1).cast("bigint").alias("i"), "v")
+
+
+def knn(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of each frame, from blocks that a label has several of."""
+    return neighbours.nearest(numbered(spark, d), 5, block=32)
+
+
 def over(kernel, schema):
     return lambda s, d: lift(matrices(s, d), kernel, ["m"], schema)
 
@@ -61,12 +72,12 @@ ID = "CAST(signal_id AS BIGINT) AS signal_id"
 add("cross_similarity", over(lambda m: cells(sequence.pairwise(m, m)), "i bigint, j bigint, d double"), f"WITH {DIST} SELECT {ID}, i, j, {R('d')} AS d FROM d")
 add("cross_similarity_cosine", over(lambda m: cells(sequence.pairwise(m, m, "cosine")), "i bigint, j bigint, d double"), f"WITH {FR}, d AS (SELECT a.signal_id, a.i, b.i AS j, 1 - sum(a.x * b.x) / greatest(sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x)), 1e-10) AS d FROM c a JOIN c b ON a.signal_id = b.signal_id AND a.k = b.k GROUP BY 1, 2, 3) SELECT {ID}, i, j, {R('d')} AS d FROM d")
 add("recurrence_soft", over(lambda m: cells(segment.recurrence(m, "soft")), "i bigint, j bigint, d double"), f"WITH {DIST} SELECT {ID}, i, j, {R('d')} AS d FROM d")
-add("recurrence_knn", over(lambda m: ones(segment.recurrence(m)), "i bigint, j bigint"), f"WITH {KNN} SELECT {ID}, i, j FROM knn")
-add("recurrence_mutual", over(lambda m: ones(segment.recurrence(m, symmetric=True)), "i bigint, j bigint"), f"WITH {KNN} SELECT {ID}, a.i, a.j FROM knn a JOIN knn b USING (signal_id) WHERE a.i = b.j AND a.j = b.i")
+add("recurrence_knn", lambda s, d: knn(s, d).select("signal_id", "i", "j"), f"WITH {KNN} SELECT {ID}, i, j FROM knn")
+add("recurrence_mutual", lambda s, d: knn(s, d).select("signal_id", "i", "j").intersect(knn(s, d).select("signal_id", F.col("j").alias("i"), F.col("i").alias("j"))), f"WITH {KNN} SELECT {ID}, a.i, a.j FROM knn a JOIN knn b USING (signal_id) WHERE a.i = b.j AND a.j = b.i")
 add("recurrence_threshold", over(lambda m: ones(segment.recurrence(m, "threshold", threshold=1.2)), "i bigint, j bigint"), f"WITH {DIST} SELECT {ID}, i, j FROM d WHERE d < 1.2 AND i <> j")
-add("nearest_neighbor_indices", over(lambda m: ((i, r, int(j)) for i, row in enumerate(segment.nearest(m, 5, "euclidean")) for r, j in enumerate(row)), "i bigint, r bigint, j bigint"), f"WITH {KNN} SELECT {ID}, i, r - 1 AS r, j FROM n WHERE r <= 5")
-add("nn_filter", over(lambda m: cells(segment.nn_filter(m, 5, "euclidean")), "i bigint, k bigint, v double"), f"WITH {KNN} SELECT {ID}, n.i, c.k, {R('avg(c.x)')} AS v FROM knn n JOIN c USING (signal_id) WHERE c.i = n.j GROUP BY 1, 2, 3")
-add("nn_filter_median", over(lambda m: cells(segment.nn_filter(m, 5, "euclidean", "median")), "i bigint, k bigint, v double"), f"WITH {KNN} SELECT {ID}, n.i, c.k, {R('median(c.x)')} AS v FROM knn n JOIN c USING (signal_id) WHERE c.i = n.j GROUP BY 1, 2, 3")
+add("nearest_neighbor_indices", lambda s, d: knn(s, d).drop("d"), f"WITH {KNN} SELECT {ID}, i, r - 1 AS r, j FROM n WHERE r <= 5")
+add("nn_filter", lambda s, d: neighbours.aggregated(numbered(s, d), knn(s, d)), f"WITH {KNN} SELECT {ID}, n.i, c.k, {R('avg(c.x)')} AS v FROM knn n JOIN c USING (signal_id) WHERE c.i = n.j GROUP BY 1, 2, 3")
+add("nn_filter_median", lambda s, d: neighbours.aggregated(numbered(s, d), knn(s, d), "median"), f"WITH {KNN} SELECT {ID}, n.i, c.k, {R('median(c.x)')} AS v FROM knn n JOIN c USING (signal_id) WHERE c.i = n.j GROUP BY 1, 2, 3")
 add("recurrence_to_lag", over(lambda m: ones(segment.recurrence_to_lag(segment.recurrence(m))), "lag bigint, i bigint"), f"WITH {KNN}, s AS (SELECT signal_id, count(*) AS n FROM e GROUP BY 1) SELECT {ID}, (j - i + n) % n AS lag, i FROM knn JOIN s USING (signal_id)")
 add("lag_to_recurrence", over(lambda m: ones(segment.lag_to_recurrence(segment.recurrence_to_lag(segment.recurrence(m)))), "i bigint, j bigint"), f"WITH {KNN} SELECT {ID}, i, j FROM knn")
 RQA = f"""{DIST}, p AS (SELECT signal_id, i, j FROM d WHERE d < 1.2 AND i <> j), s AS (SELECT signal_id, count(*) AS n FROM e GROUP BY 1),
@@ -156,7 +167,22 @@ def times(spark, d):
 
 
 TIMES = "t AS (SELECT user_id AS signal_id, event_type, (epoch(ts) - 1704067200) / 3600 AS t FROM events), r AS (SELECT signal_id, t FROM t WHERE event_type = 'purchase'), e AS (SELECT signal_id, t FROM t WHERE event_type = 'click'), u AS (SELECT DISTINCT signal_id FROM t)"
-add("cemgil", lambda s, d: lift(times(s, d), lambda a, b: [(evaluate.cemgil(a, b, 4.0),)], ["ref", "est"], "v double"), f"WITH {TIMES}, m AS (SELECT r.signal_id, r.t, max(exp(-pow(r.t - e.t, 2) / 32)) AS v FROM r JOIN e USING (signal_id) GROUP BY 1, 2) SELECT u.signal_id, {R('coalesce(avg(v), 0)')} AS v FROM u LEFT JOIN m USING (signal_id) GROUP BY 1")
+add("cemgil", lambda s, d: cemgil(s, d), f"WITH {TIMES}, m AS (SELECT r.signal_id, r.t, max(exp(-pow(r.t - e.t, 2) / 32)) AS v FROM r JOIN e USING (signal_id) GROUP BY 1, 2) SELECT u.signal_id, {R('coalesce(avg(v), 0)')} AS v FROM u LEFT JOIN m USING (signal_id) GROUP BY 1")
+
+
+def cemgil(spark, d):
+    """The nearest estimate of each reference by an as-of join, weighted by a Gaussian of 4 hours; users without references have 0."""
+    users = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("signal_id")).distinct()
+    gap = F.col("gap") / 3600e6
+    value = F.when(F.col("click_id") >= 0, F.exp(-gap * gap / 32)).otherwise(0.0)
+    near = blocked.matched("nearest")(spark, d).join(blocked.timed(spark, d, "purchase", "event_id"), "event_id").groupBy(F.col("user_id").alias("signal_id")).agg(F.avg(value).alias("v"))
+    return users.join(near, "signal_id", "left").select("signal_id", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+_SIDES = "p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS click_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click')"
+add("asof_join", blocked.matched("backward"), f"WITH {_SIDES} SELECT event_id, coalesce(click_id, -1) AS click_id, coalesce(p.t - c.t, 0) AS gap FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.t >= c.t")
+add("asof_forward", blocked.matched("forward", 6 * 3600e6), f"WITH {_SIDES} SELECT event_id, CASE WHEN c.t - p.t <= 21600000000 THEN click_id ELSE -1 END AS click_id, CASE WHEN c.t - p.t <= 21600000000 THEN p.t - c.t ELSE 0 END AS gap FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.t <= c.t")
+add("asof_nearest", blocked.matched("nearest"), f"WITH {_SIDES} SELECT event_id, coalesce(arg_min(click_id, (abs(p.t - c.t), c.t)), -1) AS click_id, coalesce(p.t - arg_min(c.t, (abs(p.t - c.t), c.t)), 0) AS gap FROM p LEFT JOIN c USING (user_id) GROUP BY event_id, p.t")
 MATCHED = f"""{TIMES}, a AS (SELECT u.signal_id, (SELECT coalesce(list(r.t ORDER BY r.t), []) FROM r WHERE r.signal_id = u.signal_id) AS ref, (SELECT coalesce(list(e.t ORDER BY e.t), []) FROM e WHERE e.signal_id = u.signal_id) AS est FROM u),
 g(signal_id, k, ref, free, hits, n) AS (SELECT signal_id, 1, ref, est, 0, len(est) FROM a
  UNION ALL SELECT signal_id, k + 1, ref, CASE WHEN best.d <= 6 THEN list_filter(free, lambda x, i: i <> best.i) ELSE free END, hits + CASE WHEN best.d <= 6 THEN 1 ELSE 0 END, n

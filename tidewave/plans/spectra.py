@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import banks, units
-from ..operators import effects, features, rhythm, spectral
+from ..operators import features, rhythm, scans, spectral
 from ..operators.lift import by_frame, lift, tidy
 from ..sources import signals as src
+from . import blocked
 
 SIZE, HOP, SR, N, MELS = 32, 8, 32.0, 720, 8
 QUERIES, ORACLE_SQL = {}, {}
@@ -89,10 +90,12 @@ add("zero_crossing_rate", per_frame_one(lambda y: features.zero_crossing_rate(y
 SELECT signal_id, frame, {R(f'sum(CASE WHEN neg <> before THEN 1 ELSE 0 END) / {SIZE}.0')} AS v FROM z GROUP BY 1, 2""")
 add("zero_crossings", lambda s, d: src.hourly_events(s, d).withColumn("c", F.coalesce((F.col("y") < 1) != (F.lag("y").over(Window.partitionBy("signal_id").orderBy("idx")) < 1), F.lit(False))).select("signal_id", "idx", "c"), f"WITH {SIG} SELECT signal_id, idx, coalesce((y < 1) <> (lag(y) OVER (PARTITION BY signal_id ORDER BY idx) < 1), false) AS c FROM sig")
 add("preemphasis", lambda s, d: src.hourly_events(s, d).select("signal_id", "idx", (F.col("y") - 0.97 * F.coalesce(F.lag("y").over(Window.partitionBy("signal_id").orderBy("idx")), F.lit(0.0))).alias("v")), f"WITH {SIG} SELECT signal_id, idx, {R('y - 0.97 * coalesce(lag(y) OVER (PARTITION BY signal_id ORDER BY idx), 0)')} AS v FROM sig")
-add("deemphasis", lambda s, d: lift(sig(s, d), lambda y: enumerate(effects.deemphasis(y, 0.9048374180359595)), ["samples"], "idx bigint, v double"), f"WITH {SIG} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), a.idx - b.idx) * b.y)')} AS v FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx <= a.idx GROUP BY 1, 2")
+add("deemphasis", blocked.recurrence(scans.one_pole(0.9048374180359595)), f"WITH {SIG} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), a.idx - b.idx) * b.y)')} AS v FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx <= a.idx GROUP BY 1, 2")
 add("stft_magnitude", per_frame(S), f"WITH {SPEC} SELECT signal_id, frame, bin, {R('m')} AS v FROM spec")
 add("stft_complex", lambda s, d: lift(sig(s, d), lambda y: ((t, k, z.real, z.imag) for t, r in enumerate(spectral.stft_complex(y, SIZE, HOP, None, False)) for k, z in enumerate(r)), ["samples"], "frame bigint, bin bigint, re double, im double"), f"WITH {SPEC} SELECT signal_id, frame, bin, {R('re')} AS re, {R('im')} AS im FROM reim")
 add("power_spectrogram", per_frame(lambda y: spectral.power(y, SIZE, HOP, None, False)), f"WITH {SPEC} SELECT signal_id, frame, bin, {R('m * m')} AS v FROM spec")
+add("stft_halo", lambda s, d: tidy(blocked.frames(s, d, SIZE, HOP).select("signal_id", "frame", blocked.magnitude().alias("v"))), f"WITH {SPEC} SELECT signal_id, frame, bin, {R('m')} AS v FROM spec")
+add("istft_halo", lambda s, d: blocked.istft(s, d, SIZE, HOP), f"WITH {SIG} SELECT signal_id, idx, {R('y')} AS v FROM sig")
 add("stft_relational", lambda s, d: stft_relational(s, d), f"WITH {SPEC} SELECT signal_id, frame, bin, {R('m')} AS v FROM spec")
 MELSQL = f"mel AS (SELECT signal_id, frame, band, sum(w * m * m) AS v FROM spec JOIN {values(MEL)} fb USING (bin) GROUP BY 1, 2, 3)"
 add("melspectrogram", lambda s, d: tidy(by_frame(sig(s, d), lambda y, sr: spectral.melspectrogram(y, SR, SIZE, HOP, MELS, center=False)), bin_name="band"), f"WITH {SPEC}, {MELSQL} SELECT signal_id, frame, band, {R('v')} AS v FROM mel")
@@ -130,7 +133,7 @@ SELECT signal_id, frame, {R('greatest(0, coalesce(sum(p * ln(p / q)), 0))')} AS
 # without the first and the last bin, whose phase is only a sign
 add("complex_flux", per_frame_one(lambda y: rhythm.complex_flux(spectral.stft_complex(y, SIZE, HOP, None, False)[:, 1:-1])), f"""WITH {SPEC}, a AS (SELECT signal_id, frame, bin, re, im, lag(sqrt(re * re + im * im)) OVER o AS m1, 2 * lag(atan2(im, re)) OVER o - lag(atan2(im, re), 2) OVER o AS ph FROM reim WINDOW o AS (PARTITION BY signal_id, bin ORDER BY frame))
 SELECT signal_id, frame, {R('coalesce(sum(CASE WHEN bin BETWEEN 1 AND 15 THEN sqrt(pow(re - m1 * cos(ph), 2) + pow(im - m1 * sin(ph), 2)) END), 0)')} AS v FROM a GROUP BY 1, 2""")
-add("pcen", per_frame(lambda y: spectral.pcen(S(y), SR, HOP, time_constant=1.0)), None)
+add("pcen", lambda s, d: blocked.pcen(s, d, SIZE, HOP, SR, 1.0), None)
 
 
 def stft_relational(spark, d):
