@@ -48,8 +48,10 @@ def piano_threshold(act, threshold=0.5, shortest=3):
 
 
 def piano_hmm(act, p_on=0.01, p_off=0.05, shortest=3):
-    trans = np.array([[1 - p_on, p_on], [p_off, 1 - p_off]])
-    on = np.stack([sequence.viterbi(np.stack([1 - a, a], axis=1), trans)[0] for a in act.T], axis=1) if act.shape[1] else act
+    """(onset, offset, midi, velocity) of the likeliest path of each pitch between off, where it is at first but for 1 %, and on."""
+    trans, first = np.log([[1 - p_on, p_on], [p_off, 1 - p_off]]), np.log([0.99, 0.01])
+    score = np.log(np.clip(np.stack([1 - act, act], axis=-1), 1e-7, 1 - 1e-7))
+    on = np.stack([sequence.viterbi_log(score[:, k], first, trans)[0] for k in range(act.shape[1])], axis=1) if act.shape[1] else act
     return _notes(on == 1, act, shortest)
 
 

@@ -87,24 +87,33 @@ def ensemble(models, x, strategy="mean"):
 
 
 def chunked(function, x, size, hop, merge="average"):
-    """A function over overlapping chunks of rows: crossfaded linearly, averaged or maximised."""
+    """A function over overlapping chunks of rows, which begin at every multiple of `hop`; what fits one chunk is given whole.
+
+    Each chunk's output is joined to what is there already: it begins `size - hop` rows before
+    the end of that, and these rows are averaged with it, crossfaded linearly (overlap) or maximised
+    (max). A chunk behind one that the end has cut short is therefore put before its own rows.
+    """
     n = len(x)
-    parts = [(s, function(x[s : s + size])) for s in range(0, max(n - size, 0) + hop, hop) if s < n]
-    if not parts:
-        return np.zeros((0,))
-    shape = (n, *parts[0][1].shape[1:])
-    total, weight = np.full(shape, -np.inf) if merge == "max" else np.zeros(shape), np.zeros((n, *(1,) * (len(shape) - 1)))
-    fade = min(size - hop, size // 2) if merge == "overlap" else 0
-    for s, y in parts:
-        w = np.ones(len(y))
-        if fade:
-            ramp = (np.arange(min(fade, len(y))) + 1) / (fade + 1)
-            w[: len(ramp)] = np.minimum(w[: len(ramp)], ramp)
-            w[-len(ramp) :] = np.minimum(w[-len(ramp) :], ramp[::-1])
-        w = w.reshape(-1, *(1,) * (len(shape) - 1))
+    if n <= size:
+        return function(x)
+    made = np.zeros((0,))
+    end = 0
+    for start in range(0, n, hop):
+        y = np.asarray(function(x[start : start + size]), float)
+        if start == 0:
+            made = np.zeros((n, *y.shape[1:]))
+            made[: len(y)] = y
+            end = len(y)
+            continue
+        at = end - (size - hop)
+        both = min(size - hop, end, len(y))
+        here, new = made[at : at + both], y[:both]
         if merge == "max":
-            total[s : s + len(y)] = np.maximum(total[s : s + len(y)], y)
+            made[at : at + both] = np.maximum(here, new)
         else:
-            total[s : s + len(y)] += w * y
-        weight[s : s + len(y)] += w
-    return total if merge == "max" else total / np.maximum(weight, 1e-10)
+            share = (np.arange(both) / max(both, 1)).reshape(-1, *(1,) * (y.ndim - 1)) if merge == "overlap" else 0.5
+            made[at : at + both] = (1 - share) * here + share * new
+        room = max(min(len(y) - both, n - at - both), 0)
+        made[at + both : at + both + room] = y[both : both + room]
+        end = at + len(y)
+    return made

@@ -97,15 +97,19 @@ def pyin(y, sr, fmin=65.0, fmax=2093.0, size=2048, hop=None, n_thresholds=100, r
 
 
 def piptrack(s, sr, n_fft, fmin=150.0, fmax=4000.0, threshold=0.1):
-    """(frame, Hz, magnitude) of local peaks, refined by parabolas."""
+    """(frame, Hz, magnitude) of local peaks, refined by parabolas; the refined frequency must be in the range, and the bin at most one below it."""
     out = []
-    f = np.arange(s.shape[1]) * sr / n_fft
+    bin_hz = sr / n_fft
+    low, high = max(1, int(fmin / bin_hz)), min(s.shape[1] - 2, int(fmax / bin_hz))
     for t, row in enumerate(s):
         least = threshold * row.max() if len(row) else 0
-        for i in range(1, len(row) - 1):
-            if fmin <= f[i] <= fmax and row[i] > row[i - 1] and row[i] > row[i + 1] and row[i] >= least:
-                at = parabola(row, i)
-                out.append((t, at * sr / n_fft, float(row[i] - 0.25 * (row[i - 1] - row[i + 1]) * (at - i))))
+        for i in range(low, high + 1):
+            if row[i] > row[i - 1] and row[i] > row[i + 1] and row[i] >= least:
+                bend = row[i - 1] - 2 * row[i] + row[i + 1]
+                step = 0.5 * (row[i - 1] - row[i + 1]) / bend if abs(bend) > 1e-10 else 0.0
+                hz = (i + step) * bin_hz
+                if fmin <= hz <= fmax:
+                    out.append((t, hz, float(row[i] - 0.25 * (row[i - 1] - row[i + 1]) * step)))
     return out
 
 

@@ -75,11 +75,15 @@ def peak_pick(x, pre_max=3, post_max=3, pre_avg=3, post_avg=3, delta=0.07, wait=
 
 
 def backtrack(peaks, x):
+    """Each peak moved down to the least value before the curve rises again, going back; of equal ones the last."""
     out = []
     for p in peaks:
-        while p > 0 and x[p - 1] <= x[p]:
-            p -= 1
-        out.append(p)
+        best = at = p
+        while at > 0 and x[at - 1] <= x[best]:
+            at -= 1
+            if x[at] < x[best]:
+                best = at
+        out.append(best)
     return np.array(out, np.int64)
 
 
@@ -179,25 +183,32 @@ def fourier_tempogram(x, win=384):
 
 
 def beat_dp(x, period, trim=True, tightness=100.0):
-    """Beats that maximise strength less the squared log deviation of their gaps from the period."""
+    """Beats that maximise strength less the squared log deviation of their gaps from the period.
+
+    A beat's predecessor lies half a period, in whole frames, around one period before it; near the
+    beginning, where all of that lies before the first frame, it is the first frame. Ties go to the longer gap.
+    """
     n = len(x)
-    if n == 0 or period < 1:
+    if n == 0:
         return np.zeros(0, np.int64)
+    whole = max(1, int(np.floor(period + 0.5)))
+    reach = max(1, whole // 2)
     score, back = np.array(x, float), np.full(n, -1)
-    gaps = np.arange(max(1, int(round(period / 2))), int(round(1.5 * period)) + 1)
-    cost = tightness / period**2 * (np.log(gaps) - np.log(period)) ** 2
-    for t in range(n):
-        g = gaps[gaps <= t]
-        if len(g):
-            v = score[t - g] - cost[: len(g)]
-            k = int(v.argmax())
-            score[t], back[t] = x[t] + v[k], t - g[k]
+    for t in range(1, n):
+        before = np.arange(max(0, t - whole - reach), max(0, min(t - 1, t - whole + reach)) + 1)
+        v = score[before] - tightness / period**2 * (np.log(t - before) - np.log(period)) ** 2
+        k = int(v.argmax())
+        score[t] += v[k]
+        back[t] = before[k]
     path, t = [], int(score.argmax())
     while t >= 0:
         path.append(t)
         t = back[t]
     path = path[::-1]
-    return np.array(path[1:-1] if trim and len(path) > 2 else path, np.int64)
+    if trim:
+        path = path[1:] if len(path) > 1 else path
+        path = path[:-1] if len(path) > 1 else path
+    return np.array(path, np.int64)
 
 
 def beat_track(y, sr, hop=512, start_bpm=120.0, trim=True, envelope=None):

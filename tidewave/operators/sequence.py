@@ -99,10 +99,16 @@ def transition_cycle(n, p):
     return m
 
 
-def transition_local(n, width):
-    i = np.arange(n)
-    m = np.maximum(0, (width + 1) / 2 - np.abs(i[:, None] - i[None, :]))
-    return m / m.sum(axis=1, keepdims=True)
+def transition_local(n, width, window="triangle", wrap=False):
+    """Steps to the states around each, weighted by a window as wide as `width` (one number, or one for each state): triangle (0 at both ends), hann, or even."""
+    m = np.zeros((n, n))
+    for i, w in enumerate(np.broadcast_to(np.asarray(width, int), n)):
+        weights = {"triangle": np.bartlett, "hann": np.hanning}.get(window, np.ones)(int(w))
+        to = i + np.arange(w) - w // 2
+        to, inside = (to % n, np.ones(w, bool)) if wrap else (to, (to >= 0) & (to < n))
+        m[i, to[inside]] = weights[inside]
+    total = m.sum(axis=1, keepdims=True)
+    return np.divide(m, total, out=m, where=total > 0)
 
 
 def left_to_right(n, p=0.9):
@@ -112,12 +118,12 @@ def left_to_right(n, p=0.9):
 
 
 def dtw(cost, band=None, symmetric2=False):
-    """Cumulative cost; infinite outside a Sakoe-Chiba band."""
+    """Cumulative cost; infinite outside a Sakoe-Chiba band of so many cells of the longer side, each place taken as a share of its own side."""
     n, m = cost.shape
     d = np.full((n, m), np.inf)
     for i in range(n):
         for j in range(m):
-            if band is not None and abs(i / max(n - 1, 1) - j / max(m - 1, 1)) * max(n, m) > band:
+            if band is not None and abs(i / n - j / m) > band / max(n, m):
                 continue
             if i == j == 0:
                 d[0, 0] = cost[0, 0]

@@ -68,9 +68,9 @@ def chain(loop: float = 0.9) -> scans.Chain:
     return scans.Chain(np.log([0.5, 0.5]), np.log([[loop, 1 - loop], [1 - loop, loop]]))
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def states(spark: SparkSession, sf_dir: str, c: scans.Chain | None = None) -> DataFrame:
     """signal_id, idx, state of the likeliest path."""
-    return halo.samples_of(chain().viterbi(two_states(spark, sf_dir), span=4), LENGTH, name="state").withColumn("state", F.col("state").cast("bigint"))
+    return halo.samples_of((c or chain()).viterbi(two_states(spark, sf_dir), span=4), LENGTH, name="state").withColumn("state", F.col("state").cast("bigint"))
 
 
 def on_probability(spark: SparkSession, sf_dir: str, c: scans.Chain) -> DataFrame:

@@ -45,8 +45,9 @@ add("peak_candidates", events(lambda y: one(rhythm.peak_candidates(y))), f"WITH
 add("peak_pick", events(lambda y: one(rhythm.peak_pick(y, wait=30))), f"""WITH RECURSIVE {PEAKS}, first AS (SELECT signal_id, min(idx) AS idx FROM peaks GROUP BY 1),
 walk(signal_id, idx) AS (SELECT signal_id, idx FROM first UNION ALL SELECT w.signal_id, (SELECT min(p.idx) FROM peaks p WHERE p.signal_id = w.signal_id AND p.idx >= w.idx + 30) FROM walk w WHERE w.idx IS NOT NULL)
 SELECT signal_id, idx FROM walk WHERE idx IS NOT NULL""")
-add("backtrack", events(lambda y: ((int(a), int(b)) for a, b in zip(rhythm.peak_candidates(y), rhythm.backtrack(rhythm.peak_candidates(y), y))), "idx bigint, start bigint"), f"""WITH {PEAKS}, up AS (SELECT signal_id, idx, coalesce(lag(y) OVER (PARTITION BY signal_id ORDER BY idx) > y, true) AS stop FROM sig)
-SELECT p.signal_id, p.idx, max(u.idx) AS start FROM peaks p JOIN up u ON u.signal_id = p.signal_id AND u.idx <= p.idx AND u.stop GROUP BY 1, 2""")
+add("backtrack", events(lambda y: ((int(a), int(b)) for a, b in zip(rhythm.peak_candidates(y), rhythm.backtrack(rhythm.peak_candidates(y), y))), "idx bigint, start bigint"), f"""WITH {PEAKS}, up AS (SELECT signal_id, idx, y, coalesce(lag(y) OVER (PARTITION BY signal_id ORDER BY idx) > y, true) AS stop FROM sig),
+foot AS (SELECT p.signal_id, p.idx, max(u.idx) AS foot FROM peaks p JOIN up u ON u.signal_id = p.signal_id AND u.idx <= p.idx AND u.stop GROUP BY 1, 2)
+SELECT f.signal_id, f.idx, max(u.idx) AS start FROM foot f JOIN up l ON l.signal_id = f.signal_id AND l.idx = f.foot JOIN up u ON u.signal_id = f.signal_id AND u.idx BETWEEN f.foot AND f.idx AND u.y = l.y GROUP BY 1, 2""")
 add("onset_detect", events(lambda y: one(rhythm.onset_detect(y, SR, envelope=y, do_backtrack=True))))
 for _m in ("fixed", "adaptive", "combined"):
     _c = {"fixed": "y >= 1.5", "adaptive": "y >= mean + 1.5 * peak", "combined": "y >= 1.5 AND y >= mean + 1.5 * peak"}[_m].replace("1.5 * peak", "0.1 * peak" if _m != "combined" else "0.1 * peak")
@@ -65,7 +66,14 @@ add("comb_filter_tempo", events(lambda y: [(rhythm.comb_filter_tempo(y, 40.0),)]
 add("tempo_filter_bank", events(lambda y: zip(*rhythm.tempo_filter_bank(y, 40.0)), "bpm bigint, energy double"), f"WITH {COMBS} SELECT signal_id, bpm, {R('energy')} AS energy FROM e JOIN d USING (delay)")
 add("comb_forward", blocked.recurrence(scans.one_pole(0.9048374180359595), 24), f"WITH {SIG} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), (a.idx - b.idx) // 24) * b.y)')} AS v FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx <= a.idx AND (a.idx - b.idx) % 24 = 0 GROUP BY 1, 2")
 add("comb_backward", lambda s, d: src.hourly_events(s, d).select("signal_id", "idx", (F.col("y") + 0.5 * F.lag("y", 24, 0.0).over(by_idx("idx"))).alias("v")), f"WITH {SIG} SELECT signal_id, idx, {R('y + 0.5 * coalesce(lag(y, 24) OVER (PARTITION BY signal_id ORDER BY idx), 0)')} AS v FROM sig")
-add("beat_dp", events(lambda y: one(rhythm.beat_dp(y / max(y.max(), 1e-9), 24.0))))
+# scores and predecessors by frame, in lists that grow; of candidates with equal scores the earliest frame
+BEATS = f"""{SIG}, x AS (SELECT signal_id, idx, y / greatest(max(y) OVER (PARTITION BY signal_id), 1e-9) AS x FROM sig),
+dp(signal_id, t, s, b) AS (SELECT signal_id, idx, [x], [CAST(-1 AS BIGINT)] FROM x WHERE idx = 0
+ UNION ALL SELECT signal_id, t, list_append(s, x + best.v), list_append(b, -best.n) FROM (SELECT dp.signal_id, x.idx AS t, s, b, x.x,
+  list_max(list_transform(range(greatest(x.idx - 36, 0), greatest(least(x.idx - 1, x.idx - 12), 0) + 1), lambda k: {{'v': s[k + 1] - 100.0 / 576 * pow(ln(x.idx - k) - ln(CAST(24 AS DOUBLE)), 2), 'n': -k}})) AS best FROM dp JOIN x ON x.signal_id = dp.signal_id AND x.idx = dp.t + 1)),
+walk(signal_id, beat, b) AS (SELECT signal_id, list_position(s, list_max(s)) - 1, b FROM dp WHERE t = 719 UNION ALL SELECT signal_id, b[beat + 1], b FROM walk WHERE b[beat + 1] >= 0),
+w AS (SELECT signal_id, beat, row_number() OVER (PARTITION BY signal_id ORDER BY beat) AS r, count(*) OVER (PARTITION BY signal_id) AS n FROM walk)"""
+add("beat_dp", events(lambda y: one(rhythm.beat_dp(y / max(y.max(), 1e-9), 24.0))), f"WITH RECURSIVE {BEATS} SELECT signal_id, CAST(beat AS BIGINT) AS idx FROM w WHERE n = 1 OR (r > 1 AND (r < n OR n = 2))")
 add("beat_track", events(lambda y: ((rhythm.beat_track(y, 40.0, 1, envelope=y)[0], int(b)) for b in rhythm.beat_track(y, 40.0, 1, envelope=y)[1]), "bpm double, idx bigint"))
 add("neural_beat_track", events(lambda y: one(rhythm.neural_beats(np.clip(y / 5, 0, 1), 40.0)[1])))
 add("downbeat_detect", events(lambda y: ((int(b), bool(k)) for b, k in zip(*rhythm.downbeats(np.stack([1 - np.clip(y / 6, 0, 1), 0.6 * np.clip(y / 6, 0, 1), 0.4 * np.clip(y / 6, 0, 1)], 1), 40.0))), "idx bigint, down boolean"))
@@ -84,10 +92,19 @@ add("pyin", events(lambda y: ((t, None if np.isnan(a) else float(a), bool(b), fl
 add("yin_difference", events(lambda y: ((t, k, float(v)) for t, f in enumerate(spectral.frames(y, SIZE, HOP)) for k, v in enumerate(pitch.difference(f, 12))), "frame bigint, lag bigint, d double"), f"WITH {FRAMED} SELECT a.signal_id, a.frame, b.i - a.i AS lag, {R('sum((a.y - b.y) * (a.y - b.y))', 8)} AS d FROM fr a JOIN fr b ON a.signal_id = b.signal_id AND a.frame = b.frame AND b.i - a.i BETWEEN 0 AND 12 GROUP BY 1, 2, 3", 8)
 add("cmndf", events(lambda y: ((t, k, float(v)) for t, f in enumerate(spectral.frames(y, SIZE, HOP)) for k, v in enumerate(pitch.cmndf(pitch.difference(f, 12)))), "frame bigint, lag bigint, d double"), f"""WITH {FRAMED}, d AS (SELECT a.signal_id, a.frame, b.i - a.i AS lag, sum((a.y - b.y) * (a.y - b.y)) AS d FROM fr a JOIN fr b ON a.signal_id = b.signal_id AND a.frame = b.frame AND b.i - a.i BETWEEN 0 AND 12 GROUP BY 1, 2, 3),
 r AS (SELECT *, sum(d) OVER (PARTITION BY signal_id, frame ORDER BY lag) AS run FROM d) SELECT signal_id, frame, lag, {R('CASE WHEN lag = 0 OR run <= 0 THEN 1 ELSE d * lag / run END')} AS d FROM r""")
-add("piptrack", events(lambda y: pitch.piptrack(S(y), SR, SIZE, 1.0, 15.0), "frame bigint, hz double, mag double"), f"""WITH {SPEC}, n AS (SELECT *, lag(m) OVER o AS a, lead(m) OVER o AS c, max(m) OVER (PARTITION BY signal_id, frame) AS top FROM spec WINDOW o AS (PARTITION BY signal_id, frame ORDER BY bin)),
-p AS (SELECT signal_id, frame, bin, m, a, c, 0.5 * (a - c) / (a - 2 * m + c) AS dx FROM n WHERE f BETWEEN 1 AND 15 AND m > a AND m > c AND m >= 0.1 * top)
-SELECT signal_id, frame, {R('(bin + dx) * 32 / 32.0')} AS hz, {R('m - 0.25 * (a - c) * dx')} AS mag FROM p""")
-add("estimate_tuning", events(lambda y: [(pitch.pitch_tuning([p[1] for p in pitch.piptrack(S(y), SR, SIZE, 1.0, 15.0)]),)], "tuning double"))
+PIPS = f"""{SPEC}, n AS (SELECT *, lag(m) OVER o AS a, lead(m) OVER o AS c, max(m) OVER (PARTITION BY signal_id, frame) AS top FROM spec WINDOW o AS (PARTITION BY signal_id, frame ORDER BY bin)),
+p AS (SELECT signal_id, frame, bin, m, a, c, CASE WHEN abs(a - 2 * m + c) > 1e-10 THEN 0.5 * (a - c) / (a - 2 * m + c) ELSE 0 END AS dx FROM n WHERE bin BETWEEN {{low}} AND {{high}} AND m > a AND m > c AND m >= 0.1 * top),
+pips AS (SELECT signal_id, frame, (bin + dx) * {SR} / {SIZE} AS hz, m - 0.25 * (a - c) * dx AS mag FROM p WHERE (bin + dx) * {SR} / {SIZE} BETWEEN {{fmin}} AND {{fmax}})"""
+# bins of 1 Hz; peaks of bin 2 may lie over 2.5 Hz once refined
+add("piptrack", events(lambda y: pitch.piptrack(S(y), SR, SIZE, 2.5, 13.25), "frame bigint, hz double, mag double"), f"WITH {PIPS.format(low=2, high=13, fmin=2.5, fmax=13.25)} SELECT signal_id, frame, {R('hz')} AS hz, {R('mag')} AS mag FROM pips")
+add("estimate_tuning", events(lambda y: [(_tuning(y),)], "tuning double"))
+
+
+def _tuning(y):
+    peaks = pitch.piptrack(S(y), SR, SIZE, 1.0, 15.0)
+    return pitch.pitch_tuning([p[1] for p in peaks], [p[2] for p in peaks])
+
+
 # --- effects
 MASK = f"""{SPEC}, h AS (SELECT a.signal_id, a.frame, a.bin, any_value(a.m) AS m, list_sort(list(b.m)) AS w FROM spec a JOIN spec b ON a.signal_id = b.signal_id AND a.bin = b.bin AND abs(a.frame - b.frame) <= 2 GROUP BY 1, 2, 3),
 p AS (SELECT a.signal_id, a.frame, a.bin, list_sort(list(b.m)) AS w FROM spec a JOIN spec b ON a.signal_id = b.signal_id AND a.frame = b.frame AND abs(a.bin - b.bin) <= 2 GROUP BY 1, 2, 3),
@@ -120,14 +137,34 @@ def run_lengths(spark, d):
 
 add("run_length_encode", run_lengths, f"WITH {ACT}, {RLE} SELECT signal_id, CAST(k AS BIGINT) AS k, min(idx) AS start, max(idx) + 1 AS stop FROM g GROUP BY signal_id, g, k")
 add("piano_threshold", events(lambda y: harmony.piano_threshold(np.clip(y, 0, None)[:, None], 1.0, 3), "start bigint, stop bigint, midi bigint, velocity double"), f"WITH {ACT}, {RLE} SELECT signal_id, min(idx) AS start, max(idx) + 1 AS stop, CAST(21 AS BIGINT) AS midi, {R('avg(s.y)')} AS velocity FROM g JOIN sig s USING (signal_id, idx) WHERE k = 1 GROUP BY signal_id, g HAVING count(*) >= 3")
-add("piano_hmm", events(lambda y: harmony.piano_hmm(np.clip(y / 4, 0.001, 0.999)[:, None]), "start bigint, stop bigint, midi bigint, velocity double"))
-VIT = f"""{SIG}, o AS (SELECT signal_id, idx, ln(greatest(1 - least(greatest(y / 4, 0.001), 0.999), 1e-10)) AS o0, ln(least(greatest(y / 4, 0.001), 0.999)) AS o1 FROM sig),
-f(signal_id, idx, s0, s1, b0, b1) AS (SELECT signal_id, idx, ln(CAST(0.5 AS DOUBLE)) + o0, ln(CAST(0.5 AS DOUBLE)) + o1, 0, 0 FROM o WHERE idx = 0
- UNION ALL SELECT f.signal_id, o.idx, greatest(s0 + ln(CAST(0.9 AS DOUBLE)), s1 + ln(CAST(0.1 AS DOUBLE))) + o0, greatest(s0 + ln(CAST(0.1 AS DOUBLE)), s1 + ln(CAST(0.9 AS DOUBLE))) + o1,
-  CASE WHEN s1 + ln(CAST(0.1 AS DOUBLE)) > s0 + ln(CAST(0.9 AS DOUBLE)) THEN 1 ELSE 0 END, CASE WHEN s1 + ln(CAST(0.9 AS DOUBLE)) > s0 + ln(CAST(0.1 AS DOUBLE)) THEN 1 ELSE 0 END FROM f JOIN o ON o.signal_id = f.signal_id AND o.idx = f.idx + 1),
+
+
+def two_state_path(init: float, stay_off: float, stay_on: float) -> str:
+    """SQL of the likeliest path between off and on, whose probability is a quarter of the sample; init: probability of off at first."""
+    ln = lambda x: f"ln(CAST({x!r} AS DOUBLE))"
+    off, rise, fall, on = ln(stay_off), ln(round(1 - stay_off, 12)), ln(round(1 - stay_on, 12)), ln(stay_on)
+    return f"""{SIG}, o AS (SELECT signal_id, idx, ln(greatest(1 - least(greatest(y / 4, 0.001), 0.999), 1e-10)) AS o0, ln(least(greatest(y / 4, 0.001), 0.999)) AS o1 FROM sig),
+f(signal_id, idx, s0, s1, b0, b1) AS (SELECT signal_id, idx, {ln(init)} + o0, {ln(round(1 - init, 12))} + o1, 0, 0 FROM o WHERE idx = 0
+ UNION ALL SELECT f.signal_id, o.idx, greatest(s0 + {off}, s1 + {fall}) + o0, greatest(s0 + {rise}, s1 + {on}) + o1, CASE WHEN s1 + {fall} > s0 + {off} THEN 1 ELSE 0 END, CASE WHEN s1 + {on} > s0 + {rise} THEN 1 ELSE 0 END FROM f JOIN o ON o.signal_id = f.signal_id AND o.idx = f.idx + 1),
 b(signal_id, idx, st) AS (SELECT signal_id, idx, CASE WHEN s1 > s0 THEN 1 ELSE 0 END FROM f WHERE idx = 719 UNION ALL SELECT b.signal_id, b.idx - 1, CASE WHEN b.st = 1 THEN f.b1 ELSE f.b0 END FROM b JOIN f ON f.signal_id = b.signal_id AND f.idx = b.idx WHERE b.idx > 0)"""
 
 
+VIT = two_state_path(0.5, 0.9, 0.9)
+NOTES = f"{two_state_path(0.99, 0.99, 0.95)}, lab AS (SELECT signal_id, idx, st AS k FROM b), {RLE}"
+add("piano_hmm", lambda s, d: notes(s, d), f"WITH RECURSIVE {NOTES} SELECT signal_id, min(idx) AS start, max(idx) + 1 AS stop, CAST(21 AS BIGINT) AS midi, {R('avg(least(greatest(y / 4, 0.001), 0.999))')} AS velocity FROM g JOIN sig USING (signal_id, idx) WHERE k = 1 GROUP BY signal_id, g HAVING count(*) >= 3")
+
+
+def notes(spark, d):
+    """Notes of one pitch: the likeliest path over blocks, its runs of 3 or more by window functions."""
+    played = scans.Chain(np.log([0.99, 0.01]), np.log([[0.99, 0.01], [0.05, 0.95]]))
+    x = blocked.states(spark, d, played).join(src.hourly_events(spark, d), ["signal_id", "idx"])
+    w = by_idx("idx")
+    x = x.withColumn("g", F.sum(F.when(F.col("state") == F.lag("state").over(w), 0).otherwise(1)).over(w)).where("state = 1")
+    out = x.groupBy("signal_id", "g").agg(F.min("idx").alias("start"), (F.max("idx") + 1).alias("stop"), F.lit(21).cast("bigint").alias("midi"), F.avg(F.least(F.greatest(F.col("y") / 4, F.lit(0.001)), F.lit(0.999))).alias("velocity"))
+    return out.where("stop - start >= 3").drop("g")
+
+
+
 def _whole(y):
     p = np.clip(y / 4, 0.001, 0.999)
     return np.stack([1 - p, p], axis=1)

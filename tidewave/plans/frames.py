@@ -78,13 +78,31 @@ add("recurrence_threshold", over(lambda m: ones(segment.recurrence(m, "threshold
 add("nearest_neighbor_indices", lambda s, d: knn(s, d).drop("d"), f"WITH {KNN} SELECT {ID}, i, r - 1 AS r, j FROM n WHERE r <= 5")
 add("nn_filter", lambda s, d: neighbours.aggregated(numbered(s, d), knn(s, d)), f"WITH {KNN} SELECT {ID}, n.i, c.k, {R('avg(c.x)')} AS v FROM knn n JOIN c USING (signal_id) WHERE c.i = n.j GROUP BY 1, 2, 3")
 add("nn_filter_median", lambda s, d: neighbours.aggregated(numbered(s, d), knn(s, d), "median"), f"WITH {KNN} SELECT {ID}, n.i, c.k, {R('median(c.x)')} AS v FROM knn n JOIN c USING (signal_id) WHERE c.i = n.j GROUP BY 1, 2, 3")
-add("recurrence_to_lag", over(lambda m: ones(segment.recurrence_to_lag(segment.recurrence(m))), "lag bigint, i bigint"), f"WITH {KNN}, s AS (SELECT signal_id, count(*) AS n FROM e GROUP BY 1) SELECT {ID}, (j - i + n) % n AS lag, i FROM knn JOIN s USING (signal_id)")
-add("lag_to_recurrence", over(lambda m: ones(segment.lag_to_recurrence(segment.recurrence_to_lag(segment.recurrence(m)))), "i bigint, j bigint"), f"WITH {KNN} SELECT {ID}, i, j FROM knn")
+_N = "s AS (SELECT signal_id, count(*) AS n FROM e GROUP BY 1)"
+
+
+def lagged(row, column):
+    """A query of the neighbours' matrix with other rows and columns; both are expressions of i, j and n."""
+
+    def run(s, d):
+        n = numbered(s, d).groupBy("signal_id").agg(F.count("*").alias("n"))
+        return knn(s, d).join(n, "signal_id").selectExpr("signal_id", f"{row[1]} AS {row[0]}", f"{column[1]} AS {column[0]}")
+
+    return run
+
+
+# what stands at (i, j) has the lag i - j in frame j
+add("recurrence_to_lag", lagged(("lag", "pmod(i - j, n)"), ("i", "j")), f"WITH {KNN}, {_N} SELECT {ID}, lag.k AS lag, f.i FROM s JOIN e f USING (signal_id) CROSS JOIN (SELECT unnest(range(0, (SELECT max(n) FROM s))) AS k) lag JOIN knn r ON r.signal_id = s.signal_id AND r.i = (f.i + lag.k) % n AND r.j = f.i WHERE lag.k < n")
+# the neighbours' matrix taken as one of lags
+add("lag_to_recurrence", over(lambda m: ones(segment.lag_to_recurrence(segment.recurrence(m))), "i bigint, j bigint"), f"WITH {KNN}, {_N} SELECT {ID}, (j + i) % n AS i, j FROM knn JOIN s USING (signal_id)")
 RQA = f"""{DIST}, p AS (SELECT signal_id, i, j FROM d WHERE d < 1.2 AND i <> j), s AS (SELECT signal_id, count(*) AS n FROM e GROUP BY 1),
 dg AS (SELECT signal_id, count(*) AS len FROM (SELECT signal_id, j - i AS k, i - row_number() OVER (PARTITION BY signal_id, j - i ORDER BY i) AS g FROM p) GROUP BY signal_id, k, g),
 vt AS (SELECT signal_id, count(*) AS len FROM (SELECT signal_id, j, i - row_number() OVER (PARTITION BY signal_id, j ORDER BY i) AS g FROM p) GROUP BY signal_id, j, g),
-a AS (SELECT signal_id, sum(len) AS total, sum(len) FILTER (len >= 2) AS dl, avg(len) FILTER (len >= 2) AS md, max(len) FILTER (len >= 2) AS longest FROM dg GROUP BY 1), b AS (SELECT signal_id, sum(len) FILTER (len >= 2) AS vl FROM vt GROUP BY 1)"""
-add("rqa", over(lambda m: [tuple(segment.rqa(segment.recurrence(m, "threshold", threshold=1.2))[k] for k in ("rate", "determinism", "laminarity", "mean_diagonal", "longest"))], "rate double, determinism double, laminarity double, mean_diagonal double, longest double"), f"""WITH {RQA} SELECT CAST(s.signal_id AS BIGINT) AS signal_id, {R('coalesce(total, 0) / (n * n)')} AS rate, {R('coalesce(dl / total, 0)')} AS determinism, {R('coalesce(vl / total, 0)')} AS laminarity, {R('coalesce(md, 0)')} AS mean_diagonal, {R('CAST(coalesce(longest, 0) AS DOUBLE)')} AS longest FROM s LEFT JOIN a USING (signal_id) LEFT JOIN b USING (signal_id)""")
+a AS (SELECT signal_id, sum(len) AS total, sum(len) FILTER (len >= 2) AS dl, avg(len) FILTER (len >= 2) AS md, max(len) FILTER (len >= 2) AS longest FROM dg GROUP BY 1), b AS (SELECT signal_id, sum(len) FILTER (len >= 2) AS vl, avg(len) FILTER (len >= 2) AS mv FROM vt GROUP BY 1),
+h AS (SELECT signal_id, -sum(q * log2(q)) AS entropy FROM (SELECT signal_id, count(*) / sum(count(*)) OVER (PARTITION BY signal_id) AS q FROM dg WHERE len >= 2 GROUP BY signal_id, len) GROUP BY 1)"""
+MEASURES = ("rate", "determinism", "laminarity", "mean_diagonal", "mean_vertical", "longest", "entropy")
+add("rqa", over(lambda m: [tuple(segment.rqa(segment.recurrence(m, "threshold", threshold=1.2))[k] for k in MEASURES)], ", ".join(f"{k} double" for k in MEASURES)), f"""WITH {RQA} SELECT CAST(s.signal_id AS BIGINT) AS signal_id, {R('coalesce(total, 0) / greatest(n * n - n, 1)')} AS rate, {R('coalesce(dl / total, 0)')} AS determinism, {R('coalesce(vl / total, 0)')} AS laminarity, {R('coalesce(md, 0)')} AS mean_diagonal, {R('coalesce(mv, 0)')} AS mean_vertical,
+ {R('CAST(coalesce(longest, 0) AS DOUBLE)')} AS longest, {R('coalesce(entropy, 0)')} AS entropy FROM s LEFT JOIN a USING (signal_id) LEFT JOIN b USING (signal_id) LEFT JOIN h USING (signal_id)""")
 add("dtw", over(lambda m: _halves_cost(m), "cost double"), f"""WITH RECURSIVE {FR}, h AS (SELECT signal_id, count(*) AS n, count(*) // 2 AS half FROM e GROUP BY 1),
 cost AS (SELECT a.signal_id, a.i, b.i - half AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM c a JOIN h USING (signal_id) JOIN c b ON a.signal_id = b.signal_id AND a.k = b.k WHERE a.i < half AND b.i >= half GROUP BY 1, 2, 3),
 w(signal_id, s, row1, row2) AS (SELECT signal_id, CAST(0 AS BIGINT), map([CAST(0 AS BIGINT)], [d]), map([CAST(-1 AS BIGINT)], [CAST('inf' AS DOUBLE)]) FROM cost WHERE i = 0 AND j = 0
@@ -94,8 +112,14 @@ add("dtw_path", over(lambda m: _halves_path(m), "i bigint, j bigint"))
 add("agglomerative", over(lambda m: ((int(b),) for b in segment.agglomerative(m, 6)), "boundary bigint"))
 add("agglomerative_labels", over(lambda m: ((i, int(x)) for i, x in enumerate(segment.labels_of(segment.agglomerative(m, 6), len(m)))), "i bigint, segment bigint"))
 add("subsegment", over(lambda m: ((int(b),) for b in segment.subsegment(segment.agglomerative(m, 6), 3)), "boundary bigint"))
-add("path_enhance", over(lambda m: cells(segment.path_enhance(segment.recurrence(m))), "i bigint, j bigint, v double"))
-add("timelag_filter", over(lambda m: ones(segment.timelag_filter(lambda x: x)(segment.recurrence(m))), "i bigint, j bigint"), f"WITH {KNN} SELECT {ID}, i, j FROM knn")
+# a cell's rectangle, mirrored at the edges; of ones and zeros the upper median is 1 if half of them are
+_BOXES = " UNION ALL ".join(f"SELECT {f} AS f, unnest(range({-(r // 2)}, {r - r // 2})) AS di, c AS dj FROM (SELECT unnest(range({-(c // 2)}, {c - c // 2})) AS c)" for f, (r, c) in enumerate(segment.path_sizes(5)))
+add("path_enhance", over(lambda m: cells(segment.path_enhance(segment.recurrence(m))), "i bigint, j bigint, v double"), f"""WITH {KNN}, {_N}, box AS ({_BOXES}), size AS (SELECT f, count(*) AS size FROM box GROUP BY 1), mirror AS (SELECT signal_id, n, i, d, CASE WHEN i + d < 0 THEN -1 - i - d WHEN i + d >= n THEN 2 * n - 1 - i - d ELSE i + d END AS at FROM s JOIN e USING (signal_id) CROSS JOIN (SELECT unnest(range(-5, 6)) AS d)),
+hit AS (SELECT r.signal_id, f, a.i, b.i AS j, count(*) AS ones FROM knn r JOIN mirror a ON a.signal_id = r.signal_id AND a.at = r.i JOIN mirror b ON b.signal_id = r.signal_id AND b.at = r.j JOIN box ON di = a.d AND dj = b.d GROUP BY 1, 2, 3, 4),
+v AS (SELECT signal_id, i, j, count(*) / 7 AS v FROM hit JOIN size USING (f) WHERE ones >= size - size // 2 GROUP BY 1, 2, 3)
+SELECT CAST(x.signal_id AS BIGINT) AS signal_id, x.i, y.i AS j, {R('coalesce(v.v, 0)')} AS v FROM e x JOIN e y USING (signal_id) LEFT JOIN v ON v.signal_id = x.signal_id AND v.i = x.i AND v.j = y.i""")
+# each lag moved on by one
+add("timelag_filter", over(lambda m: ones(segment.timelag_filter(lambda x: np.roll(x, 1, axis=0))(segment.recurrence(m))), "i bigint, j bigint"), f"WITH {KNN}, {_N} SELECT {ID}, (i + 1) % n AS i, j FROM knn JOIN s USING (signal_id)")
 add("nmf_error", over(lambda m: [(float(segment.reconstruction_error(np.abs(m), *segment.nmf(np.abs(m), 4, 50))),)], "error double"))
 add("gmm_log_likelihood", over(lambda m: ((i, float(a), float(b)) for i, (a, b) in enumerate(zip(*(lambda t: (t[0], t[1][:, 0]))(sequence.gmm_log_likelihood(m, np.array([0.4, 0.6]), np.array([[0.05] * 64, [-0.05] * 64]), np.full((2, 64), 0.02)))))), "i bigint, ll double, r0 double"), f"""WITH {FR}, g AS (SELECT signal_id, i, ln(CAST(0.4 AS DOUBLE)) - 0.5 * sum(ln(2 * pi() * 0.02) + pow(x - 0.05, 2) / 0.02) AS a, ln(CAST(0.6 AS DOUBLE)) - 0.5 * sum(ln(2 * pi() * 0.02) + pow(x + 0.05, 2) / 0.02) AS b FROM c GROUP BY 1, 2),
 l AS (SELECT *, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS ll FROM g) SELECT {ID}, i, {R('ll')} AS ll, {R('a - ll')} AS r0 FROM l""")
@@ -105,7 +129,10 @@ SELECT {ID}, min(i) AS start, max(i) + 1 AS stop, k AS chord FROM g GROUP BY sig
 add("chord_detect", over(lambda m: harmony.chord_detect(np.abs(m)[:, :25] + 1e-6), "start bigint, stop bigint, label string"))
 for _how, _sql in {"mean": "avg(v)", "median": "median(v)", "max": "max(v)"}.items():
     add(f"ensemble_{_how}", over(lambda m, h=_how: cells(ml.ensemble([lambda x: x, lambda x: 2 * x, lambda x: 1 - x], m, h)[0]), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID}, i, k, {R(_sql)} AS v FROM (SELECT signal_id, i, k, unnest([x, 2 * x, 1 - x]) AS v FROM c) GROUP BY 1, 2, 3")
-add("chunked_inference", over(lambda m: cells(ml.chunked(lambda x: x - x.mean(axis=0), m, 8, 4)), "i bigint, k bigint, v double"), f"""WITH {FR}, q AS (SELECT signal_id, unnest(range(0, greatest(count(*) - 8, 0) + 4, 4)) AS s FROM e GROUP BY 1), p AS (SELECT signal_id, s, i, k, x - avg(x) OVER (PARTITION BY signal_id, s, k) AS v FROM c JOIN q USING (signal_id) WHERE i BETWEEN s AND s + 7) SELECT {ID}, i, k, {R('avg(v)')} AS v FROM p GROUP BY 1, 2, 3""")
+# chunks of 8 begin every 4 rows; each is put 4 rows before the end of those before it, so the last one 4 rows before the end of all; what overlaps is averaged in turn
+add("chunked_inference", over(lambda m: cells(ml.chunked(lambda x: x - x.mean(axis=0), m, 8, 4)), "i bigint, k bigint, v double"), f"""WITH {FR}, {_N}, q AS (SELECT signal_id, n, unnest(range(0, CASE WHEN n <= 8 THEN 1 ELSE n END, 4)) AS s FROM s),
+p AS (SELECT signal_id, s, CASE WHEN s > 0 AND s + 4 >= n THEN n - 4 ELSE s END + i - s AS i, k, x - avg(x) OVER (PARTITION BY signal_id, s, k) AS v FROM c JOIN q USING (signal_id) WHERE i BETWEEN s AND s + 7)
+SELECT {ID}, i, k, {R('list_reduce(list(v ORDER BY s), lambda a, b: (a + b) / 2)')} AS v FROM p GROUP BY 1, 2, 3""")
 _W = np.array([[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(3)] for i in range(64)])
 add("dense_layer", over(lambda m: cells(ml.dense(m, _W, np.array([0.1, 0.2, 0.3]), "relu")), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID}, i, j AS k, {R('greatest(0, sum(x * ((k * 7 + j * 3) % 11 - 5) / 10.0) + (j + 1) / 10.0)')} AS v FROM c CROSS JOIN (SELECT unnest(range(0, 3)) AS j) GROUP BY signal_id, i, j")
 add("conv2d", over(lambda m: cells(ml.conv2d(m[None], np.array([[[[0.5, 0.25], [0.25, -0.5]]]]))[0]), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID.replace('signal_id AS', 'a.signal_id AS', 1)}, a.i, a.k, {R('sum(b.x * CASE WHEN b.i = a.i AND b.k = a.k THEN 0.5 WHEN b.i > a.i AND b.k > a.k THEN -0.5 ELSE 0.25 END)')} AS v FROM c a JOIN c b ON a.signal_id = b.signal_id AND b.i BETWEEN a.i AND a.i + 1 AND b.k BETWEEN a.k AND a.k + 1 GROUP BY 1, 2, 3 HAVING count(*) = 4")
