@@ -147,7 +147,7 @@ def compare(got, want):
 def test_language_model_against_dictionaries(spark, table_bytes, order, base, least):
     rows = lm_rows()
     # a filter so large that it gives no false answers
-    p = lm_score.LmParams(order=order, base=base, min_counts=least, table_bytes=table_bytes, item_bits=3000, segments=4)
+    p = lm_score.LmParams(order=order, base=base, min_counts=least, table_bytes=table_bytes, item_bits=3000, least_bits=2)
     got = lm_score.language_model(documents(spark, rows), p)
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     compare(got.collect(), plain_scores(rows, p))
@@ -174,7 +174,7 @@ def test_filter_levels_and_bound():
     rng = np.random.default_rng(1)
     gram, level = rng.integers(0, 1 << 63, 20_000).astype(np.uint64), rng.integers(1, 9, 20_000)
     size = int(level.sum()) * 12 // 64
-    bits = lm_score.fill(gram, level, size)[None]
+    bits = lm_score.fill(lm_score.shortened(gram, 1), level, size)[None]
     got = lm_score.probe(bits, gram, 9)
     assert (got >= level).all() and (got > level).mean() < 0.03
     assert (lm_score.probe(bits, rng.integers(0, 1 << 63, 20_000).astype(np.uint64), 9) > 0).mean() < 0.03
@@ -194,7 +194,7 @@ def test_context_probabilities_sum_to_one(spark):
     """Over the vocabulary, the unseen share and the levels' rounding are all that is missing from 1, or beyond it."""
     rows = lm_rows()
     vocabulary = sorted({w for _, t in rows for w in re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))})
-    p = lm_score.LmParams(order=2, base=1.05, min_counts=(1, 1), item_bits=400, segments=4)
+    p = lm_score.LmParams(order=2, base=1.05, min_counts=(1, 1), item_bits=400, least_bits=2)
     model = lm_score.fit(documents(spark, rows), p)
     texts = documents(spark, [(k, f"red {w}") for k, w in enumerate([*vocabulary, ""])])
     t, offsets = lm_score.tokens_of(pa.array([r.text for r in texts.collect()]))
