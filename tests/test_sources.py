@@ -36,5 +36,5 @@ def test_hours_outside_january(spark, tmp_path):
     rows = [("a", 97.317, -3), ("a", 97.317, 800), ("b", 97.317, 10), ("b", None, 10)]
     spark.createDataFrame(rows, "event_type string, value double, h int").select("event_type", "value", F.timestamp_seconds(1704067200 + 3600 * F.col("h")).alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
     got = signals.hourly_events(spark, str(tmp_path)).collect()
-    assert len(got) == 2 * 804 and {(r.signal_id, r.idx) for r in got if r.y} == {("a", -3), ("a", 800), ("b", 10)}
+    assert len(got) == 2 * 804 and {(r.signal_id, r.idx) for r in got if r.y} == {("a", 0), ("a", 803), ("b", 13)}
     assert {r.signal_id: len(r.samples) for r in signals.event_signals(spark, str(tmp_path)).collect()} == {"a": 804, "b": 804}

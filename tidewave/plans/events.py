@@ -11,7 +11,7 @@ from ..operators import effects, harmony, pitch, rhythm, scans, sequence, spectr
 from ..operators.lift import by_frame, lift, tidy
 from ..sources import signals as src
 from . import blocked, spectra
-from .spectra import FRAMED, HOP, SIG, SIZE, SPEC, SR, F_HZ, R, S, sig
+from .spectra import FRAMED, HOP, N, SIG, SIZE, SPEC, SR, F_HZ, R, S, sig
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -40,7 +40,7 @@ RMS = f"{FRAMED}, r AS (SELECT signal_id, frame, sqrt(avg(y * y)) AS rms FROM fr
 HALF_DB = 20 * np.log10(2)
 # --- onsets, tempo, beats
 PEAKS = f"""{SIG}, w AS (SELECT signal_id, idx, y, max(y) OVER o AS top, avg(y) OVER o AS mean FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-peaks AS (SELECT signal_id, idx FROM w WHERE idx BETWEEN 3 AND 716 AND y >= top AND y >= mean + 0.07)"""
+peaks AS (SELECT signal_id, idx FROM w WHERE idx BETWEEN 3 AND {N} - 4 AND y >= top AND y >= mean + 0.07)"""
 add("peak_candidates", events(lambda y: one(rhythm.peak_candidates(y))), f"WITH {PEAKS} SELECT signal_id, idx FROM peaks")
 add("peak_pick", events(lambda y: one(rhythm.peak_pick(y, wait=30))), f"""WITH RECURSIVE {PEAKS}, first AS (SELECT signal_id, min(idx) AS idx FROM peaks GROUP BY 1),
 walk(signal_id, idx) AS (SELECT signal_id, idx FROM first UNION ALL SELECT w.signal_id, (SELECT min(p.idx) FROM peaks p WHERE p.signal_id = w.signal_id AND p.idx >= w.idx + 30) FROM walk w WHERE w.idx IS NOT NULL)
@@ -59,7 +59,7 @@ TEMPO = f"""{SIG}, acf AS (SELECT a.signal_id, b.idx - a.idx AS lag, sum(a.y * b
 t AS (SELECT signal_id, lag, 2400.0 / lag AS bpm, r * exp(-0.5 * pow(log2(2400.0 / lag / 120), 2)) AS p FROM acf)"""
 add("tempo", lambda s, d: lift(sig(s, d), lambda y: [(rhythm.tempo(y, 40.0, 1, envelope=y),)], ["samples"], "bpm double"), f"WITH {TEMPO} SELECT signal_id, {R('arg_max(bpm, p)')} AS bpm FROM t GROUP BY 1")
 add("tempo_from_activations", events(lambda y: [(rhythm.tempo_from_activations(y, 40.0),)], "bpm double"), f"WITH {TEMPO} SELECT signal_id, {R('greatest(55.0, least(215.0, arg_max(bpm, p)))')} AS bpm FROM t WHERE lag BETWEEN 11 AND 43 GROUP BY 1")
-COMBS = f"""{SIG}, d AS (SELECT b AS bpm, CAST(floor(2400.0 / b + 0.5) AS BIGINT) AS delay FROM (SELECT unnest(range(30, 301)) AS b)), k AS (SELECT DISTINCT delay, unnest(range(0, 720 // delay + 1)) AS k FROM (SELECT DISTINCT delay FROM d)),
+COMBS = f"""{SIG}, d AS (SELECT b AS bpm, CAST(floor(2400.0 / b + 0.5) AS BIGINT) AS delay FROM (SELECT unnest(range(30, 301)) AS b)), k AS (SELECT DISTINCT delay, unnest(range(0, {N} // delay + 1)) AS k FROM (SELECT DISTINCT delay FROM d)),
 f AS (SELECT a.signal_id, delay, a.idx, sum(pow(CAST(0.99 AS DOUBLE), k) * b.y) AS v FROM sig a CROSS JOIN k JOIN sig b ON b.signal_id = a.signal_id AND b.idx = a.idx - k * delay GROUP BY 1, 2, 3),
 e AS (SELECT signal_id, delay, sum(v * v) AS energy FROM f GROUP BY 1, 2)"""
 add("comb_filter_tempo", events(lambda y: [(rhythm.comb_filter_tempo(y, 40.0),)], "bpm double"), f"WITH {COMBS}, t AS (SELECT signal_id, bpm, energy, max(energy) OVER (PARTITION BY signal_id) AS top FROM e JOIN d USING (delay)) SELECT signal_id, CAST(min(bpm) AS DOUBLE) AS bpm FROM t WHERE energy = top GROUP BY 1")
@@ -71,7 +71,7 @@ BEATS = f"""{SIG}, x AS (SELECT signal_id, idx, y / greatest(max(y) OVER (PARTIT
 dp(signal_id, t, s, b) AS (SELECT signal_id, idx, [x], [CAST(-1 AS BIGINT)] FROM x WHERE idx = 0
  UNION ALL SELECT signal_id, t, list_append(s, x + best.v), list_append(b, -best.n) FROM (SELECT dp.signal_id, x.idx AS t, s, b, x.x,
   list_max(list_transform(range(greatest(x.idx - 36, 0), greatest(least(x.idx - 1, x.idx - 12), 0) + 1), lambda k: {{'v': s[k + 1] - 100.0 / 576 * pow(ln(x.idx - k) - ln(CAST(24 AS DOUBLE)), 2), 'n': -k}})) AS best FROM dp JOIN x ON x.signal_id = dp.signal_id AND x.idx = dp.t + 1)),
-walk(signal_id, beat, b) AS (SELECT signal_id, list_position(s, list_max(s)) - 1, b FROM dp WHERE t = 719 UNION ALL SELECT signal_id, b[beat + 1], b FROM walk WHERE b[beat + 1] >= 0),
+walk(signal_id, beat, b) AS (SELECT signal_id, list_position(s, list_max(s)) - 1, b FROM dp WHERE t = {N} - 1 UNION ALL SELECT signal_id, b[beat + 1], b FROM walk WHERE b[beat + 1] >= 0),
 w AS (SELECT signal_id, beat, row_number() OVER (PARTITION BY signal_id ORDER BY beat) AS r, count(*) OVER (PARTITION BY signal_id) AS n FROM walk)"""
 add("beat_dp", events(lambda y: one(rhythm.beat_dp(y / max(y.max(), 1e-9), 24.0))), f"WITH RECURSIVE {BEATS} SELECT signal_id, CAST(beat AS BIGINT) AS idx FROM w WHERE n = 1 OR (r > 1 AND (r < n OR n = 2))")
 add("beat_track", events(lambda y: ((rhythm.beat_track(y, 40.0, 1, envelope=y)[0], int(b)) for b in rhythm.beat_track(y, 40.0, 1, envelope=y)[1]), "bpm double, idx bigint"))
@@ -79,8 +79,8 @@ add("neural_beat_track", events(lambda y: one(rhythm.neural_beats(np.clip(y / 5,
 add("downbeat_detect", events(lambda y: ((int(b), bool(k)) for b, k in zip(*rhythm.downbeats(np.stack([1 - np.clip(y / 6, 0, 1), 0.6 * np.clip(y / 6, 0, 1), 0.4 * np.clip(y / 6, 0, 1)], 1), 40.0))), "idx bigint, down boolean"))
 add("plp", events(lambda y: enumerate(rhythm.plp(y, 40.0, 96)), "idx bigint, v double"))
 # --- pitch
-YIN = f"""{SIG}, pad AS (SELECT s.signal_id, i + 16 AS i, coalesce(y, 0) AS y FROM (SELECT DISTINCT signal_id FROM sig) s CROSS JOIN (SELECT unnest(range(-16, 736)) AS i) g LEFT JOIN sig ON sig.signal_id = s.signal_id AND sig.idx = g.i),
-ly AS (SELECT signal_id, unnest(range(0, 721, {HOP})) AS start FROM (SELECT DISTINCT signal_id FROM pad)),
+YIN = f"""{SIG}, pad AS (SELECT s.signal_id, i + 16 AS i, coalesce(y, 0) AS y FROM (SELECT DISTINCT signal_id FROM sig) s CROSS JOIN (SELECT unnest(range(-16, {N} + 16)) AS i) g LEFT JOIN sig ON sig.signal_id = s.signal_id AND sig.idx = g.i),
+ly AS (SELECT signal_id, unnest(range(0, {N} + 1, {HOP})) AS start FROM (SELECT DISTINCT signal_id FROM pad)),
 df AS (SELECT ly.signal_id, start, b.i - a.i AS lag, sum((a.y - b.y) * (a.y - b.y)) AS d FROM ly JOIN pad a ON a.signal_id = ly.signal_id AND a.i BETWEEN start AND start + 31 JOIN pad b ON b.signal_id = ly.signal_id AND b.i BETWEEN a.i + 1 AND a.i + 16 AND b.i <= start + 31 GROUP BY 1, 2, 3),
 run AS (SELECT *, sum(d) OVER (PARTITION BY signal_id, start ORDER BY lag) AS total FROM df), nd AS (SELECT signal_id, start, lag, CASE WHEN total > 0 THEN d * lag / total ELSE 1 END AS v FROM run),
 nb AS (SELECT *, coalesce(lag(v) OVER w, 1) AS before, lead(v) OVER w AS after FROM nd WINDOW w AS (PARTITION BY signal_id, start ORDER BY lag)),
@@ -113,8 +113,8 @@ add("hpss_masks", events(lambda y: ((t, k, float(a), float(b)) for t, (x, z) in
 add("hpss", events(lambda y: ((i, a, b) for i, (a, b) in enumerate(zip(*effects.hpss(y, SIZE, HOP, 5)))), "idx bigint, harmonic double, percussive double"))
 add("time_stretch", events(lambda y: enumerate(effects.time_stretch(y, 1.25, SIZE, HOP)), "idx bigint, v double"))
 add("pitch_shift", events(lambda y: enumerate(effects.pitch_shift(y, 64.0, 2)), "idx bigint, v double"))
-add("trim", events(lambda y: [effects.trim(y, HALF_DB, SIZE, HOP)], "start bigint, stop bigint"), f"WITH {RMS} SELECT signal_id, min(frame) * {HOP} AS start, least(720, max(frame) * {HOP} + {SIZE}) AS stop FROM l WHERE loud GROUP BY 1")
-add("split", events(lambda y: effects.split(y, HALF_DB, SIZE, HOP), "start bigint, stop bigint"), f"WITH {RMS}, g AS (SELECT signal_id, frame, frame - row_number() OVER (PARTITION BY signal_id ORDER BY frame) AS g FROM l WHERE loud) SELECT signal_id, min(frame) * {HOP} AS start, least(720, max(frame) * {HOP} + {SIZE}) AS stop FROM g GROUP BY signal_id, g")
+add("trim", events(lambda y: [effects.trim(y, HALF_DB, SIZE, HOP)], "start bigint, stop bigint"), f"WITH {RMS} SELECT signal_id, min(frame) * {HOP} AS start, least({N}, max(frame) * {HOP} + {SIZE}) AS stop FROM l WHERE loud GROUP BY 1")
+add("split", events(lambda y: effects.split(y, HALF_DB, SIZE, HOP), "start bigint, stop bigint"), f"WITH {RMS}, g AS (SELECT signal_id, frame, frame - row_number() OVER (PARTITION BY signal_id ORDER BY frame) AS g FROM l WHERE loud) SELECT signal_id, min(frame) * {HOP} AS start, least({N}, max(frame) * {HOP} + {SIZE}) AS stop FROM g GROUP BY signal_id, g")
 _B0, _B1, _B2, _A1, _A2 = (f"CAST({float(x)!r} AS DOUBLE)" for x in banks.semitone_biquads(4.0, SR)[0])
 _section = lambda x, x1, x2, y1, y2: f"{_B0} * {x} + {_B1} * {x1} + {_B2} * {x2} - {_A1} * {y1} - {_A2} * {y2}"
 # two equal sections, the second on what the first gives
@@ -146,7 +146,7 @@ def two_state_path(init: float, stay_off: float, stay_on: float) -> str:
     return f"""{SIG}, o AS (SELECT signal_id, idx, ln(greatest(1 - least(greatest(y / 4, 0.001), 0.999), 1e-10)) AS o0, ln(least(greatest(y / 4, 0.001), 0.999)) AS o1 FROM sig),
 f(signal_id, idx, s0, s1, b0, b1) AS (SELECT signal_id, idx, {ln(init)} + o0, {ln(round(1 - init, 12))} + o1, 0, 0 FROM o WHERE idx = 0
  UNION ALL SELECT f.signal_id, o.idx, greatest(s0 + {off}, s1 + {fall}) + o0, greatest(s0 + {rise}, s1 + {on}) + o1, CASE WHEN s1 + {fall} > s0 + {off} THEN 1 ELSE 0 END, CASE WHEN s1 + {on} > s0 + {rise} THEN 1 ELSE 0 END FROM f JOIN o ON o.signal_id = f.signal_id AND o.idx = f.idx + 1),
-b(signal_id, idx, st) AS (SELECT signal_id, idx, CASE WHEN s1 > s0 THEN 1 ELSE 0 END FROM f WHERE idx = 719 UNION ALL SELECT b.signal_id, b.idx - 1, CASE WHEN b.st = 1 THEN f.b1 ELSE f.b0 END FROM b JOIN f ON f.signal_id = b.signal_id AND f.idx = b.idx WHERE b.idx > 0)"""
+b(signal_id, idx, st) AS (SELECT signal_id, idx, CASE WHEN s1 > s0 THEN 1 ELSE 0 END FROM f WHERE idx = {N} - 1 UNION ALL SELECT b.signal_id, b.idx - 1, CASE WHEN b.st = 1 THEN f.b1 ELSE f.b0 END FROM b JOIN f ON f.signal_id = b.signal_id AND f.idx = b.idx WHERE b.idx > 0)"""
 
 
 VIT = two_state_path(0.5, 0.9, 0.9)
@@ -177,18 +177,27 @@ add("viterbi_discriminative", events(lambda y: ((i, int(v)) for i, v in enumerat
 SMOOTH = f"""{SIG}, o AS (SELECT signal_id, idx, least(greatest(y / 4, 0.001), 0.999) AS on1 FROM sig),
 fw(signal_id, idx, p, z) AS (SELECT signal_id, idx, on1, CAST(0 AS DOUBLE) FROM o WHERE idx = 0
  UNION ALL SELECT fw.signal_id, o.idx, on1 * (0.1 + 0.8 * p) / (on1 * (0.1 + 0.8 * p) + (1 - on1) * (0.9 - 0.8 * p)), z + ln(on1 * (0.1 + 0.8 * p) + (1 - on1) * (0.9 - 0.8 * p)) FROM fw JOIN o ON o.signal_id = fw.signal_id AND o.idx = fw.idx + 1),
-bw(signal_id, idx, q) AS (SELECT signal_id, idx, CAST(0.5 AS DOUBLE) FROM o WHERE idx = 719
+bw(signal_id, idx, q) AS (SELECT signal_id, idx, CAST(0.5 AS DOUBLE) FROM o WHERE idx = {N} - 1
  UNION ALL SELECT bw.signal_id, bw.idx - 1, (0.9 * on1 * q + 0.1 * (1 - on1) * (1 - q)) / (on1 * q + (1 - on1) * (1 - q)) FROM bw JOIN o USING (signal_id, idx) WHERE bw.idx > 0)"""
 MARGINAL = f"WITH RECURSIVE {SMOOTH} SELECT signal_id, idx, {R('p * q / (p * q + (1 - p) * (1 - q))')} AS p FROM fw JOIN bw USING (signal_id, idx)"
 _FREE = scans.Chain(np.zeros(2), blocked.chain().trans)  # a CRF has no initial scores
 add("forward_backward", lambda s, d: blocked.on_probability(s, d, blocked.chain()), MARGINAL)
 add("crf_marginals", lambda s, d: blocked.on_probability(s, d, _FREE), MARGINAL)
-add("crf_log_partition", lambda s, d: _FREE.log_partition(blocked.two_states(s, d), span=4), f"WITH RECURSIVE {SMOOTH} SELECT signal_id, {R('z')} AS z FROM fw WHERE idx = 719")
+add("crf_log_partition", lambda s, d: _FREE.log_partition(blocked.two_states(s, d), span=4), f"WITH RECURSIVE {SMOOTH} SELECT signal_id, {R('z')} AS z FROM fw WHERE idx = {N} - 1")
 add("chord_detect_runs", events(lambda y: harmony.chord_detect(spectral.power(y, 64, 8, None, False)[:, :25] + 1e-9), "start bigint, stop bigint, label string"))
 add("matrix_product", lambda s, d: tidy(by_frame(sig(s, d), lambda y, sr: S(y) @ spectra.MEL.T), bin_name="band"), f"WITH {SPEC} SELECT signal_id, frame, band, {R('sum(w * m)')} AS v FROM spec JOIN {spectra.values(spectra.MEL)} fb USING (bin) GROUP BY 1, 2, 3")
 add("conv1d", events(lambda y: enumerate(np.correlate(y, [0.25, 0.5, 0.25], "valid")), "idx bigint, v double"), f"WITH {SIG}, c AS (SELECT signal_id, idx, 0.25 * y + 0.5 * lead(y) OVER o + 0.25 * lead(y, 2) OVER o AS v FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx)) SELECT signal_id, idx, {R('v')} AS v FROM c WHERE v IS NOT NULL")
 add("reduce", lambda s, d: src.hourly_events(s, d).groupBy("signal_id").agg(F.sum("y").alias("s"), F.max("y").alias("hi"), F.min("y").alias("lo"), F.avg("y").alias("mean"), F.max_by("idx", F.struct("y", -F.col("idx"))).alias("at")), f"WITH {SIG} SELECT signal_id, {R('sum(y)')} AS s, {R('max(y)')} AS hi, {R('min(y)')} AS lo, {R('avg(y)')} AS mean, arg_max(idx, (y, -idx)) AS at FROM sig GROUP BY 1")
-add("waveshow_envelope", lambda s, d: src.hourly_events(s, d).groupBy("signal_id", F.floor(F.col("idx") * 60 / 720).alias("part")).agg(F.min("y").alias("lo"), F.max("y").alias("hi")), f"WITH {SIG} SELECT signal_id, idx * 60 // 720 AS part, {R('min(y)')} AS lo, {R('max(y)')} AS hi FROM sig GROUP BY 1, 2")
-add("stream_blocks", lambda s, d: src.blocks(sig(s, d), 100, 0.0).select("signal_id", "block", F.posexplode("samples").alias("i", "v")).select("signal_id", "block", F.col("i").cast("bigint").alias("i"), "v"), f"WITH {SIG}, g AS (SELECT signal_id, unnest(range(0, 800)) AS idx FROM sig WHERE idx = 0) SELECT g.signal_id, g.idx // 100 AS block, g.idx % 100 AS i, {R('coalesce(y, 0)')} AS v FROM g LEFT JOIN sig USING (signal_id, idx)")
+
+
+def envelope(spark, d):
+    """Least and greatest of each of 60 parts of a signal."""
+    y = src.hourly_events(spark, d)
+    y = y.join(F.broadcast(y.agg((F.max("idx") + 1).alias("n"))))  # one row
+    return y.groupBy("signal_id", F.floor(F.col("idx") * 60 / F.col("n")).alias("part")).agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+
+
+add("waveshow_envelope", envelope, f"WITH {SIG} SELECT signal_id, idx * 60 // {N} AS part, {R('min(y)')} AS lo, {R('max(y)')} AS hi FROM sig GROUP BY 1, 2")
+add("stream_blocks", lambda s, d: src.blocks(sig(s, d), 100, 0.0).select("signal_id", "block", F.posexplode("samples").alias("i", "v")).select("signal_id", "block", F.col("i").cast("bigint").alias("i"), "v"), f"WITH {SIG}, g AS (SELECT signal_id, unnest(range(0, ({N} + 99) // 100 * 100)) AS idx FROM sig WHERE idx = 0) SELECT g.signal_id, g.idx // 100 AS block, g.idx % 100 AS i, {R('coalesce(y, 0)')} AS v FROM g LEFT JOIN sig USING (signal_id, idx)")
 add("get_duration", lambda s, d: src.get_duration(sig(s, d)), f"WITH {SIG} SELECT signal_id, {R('count(*) / 32.0')} AS duration FROM sig GROUP BY 1")
 add("to_mono", lambda s, d: src.hourly_events(s, d).groupBy("idx").agg(F.avg("y").alias("v")), f"WITH {SIG} SELECT idx, {R('avg(y)')} AS v FROM sig GROUP BY 1")

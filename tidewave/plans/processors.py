@@ -11,7 +11,7 @@ from ..operators import spectral
 from ..operators.lift import by_frame, lift, tidy
 from ..sources import signals as src
 from . import spectra
-from .spectra import HOP, SIG, SIZE, SPEC, SR, R, sig
+from .spectra import HOP, N, SIG, SIZE, SPEC, SR, R, sig
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -32,8 +32,8 @@ def scalars(kernel, schema):
 
 
 # zeros on both sides, symmetric window
-PFR = f"""{SIG}, n AS (SELECT signal_id, unnest(range(-{SIZE // 2}, 720 + {SIZE // 2})) AS idx FROM sig WHERE idx = 0), z AS (SELECT n.signal_id, n.idx + {SIZE // 2} AS idx, coalesce(y, 0) AS y FROM n LEFT JOIN sig USING (signal_id, idx)),
-pf AS (SELECT z.signal_id, f.frame, z.idx - f.frame * {HOP} AS i, z.y FROM (SELECT unnest(range(0, {720 // HOP + 1})) AS frame) f JOIN z ON z.idx BETWEEN f.frame * {HOP} AND f.frame * {HOP} + {SIZE - 1})"""
+PFR = f"""{SIG}, n AS (SELECT signal_id, unnest(range(-{SIZE // 2}, {N} + {SIZE // 2})) AS idx FROM sig WHERE idx = 0), z AS (SELECT n.signal_id, n.idx + {SIZE // 2} AS idx, coalesce(y, 0) AS y FROM n LEFT JOIN sig USING (signal_id, idx)),
+pf AS (SELECT z.signal_id, f.frame, z.idx - f.frame * {HOP} AS i, z.y FROM (SELECT unnest(range(0, {N} // {HOP} + 1)) AS frame) f JOIN z ON z.idx BETWEEN f.frame * {HOP} AND f.frame * {HOP} + {SIZE - 1})"""
 PSPEC = f"""{PFR}, pr AS (SELECT signal_id, frame, k.bin, sum(y * (0.5 - 0.5 * cos(2 * pi() * i / {SIZE - 1})) * cos(2 * pi() * k.bin * i / {SIZE})) AS re, sum(y * (0.5 - 0.5 * cos(2 * pi() * i / {SIZE - 1})) * sin(2 * pi() * k.bin * i / {SIZE})) AS im
   FROM pf CROSS JOIN (SELECT unnest(range(0, {SIZE // 2 + 1})) AS bin) k GROUP BY 1, 2, 3), ps AS (SELECT signal_id, frame, bin, sqrt(re * re + im * im) AS m FROM pr)"""
 FS = {"frame_size": SIZE, "hop_size": HOP}

@@ -12,15 +12,18 @@ from ..operators.lift import by_frame, lift, tidy
 from ..sources import signals as src
 from . import blocked
 
-SIZE, HOP, SR, N, MELS = 32, 8, 32.0, 720, 8
+SIZE, HOP, SR, MELS = 32, 8, 32.0, 8
 QUERIES, ORACLE_SQL = {}, {}
 
-#: the adapter: signal_id, idx, y
-SIG = """base AS (SELECT event_type AS signal_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS idx, sum(value) / CAST(97.317 AS DOUBLE) AS y FROM events GROUP BY 1, 2),
-sig AS (SELECT s.signal_id, g.idx, coalesce(b.y, 0) AS y FROM (SELECT DISTINCT signal_id FROM base WHERE idx BETWEEN 0 AND 719) s
-  CROSS JOIN (SELECT unnest(range(0, 720)) AS idx) g LEFT JOIN base b ON b.signal_id = s.signal_id AND b.idx = g.idx)"""
+#: the adapter: signal_id, idx (hour from the table's first one on), y
+SIG = """hourly AS (SELECT event_type AS signal_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, sum(value) / CAST(97.317 AS DOUBLE) AS y FROM events GROUP BY 1, 2),
+base AS (SELECT signal_id, hour - (SELECT min(hour) FROM hourly) AS idx, y FROM hourly WHERE hour IS NOT NULL),
+sig AS (SELECT s.signal_id, g.idx, coalesce(b.y, 0) AS y FROM (SELECT DISTINCT signal_id FROM base) s
+  CROSS JOIN (SELECT unnest(range(0, (SELECT max(idx) + 1 FROM base))) AS idx) g LEFT JOIN base b ON b.signal_id = s.signal_id AND b.idx = g.idx)"""
+#: samples of a signal
+N = "(SELECT max(idx) + 1 FROM base)"
 FRAMED = f"""{SIG},
-fr AS (SELECT s.signal_id, f.frame, s.idx - f.frame * {HOP} AS i, s.y FROM (SELECT unnest(range(0, {(N - SIZE) // HOP + 1})) AS frame) f JOIN sig s ON s.idx BETWEEN f.frame * {HOP} AND f.frame * {HOP} + {SIZE - 1})"""
+fr AS (SELECT s.signal_id, f.frame, s.idx - f.frame * {HOP} AS i, s.y FROM (SELECT unnest(range(0, ({N} - {SIZE}) // {HOP} + 1)) AS frame) f JOIN sig s ON s.idx BETWEEN f.frame * {HOP} AND f.frame * {HOP} + {SIZE - 1})"""
 SPEC = f"""{FRAMED},
 reim AS (SELECT signal_id, frame, k.bin, sum(y * (0.5 - 0.5 * cos(2 * pi() * i / {SIZE})) * cos(2 * pi() * k.bin * i / {SIZE})) AS re,
   -sum(y * (0.5 - 0.5 * cos(2 * pi() * i / {SIZE})) * sin(2 * pi() * k.bin * i / {SIZE})) AS im
@@ -143,7 +146,8 @@ def stft_relational(spark, d):
     basis = spark.createDataFrame([(int(a), int(b), float(c), float(s)) for a, b, c, s in zip(i.ravel(), k.ravel(), (w * np.cos(2 * np.pi * k * i / SIZE)).ravel(), (-w * np.sin(2 * np.pi * k * i / SIZE)).ravel())], "i bigint, bin bigint, c double, s double")
     # each sample belongs to at most SIZE / HOP frames
     y = src.hourly_events(spark, d)
-    last = F.least(F.floor(F.col("idx") / HOP), F.lit((N - SIZE) // HOP))
+    y = y.join(F.broadcast(y.agg((F.max("idx") + 1).alias("n"))))  # one row
+    last = F.least(F.floor(F.col("idx") / HOP), F.floor((F.col("n") - SIZE) / HOP))
     first = F.greatest(F.ceil((F.col("idx") - SIZE + 1) / HOP), F.lit(0))
     fr = y.where(first <= last).select("signal_id", F.explode(F.sequence(first, last)).alias("frame"), "idx", "y").select("signal_id", "frame", (F.col("idx") - F.col("frame") * HOP).alias("i"), "y")
     out = fr.join(F.broadcast(basis), "i").groupBy("signal_id", "frame", "bin").agg(F.sum(F.col("y") * F.col("c")).alias("re"), F.sum(F.col("y") * F.col("s")).alias("im"))

@@ -16,12 +16,12 @@ from ..operators.lift import lift
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """signal_id (event type), idx (hour from 2024-01-01, from the table's first hour to its last), y (sum of value / 97.317, which leaves no round numbers, 0 where there are no events)."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200) / 3600).alias("idx"))
-    sums = e.where("idx is not null").groupBy(F.col("event_type").alias("signal_id"), "idx").agg((F.sum("value") / 97.317).alias("y"))
-    hours = sums.agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
-    grid = sums.select("signal_id").distinct().join(F.broadcast(hours)).select("signal_id", F.explode(F.sequence("first", "last").cast("array<bigint>")).alias("idx"))
-    return grid.join(sums, ["signal_id", "idx"], "left").select("signal_id", "idx", F.coalesce("y", F.lit(0.0)).alias("y"))
+    """signal_id (event type), idx (hour from the table's first one on, to its last), y (sum of value / 97.317, which leaves no round numbers, 0 where there are no events)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).alias("hour"))
+    sums = e.where("hour is not null").groupBy(F.col("event_type").alias("signal_id"), "hour").agg((F.sum("value") / 97.317).alias("y"))
+    hours = sums.agg(F.min("hour").alias("first"), F.max("hour").alias("last"))  # one row
+    grid = sums.select("signal_id").distinct().join(F.broadcast(hours)).select("signal_id", "first", F.explode(F.sequence("first", "last").cast("array<bigint>")).alias("hour"))
+    return grid.join(sums, ["signal_id", "hour"], "left").select("signal_id", (F.col("hour") - F.col("first")).alias("idx"), F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
 def packed_signals(tidy: DataFrame, sr: float = 1.0) -> DataFrame:
