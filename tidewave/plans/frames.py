@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import evaluate, harmony, ml, neighbours, segment, sequence
+from ..operators import evaluate, harmony, ml, neighbours, segment, sequence, tolerance, warp
 from ..operators.lift import lift
 from ..sources import signals as src
 from . import blocked, spectra
@@ -52,16 +52,13 @@ def ones(m):
     return ((int(i), int(j)) for i, j in zip(*np.nonzero(m)))
 
 
-def _halves_cost(m):
-    """The cost of aligning the first half of the frames with the second; a single frame has none."""
-    half = len(m) // 2
-    return [(float(sequence.dtw(sequence.pairwise(m[:half], m[half:]))[-1, -1]),)] if half else []
-
-
-def _halves_path(m):
-    """The path between the first half of the frames and the second; a single frame has none."""
-    half = len(m) // 2
-    return sequence.dtw_path(sequence.dtw(sequence.pairwise(m[:half], m[half:]), 6, True)) if half else []
+def halves(spark: SparkSession, d: str, size: int, **how) -> warp.Warp:
+    """The first half of a label's frames against the second, in tiles; a label of one frame has no halves."""
+    f = numbered(spark, d)
+    half = f.groupBy("signal_id").agg(F.floor(F.count("*") / 2).alias("half"))
+    cut = f.join(half, "signal_id")
+    second = cut.where("i >= half and half > 0").select("signal_id", (F.col("i") - F.col("half")).alias("i"), "v")
+    return warp.Warp(cut.where("i < half").select("signal_id", "i", "v"), second, size, **how)
 
 
 FR = """e AS (SELECT label AS signal_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -103,12 +100,12 @@ h AS (SELECT signal_id, -sum(q * log2(q)) AS entropy FROM (SELECT signal_id, cou
 MEASURES = ("rate", "determinism", "laminarity", "mean_diagonal", "mean_vertical", "longest", "entropy")
 add("rqa", over(lambda m: [tuple(segment.rqa(segment.recurrence(m, "threshold", threshold=1.2))[k] for k in MEASURES)], ", ".join(f"{k} double" for k in MEASURES)), f"""WITH {RQA} SELECT CAST(s.signal_id AS BIGINT) AS signal_id, {R('coalesce(total, 0) / greatest(n * n - n, 1)')} AS rate, {R('coalesce(dl / total, 0)')} AS determinism, {R('coalesce(vl / total, 0)')} AS laminarity, {R('coalesce(md, 0)')} AS mean_diagonal, {R('coalesce(mv, 0)')} AS mean_vertical,
  {R('CAST(coalesce(longest, 0) AS DOUBLE)')} AS longest, {R('coalesce(entropy, 0)')} AS entropy FROM s LEFT JOIN a USING (signal_id) LEFT JOIN b USING (signal_id) LEFT JOIN h USING (signal_id)""")
-add("dtw", over(lambda m: _halves_cost(m), "cost double"), f"""WITH RECURSIVE {FR}, h AS (SELECT signal_id, count(*) AS n, count(*) // 2 AS half FROM e GROUP BY 1),
+add("dtw", lambda s, d: halves(s, d, 16).cost(), f"""WITH RECURSIVE {FR}, h AS (SELECT signal_id, count(*) AS n, count(*) // 2 AS half FROM e GROUP BY 1),
 cost AS (SELECT a.signal_id, a.i, b.i - half AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM c a JOIN h USING (signal_id) JOIN c b ON a.signal_id = b.signal_id AND a.k = b.k WHERE a.i < half AND b.i >= half GROUP BY 1, 2, 3),
 w(signal_id, s, row1, row2) AS (SELECT signal_id, CAST(0 AS BIGINT), map([CAST(0 AS BIGINT)], [d]), map([CAST(-1 AS BIGINT)], [CAST('inf' AS DOUBLE)]) FROM cost WHERE i = 0 AND j = 0
  UNION ALL SELECT w.signal_id, any_value(w.s) + 1, map_from_entries(list((cost.i, d + least(coalesce(row2[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i], CAST('inf' AS DOUBLE)))))), any_value(row1) FROM w JOIN cost ON cost.signal_id = w.signal_id AND cost.i + cost.j = w.s + 1 GROUP BY w.signal_id)
 SELECT {ID}, {R('row1[half - 1]')} AS cost FROM w JOIN h USING (signal_id) WHERE s = n - 2""")
-add("dtw_path", over(lambda m: _halves_path(m), "i bigint, j bigint"))
+add("dtw_path", lambda s, d: halves(s, d, 16, band=6, side=2.0).path())
 add("agglomerative", over(lambda m: ((int(b),) for b in segment.agglomerative(m, 6)), "boundary bigint"))
 add("agglomerative_labels", over(lambda m: ((i, int(x)) for i, x in enumerate(segment.labels_of(segment.agglomerative(m, 6), len(m)))), "i bigint, segment bigint"))
 add("subsegment", over(lambda m: ((int(b),) for b in segment.subsegment(segment.agglomerative(m, 6), 3)), "boundary bigint"))
@@ -215,7 +212,16 @@ g(signal_id, k, ref, free, hits, n) AS (SELECT signal_id, 1, ref, est, 0, len(es
  UNION ALL SELECT signal_id, k + 1, ref, CASE WHEN best.d <= 6 THEN list_filter(free, lambda x, i: i <> best.i) ELSE free END, hits + CASE WHEN best.d <= 6 THEN 1 ELSE 0 END, n
  FROM (SELECT *, list_min(list_transform(free, lambda x, i: {{'d': abs(x - ref[k]), 'i': i}})) AS best FROM g WHERE k <= len(ref))),
 s AS (SELECT signal_id, hits, len(ref) AS m, n FROM g WHERE k = len(ref) + 1)"""
-add("onset_evaluate", lambda s, d: lift(times(s, d), lambda a, b: [evaluate.onset_scores(a, b, 6.0)], ["ref", "est"], "precision double, recall double, f double"), f"WITH RECURSIVE {MATCHED} SELECT signal_id, {R('CASE WHEN n * m > 0 THEN hits / n ELSE 0.0 END')} AS precision, {R('CASE WHEN n * m > 0 THEN hits / m ELSE 0.0 END')} AS recall, {R('CASE WHEN n * m > 0 THEN 2 * hits / (n + m) ELSE 0.0 END')} AS f FROM s")
+
+
+def onsets(spark, d):
+    """Clicks matched with purchases within 6 hours; a user without either scores 0."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("signal_id"), "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 3600e6).alias("t"))
+    found = tolerance.scores(e.where("event_type in ('purchase', 'click')").select("signal_id", "t", (F.col("event_type") == "purchase").alias("ref")), 6.0)
+    return e.select("signal_id").distinct().join(found, "signal_id", "left").select("signal_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f")])
+
+
+add("onset_evaluate", lambda s, d: onsets(s, d), f"WITH RECURSIVE {MATCHED} SELECT signal_id, {R('CASE WHEN n * m > 0 THEN hits / n ELSE 0.0 END')} AS precision, {R('CASE WHEN n * m > 0 THEN hits / m ELSE 0.0 END')} AS recall, {R('CASE WHEN n * m > 0 THEN 2 * hits / (n + m) ELSE 0.0 END')} AS f FROM s")
 add("beat_evaluate", lambda s, d: lift(times(s, d), lambda a, b: [tuple(evaluate.beat_scores(a / 100, b / 100).values())], ["ref", "est"], "f_measure double, cemgil double, p_score double, cml_c double, cml_t double, aml_c double, aml_t double"))
 add("interval_matches", lambda s, d: interval_matches(s, d), f"WITH {TIMES} SELECT r.signal_id, count(*) AS n FROM r JOIN e ON r.signal_id = e.signal_id AND abs(r.t - e.t) <= 6 GROUP BY 1")
 
