@@ -45,7 +45,7 @@ class SpellingParams:
     least_count: int = 3
     damage: int = 97  # a run whose hash this divides loses a code point; 0: none
     ratio: int = 2
-    shard_words: int = 20_000
+    shard_words: int = 4_000
     most_pairs: int = 250_000  # of texts and patterns that share a half
     broadcast_keys: int = 1_000_000
 
