@@ -10,7 +10,7 @@ from ..operators import asof, halo, scans
 from ..sources import signals as src
 
 #: samples of a block; signals of events are short, and should still have several
-LENGTH = 48
+LENGTH = 240
 FRAMES = 16
 
 
@@ -20,7 +20,7 @@ def sample_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recurrence(r: scans.Recurrence, columns: int = 1):
     """A query of a recurrence over the samples."""
-    return lambda s, d: halo.samples_of(scans.filtered(sample_blocks(s, d), r, columns, span=4), LENGTH)
+    return lambda s, d: halo.samples_of(scans.filtered(sample_blocks(s, d), r, columns, span=2), LENGTH)
 
 
 def frames(spark: SparkSession, sf_dir: str, size: int, hop: int, center: bool = False) -> DataFrame:
@@ -70,12 +70,12 @@ def chain(loop: float = 0.9) -> scans.Chain:
 
 def states(spark: SparkSession, sf_dir: str, c: scans.Chain | None = None) -> DataFrame:
     """signal_id, idx, state of the likeliest path."""
-    return halo.samples_of((c or chain()).viterbi(two_states(spark, sf_dir), span=4), LENGTH, name="state").withColumn("state", F.col("state").cast("bigint"))
+    return halo.samples_of((c or chain()).viterbi(two_states(spark, sf_dir), span=2), LENGTH, name="state").withColumn("state", F.col("state").cast("bigint"))
 
 
 def on_probability(spark: SparkSession, sf_dir: str, c: scans.Chain) -> DataFrame:
     """signal_id, idx, p of the state on."""
-    out = c.posteriors(two_states(spark, sf_dir), span=4)
+    out = c.posteriors(two_states(spark, sf_dir), span=2)
     ons = out.select("signal_id", "block", F.filter("y", lambda _, i: i % 2 == 1).alias("y"))
     return halo.samples_of(ons, LENGTH, name="p")
 

@@ -183,7 +183,7 @@ MARGINAL = f"WITH RECURSIVE {SMOOTH} SELECT signal_id, idx, {R('p * q / (p * q +
 _FREE = scans.Chain(np.zeros(2), blocked.chain().trans)  # a CRF has no initial scores
 add("forward_backward", lambda s, d: blocked.on_probability(s, d, blocked.chain()), MARGINAL)
 add("crf_marginals", lambda s, d: blocked.on_probability(s, d, _FREE), MARGINAL)
-add("crf_log_partition", lambda s, d: _FREE.log_partition(blocked.two_states(s, d), span=4), f"WITH RECURSIVE {SMOOTH} SELECT signal_id, {R('z')} AS z FROM fw WHERE idx = {N} - 1")
+add("crf_log_partition", lambda s, d: _FREE.log_partition(blocked.two_states(s, d), span=2), f"WITH RECURSIVE {SMOOTH} SELECT signal_id, {R('z')} AS z FROM fw WHERE idx = {N} - 1")
 add("chord_detect_runs", events(lambda y: harmony.chord_detect(spectral.power(y, 64, 8, None, False)[:, :25] + 1e-9), "start bigint, stop bigint, label string"))
 add("matrix_product", lambda s, d: tidy(by_frame(sig(s, d), lambda y, sr: S(y) @ spectra.MEL.T), bin_name="band"), f"WITH {SPEC} SELECT signal_id, frame, band, {R('sum(w * m)')} AS v FROM spec JOIN {spectra.values(spectra.MEL)} fb USING (bin) GROUP BY 1, 2, 3")
 add("conv1d", events(lambda y: enumerate(np.correlate(y, [0.25, 0.5, 0.25], "valid")), "idx bigint, v double"), f"WITH {SIG}, c AS (SELECT signal_id, idx, 0.25 * y + 0.5 * lead(y) OVER o + 0.25 * lead(y, 2) OVER o AS v FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx)) SELECT signal_id, idx, {R('v')} AS v FROM c WHERE v IS NOT NULL")

@@ -37,7 +37,7 @@ def numbered(spark: SparkSession, d: str) -> DataFrame:
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest of each frame, from blocks that a label has several of."""
-    return neighbours.nearest(numbered(spark, d), 5, block=32)
+    return neighbours.nearest(numbered(spark, d), 5, block=128)
 
 
 def over(kernel, schema):
@@ -100,12 +100,12 @@ h AS (SELECT signal_id, -sum(q * log2(q)) AS entropy FROM (SELECT signal_id, cou
 MEASURES = ("rate", "determinism", "laminarity", "mean_diagonal", "mean_vertical", "longest", "entropy")
 add("rqa", over(lambda m: [tuple(segment.rqa(segment.recurrence(m, "threshold", threshold=1.2))[k] for k in MEASURES)], ", ".join(f"{k} double" for k in MEASURES)), f"""WITH {RQA} SELECT CAST(s.signal_id AS BIGINT) AS signal_id, {R('coalesce(total, 0) / greatest(n * n - n, 1)')} AS rate, {R('coalesce(dl / total, 0)')} AS determinism, {R('coalesce(vl / total, 0)')} AS laminarity, {R('coalesce(md, 0)')} AS mean_diagonal, {R('coalesce(mv, 0)')} AS mean_vertical,
  {R('CAST(coalesce(longest, 0) AS DOUBLE)')} AS longest, {R('coalesce(entropy, 0)')} AS entropy FROM s LEFT JOIN a USING (signal_id) LEFT JOIN b USING (signal_id) LEFT JOIN h USING (signal_id)""")
-add("dtw", lambda s, d: halves(s, d, 16).cost(), f"""WITH RECURSIVE {FR}, h AS (SELECT signal_id, count(*) AS n, count(*) // 2 AS half FROM e GROUP BY 1),
+add("dtw", lambda s, d: halves(s, d, 64).cost(), f"""WITH RECURSIVE {FR}, h AS (SELECT signal_id, count(*) AS n, count(*) // 2 AS half FROM e GROUP BY 1),
 cost AS (SELECT a.signal_id, a.i, b.i - half AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM c a JOIN h USING (signal_id) JOIN c b ON a.signal_id = b.signal_id AND a.k = b.k WHERE a.i < half AND b.i >= half GROUP BY 1, 2, 3),
 w(signal_id, s, row1, row2) AS (SELECT signal_id, CAST(0 AS BIGINT), map([CAST(0 AS BIGINT)], [d]), map([CAST(-1 AS BIGINT)], [CAST('inf' AS DOUBLE)]) FROM cost WHERE i = 0 AND j = 0
  UNION ALL SELECT w.signal_id, any_value(w.s) + 1, map_from_entries(list((cost.i, d + least(coalesce(row2[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i - 1], CAST('inf' AS DOUBLE)), coalesce(row1[cost.i], CAST('inf' AS DOUBLE)))))), any_value(row1) FROM w JOIN cost ON cost.signal_id = w.signal_id AND cost.i + cost.j = w.s + 1 GROUP BY w.signal_id)
 SELECT {ID}, {R('row1[half - 1]')} AS cost FROM w JOIN h USING (signal_id) WHERE s = n - 2""")
-add("dtw_path", lambda s, d: halves(s, d, 16, band=6, side=2.0).path())
+add("dtw_path", lambda s, d: halves(s, d, 64, band=6, side=2.0).path())
 add("agglomerative", over(lambda m: ((int(b),) for b in segment.agglomerative(m, 6)), "boundary bigint"))
 add("agglomerative_labels", over(lambda m: ((i, int(x)) for i, x in enumerate(segment.labels_of(segment.agglomerative(m, 6), len(m)))), "i bigint, segment bigint"))
 add("subsegment", over(lambda m: ((int(b),) for b in segment.subsegment(segment.agglomerative(m, 6), 3)), "boundary bigint"))
