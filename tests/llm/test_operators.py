@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewave.llm import ann, decontam, langid, near_dedup, pii, quality, queries, sp_encode, substring_dedup, text, toxicity, url_filter
+from tidewave.llm import ann, decontam, langid, near_dedup, pii, quality, queries, skew, sp_encode, substring_dedup, text, toxicity, url_filter
 from tidewave.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, id long, row long, rank long, h string"
@@ -205,8 +205,8 @@ def words_of_passages(rows, found):
     return {(k, i) for k, t in rows for i, m in enumerate(re.finditer(r"\S+", t or "")) for r in by.get(k, []) if r.start <= m.start() and m.end() <= r.end}
 
 
-@pytest.mark.parametrize("ids", [0, 1_000_000])
-def test_passages_against_brute_force(spark, docs, messy, empty, ids):
+@pytest.mark.parametrize("ids, hot", [(0, 20_000), (1_000_000, 1)])
+def test_passages_against_brute_force(spark, docs, messy, empty, ids, hot):
     r, made = random.Random(8), []
     for k in range(40):
         w = prose(r.randint(60, 180), r.randint(0, 12)).split()
@@ -214,7 +214,7 @@ def test_passages_against_brute_force(spark, docs, messy, empty, ids):
             w[r.randrange(len(w))] = r.choice(["edit.", "Cut", "x"])
         made.append((k, " ".join([*prose(r.randint(0, 9), 900 + k).split(), *w[r.randint(0, 20) :]])))
     made += [(50, "again " * 90), (51, "So it goes on.\n" * 30), (None, made[3][1])]
-    p = substring_dedup.DedupParams(broadcast_ids=ids)
+    p = substring_dedup.DedupParams(broadcast_ids=ids, hot=hot)
     for d in (spark.createDataFrame(made, "doc_id long, text string"), docs, messy.dropDuplicates(["doc_id"])):
         rows = [(x.doc_id, x.text) for x in d.select("doc_id", "text").collect()]
         found = substring_dedup.passages(d, p).collect()
@@ -226,6 +226,66 @@ def test_passages_against_brute_force(spark, docs, messy, empty, ids):
     assert substring_dedup.passages(empty, p).count() == 0
 
 
+def plain_lines(text, least):
+    """(paragraph, start, end, words) of the lines and paragraphs of a text."""
+    out, inside = [], []
+
+    def close():
+        if len(inside) > 1:
+            out.append((True, inside[0][1], inside[-1][2], sum((x[3] for x in inside), [])))
+        inside.clear()
+
+    at = 0
+    for line in (text or "").split("\n"):
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", line))
+        if found:
+            inside.append((False, at + found[0].start(), at + found[-1].end(), [m.group().lower() for m in found]))
+            out.append(inside[-1])
+        else:
+            close()
+        at += len(line) + 1
+    close()
+    return [x for x in out if len(x[3]) >= least]
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_repeated_lines_against_loops(spark, docs, messy, empty, hot):
+    one, two = "a line of five words", "Another one that repeats itself"
+    made = [(1, f"{one}\n{two}\n\nshort\nlines of few words\n"), (2, f"x\n  A LINE\tof five words \r\n{two}\n \nshort\nlines of few words"), (3, f"{one}\n{one}\n\n{one}"), (4, f"short\nlines of few words\n{two}"), (5, f"é😀 {one}\n{one}"), (6, None), (7, ""), (None, one), (8, one), (8, one), (9, f"{two}\x0b\n{two}")]
+    p = substring_dedup.DedupParams(hot=hot)
+    for d in (spark.createDataFrame(made, "doc_id long, text string"), docs, messy.dropDuplicates(["doc_id"])):
+        rows = sorted({(x.doc_id, x.text) for x in d.select("doc_id", "text").collect()}, key=lambda x: (x[0] is None, x[0] or 0))
+        seen, want = {}, set()
+        for k, t in rows:
+            for paragraph, a, z, words in sorted(plain_lines(t, p.line_words), key=lambda x: (x[0], x[1])):
+                first = seen.setdefault((paragraph, tuple(words)), (k, a, paragraph))
+                if first != (k, a, paragraph):
+                    want.add((k, a, z, len(words), paragraph, first[0]))
+        got = [(x.doc_id, x.start, x.end, x.words, x.paragraph, x.first_doc_id) for x in substring_dedup.repeated_lines(d, p).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert substring_dedup.repeated_lines(empty, p).count() == 0
+    # after removal no line stands twice
+    left = [x.text for x in substring_dedup.dedup(docs, p).select("text").collect()]
+    every = Counter(tuple(w) for t in left for paragraph, _, _, w in plain_lines(t, 5) if not paragraph)
+    before = Counter(tuple(w) for t in docs.select("text").collect() for paragraph, _, _, w in plain_lines(t.text, 5) if not paragraph)
+    again = lambda c: sum(n - 1 for n in c.values())
+    assert again(every) < 0.05 * again(before)
+
+
+def test_merged_spans(spark):
+    df = spark.createDataFrame([([(0, 3), (2, 5), (5, 6), (8, 9), (8, 8)],), ([],)], "x array<struct<start:bigint,end:bigint>>")
+    assert [[tuple(y) for y in r.m] for r in df.select(substring_dedup.merged(F.array_sort("x")).alias("m")).collect()] == [[(0, 6), (8, 9)], []]
+
+
+def test_join_with_hot_keys(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    facts = spark.createDataFrame([("hot", 7), ("a", 8), ("c", 9)], "k string, f int")
+    want = sorted(map(tuple, rows.join(facts, ["k"]).collect()))
+    for limit in (0, 1, 10, 100):
+        hot = rows.groupBy("k").count().where(F.col("count") > limit).select("k").where("k is not null")
+        assert sorted(map(tuple, skew.join_hot(rows, facts, ["k"], hot).collect())) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n", max_size=150), max_size=4), st.integers(1, 4), st.integers(2, 7))
 def test_cuts_against_loops(texts, radius, longest):

@@ -20,6 +20,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(_table(spark, sf_dir, "documents"))
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines and paragraphs that op2's operator removes beside long passages."""
+    return substring_dedup.repeated_lines(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,6 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_personal_data, op5_sentencepiece, op6_nearest, op7_quality, op8_near_dedup, op9_decontamination, op10_language, op11_centroids, op12_language_model, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_substring_dedup, op3_toxicity, op4_personal_data, op5_sentencepiece, op6_nearest, op7_quality, op8_near_dedup, op9_decontamination, op10_language, op11_centroids, op12_language_model, op13_spelling, repeated_lines)}
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL, "op11_centroids": centroids.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op8_near_dedup": near_dedup.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL, "op11_centroids": centroids.oracle_sql(), "repeated_lines": substring_dedup.lines_sql()}

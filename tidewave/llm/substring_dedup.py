@@ -15,8 +15,12 @@ offsets in the original text (code points, end exclusive) are returned.
 left alone. A word repeated over and over has no cuts of its own but those after `longest`
 words, so such stretches are found as far as these coincide. Digests, positions and words at the ends of runs are shuffled, and of the
 texts only those that have such ends. A unit that a whole corpus shares is reduced to
-its least occurrence on the map side; where occurrences are joined to that, the engine
-may split a hot digest's partition.
+its least occurrence on the map side; where occurrences are joined to that, what more than
+`hot` of them ask for is sent to them, and the rest is shuffled (see skew.py).
+
+Whole lines and paragraphs are units too (`repeated_lines`): of those of `line_words` words or
+more, each but the earliest occurrence is found, whatever stands around it. `dedup` removes
+both these and the passages; `passages` lists the latter only.
 
 Edge cases: a null or empty text has no units; a null doc_id ranks behind all others;
 repeats inside a document count as later occurrences; rows with the same doc_id share
@@ -30,10 +34,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared_store import drop, staged
+from .skew import join_hot
 from .text import NOT_SPACE, batches, free_name, mix64, sequence_hashes, utf8, word_hashes, word_places
 
 _LAST = (1 << 63) - 1
@@ -46,6 +51,8 @@ class DedupParams:
     min_words: int = 50  # of a removed passage
     radius: int = 5  # words on either side that a cut depends on
     longest: int = 32  # words of a unit, at most
+    line_words: int = 5  # of a removed line or paragraph
+    hot: int = 20_000  # occurrences of a unit, or ends of runs at one place, that are not shuffled
     broadcast_ids: int = 1_000_000  # texts with ends of runs, 16 bytes each; beyond it they meet the texts in a shuffle
 
 
@@ -116,11 +123,12 @@ def unit_table(docs: DataFrame, p: DedupParams) -> DataFrame:
     return _source(docs).mapInArrow(run, "rank long, row long, unit int, at int, words int, h1 long, h2 long, inner int")
 
 
-def _later(table: DataFrame) -> DataFrame:
+def _later(table: DataFrame, p: DedupParams) -> DataFrame:
     """Of every text, later: its units that occur earlier, with the place of that occurrence."""
     outer = table.where("inner < 0")
     first = outer.groupBy("h1", "h2").agg(F.min(F.struct("rank", "row", "at")).alias("s"), F.count("*").alias("n")).where("n > 1")
-    across = outer.join(first.select("h1", "h2", "s"), ["h1", "h2"]).where(F.col("rank") > F.col("s.rank"))
+    first = staged(first)
+    across = join_hot(outer, first.drop("n"), ["h1", "h2"], first.where(F.col("n") > p.hot).select("h1", "h2")).where(F.col("rank") > F.col("s.rank"))
     columns = ["rank", "row", "unit", "at", "words"]
     places = across.select(*columns, F.col("s.rank").alias("s_rank"), F.col("s.row").alias("s_row"), F.col("s.at").alias("s_at"))
     within = table.where("inner >= 0").select(*columns, F.col("rank").alias("s_rank"), F.col("row").alias("s_row"), F.col("inner").alias("s_at"))
@@ -205,12 +213,14 @@ def _beside(docs: DataFrame, ends: DataFrame, p: DedupParams) -> DataFrame:
 def passages(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     """A row for each removed passage: doc_id, start, end, words, units (whole ones in it), first_doc_id (the document that keeps its first whole unit), text_hash (xxhash64 of the text)."""
     table = staged(unit_table(docs, p))
-    ends = staged(_ends(_later(table), p))
+    ends = staged(_ends(_later(table, p), p))
     drop(table)
     beside = _beside(docs, ends, p)
     theirs = beside.select(F.col("rank").alias("s_rank"), F.col("row").alias("s_row"), F.col("at").alias("s_at"), "side", F.col("words").alias("s_words"))
     mine = beside.select("rank", "row", "at", "side", "words", "places")
-    pairs = ends.join(theirs, ["s_rank", "s_row", "s_at", "side"]).withColumn("at", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi"))).join(mine, ["rank", "row", "at", "side"])
+    place = ["s_rank", "s_row", "s_at", "side"]
+    crowded = staged(ends.groupBy(*place).count().where(F.col("count") > p.hot).select(*place))
+    pairs = join_hot(ends, theirs, place, crowded).withColumn("at", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi"))).join(mine, ["rank", "row", "at", "side"])
     equal = F.zip_with("words", "s_words", lambda a, b: a.eqNullSafe(b))
     length = F.array_position(F.concat(equal, F.array(F.lit(False))), False).cast("int") - 1
     farthest = F.max(F.struct(length.alias("n"), F.get("places", length).cast("long").alias("place")))
@@ -240,17 +250,95 @@ def passages(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, start long, end long, words long, units long, first_doc_id long, text_hash long")
 
 
+def lines(texts: pa.Array, least: int) -> dict[str, np.ndarray]:
+    """Of every line of at least so many words, and every paragraph (lines without an empty one between) of several lines: doc, paragraph (or a line), at (words before it), start and end (code points of the text), words, h1, h2."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    h, offsets, _, _ = word_places(pc.utf8_lower(texts), NOT_SPACE)
+    _, _, start, end = word_places(texts, NOT_SPACE)
+    data, bytes_at = utf8(texts)
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    newline = np.concatenate(([0], np.cumsum(data == 10)))
+    row = newline[start]
+    fresh = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    begins_line = fresh | (np.diff(row, prepend=-1) > 0)
+    # between the words before and here: two line ends with nothing else than blanks
+    begins_paragraph = fresh | (np.diff(row, prepend=-1) > 1)
+    out: dict[str, list] = {k: [] for k in ("doc", "paragraph", "at", "start", "end", "words", "h1", "h2")}
+    for paragraph, begins in ((False, begins_line), (True, begins_paragraph)):
+        a = np.flatnonzero(begins)
+        z = np.append(a[1:], len(h))[: len(a)]
+        keep = z - a >= least
+        if paragraph:
+            keep &= row[np.maximum(z - 1, 0)] > row[a] if len(a) else keep
+        a, z = a[keep], z[keep]
+        zero = points[bytes_at[doc[a]]]
+        for name, value in (("doc", doc[a]), ("paragraph", np.full(len(a), paragraph)), ("at", a - offsets[doc[a]]), ("start", points[start[a]] - zero), ("end", points[end[z - 1]] - zero), ("words", z - a), ("h1", sequence_hashes(h, a, z)), ("h2", sequence_hashes(mix64(h ^ np.uint64(0xA5A5A5A5DEADBEEF)), a, z))):
+            out[name].append(value)
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def repeated_lines(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
+    """A row for each line or paragraph that stands earlier, in a document of lesser doc_id or before it in the same text: doc_id, start, end, words, paragraph, first_doc_id, text_hash.
+
+    Lines are equal if their words are, in lower case. Equal rows give each line once; rows with the same doc_id don't remove each other's.
+    """
+
+    def run(it):
+        for b in batches(it, 4 << 20):
+            u = lines(b.column("text"), p.line_words)
+            at = pa.array(u.pop("doc"))
+            columns = [pa.array(v.view(np.int64)) if v.dtype == np.uint64 else pa.array(v, pa.bool_() if k == "paragraph" else pa.int64()) for k, v in u.items()]
+            yield pa.RecordBatch.from_arrays([b.column("rank").take(at), b.column("row").take(at), *columns], ["rank", "row", *u])
+
+    found = _source(docs).mapInArrow(run, "rank long, row long, paragraph boolean, at long, start long, end long, words long, h1 long, h2 long")
+    table = staged(found.dropDuplicates(["rank", "row", "paragraph", "at"]))
+    key = ["paragraph", "h1", "h2"]
+    first = staged(table.groupBy(*key).agg(F.min(F.struct("rank", "row", "at")).alias("s"), F.count("*").alias("n")).where("n > 1"))
+    met = join_hot(table, first.drop("n"), key, first.where(F.col("n") > p.hot).select(*key))
+    # within a text the first one counts, also where another row of the same doc_id has an earlier one
+    own = F.min("at").over(Window.partitionBy(*key, "rank", "row"))
+    later = met.withColumn("own", own).where((F.col("rank") > F.col("s.rank")) | (F.col("at") > F.col("own")))
+    unknown = lambda c: F.when(c != _LAST, c)
+    return later.select(unknown(F.col("rank")).alias("doc_id"), "start", "end", "words", "paragraph", unknown(F.col("s.rank")).alias("first_doc_id"), F.col("row").alias("text_hash"))
+
+
+def merged(spans):
+    """An array of structs start and end, sorted by start, with those that meet made one."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def add(made, x):
+        top = F.get(made, F.size(made) - 1)
+        meets = (F.size(made) > 0) & (x["start"] <= top["end"])
+        joined = F.concat(F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0))), F.array(F.struct(top["start"].alias("start"), F.greatest(top["end"], x["end"]).alias("end"))))
+        return F.when(meets, joined).otherwise(F.concat(made, F.array(x)))
+
+    return F.aggregate(spans, none, add)
+
+
 def dedup(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
-    """The documents with repeated passages cut out of their texts, and a column removed (array of start, end; null where nothing is).
+    """The documents with repeated passages, lines and paragraphs cut out of their texts, and a column removed (array of start, end; null where nothing is).
 
     Cuts belong to a doc_id and a text, so rows that share a doc_id (or have none) lose
     only their own repeats. Where docs has a column `removed`, underscores are added to the new one's name.
     """
     name, key, row = (free_name(docs, c) for c in ("removed", "cut_id", "cut_row"))
-    cut = passages(docs, p).groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(name))
+    spans = passages(docs, p).select("doc_id", "text_hash", "start", "end").unionByName(repeated_lines(docs, p).select("doc_id", "text_hash", "start", "end"))
+    cut = spans.groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(row)).agg(merged(F.array_sort(F.collect_set(F.struct("start", "end")))).alias(name))
     mine = docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"].cast("string")) == F.col(row))
     joined = docs.join(cut, mine, "left").drop(key, row)
     at = F.col(name)
     gap = F.transform(F.sequence(F.lit(0), F.size(at)), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["end"]).alias("a"), F.coalesce(F.get(at, i)["start"], F.length("text").cast("long")).alias("b")))
     kept = F.array_join(F.transform(gap, lambda x: F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int"))), "")
     return joined.withColumn("text", F.when(at.isNull(), F.col("text")).otherwise(kept))
+
+
+def lines_sql(p: DedupParams = DedupParams()) -> str:
+    """repeated_lines in DuckDB's SQL, without text_hash, for tables in which a doc_id stands once."""
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+o AS (SELECT *, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY no) - len(line) - 1 AS off, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+n AS (SELECT doc_id, no, w, off + len(line) - len(ltrim(line, {blank})) AS a, off + len(rtrim(line, {blank})) AS z, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS g FROM o WHERE len(w) > 0),
+u AS (SELECT doc_id, false AS paragraph, a, z, w FROM n UNION ALL SELECT doc_id, true, min(a), max(z), flatten(list(w ORDER BY no)) FROM n GROUP BY doc_id, g HAVING count(*) > 1),
+f AS (SELECT *, min(coalesce(doc_id, {_LAST})) OVER (PARTITION BY paragraph, w) AS first, min(a) OVER (PARTITION BY paragraph, w, doc_id) AS own FROM u WHERE len(w) >= {p.line_words})
+SELECT doc_id, CAST(a AS BIGINT) AS start, CAST(z AS BIGINT) AS "end", len(w) AS words, paragraph, first AS first_doc_id FROM f WHERE coalesce(doc_id, {_LAST}) > first OR a > own"""
