@@ -126,10 +126,6 @@ SELECT {ID}, min(i) AS start, max(i) + 1 AS stop, k AS chord FROM g GROUP BY sig
 add("chord_detect", over(lambda m: harmony.chord_detect(np.abs(m)[:, :25] + 1e-6), "start bigint, stop bigint, label string"))
 for _how, _sql in {"mean": "avg(v)", "median": "median(v)", "max": "max(v)"}.items():
     add(f"ensemble_{_how}", over(lambda m, h=_how: cells(ml.ensemble([lambda x: x, lambda x: 2 * x, lambda x: 1 - x], m, h)[0]), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID}, i, k, {R(_sql)} AS v FROM (SELECT signal_id, i, k, unnest([x, 2 * x, 1 - x]) AS v FROM c) GROUP BY 1, 2, 3")
-# chunks of 8 begin every 4 rows; each is put 4 rows before the end of those before it, so the last one 4 rows before the end of all; what overlaps is averaged in turn
-add("chunked_inference", over(lambda m: cells(ml.chunked(lambda x: x - x.mean(axis=0), m, 8, 4)), "i bigint, k bigint, v double"), f"""WITH {FR}, {_N}, q AS (SELECT signal_id, n, unnest(range(0, CASE WHEN n <= 8 THEN 1 ELSE n END, 4)) AS s FROM s),
-p AS (SELECT signal_id, s, CASE WHEN s > 0 AND s + 4 >= n THEN n - 4 ELSE s END + i - s AS i, k, x - avg(x) OVER (PARTITION BY signal_id, s, k) AS v FROM c JOIN q USING (signal_id) WHERE i BETWEEN s AND s + 7)
-SELECT {ID}, i, k, {R('list_reduce(list(v ORDER BY s), lambda a, b: (a + b) / 2)')} AS v FROM p GROUP BY 1, 2, 3""")
 _W = np.array([[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(3)] for i in range(64)])
 add("dense_layer", over(lambda m: cells(ml.dense(m, _W, np.array([0.1, 0.2, 0.3]), "relu")), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID}, i, j AS k, {R('greatest(0, sum(x * ((k * 7 + j * 3) % 11 - 5) / 10.0) + (j + 1) / 10.0)')} AS v FROM c CROSS JOIN (SELECT unnest(range(0, 3)) AS j) GROUP BY signal_id, i, j")
 add("conv2d", over(lambda m: cells(ml.conv2d(m[None], np.array([[[[0.5, 0.25], [0.25, -0.5]]]]))[0]), "i bigint, k bigint, v double"), f"WITH {FR} SELECT {ID.replace('signal_id AS', 'a.signal_id AS', 1)}, a.i, a.k, {R('sum(b.x * CASE WHEN b.i = a.i AND b.k = a.k THEN 0.5 WHEN b.i > a.i AND b.k > a.k THEN -0.5 ELSE 0.25 END)')} AS v FROM c a JOIN c b ON a.signal_id = b.signal_id AND b.i BETWEEN a.i AND a.i + 1 AND b.k BETWEEN a.k AND a.k + 1 GROUP BY 1, 2, 3 HAVING count(*) = 4")
