@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import signals as src
+from ..store import shared_dir
+from ..streaming import blocks as sb
 from ..streaming import signals as st
+from . import events, stored
 from .spectra import SIG, R
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that executors share; where none is named, a local one, but only if driver and executors are one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="tidewave-stream")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _run(spark, stream, mode) -> DataFrame:
@@ -58,11 +55,30 @@ def stream_preemphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("signal_id", "block", F.posexplode("samples").alias("i", "v")).select("signal_id", (F.col("block") * 100 + F.col("i")).alias("idx"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-QUERIES |= {f.__name__: f for f in (stream_tumbling_rms, stream_sliding_rms, stream_sessions, stream_preemphasis)}
+def stream_comb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comb filter over WAV files read as a stream, by keyed state."""
+    heard = sb.read_wav(spark, stored.files(spark, sf_dir, "float32"), blockFrames=100, blocksPerTrigger=1 << 30)
+    timed = heard.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("signal_id"), "block", F.timestamp_seconds(F.col("block") * 100).alias("ts"), "samples")
+    out = _run(spark, sb.in_turn(timed, sb.CombFilter(100, 24, 0.9048374180359595), "block bigint, samples array<double>"), "append")
+    return out.select("signal_id", "block", F.posexplode("samples").alias("i", "v")).select("signal_id", (F.col("block") * 100 + F.col("i")).alias("idx"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+def stream_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks over blocks that arrive in several files, whatever their order."""
+    at = _folder(spark)
+    blocks = src.blocks(src.event_signals(spark, sf_dir), 100).withColumn("ts", F.timestamp_seconds(F.col("block") * 100))
+    blocks.repartition(4, "block").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    return _run(spark, sb.in_turn(stream, sb.PeakPicker(100), "idx bigint", "1 day"), "append").select("signal_id", "idx")
+
+
+QUERIES |= {f.__name__: f for f in (stream_tumbling_rms, stream_sliding_rms, stream_sessions, stream_preemphasis, stream_comb, stream_peaks)}
 ORACLE_SQL |= {
     "stream_tumbling_rms": f"SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS start, {R('sqrt(avg(value * value))')} AS rms, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sliding_rms": f"SELECT event_type, (CAST(floor(epoch(ts) / 7200) AS BIGINT) - k) * 7200 AS start, {R('sqrt(avg(value * value))')} AS rms, count(*) AS n FROM events CROSS JOIN (SELECT unnest(range(0, 3)) AS k) GROUP BY 1, 2",
     "stream_sessions": f"""WITH e AS (SELECT event_type, value, epoch_us(ts) AS t FROM events), c AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t) < 7200000000 THEN 0 ELSE 1 END AS n FROM e), g AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM c)
 SELECT event_type, min(t) AS start, max(t) + 7200000000 AS stop, count(*) AS n, {R('sum(value)', 4)} AS total FROM g GROUP BY event_type, g""",
+    "stream_comb": f"WITH {stored.SCALED} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), (a.idx - b.idx) // 24) * CAST(CAST(b.x AS FLOAT) AS DOUBLE))')} AS v FROM x a JOIN x b ON a.signal_id = b.signal_id AND b.idx <= a.idx AND (a.idx - b.idx) % 24 = 0 GROUP BY 1, 2",
+    "stream_peaks": events.ORACLE_SQL["peak_pick"],
     "stream_preemphasis": f"WITH {SIG} SELECT signal_id, idx, {R('y - 0.97 * coalesce(lag(y) OVER (PARTITION BY signal_id ORDER BY idx), 0)')} AS v FROM sig",
 }
