@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, batches, fold, sampled_labels, sampled_texts, segment_sum, utf8, word_hashes
+from .text import ALNUM, batches, bounded_sample, fold, sampled_labels, sampled_texts, segment_sum, utf8, word_hashes
 
 STATS = ("upper", "digit", "sign", "space", "newline", "word_length", "repeat1", "repeat2", "log_words", "log_bytes", "log_chars")
 
@@ -38,6 +38,7 @@ class QualityParams:
     epochs: int = 6
     batch: int = 64
     max_rows: int = 8_000  # labelled rows to learn from, at most about
+    max_bytes: int = 128 << 20  # of their texts; a word's hash takes 4
     threshold: float = 0.7
 
 
@@ -153,8 +154,8 @@ def _inputs(docs: DataFrame) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> FactorModel:
-    """Learns from about max_rows labelled documents at most, whose fold is not 2. Word hashes and statistics reach the driver, texts don't."""
-    sample = sampled_labels(labels, "quality", fold("doc_id", 4) != 2, p.max_rows)
+    """Learns from about max_rows labelled documents and max_bytes of text at most, whose fold is not 2. Word hashes and statistics reach the driver, texts don't."""
+    sample = bounded_sample(docs, sampled_labels(labels, "quality", fold("doc_id", 4) != 2, p.max_rows), p.max_bytes)
 
     def prepared(it):
         for b in batches(it):

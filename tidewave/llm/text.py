@@ -179,6 +179,23 @@ def sampled_texts(docs: DataFrame, sample: DataFrame, columns: list[Column]) ->
     return one.select("doc_id", "y", *(F.col(f"m.{n}").alias(n) for n in names))
 
 
+def bounded_sample(docs: DataFrame, sample: DataFrame, max_bytes: int) -> DataFrame:
+    """The sample (doc_id, y), or, if its texts have more bytes, those of least key hash whose texts together have at most max_bytes.
+
+    The sample has a bounded number of rows; only their ids and sizes reach the driver. Of rows that share a doc_id the longest counts.
+    """
+    sizes = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).cast("long").alias("size")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"))
+    rows = sizes.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", F.coalesce("size", F.lit(0)).alias("size")).collect()
+    if sum(r.size for r in rows) <= max_bytes:
+        return sample
+    kept, left = [], max_bytes
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        if r.size <= left:
+            kept.append((r.doc_id, r.y))
+            left -= r.size
+    return docs.sparkSession.createDataFrame(kept, sample.schema)
+
+
 def batches(it: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most 4096 rows, cut further while the text column has over `most` bytes and over one row."""
     for batch in it:

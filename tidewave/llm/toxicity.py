@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, batches, fold, sampled_labels, sampled_texts, word_hashes
+from .text import ALNUM, batches, bounded_sample, fold, sampled_labels, sampled_texts, word_hashes
 
 _HALF = np.uint64(32)
 
@@ -34,6 +34,7 @@ class ToxicityParams:
     epochs: int = 4
     batch: int = 64
     max_rows: int = 24_000  # labelled rows to learn from, at most about
+    max_bytes: int = 128 << 20  # of their texts; a word's hash takes 4
 
 
 @dataclass(frozen=True)
@@ -93,8 +94,8 @@ def train(words: list[np.ndarray], labels: np.ndarray, p: ToxicityParams) -> Spa
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> SparseWeights:
-    """Learns from about max_rows labelled documents at most, whose fold is not 0. Only their words' hashes reach the driver."""
-    sample = sampled_labels(labels, "toxic", fold("doc_id", 5) != 0, p.max_rows)
+    """Learns from about max_rows labelled documents and max_bytes of text at most, whose fold is not 0. Only their words' hashes reach the driver."""
+    sample = bounded_sample(docs, sampled_labels(labels, "toxic", fold("doc_id", 5) != 0, p.max_rows), p.max_bytes)
 
     def hashed(it):
         for b in batches(it):
