@@ -502,7 +502,7 @@ def test_near_duplicates_of_repeated_ids(spark):
     a, b, c = (prose(60, k) for k in (71, 72, 73))
     rows = [(3, a), (5, a), (5, b), (7, b + " one"), (8, c), (8, ""), (9, c), (9, prose(60, 74)), (10, prose(60, 74)), (11, prose(60, 75)), (11, prose(60, 75)), (None, a)]
     d = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, gone long, contaminated_md5 long, of_id long")
-    for p in (near_dedup.NearParams(), near_dedup.NearParams(hot=1, broadcast_ids=0)):
+    for p in (near_dedup.NearParams(), near_dedup.NearParams(hot=1, crowd=1, broadcast_ids=0)):
         got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(d, p).collect()}
         assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (10, 8), (11, 11), (None, None)}
         left = near_dedup.deduplicated(d, p)
@@ -519,7 +519,7 @@ def test_hot_buckets(spark):
         rows.append((k, " ".join(w)))
     rows += [(300 + k, prose(40, 500 + k // 2)) for k in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    cold, hot = ({(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(d, near_dedup.NearParams(shingle=2, hot=h)).collect()} for h in (10_000, 8))
+    cold, hot = ({(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(d, near_dedup.NearParams(shingle=2, hot=h, crowd=h)).collect()} for h in (10_000, 8))
     assert cold == hot and {c for _, c in hot} == {0, *range(300, 360, 2)}
 
 

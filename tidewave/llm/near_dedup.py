@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared_store import drop, staged
+from .skew import crowded, join_hot
 from .text import NOT_SPACE, batches, free_name, mix64, word_hashes
 
 
@@ -52,6 +53,7 @@ class NearParams:
     miss: float = 1e-6
     broadcast_ids: int = 2_000_000  # 8 bytes each
     hot: int = 10_000  # members of a hot bucket, at least; and at least all members of all buckets divided by this
+    crowd: int = 20_000  # pairs with one leader, beyond which its signature and set are sent to them
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +167,8 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, p: NearParams) -> DataFrame:
                     alive, matches, done = alive[keep], matches[keep], n
                 yield b.select(["a", "b"]).take(pa.array(alive))
 
-    first = pairs.join(nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    # the leader of a large bucket is in all its pairs
+    first = join_hot(pairs, nodes.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), ["a"], crowded(pairs, ["a"], p.crowd))
     both = first.join(nodes.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
@@ -200,7 +203,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     sets = staged(_sets(ids, docs, p))
     first = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = first.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = join_hot(first, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), ["a"], crowded(pairs, ["a"], p.crowd), "set_a")
     out = staged(both.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
     drop(sets)
     return out

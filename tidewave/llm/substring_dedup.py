@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared_store import drop, staged
-from .skew import join_hot
+from .skew import crowded, join_hot
 from .text import NOT_SPACE, batches, free_name, mix64, sequence_hashes, utf8, word_hashes, word_places
 
 _LAST = (1 << 63) - 1
@@ -219,8 +219,7 @@ def passages(docs: DataFrame, p: DedupParams = DedupParams()) -> DataFrame:
     theirs = beside.select(F.col("rank").alias("s_rank"), F.col("row").alias("s_row"), F.col("at").alias("s_at"), "side", F.col("words").alias("s_words"))
     mine = beside.select("rank", "row", "at", "side", "words", "places")
     place = ["s_rank", "s_row", "s_at", "side"]
-    crowded = staged(ends.groupBy(*place).count().where(F.col("count") > p.hot).select(*place))
-    pairs = join_hot(ends, theirs, place, crowded).withColumn("at", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi"))).join(mine, ["rank", "row", "at", "side"])
+    pairs = join_hot(ends, theirs, place, crowded(ends, place, p.hot)).withColumn("at", F.when(F.col("side") == _LEFT, F.col("lo")).otherwise(F.col("hi"))).join(mine, ["rank", "row", "at", "side"])
     equal = F.zip_with("words", "s_words", lambda a, b: a.eqNullSafe(b))
     length = F.array_position(F.concat(equal, F.array(F.lit(False))), False).cast("int") - 1
     farthest = F.max(F.struct(length.alias("n"), F.get("places", length).cast("long").alias("place")))
