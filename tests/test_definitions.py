@@ -144,3 +144,55 @@ def test_notes_begin_off():
         p = np.log([0.99, 0.01][path[0]]) + sum(np.log(trans[a, b]) for a, b in zip(path, path[1:])) + sum(np.log(a if s else 1 - a) for s, a in zip(path, act[:, 0]))
         best = max(best or (-np.inf, None), (p, path))
     assert [n[:2] for n in harmony.piano_hmm(act, shortest=1)] == [(a, b) for a, b, k in sequence.runs(best[1]) if k]
+
+
+def pyin_by_loops(y, sr, fmin, fmax, size, hop, n_thresholds, resolution):
+    """Observation shares and voiced probabilities, threshold by threshold."""
+    low, high = max(1, int(sr / fmax)), min(int(sr / fmin), size // 2)
+    n_bins = int(np.ceil(12 * np.log2(fmax / fmin) / resolution))
+    y = np.concatenate((np.zeros(size // 2), y, np.zeros(size // 2)))
+    rows, heard = [], []
+    for start in range(0, len(y) - size + 1, hop):
+        d = pitch.cmndf(pitch.difference(y[start : start + size], high))
+        row, voiced = [0.0] * (n_bins + 1), 0.0
+        for t in range(1, n_thresholds + 1):
+            lag = next((k for k in range(low, high + 1) if d[k] < t / n_thresholds), None)
+            if lag is None:
+                lag = min(range(low, high + 1), key=lambda k: (d[k], k))
+            else:
+                while lag < high and d[lag + 1] < d[lag]:
+                    lag += 1
+            hz = sr / pitch.parabola(d, lag)
+            if fmin <= hz <= fmax:
+                share = 1 - float(pitch.beta_cdf(min(max(d[lag], 0), 1)))
+                voiced += share
+                k = int(np.floor(12 * np.log2(hz / fmin) / resolution + 0.5))
+                if k < n_bins:
+                    row[k] += share
+                    row[-1] += 1 - share
+                    continue
+            row[-1] += 1
+        rows.append([v / sum(row) for v in row])
+        heard.append(voiced / n_thresholds)
+    return np.array(rows), np.array(heard)
+
+
+def test_probabilistic_yin():
+    rng = np.random.default_rng(6)
+    t = np.arange(400)
+    y = np.where(t < 250, np.sin(2 * np.pi * t / 7.3), 0) + 0.01 * rng.normal(size=400)
+    args = (32.0, 2.0, 14.0, 32, 8, 20, 0.5)
+    rows, heard = pyin_by_loops(y, *args)
+    hz, on, share = pitch.pyin(y, *args)
+    assert np.allclose(share, heard)
+    n = rows.shape[1] - 1
+    trans = np.zeros((n + 1, n + 1))
+    for i in range(n):
+        w = [np.exp(-0.5 * ((i - j) * 0.5 / max(35.92 * 8 / 32, 0.5)) ** 2) for j in range(n)]
+        trans[i, :n] = [0.99 * v / sum(w) for v in w]
+        trans[i, n] = 0.01
+    trans[n, :n], trans[n, n] = 0.01 / n, 0.99
+    with np.errstate(divide="ignore"):
+        path, _ = sequence.viterbi_log(np.log(rows), np.full(n + 1, -np.log(n + 1)), np.log(trans))
+    assert (on == (path < n)).all() and np.allclose(hz[on], 2.0 * 2 ** (path[on] * 0.5 / 12)) and np.isnan(hz[~on]).all()
+    assert on[2:25].all() and abs(np.median(hz[2:25]) - 32 / 7.3) < 0.15

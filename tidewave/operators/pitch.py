@@ -58,42 +58,58 @@ def beta_cdf(x, a=2, b=18):
     return sum(math.comb(n, k) * x**k * (1 - x) ** (n - k) for k in range(a, n + 1))
 
 
+def _lags(part, thresholds):
+    """For each threshold the first dip below it, followed down to where it rises again; the deepest place where there is none."""
+    lowest = np.minimum.accumulate(part)
+    first = np.searchsorted(-lowest, -np.asarray(thresholds), side="right")  # the first place below each
+    foot = np.arange(len(part))
+    for i in range(len(part) - 2, -1, -1):
+        if part[i + 1] < part[i]:
+            foot[i] = foot[i + 1]
+    return np.where(first < len(part), foot[np.minimum(first, len(part) - 1)], int(part.argmin()))
+
+
 def pyin(y, sr, fmin=65.0, fmax=2093.0, size=2048, hop=None, n_thresholds=100, resolution=0.1, switch=0.01, center=True):
-    """(Hz or NaN, voiced, probability) of each frame: pitch candidates over many thresholds, decoded by Viterbi."""
+    """(Hz or NaN, voiced, probability) of each frame: a dip for each of many thresholds, decoded by Viterbi.
+
+    A dip of depth d counts in its pitch bin with the share 1 - B(d) of a Beta(2, 18) distribution, and as unvoiced with the rest; a dip
+    out of range counts as unvoiced altogether. Pitches move by a Gaussian of 35.92 semitones a second, at least half a semitone a frame.
+    """
+    hop = hop or size // 4
     low, high = max(1, int(sr / fmax)), min(int(sr / fmin), size // 2)
-    n_bins = int(np.ceil(12 * np.log2(fmax / fmin) / resolution)) + 1
-    edges = np.linspace(0, 1, n_thresholds + 1)
-    prior = np.diff(beta_cdf(edges))
-    rows = []
-    for f in spectral.frames(np.asarray(y, float), size, hop or size // 4, center):
+    framed = spectral.frames(np.asarray(y, float), size, hop, center)
+    n_bins = int(np.ceil(12 * np.log2(fmax / fmin) / resolution))
+    if high <= low or n_bins <= 0 or not len(framed):
+        return np.full(len(framed), np.nan), np.zeros(len(framed), bool), np.zeros(len(framed))
+    thresholds = np.arange(1, n_thresholds + 1) / n_thresholds
+    obs, heard = np.zeros((len(framed), n_bins + 1)), np.zeros(len(framed))
+    for t, f in enumerate(framed):
         d = cmndf(difference(f, high))
-        p = d[low : high + 1]
-        obs = np.zeros(n_bins)
-        dips = np.flatnonzero((p[1:-1] <= p[:-2]) & (p[1:-1] < p[2:])) + 1 if len(p) > 2 else np.zeros(0, int)
-        for t, w in zip(edges[1:], prior):
-            under = dips[p[dips] < t]
-            if len(under):
-                hz = sr / parabola(d, low + int(under[0]))
-                k = int(round(12 * np.log2(hz / fmin) / resolution))
-                if 0 <= k < n_bins:
-                    obs[k] += w
-        rows.append(obs)
-    if not rows:
-        return np.zeros(0), np.zeros(0, bool), np.zeros(0)
-    obs = np.array(rows)
-    voiced = obs.sum(axis=1)
-    states = np.concatenate((obs, np.maximum(1 - voiced, 0)[:, None]), axis=1)
-    reach = int(round(6 / resolution))
+        part = d[low : high + 1]
+        for lag, times in zip(*np.unique(_lags(part, thresholds) + low, return_counts=True)):
+            hz = sr / parabola(d, int(lag))
+            share = float(1 - beta_cdf(min(max(d[lag], 0.0), 1.0)))
+            k = int(np.floor(12 * np.log2(hz / fmin) / resolution + 0.5)) if fmin <= hz <= fmax else -1
+            heard[t] += times * share if k >= 0 else 0.0
+            if 0 <= k < n_bins:
+                obs[t, k] += times * share
+                obs[t, -1] += times * (1 - share)
+            else:
+                obs[t, -1] += times
+    total = obs.sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        score = np.log(obs / total)
+    score[:, -1] = np.maximum(score[:, -1], np.log(1e-30))
     k = np.arange(n_bins)
-    near = np.maximum(0, reach + 1 - np.abs(k[:, None] - k[None, :])).astype(float)
+    spread = max(35.92 * hop / sr, 0.5)
+    near = np.exp(-0.5 * ((k[:, None] - k[None, :]) * resolution / spread) ** 2)
     trans = np.zeros((n_bins + 1, n_bins + 1))
-    trans[:-1, :-1] = near / near.sum(axis=1, keepdims=True) * (1 - switch)
-    trans[:-1, -1] = switch
-    trans[-1, :-1] = switch / n_bins
-    trans[-1, -1] = 1 - switch
-    path = sequence.viterbi(states, trans)[0]
+    with np.errstate(divide="ignore"):
+        trans[:-1, :-1] = np.log(near / near.sum(axis=1, keepdims=True) * (1 - switch))
+        trans[:-1, -1], trans[-1, :-1], trans[-1, -1] = np.log(switch), np.log(switch / n_bins), np.log(1 - switch)
+    path = sequence.viterbi_log(score, np.full(n_bins + 1, -np.log(n_bins + 1)), trans)[0]
     on = path < n_bins
-    return np.where(on, fmin * 2.0 ** (path * resolution / 12), np.nan), on, voiced
+    return np.where(on, fmin * 2.0 ** (path * resolution / 12), np.nan), on, heard / n_thresholds
 
 
 def piptrack(s, sr, n_fft, fmin=150.0, fmax=4000.0, threshold=0.1):
