@@ -39,16 +39,32 @@ def by_idx(column, partition="signal_id"):
 RMS = f"{FRAMED}, r AS (SELECT signal_id, frame, sqrt(avg(y * y)) AS rms FROM fr GROUP BY 1, 2), l AS (SELECT signal_id, frame, rms >= 0.5 * max(rms) OVER (PARTITION BY signal_id) AS loud FROM r)"
 HALF_DB = 20 * np.log10(2)
 # --- onsets, tempo, beats
-PEAKS = f"""{SIG}, w AS (SELECT signal_id, idx, y, max(y) OVER o AS top, avg(y) OVER o AS mean FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+
+
+def peaks_of(curve: str) -> str:
+    """Peaks of a table `curve` (signal_id, idx, y) by windows of three on both sides."""
+    return f"""w AS (SELECT signal_id, idx, y, max(y) OVER o AS top, avg(y) OVER o AS mean FROM {curve} WINDOW o AS (PARTITION BY signal_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 peaks AS (SELECT signal_id, idx FROM w WHERE idx BETWEEN 3 AND {N} - 4 AND y >= top AND y >= mean + 0.07)"""
+
+
+#: every first peak that is 30 or more behind the last one taken
+WALK = """first AS (SELECT signal_id, min(idx) AS idx FROM peaks GROUP BY 1),
+walk(signal_id, idx) AS (SELECT signal_id, idx FROM first UNION ALL SELECT w.signal_id, (SELECT min(p.idx) FROM peaks p WHERE p.signal_id = w.signal_id AND p.idx >= w.idx + 30) FROM walk w WHERE w.idx IS NOT NULL)"""
+
+
+def feet_of(curve: str, peaks: str) -> str:
+    """Where each peak's rise begins: the last of the least values before the curve, going back, rises again."""
+    return f"""up AS (SELECT signal_id, idx, y, coalesce(lag(y) OVER (PARTITION BY signal_id ORDER BY idx) > y, true) AS stop FROM {curve}),
+foot AS (SELECT p.signal_id, p.idx, max(u.idx) AS foot FROM {peaks} p JOIN up u ON u.signal_id = p.signal_id AND u.idx <= p.idx AND u.stop GROUP BY 1, 2),
+feet AS (SELECT f.signal_id, f.idx, max(u.idx) AS start FROM foot f JOIN up l ON l.signal_id = f.signal_id AND l.idx = f.foot JOIN up u ON u.signal_id = f.signal_id AND u.idx BETWEEN f.foot AND f.idx AND u.y = l.y GROUP BY 1, 2)"""
+
+
+PEAKS = f"{SIG}, {peaks_of('sig')}"
+SCALED = f"{SIG}, x AS (SELECT signal_id, idx, CASE WHEN max(y) OVER (PARTITION BY signal_id) > 0 THEN y / max(y) OVER (PARTITION BY signal_id) ELSE y END AS y FROM sig)"
 add("peak_candidates", events(lambda y: one(rhythm.peak_candidates(y))), f"WITH {PEAKS} SELECT signal_id, idx FROM peaks")
-add("peak_pick", events(lambda y: one(rhythm.peak_pick(y, wait=30))), f"""WITH RECURSIVE {PEAKS}, first AS (SELECT signal_id, min(idx) AS idx FROM peaks GROUP BY 1),
-walk(signal_id, idx) AS (SELECT signal_id, idx FROM first UNION ALL SELECT w.signal_id, (SELECT min(p.idx) FROM peaks p WHERE p.signal_id = w.signal_id AND p.idx >= w.idx + 30) FROM walk w WHERE w.idx IS NOT NULL)
-SELECT signal_id, idx FROM walk WHERE idx IS NOT NULL""")
-add("backtrack", events(lambda y: ((int(a), int(b)) for a, b in zip(rhythm.peak_candidates(y), rhythm.backtrack(rhythm.peak_candidates(y), y))), "idx bigint, start bigint"), f"""WITH {PEAKS}, up AS (SELECT signal_id, idx, y, coalesce(lag(y) OVER (PARTITION BY signal_id ORDER BY idx) > y, true) AS stop FROM sig),
-foot AS (SELECT p.signal_id, p.idx, max(u.idx) AS foot FROM peaks p JOIN up u ON u.signal_id = p.signal_id AND u.idx <= p.idx AND u.stop GROUP BY 1, 2)
-SELECT f.signal_id, f.idx, max(u.idx) AS start FROM foot f JOIN up l ON l.signal_id = f.signal_id AND l.idx = f.foot JOIN up u ON u.signal_id = f.signal_id AND u.idx BETWEEN f.foot AND f.idx AND u.y = l.y GROUP BY 1, 2""")
-add("onset_detect", events(lambda y: one(rhythm.onset_detect(y, SR, envelope=y, do_backtrack=True))))
+add("peak_pick", events(lambda y: one(rhythm.peak_pick(y, wait=30))), f"WITH RECURSIVE {PEAKS}, {WALK} SELECT signal_id, idx FROM walk WHERE idx IS NOT NULL")
+add("backtrack", events(lambda y: ((int(a), int(b)) for a, b in zip(rhythm.peak_candidates(y), rhythm.backtrack(rhythm.peak_candidates(y), y))), "idx bigint, start bigint"), f"WITH {PEAKS}, {feet_of('sig', 'peaks')} SELECT signal_id, idx, start FROM feet")
+add("onset_detect", events(lambda y: one(rhythm.onset_detect(y, SR, envelope=y, do_backtrack=True))), f"WITH RECURSIVE {SCALED}, {peaks_of('x')}, {WALK}, taken AS (SELECT signal_id, idx FROM walk WHERE idx IS NOT NULL), {feet_of('x', 'taken')} SELECT signal_id, start AS idx FROM feet")
 for _m in ("fixed", "adaptive", "combined"):
     _c = {"fixed": "y >= 1.5", "adaptive": "y >= mean + 1.5 * peak", "combined": "y >= 1.5 AND y >= mean + 1.5 * peak"}[_m].replace("1.5 * peak", "0.1 * peak" if _m != "combined" else "0.1 * peak")
     add(f"neural_onset_{_m}", lambda s, d, m=_m: lift(sig(s, d), lambda y: one(rhythm.neural_onset_detect(y, 1.5 if m == "fixed" else 0.1, m, wait=1)), ["samples"], "idx bigint"), f"""WITH {SIG}, w AS (SELECT signal_id, idx, y, max(y) OVER o AS top, avg(y) OVER o AS mean, max(y) OVER (PARTITION BY signal_id) AS peak FROM sig WINDOW o AS (PARTITION BY signal_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
@@ -67,15 +83,33 @@ add("tempo_filter_bank", events(lambda y: zip(*rhythm.tempo_filter_bank(y, 40.0)
 add("comb_forward", blocked.recurrence(scans.one_pole(0.9048374180359595), 24), f"WITH {SIG} SELECT a.signal_id, a.idx, {R('sum(pow(CAST(0.9048374180359595 AS DOUBLE), (a.idx - b.idx) // 24) * b.y)')} AS v FROM sig a JOIN sig b ON a.signal_id = b.signal_id AND b.idx <= a.idx AND (a.idx - b.idx) % 24 = 0 GROUP BY 1, 2")
 add("comb_backward", lambda s, d: src.hourly_events(s, d).select("signal_id", "idx", (F.col("y") + 0.5 * F.lag("y", 24, 0.0).over(by_idx("idx"))).alias("v")), f"WITH {SIG} SELECT signal_id, idx, {R('y + 0.5 * coalesce(lag(y, 24) OVER (PARTITION BY signal_id ORDER BY idx), 0)')} AS v FROM sig")
 # scores and predecessors by frame, in lists that grow; of candidates with equal scores the earliest frame
-BEATS = f"""{SIG}, x AS (SELECT signal_id, idx, y / greatest(max(y) OVER (PARTITION BY signal_id), 1e-9) AS x FROM sig),
-dp(signal_id, t, s, b) AS (SELECT signal_id, idx, [x], [CAST(-1 AS BIGINT)] FROM x WHERE idx = 0
- UNION ALL SELECT signal_id, t, list_append(s, x + best.v), list_append(b, -best.n) FROM (SELECT dp.signal_id, x.idx AS t, s, b, x.x,
-  list_max(list_transform(range(greatest(x.idx - 36, 0), greatest(least(x.idx - 1, x.idx - 12), 0) + 1), lambda k: {{'v': s[k + 1] - 100.0 / 576 * pow(ln(x.idx - k) - ln(CAST(24 AS DOUBLE)), 2), 'n': -k}})) AS best FROM dp JOIN x ON x.signal_id = dp.signal_id AND x.idx = dp.t + 1)),
-walk(signal_id, beat, b) AS (SELECT signal_id, list_position(s, list_max(s)) - 1, b FROM dp WHERE t = {N} - 1 UNION ALL SELECT signal_id, b[beat + 1], b FROM walk WHERE b[beat + 1] >= 0),
-w AS (SELECT signal_id, beat, row_number() OVER (PARTITION BY signal_id ORDER BY beat) AS r, count(*) OVER (PARTITION BY signal_id) AS n FROM walk)"""
-add("beat_dp", events(lambda y: one(rhythm.beat_dp(y / max(y.max(), 1e-9), 24.0))), f"WITH RECURSIVE {BEATS} SELECT signal_id, CAST(beat AS BIGINT) AS idx FROM w WHERE n = 1 OR (r > 1 AND (r < n OR n = 2))")
-add("beat_track", events(lambda y: ((rhythm.beat_track(y, 40.0, 1, envelope=y)[0], int(b)) for b in rhythm.beat_track(y, 40.0, 1, envelope=y)[1]), "bpm double, idx bigint"))
-add("neural_beat_track", events(lambda y: one(rhythm.neural_beats(np.clip(y / 5, 0, 1), 40.0)[1])))
+def beats_of(curve: str, period: str) -> str:
+    """`walk`: beats of a table curve (signal_id, idx, y) with periods from a table (signal_id, p); needs WITH RECURSIVE."""
+    return f"""per AS (SELECT signal_id, p, CAST(greatest(1, floor(p + 0.5)) AS BIGINT) AS whole, greatest(1, CAST(greatest(1, floor(p + 0.5)) AS BIGINT) // 2) AS reach FROM {period}),
+dp(signal_id, t, s, b) AS (SELECT signal_id, idx, [y], [CAST(-1 AS BIGINT)] FROM {curve} WHERE idx = 0
+ UNION ALL SELECT signal_id, t, list_append(s, y + best.v), list_append(b, -best.n) FROM (SELECT dp.signal_id, c.idx AS t, s, b, c.y,
+  list_max(list_transform(range(greatest(c.idx - whole - reach, 0), greatest(least(c.idx - 1, c.idx - whole + reach), 0) + 1), lambda k: {{'v': s[k + 1] - 100.0 / (p * p) * pow(ln(c.idx - k) - ln(p), 2), 'n': -k}})) AS best FROM dp JOIN {curve} c ON c.signal_id = dp.signal_id AND c.idx = dp.t + 1 JOIN per ON per.signal_id = dp.signal_id)),
+walk(signal_id, beat, b) AS (SELECT signal_id, CAST(list_position(s, list_max(s)) - 1 AS BIGINT), b FROM dp WHERE t = {N} - 1 UNION ALL SELECT signal_id, b[beat + 1], b FROM walk WHERE b[beat + 1] >= 0)"""
+
+
+_RANKED = "(SELECT signal_id, beat, row_number() OVER (PARTITION BY signal_id ORDER BY beat) AS r, count(*) OVER (PARTITION BY signal_id) AS n FROM walk)"
+_TRIMMED = "(n = 1 OR (r > 1 AND (r < n OR n = 2)))"
+add("beat_dp", events(lambda y: one(rhythm.beat_dp(y / max(y.max(), 1e-9), 24.0))), f"WITH RECURSIVE {SCALED}, given AS (SELECT DISTINCT signal_id, CAST(24 AS DOUBLE) AS p FROM x), {beats_of('x', 'given')} SELECT signal_id, beat AS idx FROM {_RANKED} WHERE {_TRIMMED}")
+
+
+def tracked(y):
+    bpm, beats = rhythm.beat_track(y, 40.0, 1, envelope=y)
+    return ((bpm, int(b)) for b in beats)
+
+
+add("beat_track", events(tracked, "bpm double, idx bigint"), f"""WITH RECURSIVE {TEMPO}, x AS (SELECT signal_id, idx, y / max(y) OVER (PARTITION BY signal_id) AS y FROM sig), best AS (SELECT signal_id, arg_max(bpm, p) AS bpm FROM t GROUP BY 1), given AS (SELECT signal_id, 2400.0 / bpm AS p FROM best), {beats_of('x', 'given')}
+SELECT signal_id, {R('bpm')} AS bpm, beat AS idx FROM {_RANKED} JOIN best USING (signal_id) WHERE {_TRIMMED}""")
+# activations of a fifth of the sample, at most 1; beats below 0.05 go, then the first and the last of three or more
+add("neural_beat_track", events(lambda y: one(rhythm.neural_beats(np.clip(y / 5, 0, 1), 40.0)[1])), f"""WITH RECURSIVE {SIG}, x AS (SELECT signal_id, idx, least(greatest(y / 5, 0), 1) AS y FROM sig),
+acf AS (SELECT a.signal_id, b.idx - a.idx AS lag, sum(a.y * b.y) AS r FROM x a JOIN x b ON a.signal_id = b.signal_id AND b.idx - a.idx BETWEEN 11 AND 43 GROUP BY 1, 2),
+given AS (SELECT signal_id, 2400.0 / greatest(55.0, least(215.0, 2400.0 / arg_max(lag, r * exp(-0.5 * pow(log2(2400.0 / lag / 120), 2))))) AS p FROM acf GROUP BY 1), {beats_of('x', 'given')},
+kept AS (SELECT walk.signal_id, beat, row_number() OVER (PARTITION BY walk.signal_id ORDER BY beat) AS r, count(*) OVER (PARTITION BY walk.signal_id) AS n FROM walk JOIN x ON x.signal_id = walk.signal_id AND x.idx = beat AND y >= 0.05)
+SELECT signal_id, beat AS idx FROM kept WHERE n <= 2 OR (r > 1 AND r < n)""")
 add("downbeat_detect", events(lambda y: ((int(b), bool(k)) for b, k in zip(*rhythm.downbeats(np.stack([1 - np.clip(y / 6, 0, 1), 0.6 * np.clip(y / 6, 0, 1), 0.4 * np.clip(y / 6, 0, 1)], 1), 40.0))), "idx bigint, down boolean"))
 add("plp", events(lambda y: enumerate(rhythm.plp(y, 40.0, 96)), "idx bigint, v double"))
 # --- pitch
@@ -97,7 +131,6 @@ p AS (SELECT signal_id, frame, bin, m, a, c, CASE WHEN abs(a - 2 * m + c) > 1e-1
 pips AS (SELECT signal_id, frame, (bin + dx) * {SR} / {SIZE} AS hz, m - 0.25 * (a - c) * dx AS mag FROM p WHERE (bin + dx) * {SR} / {SIZE} BETWEEN {{fmin}} AND {{fmax}})"""
 # bins of 1 Hz; peaks of bin 2 may lie over 2.5 Hz once refined
 add("piptrack", events(lambda y: pitch.piptrack(S(y), SR, SIZE, 2.5, 13.25), "frame bigint, hz double, mag double"), f"WITH {PIPS.format(low=2, high=13, fmin=2.5, fmax=13.25)} SELECT signal_id, frame, {R('hz')} AS hz, {R('mag')} AS mag FROM pips")
-add("estimate_tuning", events(lambda y: [(_tuning(y),)], "tuning double"))
 
 
 def _tuning(y):
@@ -105,6 +138,9 @@ def _tuning(y):
     return pitch.pitch_tuning([p[1] for p in peaks], [p[2] for p in peaks])
 
 
+# the heaviest of 100 parts of a semitone
+add("estimate_tuning", events(lambda y: [(_tuning(y),)], "tuning double"), f"""WITH {PIPS.format(low=1, high=15, fmin=1, fmax=15)}, dev AS (SELECT signal_id, mag, 12 * log2(hz / 440) - floor(12 * log2(hz / 440)) AS d FROM pips),
+part AS (SELECT signal_id, least(99, CAST(floor((CASE WHEN d >= 0.5 THEN d - 1 ELSE d END + 0.5) * 100) AS BIGINT)) AS k, sum(mag) AS m FROM dev GROUP BY 1, 2) SELECT signal_id, {R('-0.5 + (arg_max(k, (m, -k)) + 0.5) / 100')} AS tuning FROM part GROUP BY 1""")
 # --- effects
 MASK = f"""{SPEC}, h AS (SELECT a.signal_id, a.frame, a.bin, any_value(a.m) AS m, list_sort(list(b.m)) AS w FROM spec a JOIN spec b ON a.signal_id = b.signal_id AND a.bin = b.bin AND abs(a.frame - b.frame) <= 2 GROUP BY 1, 2, 3),
 p AS (SELECT a.signal_id, a.frame, a.bin, list_sort(list(b.m)) AS w FROM spec a JOIN spec b ON a.signal_id = b.signal_id AND a.frame = b.frame AND abs(a.bin - b.bin) <= 2 GROUP BY 1, 2, 3),

@@ -55,21 +55,26 @@ def stream_preemphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("signal_id", "block", F.posexplode("samples").alias("i", "v")).select("signal_id", (F.col("block") * 100 + F.col("i")).alias("idx"), (F.round("v", 6) + 0.0).alias("v"))
 
 
+def _when(block: str):
+    """A time for each block of 100 hours; what is at 1970-01-01 or before would be late from the start."""
+    return F.timestamp_seconds(1704067200 + F.col(block) * 360000)
+
+
 def stream_comb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A comb filter over WAV files read as a stream, by keyed state."""
     heard = sb.read_wav(spark, stored.files(spark, sf_dir, "float32"), blockFrames=100, blocksPerTrigger=1 << 30)
-    timed = heard.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("signal_id"), "block", F.timestamp_seconds(F.col("block") * 100).alias("ts"), "samples")
-    out = _run(spark, sb.in_turn(timed, sb.CombFilter(100, 24, 0.9048374180359595), "block bigint, samples array<double>"), "append")
+    timed = heard.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("signal_id"), "block", _when("block").alias("ts"), "samples")
+    out = _run(spark, sb.in_turn(timed, sb.CombFilter(100, 24, 0.9048374180359595), "block bigint, samples array<double>", "365 days"), "append")
     return out.select("signal_id", "block", F.posexplode("samples").alias("i", "v")).select("signal_id", (F.col("block") * 100 + F.col("i")).alias("idx"), (F.round("v", 6) + 0.0).alias("v"))
 
 
 def stream_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks over blocks that arrive in several files, whatever their order."""
     at = _folder(spark)
-    blocks = src.blocks(src.event_signals(spark, sf_dir), 100).withColumn("ts", F.timestamp_seconds(F.col("block") * 100))
+    blocks = src.blocks(src.event_signals(spark, sf_dir), 100).withColumn("ts", _when("block"))
     blocks.repartition(4, "block").write.parquet(f"{at}/in")
     stream = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    return _run(spark, sb.in_turn(stream, sb.PeakPicker(100), "idx bigint", "1 day"), "append").select("signal_id", "idx")
+    return _run(spark, sb.in_turn(stream, sb.PeakPicker(100), "idx bigint", "365 days"), "append").select("signal_id", "idx")
 
 
 QUERIES |= {f.__name__: f for f in (stream_tumbling_rms, stream_sliding_rms, stream_sessions, stream_preemphasis, stream_comb, stream_peaks)}

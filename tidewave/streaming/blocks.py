@@ -183,7 +183,7 @@ class PeakPicker(_InTurn):
 
 
 def in_turn(blocks: DataFrame, processor: _InTurn, output: str, late: str = "1 hour") -> DataFrame:
-    """A processor over a stream (signal_id, block, ts, samples); ts: a block's time, which rises with its number. output: the columns behind signal_id."""
+    """A processor over a stream (signal_id, block, ts, samples); ts: a block's time after 1970, which rises with its number. output: the columns behind signal_id."""
     spark = ship(blocks.sparkSession)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # what this kind of state needs
     kind = blocks.select("signal_id").schema[0].dataType.simpleString()
