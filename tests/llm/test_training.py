@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.llm import quality, text, toxicity
+from tidewave.llm import langid, quality, text, toxicity
 
 
 def test_ftrl_against_loops():
@@ -103,3 +103,20 @@ def test_samples_are_bounded_in_bytes(spark):
     labels = sample.select("doc_id", F.col("y").alias("toxic"), F.col("y").alias("quality"))
     assert toxicity.toxicity(docs, labels, toxicity.ToxicityParams(max_bytes=500)).count() == docs.count()
     assert quality.quality(docs, labels, quality.QualityParams(max_bytes=500)).count() == docs.count()
+
+
+def test_languages_learn_whole_texts_within_bounds(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("abc ") for _ in range(r.randint(1, 200))), f"l{i % 3}") for i in range(400)] + [(500, "z" * 5000, "long"), (501, None, "none"), (502, "", "none"), (2, "q", "l2")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid, "build", lambda texts, p: seen.update(texts))
+    texts = {(t or "") for _, t, _ in rows}
+    for p in (langid.LangParams(chars_per_lang=700), langid.LangParams(total_chars=2000), langid.LangParams(total_docs=8)):
+        seen.clear()
+        langid.fit(d, p)
+        assert set(seen) <= {"l0", "l1", "l2", "long", "none"} and {"l0", "l1", "l2"} <= set(seen)
+        assert all(t in texts for v in seen.values() for t in v)  # whole ones
+        for lang, v in seen.items():
+            assert len(v) == 1 or sum(map(len, v)) <= min(p.chars_per_lang, p.total_chars // len(seen))
+        assert sum(map(len, seen.values())) <= max(p.total_docs, len(seen)) or p.total_docs > 1000

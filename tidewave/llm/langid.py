@@ -39,7 +39,9 @@ PAD, OTHER, SPACE = 0, 1, 2
 @dataclass(frozen=True)
 class LangParams:
     docs_per_lang: int = 64  # documents of a language to learn from, at most
-    chars_per_doc: int = 400  # of each of them, at most, from a hashed offset on
+    chars_per_lang: int = 25_000  # of their whole texts together, at most
+    total_chars: int = 4 << 20  # of all languages; with many of them each gets its share
+    total_docs: int = 1 << 16  # looked at in all; likewise
     alphabet: int = 96  # letters of a language with a column in its table, at most; the rest are searched
     block: int = 256
     table_bytes: int = 256 << 20  # of all tables, about; with many languages fewer letters have columns
@@ -224,24 +226,38 @@ def predict_texts(texts: list[str | None], model: LangModel, lut: np.ndarray, p:
     return langs, scores
 
 
+def _within(rows: list, budget: int) -> list:
+    """Of a language's documents (h, doc_id, size), in the order of their hashes, those that still fit the budget; the shortest if none does."""
+    kept, left = [], budget
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        if 0 < r.size <= left:
+            kept.append(r.doc_id)
+            left -= r.size
+    return kept or [min(rows, key=lambda r: (r.size, r.h)).doc_id]
+
+
 def fit(docs: DataFrame, p: LangParams = LangParams()) -> LangModel:
-    """Learns every language, from a bounded sample of its documents whose fold is not 2.
+    """Learns every language, from whole texts of a bounded sample of its documents whose fold is not 2.
 
     Within a language, the document of least hash in each of docs_per_lang hash
-    buckets is taken; only ids and languages are read for that. Of each, an excerpt
-    at a hashed offset anywhere in the text is learned.
+    buckets is looked at; only ids, languages and lengths are read for that. Texts are taken in the order
+    of their hashes while they fit the language's budget of characters. All languages together have bounds of
+    documents and characters too, beyond one document each.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", "lang")
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length(F.col("text").cast("string")).alias("size"))
+    n = max(usable.select("lang").distinct().count(), 1)
     h = F.xxhash64("doc_id")
-    picked = usable.groupBy("lang", F.pmod(h, F.lit(p.docs_per_lang)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("m"))
-    rows = [(r.m.doc_id, r.lang) for r in picked.collect()]
+    picked = usable.groupBy("lang", F.pmod(h, F.lit(max(1, min(p.docs_per_lang, p.total_docs // n)))).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id", F.coalesce("size", F.lit(0)).alias("size"))).alias("m"))
+    by_lang: dict[str, list] = {}
+    for r in picked.collect():
+        by_lang.setdefault(r.lang, []).append(r.m)
+    rows = [(k, lang) for lang, found in by_lang.items() for k in _within(found, min(p.chars_per_lang, p.total_chars // n))]
     ids = docs.sparkSession.createDataFrame(rows, "doc_id long, lang string")
-    last = F.greatest(F.length("text") - p.chars_per_doc, F.lit(0))
-    part = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), last + 1).cast("int") + 1, p.chars_per_doc)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", part.alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])
     texts: dict[str, list[str]] = {}
-    for r in sorted(found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
-        texts.setdefault(r.lang, []).append(r.text or "")
+    # of rows that share a doc_id the one of least text, as many characters as were counted
+    for r in sorted(found.groupBy("doc_id", "lang").agg(F.min(F.struct(F.length("text").alias("size"), "text")).alias("m")).collect(), key=lambda r: (r.lang, r.doc_id)):
+        texts.setdefault(r.lang, []).append(r.m.text or "")
     return build(texts, p)
 
 
