@@ -36,14 +36,12 @@ def nearest(frames: DataFrame, k: int = 5, metric: str = "euclidean", block: int
         out: list[list] = [[], [], []]
         for at in range(0, len(a), 256):
             rows = a[at : at + 256]
-            d = np.round(pairwise(v[rows], v[b], metric), _DIGITS)
-            d[i[rows][:, None] == i[b][None]] = np.inf
-            take = np.argsort(d, axis=1, kind="stable")[:, :k] if len(b) <= 4 * k else _least(d, k)
-            for q, best in zip(range(len(rows)), take):
-                best = best[np.isfinite(d[q, best])]
-                out[0].append(i[rows[q]])
-                out[1].append(i[b[best]])
-                out[2].append(d[q, best])
+            for q, own, near in zip(rows, i[rows], _candidates(v[rows], v[b], i[rows][:, None] == i[b][None], k, metric)):
+                d = np.round(pairwise(v[q : q + 1], v[b[near]], metric)[0], _DIGITS)
+                best = np.lexsort((i[b[near]], d))[:k]
+                out[0].append(own)
+                out[1].append(i[b[near[best]]])
+                out[2].append(d[best])
         return pa.table({"signal_id": pa.array([t.column("signal_id")[0].as_py()] * len(out[0]), t.schema.field("signal_id").type), "i": pa.array(out[0], pa.int64()), "j": pa.array(out[1], pa.list_(pa.int64())), "d": pa.array(out[2], pa.list_(pa.float64()))})
 
     lists = cells.groupBy("signal_id", "row", "col").applyInArrow(local, f"signal_id {kind}, i long, j array<long>, d array<double>")
@@ -52,14 +50,22 @@ def nearest(frames: DataFrame, k: int = 5, metric: str = "euclidean", block: int
     return merged.select("signal_id", "i", F.posexplode("p").alias("r", "x")).select("signal_id", "i", F.col("r").cast("bigint").alias("r"), "x.j", "x.d")
 
 
-def _least(d: np.ndarray, k: int) -> np.ndarray:
-    """The k least of each row in order, ties to the lower column."""
-    near = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    out = []
-    for row, most in zip(d, near):
-        at = np.flatnonzero(row <= most)
-        out.append(at[np.argsort(row[at], kind="stable")][:k])
-    return np.array(out)
+def _candidates(x: np.ndarray, y: np.ndarray, same: np.ndarray, k: int, metric: str):
+    """For each row of x the rows of y that may be among its k nearest, by a matrix product whose rounding is allowed for; not those of `same`."""
+    if metric == "cosine":
+        d = pairwise(x, y, metric)
+        slack = 1e-7
+    else:
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        d = np.sqrt(np.maximum(xx[:, None] + yy[None] - 2 * (x @ y.T), 0))
+        slack = 1e-6 * (1 + np.sqrt(max(xx.max(initial=0), yy.max(initial=0))))
+    d = np.where(same, np.inf, d)
+    if k < d.shape[1]:
+        far = np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack
+        close = (d <= far) & ~same
+    else:
+        close = ~same
+    return [np.flatnonzero(c) for c in close]
 
 
 def aggregated(frames: DataFrame, links: DataFrame, how: str = "mean") -> DataFrame:
