@@ -34,7 +34,7 @@ def _lists(values: list) -> pa.Array:
 
 
 def _vectors(column) -> list:
-    return [None if v is None else np.array(v, float) for v in column.to_pylist()]
+    return [np.asarray(v.values, float) if v.is_valid else None for v in column]
 
 
 def prefix(maps: DataFrame, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], span: int = 256, reverse: bool = False) -> DataFrame:
