@@ -644,7 +644,7 @@ def test_oracles(spark):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, SF).toPandas(), c.sql(sql).df()
