@@ -171,7 +171,7 @@ def chunk_table(docs: DataFrame, model: Broadcast, table_bytes: int) -> ChunkTab
     return ChunkTable(h1[order], h2[order], np.concatenate(([0], np.cumsum(size))).astype(np.uint32), ids)
 
 
-def encode(docs: DataFrame, model: str | None = None, table_bytes: int = 64 << 20) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, table_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_tokens, ids (array of int), decoded (string), ids_sha256 and decoded_sha256 of every whole text."""
     proto = Path(model or default_model()).read_bytes()
     safe = cuts_are_safe(processor(proto))

@@ -5,6 +5,7 @@ All kernels work on whole texts. A null text is treated as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,8 +197,17 @@ def bounded_sample(docs: DataFrame, sample: DataFrame, max_bytes: int) -> DataFr
     return docs.sparkSession.createDataFrame(kept, sample.schema)
 
 
+def _give_back() -> None:
+    """What earlier tasks of this worker have freed goes back to the system: workers live through many stages, and their libraries keep freed memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most 4096 rows, cut further while the text column has over `most` bytes and over one row."""
+    _give_back()
     for batch in it:
         at = batch.schema.get_field_index("text")
         todo = [batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)]
