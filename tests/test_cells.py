@@ -44,6 +44,6 @@ def test_pair_queries_see_no_whole_signal(spark):
 
     from tidewave.plans import catalog
 
-    for name in ("cross_similarity", "cross_similarity_cosine"):
+    for name in ("cross_similarity", "cross_similarity_cosine", "recurrence_soft"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "collect_list" not in plan and "FlatMapGroupsInArrow" in plan, name
