@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidewave.operators import cells, sequence
+from tidewave.operators import cells, segment, sequence
 
 
 def table(spark, signals):
@@ -44,6 +44,36 @@ def test_pair_queries_see_no_whole_signal(spark):
 
     from tidewave.plans import catalog
 
-    for name in ("cross_similarity", "cross_similarity_cosine", "recurrence_soft"):
+    for name in ("cross_similarity", "cross_similarity_cosine", "recurrence_soft", "recurrence_threshold", "rqa", "path_enhance", "lag_to_recurrence", "timelag_filter"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
-        assert "collect_list" not in plan and "FlatMapGroupsInArrow" in plan, name
+        assert "collect_list(struct(frame" not in plan and "FlatMapGroupsInArrow" in plan, name
+
+
+@pytest.mark.parametrize("block", [2, 7, 256])
+def test_points_below_a_threshold_and_their_runs_by_cells(spark, block):
+    rng = np.random.default_rng(block)
+    m = {"a": rng.random((75, 1)), "b": np.repeat(rng.random((8, 1)), 4, axis=0), "far": np.arange(5.0)[:, None] * 9, "one": np.zeros((1, 1)), "same": np.ones((40, 1))}
+    f = table(spark, m)
+    got = {r.signal_id: r for r in cells.quantified(f, 0.3, block=block).collect()}
+    points = [(r.signal_id, r.i, r.j) for r in cells.below(f, 0.3, block).collect()]
+    assert set(got) == set(m) and len(points) == len(set(points))
+    for name, x in m.items():
+        r = segment.recurrence(x, "threshold", threshold=0.3)
+        assert {(i, j) for k, i, j in points if k == name} == set(zip(*np.nonzero(r)))
+        for k, v in segment.rqa(r).items():
+            assert np.isclose(got[name][k], v), (name, k)
+
+
+@pytest.mark.parametrize("block", [1, 4, 9, 512])
+def test_path_enhancement_by_cells(spark, block):
+    rng = np.random.default_rng(1)
+    m = {str(n): (rng.random((n, n)) < 0.4).astype(float) for n in (1, 2, 3, 5, 9, 13)}
+    m["none"] = np.zeros((6, 6))
+    links = spark.createDataFrame([(k, int(i), int(j)) for k, r in m.items() for i, j in zip(*np.nonzero(r))], "signal_id string, i long, j long")
+    rows = cells.enhanced(links, spark.createDataFrame([(k, len(r)) for k, r in m.items()], "signal_id string, n long"), block=block).collect()
+    assert len(rows) == sum(r.size for r in m.values())
+    got = {k: np.full(r.shape, np.nan) for k, r in m.items()}
+    for r in rows:
+        got[r.signal_id][r.i, r.j] = r.v
+    for k, r in m.items():
+        assert np.allclose(got[k], segment.path_enhance(r)), k

@@ -39,7 +39,7 @@ def dealt(frames: DataFrame, least: int):
     every = F.sequence(F.lit(0), F.col("last"))
     place = lambda query, row, col: F.struct(F.lit(query).alias("query"), row.alias("row"), col.alias("col"))
     both = F.concat(F.transform(every, lambda c: place(True, F.col("b"), c)), F.transform(every, lambda c: place(False, c, F.col("b"))))
-    return placed.select("signal_id", "i", "v", F.explode(both).alias("c")).select("signal_id", "i", "v", "c.*").groupBy("signal_id", "row", "col")
+    return _spread(placed.select("signal_id", "i", "v", F.explode(both).alias("c")).select("signal_id", "i", "v", "c.*"))
 
 
 def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,3 +119,130 @@ def below(frames: DataFrame, threshold: float, block: int = 256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.repeat(t.column("signal_id")[0], len(r)), pa.array(i[a:z][r]), pa.array(j[c])], ["signal_id", "i", "j"])
 
     return dealt(frames, block).applyInArrow(cell, f"signal_id {kind}, i long, j long")
+
+
+# --- recurrence quantification
+
+
+def _runs(on: np.ndarray, i0: int, j0: int):
+    """(kind, line, start, length, times) of the runs of a cell's points: kind 0 along diagonals (line j - i), 1 down columns (line j). Runs at the
+    cell's border, which may go on beyond it, one by one; the others by length, with no line and start."""
+    h, w = on.shape
+    one = np.zeros((2, w), np.int64)
+    inner = [np.zeros(h + 2, np.int64), np.zeros(h + 2, np.int64)]
+    found: list[list] = [[], [], [], []]
+    column = np.arange(w)
+
+    def open_(kind, end, c, n):  # runs of n points, the last in row `end` and columns c
+        start = i0 + end - n + 1
+        for to, part in zip(found, (np.full(len(c), kind), j0 + c - (i0 + end) if kind == 0 else j0 + c, start, n)):
+            to.append(part)
+
+    for r in range(h + 1):
+        here = on[r] if r < h else np.zeros(w, bool)
+        # diagonals: the point behind (r - 1, c) is (r, c + 1)
+        goes_on = np.append(here[1:], False)
+        for kind, stays in ((0, goes_on), (1, here)):
+            c = np.flatnonzero((one[kind] > 0) & ~stays)
+            if len(c):
+                n = one[kind][c]
+                edge = (n == r) | (r == h)
+                if kind == 0:
+                    edge |= (n == c + 1) | (c == w - 1)
+                inner[kind] += np.bincount(n[~edge], minlength=h + 2)
+                if edge.any():
+                    open_(kind, r - 1, c[edge], n[edge])
+        one[0] = np.where(here, np.append(0, one[0][:-1]) + 1, 0)
+        one[1] = np.where(here, one[1] + 1, 0)
+    kind, line, start, n = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
+    times = np.ones(len(n), np.int64)
+    known = np.ones(len(n), bool)
+    for k, counted in enumerate(inner):
+        some = np.flatnonzero(counted)
+        kind, n, times = np.append(kind, np.full(len(some), k)), np.append(n, some), np.append(times, counted[some])
+        line, start, known = np.append(line, np.zeros(len(some), np.int64)), np.append(start, np.zeros(len(some), np.int64)), np.append(known, np.zeros(len(some), bool))
+    return kind, pa.array(line, mask=~known), pa.array(start, mask=~known), n, times
+
+
+def quantified(frames: DataFrame, threshold: float, least: int = 2, block: int = 256) -> DataFrame:
+    """signal_id and the measures of `segment.rqa` of the pairs nearer than the threshold. Runs are found in cells; those at borders are joined."""
+    ship(frames.sparkSession)
+    kind_of = frames.select("signal_id").schema[0].dataType.simpleString()
+
+    def cell(t: pa.Table) -> pa.Table:
+        i, x, j, y = sides(t)
+        on = np.empty((len(x), len(y)), bool)
+        for a, z in _slices(len(x), len(y)):
+            on[a:z] = recurrent(i[a:z], x[a:z], j, y, threshold)
+        kind, line, start, n, times = _runs(on, int(i[0]), int(j[0]))
+        return pa.table({"signal_id": pa.repeat(t.column("signal_id")[0], len(n)), "kind": pa.array(kind, pa.int64()), "line": line, "start": start, "n": pa.array(n), "times": pa.array(times)})
+
+    runs = dealt(frames, block).applyInArrow(cell, f"signal_id {kind_of}, kind long, line long, start long, n long, times long").groupBy("signal_id", "kind", "line", "start", "n").agg(F.sum("times").alias("times"))
+    order = Window.partitionBy("signal_id", "kind", "line").orderBy("start")
+    parts = runs.where("line is not null").withColumn("new", F.coalesce(F.col("start") != F.lag(F.col("start") + F.col("n")).over(order), F.lit(True)).cast("long"))
+    whole = parts.withColumn("run", F.sum("new").over(order)).groupBy("signal_id", "kind", "line", "run").agg(F.sum("n").alias("n")).select("signal_id", "kind", "n", F.lit(1).cast("long").alias("times"))
+    # a row for each length
+    spread = whole.unionByName(runs.where("line is null").select("signal_id", "kind", "n", "times")).groupBy("signal_id", "kind", "n").agg(F.sum("times").alias("times"))
+    long = F.col("n") >= least
+    points = F.col("n") * F.col("times")
+    of = lambda kind, c, f=F.sum: f(F.when((F.col("kind") == kind) & long, c))
+    # minus the sum of q log2 q, with q = times / all
+    sums = spread.groupBy("signal_id").agg(
+        F.sum(F.when(F.col("kind") == 0, points)).alias("total"), of(0, points).alias("dl"), of(0, F.col("times")).alias("dn"), of(0, F.col("n"), F.max).alias("longest"),
+        of(1, points).alias("vl"), of(1, F.col("times")).alias("vn"), of(0, F.col("times") * F.log2("times")).alias("tl"),
+    )
+    n = frames.groupBy("signal_id").agg((F.max("i") + 1).alias("frames"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.col(b), F.lit(0.0))
+    return n.join(sums, "signal_id", "left").select(
+        "signal_id", (F.coalesce("total", F.lit(0)) / F.greatest(F.col("frames") * (F.col("frames") - 1), F.lit(1))).alias("rate"), share("dl", "total").alias("determinism"), share("vl", "total").alias("laminarity"),
+        share("dl", "dn").alias("mean_diagonal"), share("vl", "vn").alias("mean_vertical"), F.coalesce(F.col("longest").cast("double"), F.lit(0.0)).alias("longest"), F.coalesce(F.log2("dn") - F.col("tl") / F.col("dn"), F.lit(0.0)).alias("entropy"),
+    )
+
+
+# --- path enhancement
+
+
+def enhanced(links: DataFrame, lengths_of: DataFrame, size: int = 5, n_filters: int = 7, block: int = 512) -> DataFrame:
+    """signal_id, i, j, v: `segment.path_enhance` of the matrix that has ones at links (signal_id, i, j), for all cells of it. lengths_of: signal_id, n.
+
+    A block of cells gets the links in it and in a margin around it.
+    """
+    ship(links.sparkSession)
+    boxes = path_sizes(size, n_filters)
+    reach = max(max(b) for b in boxes)  # no less than a rectangle sees
+    kind = links.select("signal_id").schema[0].dataType.simpleString()
+    last = F.floor((F.col("n") - 1) / block)
+    every = F.sequence(F.lit(0).cast("long"), last)
+    blank = lengths_of.withColumn("row", F.explode(every)).withColumn("col", F.explode(every)).select("signal_id", "n", "row", "col", F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"))
+    seen = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - reach) / block), F.lit(0)), F.least(F.floor((F.col(c) + reach) / block), last)))
+    near = links.join(lengths_of, "signal_id").withColumn("row", seen("i")).withColumn("col", seen("j")).select("signal_id", "n", "row", "col", "i", "j")
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        n, row, col = (t.column(c)[0].as_py() for c in ("n", "row", "col"))
+        links_of = t.filter(t.column("i").is_valid())
+        i, j = np.asarray(links_of.column("i")), np.asarray(links_of.column("j"))
+        (a, z), (c, e) = ((k * block, min((k + 1) * block, n)) for k in (row, col))
+        top, left = max(a - reach, 0), max(c - reach, 0)
+        m = np.zeros((min(z + reach, n) - top, min(e + reach, n) - left), np.int64)
+        m[i - top, j - left] = 1
+        # where the matrix ends within reach, it is mirrored
+        beyond = lambda low, high: (max(reach - low, 0), max(high + reach - n, 0))
+        p = np.pad(m, (beyond(a, z), beyond(c, e)), mode="symmetric")
+        sums = np.pad(p.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+        v = np.zeros((z - a, e - c))
+        for h, w in boxes:
+            y, x = reach - h // 2, reach - w // 2
+            at = lambda dy, dx: sums[y + dy : y + dy + z - a, x + dx : x + dx + e - c]  # noqa: B023, E731
+            ones = at(h, w) - at(0, w) - at(h, 0) + at(0, 0)
+            v += ones >= h * w - h * w // 2  # the upper median is 1
+        v /= n_filters
+        for f, l_ in _slices(z - a, e - c):
+            yield pa.RecordBatch.from_arrays([pa.repeat(t.column("signal_id")[0], v[f:l_].size), pa.array(np.repeat(np.arange(a + f, a + l_), e - c)), pa.array(np.tile(np.arange(c, e), l_ - f)), pa.array(v[f:l_].ravel())], ["signal_id", "i", "j", "v"])
+
+    return _spread(blank.unionByName(near)).applyInArrow(cell, f"signal_id {kind}, i long, j long, v double")
+
+
+def _spread(placed: DataFrame):
+    """Grouped by cell, in as many tasks as there are shuffle partitions: cells are small to read and long to work through."""
+    return placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "signal_id", "row", "col").groupBy("signal_id", "row", "col")

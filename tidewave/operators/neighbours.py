@@ -2,7 +2,7 @@
 
 Frames are dealt to cells of a square: a query block and a candidate block. A cell computes
 its distances and keeps the k nearest of each query; these lists are merged by query. A frame is sent to
-twice as many cells as a signal has blocks, a cell has two blocks, and no matrix of all pairs exists.
+twice as many cells as a signal has blocks, which grow with it (`cells`); a cell has two blocks, and no matrix of all pairs exists.
 """
 
 from __future__ import annotations
@@ -13,45 +13,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import cells
 from .sequence import pairwise
 
 _DIGITS = 8  # distances that agree in these are tied; the lower frame comes first
 
 
 def nearest(frames: DataFrame, k: int = 5, metric: str = "euclidean", block: int = 2048) -> DataFrame:
-    """signal_id, i, r (rank from 0), j, d: the k nearest other frames of each. frames: signal_id, i (from 0 without gaps), v."""
+    """signal_id, i, r (rank from 0), j, d: the k nearest other frames of each. frames: signal_id, i (from 0 without gaps), v; block: the least frames of a block."""
     ship(frames.sparkSession)
     kind = frames.select("signal_id").schema[0].dataType.simpleString()
-    numbered = frames.select("signal_id", "i", "v", F.floor(F.col("i") / block).alias("b"))
-    count = frames.groupBy("signal_id").agg((F.floor(F.max("i") / block)).alias("last"))  # a row for each signal
-    placed = numbered.join(count, "signal_id")
-    every = F.sequence(F.lit(0), F.col("last").cast("int"))
-    cells = placed.select("signal_id", "i", "v", F.explode(F.concat(F.transform(every, lambda c: F.struct(F.lit(True).alias("query"), F.col("b").cast("int").alias("row"), c.alias("col"))), F.transform(every, lambda c: F.struct(F.lit(False).alias("query"), c.alias("row"), F.col("b").cast("int").alias("col"))))).alias("c")).select("signal_id", "i", "v", "c.*")
 
     def local(t: pa.Table) -> pa.Table:
-        query = np.asarray(t.column("query"))
-        i, v = np.asarray(t.column("i")), np.stack([np.asarray(x.values, float) for x in t.column("v")])
-        a, b = np.flatnonzero(query), np.flatnonzero(~query)
-        b = b[np.argsort(i[b], kind="stable")]
-        out: list[list] = [[], [], []]
-        for at in range(0, len(a), 256):
-            rows = a[at : at + 256]
-            for q, own, near in zip(rows, i[rows], _candidates(v[rows], v[b], i[rows][:, None] == i[b][None], k, metric)):
-                d = np.round(pairwise(v[q : q + 1], v[b[near]], metric)[0], _DIGITS)
-                best = np.lexsort((i[b[near]], d))[:k]
-                out[0].append(own)
-                out[1].append(i[b[near[best]]])
-                out[2].append(d[best])
-        return pa.table({"signal_id": pa.array([t.column("signal_id")[0].as_py()] * len(out[0]), t.schema.field("signal_id").type), "i": pa.array(out[0], pa.int64()), "j": pa.array(out[1], pa.list_(pa.int64())), "d": pa.array(out[2], pa.list_(pa.float64()))})
+        own, x, other, y = cells.sides(t)
+        found: list[list] = [[], [], [], []]
+        for at in range(0, len(x), 256):
+            rows = slice(at, at + 256)
+            q, near = _candidates(x[rows], y, own[rows][:, None] == other[None], k, metric)
+            d = np.round(cells.exact(x[rows], y, q, near, metric), _DIGITS)
+            order = np.lexsort((near, d, q))
+            q, near, d = q[order], near[order], d[order]
+            best = np.arange(len(q)) - np.searchsorted(q, q) < k
+            n = np.bincount(q[best], minlength=len(x[rows]))
+            for to, part in zip(found, (own[rows], n, other[near[best]], d[best])):
+                to.append(part)
+        own, n, j, d = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
+        at = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        return pa.table({"signal_id": pa.repeat(t.column("signal_id")[0], len(own)), "i": pa.array(own, pa.int64()), "j": pa.ListArray.from_arrays(at, pa.array(j, pa.int64())), "d": pa.ListArray.from_arrays(at, pa.array(d, pa.float64()))})
 
-    lists = cells.groupBy("signal_id", "row", "col").applyInArrow(local, f"signal_id {kind}, i long, j array<long>, d array<double>")
+    lists = cells.dealt(frames, block).applyInArrow(local, f"signal_id {kind}, i long, j array<long>, d array<double>")
     pairs = lists.select("signal_id", "i", F.arrays_zip("d", "j").alias("p"))
     merged = pairs.groupBy("signal_id", "i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
     return merged.select("signal_id", "i", F.posexplode("p").alias("r", "x")).select("signal_id", "i", F.col("r").cast("bigint").alias("r"), "x.j", "x.d")
 
 
 def _candidates(x: np.ndarray, y: np.ndarray, same: np.ndarray, k: int, metric: str):
-    """For each row of x the rows of y that may be among its k nearest, by a matrix product whose rounding is allowed for; not those of `same`."""
+    """Pairs (row of x, row of y) that may be among the k nearest of the former, by a matrix product whose rounding is allowed for; not those of `same`."""
     if metric == "cosine":
         d = pairwise(x, y, metric)
         slack = 1e-7
@@ -65,11 +62,16 @@ def _candidates(x: np.ndarray, y: np.ndarray, same: np.ndarray, k: int, metric:
         close = (d <= far) & ~same
     else:
         close = ~same
-    return [np.flatnonzero(c) for c in close]
+    return np.nonzero(close)
 
 
 def aggregated(frames: DataFrame, links: DataFrame, how: str = "mean") -> DataFrame:
     """signal_id, i, k, v: for each frame and component the mean or median over the frames j that links (signal_id, i, j) name."""
-    other = frames.select("signal_id", F.col("i").alias("j"), F.posexplode("v").alias("k", "x"))
-    value = F.avg("x") if how == "mean" else F.median("x")
-    return links.select("signal_id", "i", "j").join(other, ["signal_id", "j"]).groupBy("signal_id", "i", F.col("k").cast("bigint").alias("k")).agg(value.alias("v"))
+    other = frames.select("signal_id", F.col("i").alias("j"), "v")
+    met = links.select("signal_id", "i", "j").join(other, ["signal_id", "j"]).groupBy("signal_id", "i").agg(F.collect_list("v").alias("v"))
+    known = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("v", F.size)) - 1), lambda k: F.filter(F.transform("v", lambda v: F.get(v, k)), lambda x: x.isNotNull()))
+    each = met.where(F.exists("v", lambda v: F.size(v) > 0)).select("signal_id", "i", F.posexplode(known).alias("k", "x"))
+    middle = lambda x, k: F.get(F.array_sort(x), F.floor(k).cast("int"))
+    n = F.size("x")
+    value = F.aggregate("x", F.lit(0.0), lambda a, x: a + x) / n if how == "mean" else (middle(F.col("x"), (n - 1) / 2) + middle(F.col("x"), n / 2)) / 2
+    return each.select("signal_id", "i", F.col("k").cast("bigint").alias("k"), F.when(n > 0, value).alias("v"))
