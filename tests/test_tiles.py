@@ -29,6 +29,13 @@ def test_warp(spark, size, band, side):
         assert sorted(path.get(k, [])) == (sequence.dtw_path(d) if np.isfinite(d[-1, -1]) else [])
 
 
+def test_tiles_grow_with_the_sequences(spark):
+    a, b = np.random.default_rng(2).normal(size=(2, 200, 1))
+    w = warp.Warp(frames(spark, {"x": a}), frames(spark, {"x": b}), 2)
+    assert w.size == 13 and len(w.rounds) == 31  # not 199
+    assert np.isclose(w.cost().first().cost, sequence.dtw(sequence.pairwise(a, b))[-1, -1])
+
+
 def test_warp_of_nothing(spark):
     none = frames(spark, {"x": np.ones((2, 1))}).limit(0)
     assert warp.Warp(none, frames(spark, {"x": np.ones((2, 1))})).last == -1
