@@ -1,6 +1,7 @@
 """Warping over tiles and matching by components, against kernels over whole signals and plain loops."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -61,3 +62,26 @@ def test_components_are_small_and_cross_buckets(spark):
     named = tolerance.with_component(spark.createDataFrame(rows, "signal_id string, t double, ref boolean"), 0.4)
     sizes = sorted(r["count"] for r in named.groupBy("component").count().collect())
     assert sizes[-1] == 4000 and sizes[:-1] == [1] * 4000  # the chain is one, over several buckets
+
+
+def test_greedy_matches():
+    def plain(ref, est, reach):
+        free, hits = list(est), 0
+        for t in ref:
+            d = [abs(e - t) for e in free]
+            if d and min(d) <= reach:
+                del free[d.index(min(d))]
+                hits += 1
+        return hits
+
+    r = np.random.default_rng(4)
+    for n in range(200):
+        ref, est = (np.sort(r.integers(0, 40, r.integers(0, 25)) / 4) for _ in range(2))
+        for reach in (0.0, 0.25, 1.0, 3.0, np.inf):
+            assert tolerance.greedy(ref, est, reach) == plain(ref, est, reach)
+
+
+def test_greedy_does_not_scan_all_estimates():
+    t, begun = np.sort(np.random.default_rng(1).random((2, 100_000)), axis=1), time.process_time()
+    assert tolerance.greedy(*t, 1e-3) > 50_000
+    assert time.process_time() - begun < 5
