@@ -153,6 +153,16 @@ def test_language_model_against_dictionaries(spark, table_bytes, order, base, le
     compare(got.collect(), plain_scores(rows, p))
 
 
+@pytest.mark.parametrize("max_bytes, chunk", [(0, 50), (40_000, 1 << 19), (200_000, 7)])
+def test_language_model_beyond_the_filter(spark, monkeypatch, max_bytes, chunk):
+    rows = lm_rows()
+    monkeypatch.setattr(lm_score, "_CHUNK", chunk)
+    p = lm_score.LmParams(table_bytes=16 * 5, item_bits=3000, least_bits=2, max_bytes=max_bytes)
+    model = lm_score.fit(documents(spark, [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 1]), p)
+    assert any(model.least) and 8 * model.bits.size <= max_bytes + 8 * 4 and (model.least[0] > 0) == (max_bytes == 0)
+    compare(lm_score.scores(documents(spark, rows), model, p).collect(), plain_scores(rows, p))
+
+
 def test_language_model_in_pieces(spark, monkeypatch):
     rows = lm_rows()
     t, offsets = lm_score.tokens_of(pa.array([x for _, x in rows]))

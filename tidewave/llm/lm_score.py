@@ -16,8 +16,11 @@ with the counts from the filter. The base score takes exact counts: those of the
 frequent tokens are broadcast as a sorted table of `table_bytes` at most; any other token
 that the filter does not exclude is joined to the count table, pre-aggregated by text.
 
-`max_bytes` bounds the filter, whatever the corpus: n-grams of two tokens and more enter from
-the least count on with which all fit. `min_counts` are the least counts by order; single tokens are all in.
+`max_bytes` bounds the filter, whatever the corpus: n-grams enter from the least level on with which
+all fit, and single tokens are the last to stay outside. The levels of those outside are exact: where the filter
+knows an n-gram of the texts not, or below the least level, its level is asked of the count table. Slices of texts
+send each such n-gram once to its segment and get the level back, and only then are these tokens scored.
+`min_counts`, the least counts by order, are part of the model.
 
 Edge cases: a null or empty text has one token, its end; a null doc_id counts as held
 out; rows that repeat count, and are returned, as often as they occur; without training texts
@@ -30,8 +33,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .shared_store import staged
 from .text import NOT_SPACE, batches, fold, mix64, segment_sum, word_hashes
@@ -48,7 +54,7 @@ class LmParams:
     base: float = 2.0  # of the levels
     mu: float = 3.0  # weight of the shorter context
     min_counts: tuple[int, ...] = (1, 1, 2)  # for n-grams of 1, 2 and 3 tokens
-    max_bytes: int = 96 << 20  # of the filter
+    max_bytes: int = 96 << 20  # of the filter; n-grams beyond are looked up in the count table
     table_bytes: int = 32 << 20  # of exact counts, 16 bytes each
     item_bits: int = 16  # of the filter, for each item
     segment_bytes: int = 4 << 20  # of text, for a segment
@@ -234,6 +240,25 @@ class Model:
     table: tuple[np.ndarray, np.ndarray]  # the most frequent single tokens (sorted) and their exact counts
     whole: bool  # the table has every token
     rest: DataFrame | None  # gram, n of the others
+    least: tuple[int, ...]  # by order, the least level in the filter; 0: all are in it
+    counted: DataFrame | None  # the count table, if n-grams are outside the filter
+
+
+def least_levels(spread: list, p: LmParams) -> tuple[int, ...]:
+    """By order, the least level of the n-grams in a filter of max_bytes; 0 where all are in it. spread: k, level, c (how many).
+
+    Those leave first that spare most of the filter for each token that must be looked up then; single tokens last.
+    """
+    least, tokens = [0] * p.order, sum(r.c * level_count(r.level, p.base) for r in spread if r.k == 1)
+    inside = lambda k, q: [r for r in spread if r.k == k + 1 and r.level >= q]
+    size = lambda k, q: sum(r.c * r.level for r in inside(k, q))
+    asked = lambda k, q: tokens - sum(r.c * level_count(r.level, p.base) for r in inside(k, q)) if q else 0
+    while sum(size(k, q) for k, q in enumerate(least)) * p.item_bits > 8 * p.max_bytes:
+        after = {k: 1 + min(r.level for r in inside(k, least[k])) for k in range(p.order) if inside(k, least[k])}
+        cost = lambda k: (asked(k, after[k]) - asked(k, least[k])) / (size(k, least[k]) - size(k, after[k]))  # noqa: B023, E731
+        k = min((k for k in after if k or len(after) == 1), key=cost)
+        least[k] = after[k]
+    return tuple(least)
 
 
 def fit(docs: DataFrame, p: LmParams = LmParams()) -> Model:
@@ -245,17 +270,14 @@ def fit(docs: DataFrame, p: LmParams = LmParams()) -> Model:
     spread = table.select("k", F.posexplode("spread").alias("level", "c")).where("c > 0").groupBy("k", "level").agg(F.sum("c").alias("c")).collect()
     total = table.where("k = 1").agg(F.sum("n")).first()[0] or 0
     distinct = sum(r.c for r in spread if r.k == 1)
-    items = lambda least: sum(r.c * r.level for r in spread if r.k == 1 or r.level >= least)
-    least = 1
-    while items(least) * p.item_bits > 8 * p.max_bytes and any(r.k > 1 and r.level >= least for r in spread):
-        least += 1
-    size = min(-(-items(least) * p.item_bits // (64 * segments)) + 1, max(p.max_bytes // (8 * segments), 1))
+    least = least_levels(spread, p)
+    size = -(-sum(r.c * r.level for r in spread if r.level >= least[r.k - 1]) * p.item_bits // (64 * segments)) + 1
 
     def build(it):
         for b in it:
             for k, segment, gram, level in zip(*(b.column(c).to_pylist() for c in ("k", "segment", "grams", "levels"))):
                 g, q = shortened(np.frombuffer(gram, "<u8"), segments) if k == 1 else _long(gram, segment, bits), np.frombuffer(level, "<u2")
-                keep = q >= (1 if k == 1 else least)
+                keep = q >= least[k - 1]
                 yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([fill(g[keep], q[keep], size).tobytes()], pa.binary())], ["segment", "bits"])
 
     made = np.zeros((segments, size), np.uint64)
@@ -268,7 +290,7 @@ def fit(docs: DataFrame, p: LmParams = LmParams()) -> Model:
     gram, n = np.asarray(known.column("gram")).view(np.uint64), np.asarray(known.column("n"))
     order = np.argsort(gram)
     whole = top == 1
-    return Model(made, total, distinct, max((r.level for r in spread), default=0), (gram[order], n[order]), whole, None if whole else _single(table, 1, top))
+    return Model(made, total, distinct, max((r.level for r in spread), default=0), (gram[order], n[order]), whole, None if whole else _single(table, 1, top), least, table if any(least) else None)
 
 
 def log_probabilities(level: list[np.ndarray], there: list[np.ndarray], m: tuple[int, int], p: LmParams) -> np.ndarray:
@@ -283,23 +305,102 @@ def log_probabilities(level: list[np.ndarray], there: list[np.ndarray], m: tuple
     return np.log10(np.minimum(prob, 1.0))
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, grams array<long>, times array<int>"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, grams array<long>, times array<int>"
+_SLICE = "pack long, lead int, levels binary, places binary, rows array<long>, starts array<long>, asked array<struct<k:int,segment:int,grams:binary>>"
+_UNKNOWN = (1 << 16) - 1  # in place of a level: to be asked
+
+
+def _small(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _large(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def _asked(outside: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, list[dict]]:
+    """outside: by order, whether an n-gram of a slice's positions is outside the filter, and the n-grams. The number of each of those in what is asked, and what is asked by order and segment."""
+    places, asked, before = [], [], 0
+    for k, (out, gram) in enumerate(outside):
+        each, back = np.unique(shortened(gram[out], 1 << bits), return_inverse=True)
+        segment, at = np.unique(segment_of(each, 1 << bits), return_index=True)
+        for x, i, j in zip(segment.tolist(), at, np.append(at[1:], len(each))):
+            asked.append({"k": k + 1, "segment": x, "grams": _short(each[i:j], bits).tobytes()})
+        places.append(before + back)
+        before += len(each)
+    return np.concatenate(places).astype("<i4"), asked
+
+
+def _answers(asks: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
+    """pack, at, levels: those of the n-grams in asks (pack, at, k, segment, grams)."""
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"pack": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "levels": pa.array([], pa.binary())})
+        k, segment = left.column("k")[0].as_py(), left.column("segment")[0].as_py()
+        gram, level = np.zeros(0, np.uint64), np.zeros(0, "<u2")
+        for raw, q in zip(right.column("grams"), right.column("levels")):  # one row, if any
+            gram, level = shortened(np.frombuffer(raw.as_py(), "<u8"), 1 << bits) if k == 1 else _long(raw.as_py(), segment, bits), np.frombuffer(q.as_py(), "<u2")
+        found = []
+        for raw in left.column("grams"):
+            want = _long(raw.as_py(), segment, bits)
+            at = np.minimum(np.searchsorted(gram, want), max(len(gram) - 1, 0))
+            found.append((np.where(gram[at] == want, level[at], 0) if len(gram) else np.zeros(len(want))).astype("<u2").tobytes())
+        return pa.table({"pack": left.column("pack"), "at": left.column("at"), "levels": pa.array(found, pa.binary())})
+
+    return asks.groupBy("k", "segment").cogroup(counted.select("k", "segment", "grams", "levels").groupBy("k", "segment")).applyInArrow(answer, "pack long, at int, levels binary")
+
+
+def _asked_scores(slices: DataFrame, model: Model, p: LmParams) -> DataFrame:
+    """row, score: the model's scores of all slices' tokens by row, with the levels that the filter lacks from the count table."""
+    total, distinct, bits = model.total, model.distinct, len(model.bits).bit_length() - 1
+    asks = slices.select("pack", F.posexplode("asked").alias("at", "a")).select("pack", "at", "a.k", "a.segment", "a.grams")
+    counted = model.counted.where(F.col("k").isin([k + 1 for k, q in enumerate(model.least) if q]))
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        lead = left.column("lead")[0].as_py()
+        level = _large(left.column("levels")[0].as_py(), "<u2").reshape(p.order, -1).astype(np.int64)
+        rows, starts = (np.asarray(left.column(c)[0].values) for c in ("rows", "starts"))
+        order = np.argsort(np.asarray(right.column("at")), kind="stable")
+        found = b"".join(right.column("levels")[i].as_py() for i in order.tolist())
+        level[level == _UNKNOWN] = np.frombuffer(found, "<u2")[_large(left.column("places")[0].as_py(), "<i4")]
+        at = np.arange(level.shape[1])
+        doc = np.searchsorted(starts, at, "right") - 1
+        first = at - starts[doc]
+        token = (first > 0) & (at >= lead)
+        logs = log_probabilities(list(level), [first >= k for k in range(p.order)], (total, distinct), p)
+        return pa.table({"row": pa.array(rows), "score": pa.array(np.bincount(doc[token], logs[token], len(rows)))})
+
+    state = slices.select("pack", "lead", "levels", "places", "rows", "starts")
+    parts = state.groupBy("pack").cogroup(_answers(asks, counted, bits).groupBy("pack")).applyInArrow(finish, "row long, score double")
+    return parts.groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bits, model.table, model.total, model.distinct, model.deepest, model.whole))
+    least, asking = model.least, model.counted is not None
+    n_bits = len(model.bits).bit_length() - 1
+    schema = f"{_SCORED}, {_SLICE}" if asking else _SCORED
+    kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
 
     def run(it):
         bits, (known, known_n), total, distinct, deepest, whole = sent.value
         below = np.log10(total + 0.5 * (distinct + 1))
+        row = TaskContext.get().partitionId() << 40
+        pack = row
         for b in batches(it, 4 << 20):
             t, offsets = tokens_of(b.column("text"))
             n = len(offsets) - 1
             base, model_score, sure = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
             rare: list[tuple] = []
             for a, z, lead, part, first in _slices(t, offsets, p.order):
-                level, there = [], []
+                level, there, outside = [], [], []
                 for k, (h, ok) in enumerate(grams(part, first, p.order)):
                     each, back = np.unique(h, return_inverse=True)
                     q = probe(bits, each, deepest)
@@ -307,16 +408,25 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
                         at = np.minimum(np.searchsorted(known, each), max(len(known) - 1, 0))
                         hit = known[at] == each if len(known) else np.zeros(len(each), bool)
                         exact = np.where(hit, known_n[at], 0) if len(known) else np.zeros(len(each), np.int64)
-                        open_ = ~hit & (q > 0) & (not whole)
+                        open_ = ~hit & ((q > 0) | (least[0] > 0)) & (not whole)
+                    out = q < least[k]
                     level.append(q[back])
                     there.append(ok)
+                    outside.append((out[back] & ok, h))
                     if k == 0:
                         back0, each0 = back, each
                 token = first > 0
                 token[:lead] = False
                 doc = np.searchsorted(offsets, np.arange(a - lead, z), "right") - 1
-                logs = log_probabilities(level, there, (total, distinct), p)
-                model_score += np.bincount(doc[token], logs[token], n)
+                if asking:
+                    places, asked = _asked(outside, n_bits)
+                    shown = np.stack([np.where(out, _UNKNOWN, q) for q, (out, _) in zip(level, outside)]).astype("<u2")
+                    docs_in = np.arange(doc[0], doc[-1] + 1)
+                    yield _row(kinds, pack=pack, lead=lead, levels=_small(shown), places=_small(places), rows=row + docs_in, starts=offsets[docs_in] - (a - lead), asked=asked)
+                    pack += 1
+                else:
+                    logs = log_probabilities(level, there, (total, distinct), p)
+                    model_score += np.bincount(doc[token], logs[token], n)
                 sure_at = token & ~open_[back0]
                 base += np.bincount(doc[sure_at], (np.log10(exact + 0.5) - below)[back0[sure_at]], n)
                 sure += np.bincount(doc[sure_at & (exact[back0] > 0)], minlength=n)
@@ -331,13 +441,20 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
             times = np.diff(np.append(head, len(doc_of)))
             at = pa.array(np.searchsorted(doc_of[head], np.arange(n + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(gram_of[head].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(offsets) - 1), pa.array(sure), pa.array(base), pa.array(model_score), *lists], [c.split()[0] for c in _SCORED.split(", ")])
+            columns = [pa.array(row + np.arange(n)), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(offsets) - 1), pa.array(sure), pa.array(base), pa.array(model_score), *lists]
+            columns += [pa.nulls(n, f.type) for f in kinds[len(columns) :]]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kinds])
+            row += n
 
     held = F.coalesce(fold("doc_id", 5) == 1, F.lit(True))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCORED)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    if asking:
+        both = staged(scored)
+        found = _asked_scores(both.where("pack is not null").select(*_names(_SLICE)), model, p)
+        scored = both.where("pack is null").select(*_names(_SCORED)).drop("score").join(found, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     if model.rest is not None:
         below = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-        rows = staged(scored.withColumn("row", F.monotonically_increasing_id()))
+        rows = staged(scored)
         open_ = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.times").alias("times"))
         met = open_.join(model.rest, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         sums = met.groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - below)).alias("b"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("kn"))
@@ -346,6 +463,11 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _row(kinds: list[pa.Field], **values) -> pa.RecordBatch:
+    """One row; null where no value is given."""
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in kinds], [f.name for f in kinds])
+
+
 def language_model(docs: DataFrame, p: LmParams = LmParams()) -> DataFrame:
     """Scores of all rows by a model of those whose crc32(doc_id) mod 5 is not 1."""
     return scores(docs, fit(docs.where(fold("doc_id", 5) != 1), p), p)
