@@ -85,3 +85,11 @@ def test_greedy_does_not_scan_all_estimates():
     t, begun = np.sort(np.random.default_rng(1).random((2, 100_000)), axis=1), time.process_time()
     assert tolerance.greedy(*t, 1e-3) > 50_000
     assert time.process_time() - begun < 5
+
+
+def test_only_blocks_near_the_band_are_joined(spark):
+    a, b = np.random.default_rng(3).normal(size=(2, 60, 1))
+    w = warp.Warp(frames(spark, {"x": a}), frames(spark, {"x": b}), 10, 3)
+    # of the 6 blocks of each side, those of the tiles (2, 2), and their neighbours at most
+    assert w._near(w.a.withColumn("q", 4 - w.a["p"]), n_q=10).count() == w._near(w.b.withColumn("p", 4 - w.b["q"]), n_p=10).count() == 1
+    assert np.isclose(w.cost().first().cost, sequence.dtw(sequence.pairwise(a, b), 3)[-1, -1])

@@ -63,7 +63,7 @@ class Warp:
         longest = lengths.agg(F.max(F.greatest("n", "m"))).first()[0] or 0
         self.size = size = max(size, min(-(-longest // _PARTS), _MOST))
         self.a = staged(_blocks(first, size, "p").join(lengths, "signal_id"))
-        self.b = staged(_blocks(second, size, "q"))
+        self.b = staged(_blocks(second, size, "q").join(lengths, "signal_id"))
         top = self.a.agg(F.max("p"), F.max("n")).first(), self.b.agg(F.max("q")).first()
         self.last = (top[0][0] or 0) + (top[1][0] or 0) if top[0][0] is not None and top[1][0] is not None else -1
         self.rounds: list[DataFrame] = []
@@ -74,11 +74,10 @@ class Warp:
 
     def _tiles(self, r: int, one: DataFrame, two: DataFrame) -> DataFrame:
         """The tiles of anti-diagonal r with frames and borders; one, two: the anti-diagonals before."""
-        tiles = self.a.withColumn("q", F.lit(r) - F.col("p")).join(self.b, ["signal_id", "q"])
-        if self.band is not None:
-            # the cell of a tile nearest to the diagonal, as shares of the sides
-            gap = F.greatest(F.col("p") * self.size / F.col("n") - (F.col("q") * self.size + F.col("n_q") - 1) / F.col("m"), F.col("q") * self.size / F.col("m") - (F.col("p") * self.size + F.col("n_p") - 1) / F.col("n"))
-            tiles = tiles.where(gap <= self.band / F.greatest("n", "m") + 1e-9)
+        # each side leaves out blocks without a tile in this anti-diagonal, or in the band of it, before the frames are joined
+        a, b = self.a.withColumn("q", F.lit(r) - F.col("p")), self.b.withColumn("p", F.lit(r) - F.col("q"))
+        a, b = self._near(a.where("q >= 0"), n_q=self.size), self._near(b.where("p >= 0"), n_p=self.size)
+        tiles = self._near(a.join(b.drop("p", "n", "m"), ["signal_id", "q"]))
         above = one.select("signal_id", (F.col("p") + 1).alias("p"), "q", F.col("row").alias("above"))
         left = one.select("signal_id", "p", (F.col("q") + 1).alias("q"), F.col("col").alias("left"))
         corner = two.select("signal_id", (F.col("p") + 1).alias("p"), (F.col("q") + 1).alias("q"), "corner")
@@ -86,6 +85,15 @@ class Warp:
             tiles = tiles.join(border, ["signal_id", "p", "q"], "left")
         return tiles.select("signal_id", "p", "q", "n", "m", "x_p", "n_p", "x_q", "n_q", "above", "left", "corner")
 
+    def _near(self, tiles: DataFrame, n_p: int | None = None, n_q: int | None = None) -> DataFrame:
+        """The tiles that touch the band. n_p, n_q: bounds of the sides, where they aren't columns."""
+        if self.band is None:
+            return tiles
+        end = lambda c, n: F.col(c) * self.size + (F.col(f"n_{c}") if n is None else F.lit(n)) - 1
+        # the cell of a tile nearest to the diagonal, as shares of the sides
+        gap = F.greatest(F.col("p") * self.size / F.col("n") - end("q", n_q) / F.col("m"), F.col("q") * self.size / F.col("m") - end("p", n_p) / F.col("n"))
+        return tiles.where(gap <= self.band / F.greatest("n", "m") + 1e-9)
+
     def _made(self, b: pa.RecordBatch, k: int) -> np.ndarray:
         read = lambda c: None if not b.column(c)[k].is_valid else np.asarray(b.column(c)[k].values, float)
         p, q, n, m = (b.column(c)[k].as_py() for c in "pqnm")
