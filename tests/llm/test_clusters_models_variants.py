@@ -163,6 +163,19 @@ def test_language_model_beyond_the_filter(spark, monkeypatch, max_bytes, chunk):
     compare(lm_score.scores(documents(spark, rows), model, p).collect(), plain_scores(rows, p))
 
 
+def test_language_model_asks_no_more_than_it_must(spark, monkeypatch):
+    """Below a least level of 2, only texts that were not learned from ask, and only for n-grams whose parts are known."""
+    rows, asked, real = lm_rows(), [], lm_score._asked_scores
+    monkeypatch.setattr(lm_score, "_asked_scores", lambda slices, model, p: asked.append((slices, model)) or real(slices, model, p))
+    p = lm_score.LmParams(table_bytes=16 * 5, item_bits=3000, least_bits=2, max_bytes=580_000)
+    compare(lm_score.language_model(documents(spark, rows), p).collect(), plain_scores(rows, p))
+    (slices, model), = asked
+    assert model.least == (0, 2, 0)
+    lengths = [(a.k, len(lm_score._read_sorted(a.grams))) for r in slices.collect() for a in r.asked]
+    unlearned = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 == 1]
+    assert {k for k, _ in lengths} == {2} and 0 < sum(n for _, n in lengths) < len({g for w in unlearned for g in zip([None, *w], [*w, None])})
+
+
 def test_language_model_in_pieces(spark, monkeypatch):
     rows = lm_rows()
     t, offsets = lm_score.tokens_of(pa.array([x for _, x in rows]))

@@ -17,9 +17,11 @@ frequent tokens are broadcast as a sorted table of `table_bytes` at most; any ot
 that the filter does not exclude is joined to the count table, pre-aggregated by text.
 
 `max_bytes` bounds the filter, whatever the corpus: n-grams enter from the least level on with which
-all fit, and single tokens are the last to stay outside. The levels of those outside are exact: where the filter
-knows an n-gram of the texts not, or below the least level, its level is asked of the count table. Slices of texts
-send each such n-gram once to its segment and get the level back, and only then are these tokens scored.
+all fit, and single tokens are the last to stay outside. Where a least level is set, n-grams enter from it on, not from 1.
+The levels of those outside are exact. Some follow from what is known: an n-gram of a text that was learned from occurs, so
+below a least level of 2 it has level 1; and none occurs more often than the shorter ones in it. The level of any other that the filter
+knows not is asked of the count table: slices of texts send each such n-gram once to its segment and get the level back, and only
+then are these tokens scored. Texts that were learned from and others are in different slices.
 `min_counts`, the least counts by order, are part of the model.
 
 Edge cases: a null or empty text has one token, its end; a null doc_id counts as held
@@ -33,8 +35,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -94,33 +97,42 @@ def grams(t: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray
     return out
 
 
-def _slices(t: np.ndarray, offsets: np.ndarray, order: int):
-    """Slices of at most _CHUNK tokens with the tokens before them: (first and last token, tokens in front, slice, distance to the text's beginning)."""
+def _slices(t: np.ndarray, offsets: np.ndarray, order: int, most: int = 0):
+    """Slices of at most `most` (else _CHUNK) tokens with the tokens before them: (first and last token, tokens in front, slice, distance to the text's beginning)."""
     begin = np.repeat(offsets[:-1], np.diff(offsets))
-    for a in range(0, len(t), _CHUNK):
-        z = min(a + _CHUNK, len(t))
+    most = most or _CHUNK
+    for a in range(0, len(t), most):
+        z = min(a + most, len(t))
         lead = min(order - 1, a)
         yield a, z, lead, t[a - lead : z], np.arange(a - lead, z) - begin[a - lead : z]
 
 
-def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary for each values[bounds[i]:bounds[i + 1]]; values are rows of bytes or numbers."""
-    raw = np.ascontiguousarray(values)
-    width = raw.nbytes // max(len(raw), 1)
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+def _small(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _large(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def _sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers by their differences, bytes of equal weight together: of hashes, those that are all chance and those that are mostly 0."""
+    return _small(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _read_sorted(raw: bytes) -> np.ndarray:
+    planes = np.ascontiguousarray(_large(raw, np.uint8).reshape(8, -1).T)
+    return np.cumsum(planes.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def _short(gram: np.ndarray, bits: int) -> np.ndarray:
-    """The 40 bits of a hash behind those of its segment, as rows of 5 bytes."""
-    low = (gram << np.uint64(bits)) >> np.uint64(24)
-    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    """The 40 bits of a hash behind those of its segment."""
+    return (gram << np.uint64(bits)) >> np.uint64(24)
 
 
-def _long(raw: bytes, segment: int, bits: int) -> np.ndarray:
+def _long(low: np.ndarray, segment: int, bits: int) -> np.ndarray:
     """The hashes that _short cut, with zeros in what is lost."""
-    rows = np.zeros((len(raw) // 5, 8), np.uint8)
-    rows[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    low = rows.reshape(-1).view("<u8").astype(np.uint64)
     return (np.uint64(segment) << np.uint64(64 - bits)) | (low << np.uint64(24 - bits))
 
 
@@ -142,7 +154,7 @@ def counts(docs: DataFrame, p: LmParams, bits: int) -> DataFrame:
     def run(it):
         for b in batches(it, 8 << 20):
             t, offsets = tokens_of(b.column("text"))
-            for _, _, lead, part, first in _slices(t, offsets, p.order):
+            for _, _, lead, part, first in _slices(t, offsets, p.order, 2 * _CHUNK):
                 for k, (h, there) in enumerate(grams(part, first, p.order)):
                     # the end before a text is context only; it is no token
                     keep = there & (first > 0)
@@ -150,14 +162,14 @@ def counts(docs: DataFrame, p: LmParams, bits: int) -> DataFrame:
                     gram, n = np.unique(h[keep], return_counts=True)
                     segment = (gram >> np.uint64(64 - bits)).astype(np.int64)
                     some, at = np.unique(segment, return_index=True)
-                    bounds = np.append(at, len(gram))
-                    rows = gram.astype("<u8") if k == 0 else _short(gram, bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k + 1, np.int32)), pa.array(some.astype(np.int32)), _packed(rows, bounds), _packed(n.astype("<u4"), bounds)], ["k", "segment", "grams", "counts"])
+                    cuts = list(zip(at, np.append(at[1:], len(gram))))
+                    rows = gram if k == 0 else _short(gram, bits)
+                    packed = [pa.array([_sorted(rows[i:j]) for i, j in cuts], pa.binary()), pa.array([_small(n[i:j].astype("<u4")) for i, j in cuts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k + 1, np.int32)), pa.array(some.astype(np.int32)), *packed], ["k", "segment", "grams", "counts"])
 
     def total(t: pa.Table) -> pa.Table:
         k, segment = t.column("k")[0].as_py(), t.column("segment")[0].as_py()
-        read = (lambda x: np.frombuffer(x, "<u8")) if k == 1 else (lambda x: _long(x, segment, bits))
-        gram, n = np.concatenate([read(x.as_py()) for x in t.column("grams")]), np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column("counts")]).astype(np.int64)
+        gram, n = np.concatenate([_read_sorted(x.as_py()) for x in t.column("grams")]), np.concatenate([_large(x.as_py(), "<u4") for x in t.column("counts")]).astype(np.int64)
         order = np.argsort(gram, kind="stable")
         gram, n = gram[order], n[order]
         head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
@@ -167,23 +179,28 @@ def counts(docs: DataFrame, p: LmParams, bits: int) -> DataFrame:
         gram, n = gram[keep], n[keep]
         level = levels(n, p.base)
         spread = np.bincount(level, minlength=1)
-        rows = gram.astype("<u8").tobytes() if k == 1 else _short(gram, bits).tobytes()
-        values = ([k], [segment], [rows], [n.astype("<i8").tobytes() if k == 1 else b""], [level.astype("<u2").tobytes()], [spread], [every])
+        values = ([k], [segment], [_sorted(gram)], [_small(n.astype("<i8")) if k == 1 else b""], [_small(level.astype("<u2"))], [spread], [every])
         return pa.table([pa.array(v, x) for v, x in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()))], names=[c.split()[0] for c in _COUNTED.split(", ")])
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k int, segment int, grams binary, counts binary")
     return found.groupBy("k", "segment").applyInArrow(total, _COUNTED)
 
 
+def _hashes(raw: bytes, k: int, segment: int, bits: int) -> np.ndarray:
+    """The n-grams of a row of the count table, as the filter knows them."""
+    gram = _read_sorted(raw)
+    return shortened(gram, 1 << bits) if k == 1 else _long(gram, segment, bits)
+
+
 def _single(table: DataFrame, low: int, high: int) -> DataFrame:
     """gram, n of the single tokens whose level is from low to below high."""
 
     def run(it):
         for b in it:
             for gram, n, level in zip(*(b.column(c).to_pylist() for c in ("grams", "counts", "levels"))):
-                q = np.frombuffer(level, "<u2")
+                q = _large(level, "<u2")
                 keep = (q >= low) & (q < high)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(gram, "<i8")[keep]), pa.array(np.frombuffer(n, "<i8")[keep])], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_read_sorted(gram)[keep].view(np.int64)), pa.array(_large(n, "<i8")[keep])], ["gram", "n"])
 
     return table.where("k = 1").select("grams", "counts", "levels").mapInArrow(run, "gram long, n long")
 
@@ -209,19 +226,19 @@ def shortened(gram: np.ndarray, segments: int) -> np.ndarray:
     return gram >> lost << lost
 
 
-def fill(gram: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
-    """A segment's words."""
+def fill(gram: np.ndarray, level: np.ndarray, size: int, least: int = 0) -> np.ndarray:
+    """A segment's words; levels are entered from `least` on."""
     out = np.zeros(size, np.uint64)
-    for q in range(1, int(level.max(initial=0)) + 1):
+    for q in range(max(least, 1), int(level.max(initial=0)) + 1):
         word, mask = _places(gram[level >= q], q, size)
         np.bitwise_or.at(out, word, mask)
     return out
 
 
-def probe(bits: np.ndarray, gram: np.ndarray, deepest: int) -> np.ndarray:
-    """The level of each gram in the filter (segments by words), at most `deepest`; 0 where it is not there."""
+def probe(bits: np.ndarray, gram: np.ndarray, deepest: int, least: int = 0) -> np.ndarray:
+    """The level of each gram in the filter (segments by words), entered from `least` on and at most `deepest`; 0 where it is not there."""
     level = np.zeros(len(gram), np.int64)
-    at, q = np.arange(len(gram)), 0
+    at, q = np.arange(len(gram)), max(least, 1) - 1
     segment, gram = segment_of(gram, len(bits)), shortened(gram, len(bits))
     while len(at) and q < deepest:
         q += 1
@@ -244,6 +261,11 @@ class Model:
     counted: DataFrame | None  # the count table, if n-grams are outside the filter
 
 
+def _entries(level: int, least: int) -> int:
+    """How often an n-gram of this level is in the filter."""
+    return level + 1 - max(least, 1)
+
+
 def least_levels(spread: list, p: LmParams) -> tuple[int, ...]:
     """By order, the least level of the n-grams in a filter of max_bytes; 0 where all are in it. spread: k, level, c (how many).
 
@@ -251,7 +273,7 @@ def least_levels(spread: list, p: LmParams) -> tuple[int, ...]:
     """
     least, tokens = [0] * p.order, sum(r.c * level_count(r.level, p.base) for r in spread if r.k == 1)
     inside = lambda k, q: [r for r in spread if r.k == k + 1 and r.level >= q]
-    size = lambda k, q: sum(r.c * r.level for r in inside(k, q))
+    size = lambda k, q: sum(r.c * _entries(r.level, q) for r in inside(k, q))
     asked = lambda k, q: tokens - sum(r.c * level_count(r.level, p.base) for r in inside(k, q)) if q else 0
     while sum(size(k, q) for k, q in enumerate(least)) * p.item_bits > 8 * p.max_bytes:
         after = {k: 1 + min(r.level for r in inside(k, least[k])) for k in range(p.order) if inside(k, least[k])}
@@ -271,14 +293,14 @@ def fit(docs: DataFrame, p: LmParams = LmParams()) -> Model:
     total = table.where("k = 1").agg(F.sum("n")).first()[0] or 0
     distinct = sum(r.c for r in spread if r.k == 1)
     least = least_levels(spread, p)
-    size = -(-sum(r.c * r.level for r in spread if r.level >= least[r.k - 1]) * p.item_bits // (64 * segments)) + 1
+    size = -(-sum(r.c * _entries(r.level, least[r.k - 1]) for r in spread if r.level >= least[r.k - 1]) * p.item_bits // (64 * segments)) + 1
 
     def build(it):
         for b in it:
             for k, segment, gram, level in zip(*(b.column(c).to_pylist() for c in ("k", "segment", "grams", "levels"))):
-                g, q = shortened(np.frombuffer(gram, "<u8"), segments) if k == 1 else _long(gram, segment, bits), np.frombuffer(level, "<u2")
+                g, q = _hashes(gram, k, segment, bits), _large(level, "<u2")
                 keep = q >= least[k - 1]
-                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([fill(g[keep], q[keep], size).tobytes()], pa.binary())], ["segment", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([fill(g[keep], q[keep], size, least[k - 1]).tobytes()], pa.binary())], ["segment", "bits"])
 
     made = np.zeros((segments, size), np.uint64)
     for r in table.select("k", "segment", "grams", "levels").mapInArrow(build, "segment int, bits binary").toLocalIterator():
@@ -310,15 +332,6 @@ _SLICE = "pack long, lead int, levels binary, places binary, rows array<long>, s
 _UNKNOWN = (1 << 16) - 1  # in place of a level: to be asked
 
 
-def _small(x: np.ndarray) -> bytes:
-    raw = x.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _large(raw: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True), kind)
-
-
 def _names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
@@ -330,45 +343,52 @@ def _asked(outside: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.
         each, back = np.unique(shortened(gram[out], 1 << bits), return_inverse=True)
         segment, at = np.unique(segment_of(each, 1 << bits), return_index=True)
         for x, i, j in zip(segment.tolist(), at, np.append(at[1:], len(each))):
-            asked.append({"k": k + 1, "segment": x, "grams": _short(each[i:j], bits).tobytes()})
+            asked.append({"k": k + 1, "segment": x, "grams": _sorted(_short(each[i:j], bits))})
         places.append(before + back)
         before += len(each)
     return np.concatenate(places).astype("<i4"), asked
 
 
-def _answers(asks: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
-    """pack, at, levels: those of the n-grams in asks (pack, at, k, segment, grams)."""
+def _answers(asks: DataFrame, counted: DataFrame, least: tuple[int, ...], bits: int) -> DataFrame:
+    """pack, at, levels: those of the n-grams in asks (pack, at, k, segment, grams), which are below the least ones."""
+
+    def beyond(it):
+        for b in it:
+            for k, segment, gram, level in zip(*(b.column(c).to_pylist() for c in ("k", "segment", "grams", "levels"))):
+                q = _large(level, "<u2")
+                keep = q < least[k - 1]
+                low = _short(_hashes(gram, k, segment, bits)[keep], bits)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([segment], pa.int32()), pa.array([_sorted(low)], pa.binary()), pa.array([_small(q[keep])], pa.binary())], ["k", "segment", "grams", "levels"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"pack": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "levels": pa.array([], pa.binary())})
-        k, segment = left.column("k")[0].as_py(), left.column("segment")[0].as_py()
         gram, level = np.zeros(0, np.uint64), np.zeros(0, "<u2")
         for raw, q in zip(right.column("grams"), right.column("levels")):  # one row, if any
-            gram, level = shortened(np.frombuffer(raw.as_py(), "<u8"), 1 << bits) if k == 1 else _long(raw.as_py(), segment, bits), np.frombuffer(q.as_py(), "<u2")
+            gram, level = _read_sorted(raw.as_py()), _large(q.as_py(), "<u2")
         found = []
         for raw in left.column("grams"):
-            want = _long(raw.as_py(), segment, bits)
+            want = _read_sorted(raw.as_py())
             at = np.minimum(np.searchsorted(gram, want), max(len(gram) - 1, 0))
-            found.append((np.where(gram[at] == want, level[at], 0) if len(gram) else np.zeros(len(want))).astype("<u2").tobytes())
+            found.append(_small((np.where(gram[at] == want, level[at], 0) if len(gram) else np.zeros(len(want))).astype("<u2")))
         return pa.table({"pack": left.column("pack"), "at": left.column("at"), "levels": pa.array(found, pa.binary())})
 
-    return asks.groupBy("k", "segment").cogroup(counted.select("k", "segment", "grams", "levels").groupBy("k", "segment")).applyInArrow(answer, "pack long, at int, levels binary")
+    rest = counted.where(F.col("k").isin([k + 1 for k, q in enumerate(least) if q])).select("k", "segment", "grams", "levels").mapInArrow(beyond, "k int, segment int, grams binary, levels binary")
+    return asks.groupBy("k", "segment").cogroup(rest.groupBy("k", "segment")).applyInArrow(answer, "pack long, at int, levels binary")
 
 
 def _asked_scores(slices: DataFrame, model: Model, p: LmParams) -> DataFrame:
     """row, score: the model's scores of all slices' tokens by row, with the levels that the filter lacks from the count table."""
     total, distinct, bits = model.total, model.distinct, len(model.bits).bit_length() - 1
     asks = slices.select("pack", F.posexplode("asked").alias("at", "a")).select("pack", "at", "a.k", "a.segment", "a.grams")
-    counted = model.counted.where(F.col("k").isin([k + 1 for k, q in enumerate(model.least) if q]))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         lead = left.column("lead")[0].as_py()
         level = _large(left.column("levels")[0].as_py(), "<u2").reshape(p.order, -1).astype(np.int64)
         rows, starts = (np.asarray(left.column(c)[0].values) for c in ("rows", "starts"))
         order = np.argsort(np.asarray(right.column("at")), kind="stable")
-        found = b"".join(right.column("levels")[i].as_py() for i in order.tolist())
-        level[level == _UNKNOWN] = np.frombuffer(found, "<u2")[_large(left.column("places")[0].as_py(), "<i4")]
+        found = np.concatenate([_large(right.column("levels")[i].as_py(), "<u2") for i in order.tolist()])
+        level[level == _UNKNOWN] = found[_large(left.column("places")[0].as_py(), "<i4")]
         at = np.arange(level.shape[1])
         doc = np.searchsorted(starts, at, "right") - 1
         first = at - starts[doc]
@@ -377,12 +397,25 @@ def _asked_scores(slices: DataFrame, model: Model, p: LmParams) -> DataFrame:
         return pa.table({"row": pa.array(rows), "score": pa.array(np.bincount(doc[token], logs[token], len(rows)))})
 
     state = slices.select("pack", "lead", "levels", "places", "rows", "starts")
-    parts = state.groupBy("pack").cogroup(_answers(asks, counted, bits).groupBy("pack")).applyInArrow(finish, "row long, score double")
-    return parts.groupBy("row").agg(F.sum("score").alias("score"))
+    parts = state.groupBy("pack").cogroup(_answers(asks, model.counted, model.least, bits).groupBy("pack")).applyInArrow(finish, "row long, score double")
+    return parts.groupBy("row").agg(F.sum("score").alias("asked_score"))
+
 
+def _settled(level: list[np.ndarray], outside: list[np.ndarray], least: tuple[int, ...], learned: bool, p: LmParams) -> None:
+    """Takes those out of outside whose level follows from what is known, and sets it."""
+    before = lambda x: np.concatenate(([False], x[:-1]))
+    for k, out in enumerate(outside):
+        need = int(levels(np.array(p.min_counts[k]), p.base))
+        if k and p.min_counts[k - 1] <= p.min_counts[k] and least[k - 1] <= need:
+            few = level[k - 1] < need  # the filter has all of that level
+            out &= ~(few | before(few))
+        if learned and p.min_counts[k] == 1 and least[k] == 2:
+            level[k][out] = 1
+            out[:] = False
 
-def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+
+def scores(docs: DataFrame, model: Model, p: LmParams = LmParams(), learned: Column | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. learned: whether the model has learned from the row, as far as is known."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bits, model.table, model.total, model.distinct, model.deepest, model.whole))
     least, asking = model.least, model.counted is not None
     n_bits = len(model.bits).bit_length() - 1
@@ -394,7 +427,7 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
         below = np.log10(total + 0.5 * (distinct + 1))
         row = TaskContext.get().partitionId() << 40
         pack = row
-        for b in batches(it, 4 << 20):
+        for b, seen in ((part, seen) for b in batches(it, 4 << 20) for part, seen in (_parted(b) if asking else [(b, True)])):
             t, offsets = tokens_of(b.column("text"))
             n = len(offsets) - 1
             base, model_score, sure = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
@@ -403,7 +436,7 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
                 level, there, outside = [], [], []
                 for k, (h, ok) in enumerate(grams(part, first, p.order)):
                     each, back = np.unique(h, return_inverse=True)
-                    q = probe(bits, each, deepest)
+                    q = probe(bits, each, deepest, least[k])
                     if k == 0:
                         at = np.minimum(np.searchsorted(known, each), max(len(known) - 1, 0))
                         hit = known[at] == each if len(known) else np.zeros(len(each), bool)
@@ -419,6 +452,8 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
                 token[:lead] = False
                 doc = np.searchsorted(offsets, np.arange(a - lead, z), "right") - 1
                 if asking:
+                    _settled(level, [out for out, _ in outside], least, seen, p)
+                if any(out.any() for out, _ in outside):
                     places, asked = _asked(outside, n_bits)
                     shown = np.stack([np.where(out, _UNKNOWN, q) for q, (out, _) in zip(level, outside)]).astype("<u2")
                     docs_in = np.arange(doc[0], doc[-1] + 1)
@@ -447,11 +482,12 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
             row += n
 
     held = F.coalesce(fold("doc_id", 5) == 1, F.lit(True))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    seen = F.coalesce(learned if learned is not None else F.lit(False), F.lit(False))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"), seen.alias("learned")).mapInArrow(run, schema)
     if asking:
         both = staged(scored)
         found = _asked_scores(both.where("pack is not null").select(*_names(_SLICE)), model, p)
-        scored = both.where("pack is null").select(*_names(_SCORED)).drop("score").join(found, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        scored = both.where("pack is null").select(*_names(_SCORED)).join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("asked_score", F.lit(0.0)))
     if model.rest is not None:
         below = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
         rows = staged(scored)
@@ -463,6 +499,12 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams()) -> DataFrame
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _parted(b: pa.RecordBatch) -> list[tuple[pa.RecordBatch, bool]]:
+    """The rows that were learned from, and the others."""
+    seen = b.column("learned")
+    return [(part, flag) for flag, part in ((True, b.filter(seen)), (False, b.filter(pc.invert(seen)))) if part.num_rows]
+
+
 def _row(kinds: list[pa.Field], **values) -> pa.RecordBatch:
     """One row; null where no value is given."""
     return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in kinds], [f.name for f in kinds])
@@ -470,4 +512,5 @@ def _row(kinds: list[pa.Field], **values) -> pa.RecordBatch:
 
 def language_model(docs: DataFrame, p: LmParams = LmParams()) -> DataFrame:
     """Scores of all rows by a model of those whose crc32(doc_id) mod 5 is not 1."""
-    return scores(docs, fit(docs.where(fold("doc_id", 5) != 1), p), p)
+    learned = fold("doc_id", 5) != 1
+    return scores(docs, fit(docs.where(learned), p), p, learned)
