@@ -176,6 +176,17 @@ def test_language_model_asks_no_more_than_it_must(spark, monkeypatch):
     assert {k for k, _ in lengths} == {2} and 0 < sum(n for _, n in lengths) < len({g for w in unlearned for g in zip([None, *w], [*w, None])})
 
 
+@pytest.mark.parametrize("base", [1.5, 2.0])
+def test_language_model_counts_what_occurs_once(spark, base):
+    """With all but the least level in the table, texts that were learned from need no lookup of the rest."""
+    rows = lm_rows()
+    train = [r for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    n = Counter(w for _, t in train for w in [*re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")), None])
+    p = lm_score.LmParams(base=base, table_bytes=16 * sum(c >= base for c in n.values()), item_bits=3000, least_bits=2)
+    assert lm_score.fit(documents(spark, train), p).top == 2 and 1 in n.values()
+    compare(lm_score.language_model(documents(spark, rows), p).collect(), plain_scores(rows, p))
+
+
 def test_language_model_in_pieces(spark, monkeypatch):
     rows = lm_rows()
     t, offsets = lm_score.tokens_of(pa.array([x for _, x in rows]))

@@ -255,7 +255,7 @@ class Model:
     distinct: int
     deepest: int  # the highest level
     table: tuple[np.ndarray, np.ndarray]  # the most frequent single tokens (sorted) and their exact counts
-    whole: bool  # the table has every token
+    top: int  # the least level in the table; 1: it has every token
     rest: DataFrame | None  # gram, n of the others
     least: tuple[int, ...]  # by order, the least level in the filter; 0: all are in it
     counted: DataFrame | None  # the count table, if n-grams are outside the filter
@@ -311,8 +311,7 @@ def fit(docs: DataFrame, p: LmParams = LmParams()) -> Model:
     known = _single(table, top, 1 << 16).toArrow()
     gram, n = np.asarray(known.column("gram")).view(np.uint64), np.asarray(known.column("n"))
     order = np.argsort(gram)
-    whole = top == 1
-    return Model(made, total, distinct, max((r.level for r in spread), default=0), (gram[order], n[order]), whole, None if whole else _single(table, 1, top), least, table if any(least) else None)
+    return Model(made, total, distinct, max((r.level for r in spread), default=0), (gram[order], n[order]), top, None if top == 1 else _single(table, 1, top), least, table if any(least) else None)
 
 
 def log_probabilities(level: list[np.ndarray], there: list[np.ndarray], m: tuple[int, int], p: LmParams) -> np.ndarray:
@@ -329,7 +328,11 @@ def log_probabilities(level: list[np.ndarray], there: list[np.ndarray], m: tuple
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, grams array<long>, times array<int>"
 _SLICE = "pack long, lead int, levels binary, places binary, rows array<long>, starts array<long>, asked array<struct<k:int,segment:int,grams:binary>>"
-_UNKNOWN = (1 << 16) - 1  # in place of a level: to be asked
+
+
+def _kind(deepest: int) -> str:
+    """Of a slice's levels; its largest number stands for what is to be asked."""
+    return "<u1" if deepest < 255 else "<u2"
 
 
 def _names(ddl: str) -> list[str]:
@@ -379,16 +382,16 @@ def _answers(asks: DataFrame, counted: DataFrame, least: tuple[int, ...], bits:
 
 def _asked_scores(slices: DataFrame, model: Model, p: LmParams) -> DataFrame:
     """row, score: the model's scores of all slices' tokens by row, with the levels that the filter lacks from the count table."""
-    total, distinct, bits = model.total, model.distinct, len(model.bits).bit_length() - 1
+    total, distinct, bits, kind = model.total, model.distinct, len(model.bits).bit_length() - 1, _kind(model.deepest)
     asks = slices.select("pack", F.posexplode("asked").alias("at", "a")).select("pack", "at", "a.k", "a.segment", "a.grams")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         lead = left.column("lead")[0].as_py()
-        level = _large(left.column("levels")[0].as_py(), "<u2").reshape(p.order, -1).astype(np.int64)
+        level = _large(left.column("levels")[0].as_py(), kind).reshape(p.order, -1).astype(np.int64)
         rows, starts = (np.asarray(left.column(c)[0].values) for c in ("rows", "starts"))
         order = np.argsort(np.asarray(right.column("at")), kind="stable")
         found = np.concatenate([_large(right.column("levels")[i].as_py(), "<u2") for i in order.tolist()])
-        level[level == _UNKNOWN] = found[_large(left.column("places")[0].as_py(), "<i4")]
+        level[level == np.iinfo(kind).max] = found[_large(left.column("places")[0].as_py(), np.uint8).reshape(4, -1).T.copy().view("<i4")[:, 0]]
         at = np.arange(level.shape[1])
         doc = np.searchsorted(starts, at, "right") - 1
         first = at - starts[doc]
@@ -416,18 +419,18 @@ def _settled(level: list[np.ndarray], outside: list[np.ndarray], least: tuple[in
 
 def scores(docs: DataFrame, model: Model, p: LmParams = LmParams(), learned: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. learned: whether the model has learned from the row, as far as is known."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.bits, model.table, model.total, model.distinct, model.deepest, model.whole))
+    sent = docs.sparkSession.sparkContext.broadcast((model.bits, model.table, model.total, model.distinct, model.deepest, model.top))
     least, asking = model.least, model.counted is not None
     n_bits = len(model.bits).bit_length() - 1
     schema = f"{_SCORED}, {_SLICE}" if asking else _SCORED
     kinds = list(to_arrow_schema(StructType.fromDDL(schema)))
 
     def run(it):
-        bits, (known, known_n), total, distinct, deepest, whole = sent.value
+        bits, (known, known_n), total, distinct, deepest, top = sent.value
         below = np.log10(total + 0.5 * (distinct + 1))
         row = TaskContext.get().partitionId() << 40
         pack = row
-        for b, seen in ((part, seen) for b in batches(it, 4 << 20) for part, seen in (_parted(b) if asking else [(b, True)])):
+        for b, seen in _parted(it, 4 << 20):
             t, offsets = tokens_of(b.column("text"))
             n = len(offsets) - 1
             base, model_score, sure = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
@@ -441,7 +444,9 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams(), learned: Col
                         at = np.minimum(np.searchsorted(known, each), max(len(known) - 1, 0))
                         hit = known[at] == each if len(known) else np.zeros(len(each), bool)
                         exact = np.where(hit, known_n[at], 0) if len(known) else np.zeros(len(each), np.int64)
-                        open_ = ~hit & ((q > 0) | (least[0] > 0)) & (not whole)
+                        open_ = ~hit & ((q > 0) | (least[0] > 0)) & (top > 1)
+                        if seen and top == 2 and p.min_counts[0] == 1 and levels(np.array(2), p.base) > 1:  # what was learned from occurs, here once
+                            exact, open_ = np.where(hit, exact, 1), np.zeros(len(each), bool)
                     out = q < least[k]
                     level.append(q[back])
                     there.append(ok)
@@ -455,9 +460,9 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams(), learned: Col
                     _settled(level, [out for out, _ in outside], least, seen, p)
                 if any(out.any() for out, _ in outside):
                     places, asked = _asked(outside, n_bits)
-                    shown = np.stack([np.where(out, _UNKNOWN, q) for q, (out, _) in zip(level, outside)]).astype("<u2")
+                    shown = np.stack([np.where(out, np.iinfo(_kind(deepest)).max, q) for q, (out, _) in zip(level, outside)]).astype(_kind(deepest))
                     docs_in = np.arange(doc[0], doc[-1] + 1)
-                    yield _row(kinds, pack=pack, lead=lead, levels=_small(shown), places=_small(places), rows=row + docs_in, starts=offsets[docs_in] - (a - lead), asked=asked)
+                    yield _row(kinds, pack=pack, lead=lead, levels=_small(shown), places=_small(places.view(np.uint8).reshape(-1, 4).T), rows=row + docs_in, starts=offsets[docs_in] - (a - lead), asked=asked)
                     pack += 1
                 else:
                     logs = log_probabilities(level, there, (total, distinct), p)
@@ -484,25 +489,44 @@ def scores(docs: DataFrame, model: Model, p: LmParams = LmParams(), learned: Col
     held = F.coalesce(fold("doc_id", 5) == 1, F.lit(True))
     seen = F.coalesce(learned if learned is not None else F.lit(False), F.lit(False))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"), seen.alias("learned")).mapInArrow(run, schema)
-    if asking:
+    if asking or model.rest is not None:
         both = staged(scored)
+        rows = both.where("pack is null") if asking else both
+        scored = rows.select(*_names(_SCORED)[:-2])
+    if asking:
         found = _asked_scores(both.where("pack is not null").select(*_names(_SLICE)), model, p)
-        scored = both.where("pack is null").select(*_names(_SCORED)).join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("asked_score", F.lit(0.0)))
+        scored = scored.join(found, "row", "left").withColumn("score", F.col("score") + F.coalesce("asked_score", F.lit(0.0)))
     if model.rest is not None:
         below = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
-        rows = staged(scored)
         open_ = rows.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.times").alias("times"))
         met = open_.join(model.rest, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         sums = met.groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - below)).alias("b"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("kn"))
-        both = rows.join(sums, "row", "left")
+        both = scored.join(sums, "row", "left")
         scored = both.withColumn("base_score", F.col("base_score") + F.coalesce("b", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("kn", F.lit(0)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _parted(b: pa.RecordBatch) -> list[tuple[pa.RecordBatch, bool]]:
-    """The rows that were learned from, and the others."""
-    seen = b.column("learned")
-    return [(part, flag) for flag, part in ((True, b.filter(seen)), (False, b.filter(pc.invert(seen)))) if part.num_rows]
+def _parted(it, most: int):
+    """The rows that were learned from, and the others, which are gathered to about `most` bytes."""
+    others, size = [], 0
+    for b in batches(it, most):
+        seen = b.column("learned")
+        part = b.filter(seen)
+        if part.num_rows:
+            yield part, True
+        part = b.filter(pc.invert(seen))
+        if part.num_rows:
+            others.append(part)
+            size += part.nbytes
+        if size >= most:
+            yield _joined(others), False
+            others, size = [], 0
+    if others:
+        yield _joined(others), False
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _row(kinds: list[pa.Field], **values) -> pa.RecordBatch:
