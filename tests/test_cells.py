@@ -77,3 +77,44 @@ def test_path_enhancement_by_cells(spark, block):
         got[r.signal_id][r.i, r.j] = r.v
     for k, r in m.items():
         assert np.allclose(got[k], segment.path_enhance(r)), k
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_pairs_are_dealt_once_and_made_by_spark(spark, metric, monkeypatch):
+    """A frame goes to 9 cells at most; a cell gives rows of distances, from which Spark makes the pairs, both ways alike."""
+    sent, spread = [], cells._spread
+    monkeypatch.setattr(cells, "_spread", lambda placed: sent.append(placed) or spread(placed))
+    m = {"a": np.random.default_rng(5).normal(size=(64, 3))}
+    df = cells.pairs(table(spark, m), metric, block=2)
+    assert sent[0].count() == 9 * 64
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("FlatMapGroupsInArrow")
+    got = {(r.i, r.j): r.d for r in df.collect()}
+    assert len(got) == 64 * 64 and all(got[j, i] == d for (i, j), d in got.items() if i // 8 != j // 8)
+
+
+def test_rounding_by_scale_is_that_of_sql(spark):
+    import duckdb
+
+    from tidewave.plans import spectra
+
+    x = [0.0, -0.0, 1.2345675, 0.0078125, -0.0078125, 2.5e-7, -2.5e-7, 5e-7, -1e-17, 1e9 + 0.1234565, -3e9 - 1 / 3, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    x += (np.random.default_rng(6).integers(-4000, 4000, 2000) / 128 / np.array([1, 10, 1000, 1e6])[np.arange(2000) % 4]).tolist()
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k long, v double")
+    got = df.select("k", (spectra.scaled("v") + 0.0).alias("v")).orderBy("k").toPandas().v
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k BIGINT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(x)))
+    want = con.execute("SELECT round(v, 6) + 0.0 AS v FROM t ORDER BY k").df().v
+    assert [repr(a) for a in got] == [repr(a) for a in want]
+
+
+@pytest.mark.parametrize("name", ["cross_similarity"])
+def test_pair_queries_do_not_round_through_decimals(spark, name):
+    """F.round of a double is a BigDecimal; it is left for numbers that can't be scaled."""
+    from conftest import SF
+
+    from tidewave.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "floor" in plan.lower() and "CASE WHEN" in plan
