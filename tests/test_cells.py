@@ -109,7 +109,7 @@ def test_rounding_by_scale_is_that_of_sql(spark):
     assert [repr(a) for a in got] == [repr(a) for a in want]
 
 
-@pytest.mark.parametrize("name", ["cross_similarity", "cross_similarity_cosine"])
+@pytest.mark.parametrize("name", ["cross_similarity", "cross_similarity_cosine", "recurrence_soft"])
 def test_pair_queries_do_not_round_through_decimals(spark, name):
     """F.round of a double is a BigDecimal; it is left for numbers that can't be scaled."""
     from conftest import SF
