@@ -109,7 +109,7 @@ def test_rounding_by_scale_is_that_of_sql(spark):
     assert [repr(a) for a in got] == [repr(a) for a in want]
 
 
-@pytest.mark.parametrize("name", ["cross_similarity", "cross_similarity_cosine", "recurrence_soft"])
+@pytest.mark.parametrize("name", ["cross_similarity", "cross_similarity_cosine", "recurrence_soft", "path_enhance"])
 def test_pair_queries_do_not_round_through_decimals(spark, name):
     """F.round of a double is a BigDecimal; it is left for numbers that can't be scaled."""
     from conftest import SF
@@ -118,3 +118,48 @@ def test_pair_queries_do_not_round_through_decimals(spark, name):
 
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "floor" in plan.lower() and "CASE WHEN" in plan
+
+
+def strokes(n=150):
+    """Lines and bars, some at edges and over the borders of blocks, and little else."""
+    r = np.zeros((n, n))
+    r[0, 3:9] = r[40:52, 60] = r[n - 1, n - 4 :] = r[70:73, 70:76] = r[100:110, n - 1] = r[:4, :3] = 1
+    for k in range(20):
+        r[30 + k, 80 + k] = r[20 + k, 21 + k] = r[120 - k, 10 + k] = 1
+    return r
+
+
+@pytest.mark.parametrize("block", [4, 30, 512])
+def test_path_enhancement_of_few_links(spark, block):
+    """A cell gives runs of equal values; Spark makes the rows from these."""
+    m = {"strokes": strokes(), "dense": (np.random.default_rng(7).random((90, 90)) < 0.5).astype(float), "empty": np.zeros((40, 40))}
+    links = [(k, int(i), int(j)) for k, r in m.items() for i, j in zip(*np.nonzero(r))]
+    df = cells.enhanced(spark.createDataFrame(links + links[:5], "signal_id string, i long, j long"), spark.createDataFrame([(k, len(r)) for k, r in m.items()], "signal_id string, n long"), block=block)
+    rows = df.collect()
+    assert len(rows) == sum(r.size for r in m.values())
+    got = {k: np.full(r.shape, np.nan) for k, r in m.items()}
+    for r in rows:
+        got[r.signal_id][r.i, r.j] = r.v
+    for k, r in m.items():
+        assert np.allclose(got[k], segment.path_enhance(r)), k
+    assert np.count_nonzero(got["strokes"]) > 50
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(sequence(first") < plan.index("FlatMapGroupsInArrow")
+
+
+def test_medians_of_few_and_of_many_points_agree():
+    boxes = segment.path_sizes(5)
+    r = strokes(300)
+    i, j = np.nonzero(r)
+    few = cells._medians(i, j, boxes, (0, 300), (0, 300))
+    many = cells._medians(np.repeat(i, 100), np.repeat(j, 100), boxes, (0, 300), (0, 300))
+    assert len(few[0]) > 50 and len(i) * 80 < r.size and all((a == b).all() for a, b in zip(few, many))
+
+
+def test_frames_of_neighbours_are_sent_to_sixteen_cells(spark, monkeypatch):
+    from tidewave.operators import neighbours
+
+    sent, spread = [], cells._spread
+    monkeypatch.setattr(cells, "_spread", lambda placed: sent.append(placed) or spread(placed))
+    assert neighbours.nearest(table(spark, {"a": np.random.default_rng(8).normal(size=(64, 3))}), 5, block=2).count() == 5 * 64
+    assert sent[0].count() == 16 * 64

@@ -218,42 +218,82 @@ def quantified(frames: DataFrame, threshold: float, least: int = 2, block: int =
 def enhanced(links: DataFrame, lengths_of: DataFrame, size: int = 5, n_filters: int = 7, block: int = 512) -> DataFrame:
     """signal_id, i, j, v: `segment.path_enhance` of the matrix that has ones at links (signal_id, i, j), for all cells of it. lengths_of: signal_id, n.
 
-    A block of cells gets the links in it and in a margin around it.
+    A cell of block rows and _PARTS * block columns gets the links in it and in a margin around it. It gives runs of equal values along
+    its rows, as few as the links ask for; Spark makes the rows from these.
     """
     ship(links.sparkSession)
     boxes = path_sizes(size, n_filters)
     reach = max(max(b) for b in boxes)  # no less than a rectangle sees
+    wide = _PARTS * block
     kind = links.select("signal_id").schema[0].dataType.simpleString()
-    last = F.floor((F.col("n") - 1) / block)
-    every = F.sequence(F.lit(0).cast("long"), last)
-    blank = lengths_of.withColumn("row", F.explode(every)).withColumn("col", F.explode(every)).select("signal_id", "n", "row", "col", F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"))
-    seen = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - reach) / block), F.lit(0)), F.least(F.floor((F.col(c) + reach) / block), last)))
-    near = links.join(lengths_of, "signal_id").withColumn("row", seen("i")).withColumn("col", seen("j")).select("signal_id", "n", "row", "col", "i", "j")
+    last = lambda step: F.floor((F.col("n") - 1) / step)
+    every = lambda step: F.explode(F.sequence(F.lit(0).cast("long"), last(step)))
+    blank = lengths_of.withColumn("row", every(block)).withColumn("col", every(wide)).select("signal_id", "n", "row", "col", F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"))
+    seen = lambda c, step: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - reach) / step), F.lit(0)), F.least(F.floor((F.col(c) + reach) / step), last(step))))
+    near = links.join(lengths_of, "signal_id").withColumn("row", seen("i", block)).withColumn("col", seen("j", wide)).select("signal_id", "n", "row", "col", "i", "j")
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         n, row, col = (t.column(c)[0].as_py() for c in ("n", "row", "col"))
         links_of = t.filter(t.column("i").is_valid())
-        i, j = np.asarray(links_of.column("i")), np.asarray(links_of.column("j"))
-        (a, z), (c, e) = ((k * block, min((k + 1) * block, n)) for k in (row, col))
-        top, left = max(a - reach, 0), max(c - reach, 0)
-        m = np.zeros((min(z + reach, n) - top, min(e + reach, n) - left), np.int64)
-        m[i - top, j - left] = 1
-        # where the matrix ends within reach, it is mirrored
-        beyond = lambda low, high: (max(reach - low, 0), max(high + reach - n, 0))
-        p = np.pad(m, (beyond(a, z), beyond(c, e)), mode="symmetric")
-        sums = np.pad(p.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-        v = np.zeros((z - a, e - c))
-        for h, w in boxes:
-            y, x = reach - h // 2, reach - w // 2
-            at = lambda dy, dx: sums[y + dy : y + dy + z - a, x + dx : x + dx + e - c]  # noqa: B023, E731
-            ones = at(h, w) - at(0, w) - at(h, 0) + at(0, 0)
-            v += ones >= h * w - h * w // 2  # the upper median is 1
-        v /= n_filters
-        for f, l_ in _slices(z - a, e - c):
-            yield pa.RecordBatch.from_arrays([pa.repeat(t.column("signal_id")[0], v[f:l_].size), pa.array(np.repeat(np.arange(a + f, a + l_), e - c)), pa.array(np.tile(np.arange(c, e), l_ - f)), pa.array(v[f:l_].ravel())], ["signal_id", "i", "j", "v"])
-
-    return _spread(blank.unionByName(near)).applyInArrow(cell, f"signal_id {kind}, i long, j long, v double")
+        i, j = np.divmod(np.unique(np.asarray(links_of.column("i")) * n + np.asarray(links_of.column("j"))), n)
+        (a, z), (c, e) = ((k * step, min((k + 1) * step, n)) for k, step in ((row, block), (col, wide)))
+        i, j = _mirrored(i, j, n, a - reach, z + reach)
+        j, i = _mirrored(j, i, n, c - reach, e + reach)
+        order = np.argsort(j, kind="stable")
+        i, j = i[order], j[order]
+        found = [_medians(i[f:g], j[f:g], boxes, (a, z), (at, min(at + block, e))) for at in range(c, e, block) for f, g in [np.searchsorted(j, (at - reach, min(at + block, e) + reach))]]
+        y, x, count = (np.concatenate(k) for k in zip(*found))
+        # a run begins with a row, with a value and behind one
+        place = (y - a) * (e - c) + x - c
+        first = np.unique(np.concatenate((np.arange(z - a) * (e - c), place, place[place + 1 < (z - a) * (e - c)] + 1)))
+        v = np.zeros(len(first))
+        v[np.searchsorted(first, place)] = count / n_filters
+        to = np.append(first[1:], (z - a) * (e - c)) - 1
+        for f in range(0, len(first), _SLICE):
+            s = slice(f, f + _SLICE)
+            yield pa.RecordBatch.from_arrays([pa.repeat(t.column("signal_id")[0], len(v[s])), pa.array(a + first[s] // (e - c)), pa.array(c + first[s] % (e - c)), pa.array(c + to[s] % (e - c)), pa.array(v[s])], ["signal_id", "i", "first", "last", "v"])
+
+    runs = _spread(blank.unionByName(near)).applyInArrow(cell, f"signal_id {kind}, i long, first long, last long, v double")
+    return runs.select("signal_id", "i", F.explode(F.sequence("first", "last")).alias("j"), "v")
+
+
+def _mirrored(i: np.ndarray, j: np.ndarray, n: int, low: int, high: int):
+    """The points (i, j) and their images as i is mirrored at 0 and n (the edges count twice), as far as these have an i from low to below high."""
+    turns = 2 * n * np.arange(low // (2 * n), high // (2 * n) + 2)
+    i = np.concatenate([i + t for t in turns] + [t - 1 - i for t in turns])
+    j = np.tile(j, 2 * len(turns))
+    here = (i >= low) & (i < high)
+    return i[here], j[here]
+
+
+def _medians(i: np.ndarray, j: np.ndarray, boxes: list[tuple[int, int]], rows: tuple[int, int], columns: tuple[int, int]):
+    """Row, column and number of rectangles whose upper median is 1, of the cells where there are any. Points may lie around them, as far as a rectangle sees."""
+    (a, z), (c, e) = rows, columns
+    h, w = z - a, e - c
+    count = np.zeros(0, np.int64)
+    if len(i) * sum(b * d for b, d in boxes) < h * w:  # few: each point goes to the cells that see it
+        votes = []
+        for b, d in boxes:
+            dy, dx = np.arange(b) - b // 2, np.arange(d) - d // 2
+            y, x = np.broadcast_arrays((i[:, None] - dy)[:, :, None] - a, (j[:, None] - dx)[:, None, :] - c)
+            inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+            at, ones = np.unique((y * w + x)[inside], return_counts=True)
+            votes.append(at[ones >= b * d - b * d // 2])  # the upper median is 1
+        at, count = np.unique(np.concatenate(votes), return_counts=True)
+    else:
+        reach = max(max(b) for b in boxes)
+        m = np.zeros((h + 2 * reach, w + 2 * reach), np.int64)
+        m[i - a + reach, j - c + reach] = 1
+        sums = np.pad(m.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+        v = np.zeros((h, w), np.int64)
+        for b, d in boxes:
+            y, x = reach - b // 2, reach - d // 2
+            of = lambda dy, dx: sums[y + dy : y + dy + h, x + dx : x + dx + w]  # noqa: B023, E731
+            v += of(b, d) - of(0, d) - of(b, 0) + of(0, 0) >= b * d - b * d // 2
+        at = np.flatnonzero(v)
+        count = v.ravel()[at]
+    return a + at // w, c + at % w, count
 
 
 def _spread(placed: DataFrame):

@@ -2,7 +2,7 @@
 
 Frames are dealt to cells of a square: a query block and a candidate block. A cell computes
 its distances and keeps the k nearest of each query; these lists are merged by query. A frame is sent to
-twice as many cells as a signal has blocks, which grow with it (`cells`); a cell has two blocks, and no matrix of all pairs exists.
+twice as many cells as a signal has blocks (`cells._WIDE` of them, until a block is full); a cell has two blocks, and no matrix of all pairs exists.
 In a cell, the columns are dealt to groups: the k-th least of a row's group minima is a bound that at least k frames keep, and only groups
 whose minimum keeps it are looked into.
 """
@@ -47,7 +47,7 @@ def nearest(frames: DataFrame, k: int = 5, metric: str = "euclidean", block: int
         at = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
         return pa.table({"signal_id": pa.repeat(t.column("signal_id")[0], len(own)), "i": pa.array(own, pa.int64()), "j": pa.ListArray.from_arrays(at, pa.array(j, pa.int64())), "d": pa.ListArray.from_arrays(at, pa.array(d, pa.float64()))})
 
-    lists = cells.dealt(frames, block).applyInArrow(local, f"signal_id {kind}, i long, j array<long>, d array<double>")
+    lists = cells.dealt(frames, block, cells._WIDE).applyInArrow(local, f"signal_id {kind}, i long, j array<long>, d array<double>")
     pairs = lists.select("signal_id", "i", F.arrays_zip("d", "j").alias("p"))
     merged = pairs.groupBy("signal_id", "i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
     return merged.select("signal_id", "i", F.posexplode("p").alias("r", "x")).select("signal_id", "i", F.col("r").cast("bigint").alias("r"), "x.j", "x.d")
