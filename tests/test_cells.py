@@ -163,3 +163,17 @@ def test_frames_of_neighbours_are_sent_to_sixteen_cells(spark, monkeypatch):
     monkeypatch.setattr(cells, "_spread", lambda placed: sent.append(placed) or spread(placed))
     assert neighbours.nearest(table(spark, {"a": np.random.default_rng(8).normal(size=(64, 3))}), 5, block=2).count() == 5 * 64
     assert sent[0].count() == 16 * 64
+
+
+def test_pairs_and_values_come_in_narrow_tiles(spark, monkeypatch):
+    """Columns then repeat soon, which Parquet's compression finds."""
+    monkeypatch.setattr(cells, "_TILE", 16)
+    monkeypatch.setattr(cells, "_SLICE", 256)
+    m = {"a": np.random.default_rng(9).normal(size=(100, 3))}
+    f = table(spark, m)
+    links = spark.createDataFrame([("a", 3, 4)], "signal_id string, i long, j long")
+    for df in (cells.pairs(f, block=100), cells.enhanced(links, spark.createDataFrame([("a", 100)], "signal_id string, n long"), block=16)):
+        rows = df.coalesce(1).collect()
+        assert len(rows) == 100 * 100 == len({(r.i, r.j) for r in rows})
+        changes = [k for k in range(1, len(rows)) if rows[k].i != rows[k - 1].i]
+        assert max(np.diff([0, *changes, len(rows)])) <= 16
